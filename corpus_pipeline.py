@@ -1,21 +1,44 @@
-"""The corpus pipeline: quality rules."""
+"""The corpus pipeline: quality rules, near-duplicates, secrets, packing.
+
+Each stage takes what the one before it kept; all but the last return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import common, quality
+from tessella.llm import common, packing, quality, queries, secret_scan, setsketch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep, unchanged."""
-    return quality.quality_rules(docs, COLUMNS).filter("kept").select(*COLUMNS)
+    common.ship(spark)
+    return quality.kept_documents(docs, COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the one with the smallest id."""
+    common.ship(spark)
+    return setsketch.one_of_each(docs.select(*COLUMNS), size=5, limit=80)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents; what the scan finds is replaced in their texts, and n_chars follows."""
+    common.ship(spark)
+    clean = secret_scan.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document with the sequence and offset that each is packed at."""
+    common.ship(spark)
+    return packing.pack_documents(docs, queries.vocabulary())
 
 
-STAGES = [("quality rules", quality_stage)]
+STAGES = [("quality rules", quality_stage), ("near-duplicates", dedup_stage), ("secret scan", secrets_stage), ("best-fit packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,4 +52,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Shingle links over whole texts, decoding worklists and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
