@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, quality, secret_scan, setsketch, token_files
+from . import common, packing, quality, secret_scan, setsketch, suffix_lm, token_files
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -39,6 +39,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
