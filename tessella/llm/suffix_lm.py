@@ -25,7 +25,7 @@ from .common import Tables, keep, ship
 from .shingles import slices, split_words
 
 DEPTH = 6
-LEAST_SHARE = 1e-5
+LEAST_SHARE = 5e-6
 END = 0xFF  # no byte of UTF-8; also stands before each text
 FOLDS, HELD_OUT = 7, 2
 LANES = 16384
