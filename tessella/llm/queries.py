@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, quality, secret_scan, setsketch, suffix_lm, token_files
+from . import chat_format, common, impact_index, packing, quality, secret_scan, setsketch, suffix_lm, token_files
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -31,6 +31,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op1_impact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_index.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.conversation_digests(table(spark, sf_dir, "conversations"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -48,4 +56,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality.ORACLE_SQL}
+    return {"op1_impact_top_k": impact_index.ORACLE_SQL, "op5_chat_format": chat_format.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
