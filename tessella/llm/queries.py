@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, impact_index, packing, quality, secret_scan, setsketch, suffix_lm, token_files
+from . import chat_format, common, html_extract, impact_index, packing, quality, secret_scan, setsketch, suffix_lm, token_files
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -39,6 +39,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(table(spark, sf_dir, "conversations"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
