@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, html_extract, impact_index, packing, quality, secret_scan, setsketch, suffix_lm, token_files
+from . import chat_format, common, html_extract, impact_index, lattice, packing, quality, secret_scan, setsketch, suffix_lm, token_files
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -51,6 +51,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.encode_documents(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_documents(table(spark, sf_dir, "documents"))
 
