@@ -23,27 +23,27 @@ from pyspark.sql import functions as F
 from . import graph, shingles
 from .common import Tables, keep, ship
 
-REGISTERS, ROWS = 128, 4
-#: A link of similarity s shares a band with probability 1 - (1 - s**4)**32: at 0.8 all but 5e-8.
-BANDS = REGISTERS // ROWS
-BASE, RATE, TOP = 1.001, 20.0, 65535
-#: Estimates have a deviation of 0.035 at 0.8; pairs this far below the limit are not verified.
-SLACK = 0.2
+#: Registers of a byte; the first BANDS * ROWS are banded, all serve the estimate.
+REGISTERS, BANDS, ROWS = 256, 32, 4
+#: Equal registers at similarity s have a probability of about 1 - SHARE * (1 - s), so a link of 0.8 shares a band but for 2e-8.
+BASE, RATE, TOP = 1.1, 20.0, 255
+SHARE = (BASE - 1) / (BASE * np.log(BASE))
+#: Estimates have a deviation of 0.026 at 0.8; pairs this far below the limit are not verified.
+SLACK = 0.1
 BLOCK, FAN = 1024, 256
 
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
-_ADD = _rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
     """Register i: floor(1 - log_b x), x the least of exponential variates that hash i gives the elements, kept in 0..TOP. Merge by maximum."""
     least = np.full(REGISTERS, 0xFFFFFFFF, np.uint32)
     short = (elements >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(short), 2048):
-        np.minimum(least, (np.multiply.outer(short[at : at + 2048], _MUL) + _ADD).min(axis=0), out=least)
+    for at in range(0, len(short), 512):
+        np.minimum(least, np.multiply.outer(short[at : at + 512], _MUL).min(axis=0), out=least)
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
+    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint8)
 
 
 def likelihood(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -64,6 +64,17 @@ def likelihood(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndar
     return (low + high) / 2
 
 
+def alike(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, least: float) -> np.ndarray:
+    """Whether rows of registers are likely enough to have this similarity; most are told by their equal registers alone."""
+    enough = REGISTERS * (1 - SHARE * (1 - least))
+    good = (a == b).sum(axis=1) >= enough - 3 * np.sqrt(enough * (1 - enough / REGISTERS))
+    at = np.flatnonzero(good)
+    if len(at):
+        x, y = np.broadcast_to(a, b.shape)[at], b[at]
+        good[at] = likelihood((x > y).sum(axis=1), (x < y).sum(axis=1), n_a[at].astype(float), n_b[at].astype(float)) >= least
+    return good
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Rows of equal keys together, from batches that are sorted by them."""
     held: list[pd.DataFrame] = []
@@ -104,10 +115,11 @@ def band_rows(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, BANDS, ROWS).astype(np.uint64)
+            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2]).copy()
             for k in range(ROWS):
                 key = shingles.mixed(key * np.uint64(0x100000001B3) + regs[:, :, k] + np.uint64(1))
+            key = (key << np.uint64(8)) | np.arange(BANDS, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("cid").to_numpy(), BANDS)), pa.array(key.ravel().view(np.int64))], names=["cid", "band"])
 
     return classes.select("cid", "registers").mapInArrow(run, "cid long, band long")
@@ -122,32 +134,73 @@ def likely(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("rx", "ry"))
-            n_a, n_b = (batch.column(c).to_numpy().astype(float) for c in ("nx", "ny"))
-            good = likelihood((a > b).sum(1), (a < b).sum(1), n_a, n_b) >= limit / 100 - SLACK
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("rx", "ry"))
+            good = alike(a, b, batch.column("nx").to_numpy(), batch.column("ny").to_numpy(), limit / 100 - SLACK)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(good)), batch.column("y").filter(pa.array(good))], names=["x", "y"])
 
     return rows.select("x", "y", "nx", "ny", "rx", "ry").mapInArrow(run, "x long, y long")
 
 
-def block_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """members: band, lo, hi, side, cid, root, n, registers, sorted by cell. Likely pairs of different components."""
+def cell_pairs(cell: pd.DataFrame, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """i and the rows j of a cell whose pairs with i are likely links of different components. A pair belongs to the first band that it shares."""
+    regs = np.frombuffer(b"".join(cell["registers"]), np.uint8).reshape(-1, REGISTERS)
+    root, n, side = (cell[c].to_numpy() for c in ("root", "n", "side"))
+    alone, number = cell["lo"].iloc[0] == cell["hi"].iloc[0], cell["band"].iloc[0] & 0xFF
+    roots, at, sizes = np.unique(root, return_inverse=True, return_counts=True)
+    most = at == sizes.argmax()  # all pairs have a row outside the largest component
+    for i in np.flatnonzero(~most):
+        j = np.flatnonzero((root != root[i]) & (most | (np.arange(len(root)) > i)) & (alone | (side != side[i])) & (100 * np.minimum(n, n[i]) >= limit * np.maximum(n, n[i])))
+        if len(j):
+            shared = (regs[j, : BANDS * ROWS] == regs[i, : BANDS * ROWS]).reshape(len(j), BANDS, ROWS).all(axis=2)
+            j = j[shared.argmax(axis=1) == number]
+        if len(j):
+            j = j[alike(regs[i], regs[j], np.full(len(j), n[i]), n[j], limit / 100 - SLACK)]
+        if len(j):
+            yield int(i), j
+
+
+CELL = "band long, lo long, hi long, side long, cid long, root long, n long, registers binary"
+
+
+def involved(cells: DataFrame, limit: int) -> DataFrame:
+    """The rows of sorted cells that are in a likely pair: at most as many as there are members."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in runs(batches, ["band", "lo", "hi"]):
-            regs = np.frombuffer(b"".join(cell["registers"]), np.uint16).reshape(-1, REGISTERS)
-            cid, root, n, side = (cell[c].to_numpy() for c in ("cid", "root", "n", "side"))
-            alone = cell["lo"].iloc[0] == cell["hi"].iloc[0]
-            for i in np.arange(len(cell)) if alone else np.flatnonzero(side == cell["lo"].iloc[0]):
-                j = np.flatnonzero((root != root[i]) & (100 * np.minimum(n, n[i]) >= limit * np.maximum(n, n[i])) & ((cid > cid[i]) if alone else (side != side[i])))
-                if not len(j):
-                    continue
-                more, less = (regs[j] > regs[i]).sum(1), (regs[j] < regs[i]).sum(1)
-                j = j[likelihood(more, less, n[j].astype(float), np.full(len(j), float(n[i]))) >= limit / 100 - SLACK]
-                if len(j):
-                    yield pd.DataFrame({"x": np.minimum(cid[i], cid[j]), "y": np.maximum(cid[i], cid[j])})
+            needed = np.zeros(len(cell), bool)
+            for i, j in cell_pairs(cell, limit):
+                needed[i] = needed[j] = True
+            if needed.any():
+                yield cell[needed]
+
+    return cells.mapInPandas(run, CELL)
+
 
-    return members.mapInPandas(run, "x long, y long")
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sorted sets share."""
+    low, high = (a, b) if len(a) <= len(b) else (b, a)
+    place = np.searchsorted(high, low)
+    return int((high[np.minimum(place, len(high) - 1)] == low).sum())
+
+
+def cell_links(cells: DataFrame, limit: int) -> DataFrame:
+    """Links a, b on full sets inside sorted cells with `elements`; a pair that others have joined by then isn't held against each other."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in runs(batches, ["band", "lo", "hi"]):
+            sets, cid, links = [np.frombuffer(x, np.uint64) for x in cell["elements"]], cell["cid"].to_numpy(), []
+            group = np.unique(cell["root"], return_inverse=True)[1]
+            for i, js in cell_pairs(cell, limit):
+                for j in js:
+                    if group[i] != group[j]:
+                        both = overlap(sets[i], sets[j])
+                        if 100 * both >= limit * (len(sets[i]) + len(sets[j]) - both):
+                            links.append((cid[i], cid[j]))
+                            group[group == group[j]] = group[i]
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return cells.mapInPandas(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
@@ -167,9 +220,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
                     own, at = got, (x, salt)
                     continue
                 assert at == (x, salt)
-                low, high = (own, got) if len(own) <= len(got) else (got, own)
-                place = np.searchsorted(high, low)
-                both = int((high[np.minimum(place, len(high) - 1)] == low).sum())
+                both = overlap(own, got)
                 if 100 * both >= limit * (len(own) + len(got) - both):
                     links.append((x, y))
             yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
@@ -195,9 +246,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80) -> DataFram
     tables.drop("bands")
     stars = tables.write("pairs1", likely(members.filter("cid <> x").select("x", F.col("cid").alias("y")).distinct(), classes, limit))
 
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        """The full sets of all classes in the pairs, from the text of one row each."""
-        wanted = pairs.select(F.explode(F.array("x", "y")).alias("cid")).distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
+    def sets_of(wanted: DataFrame, name: str) -> DataFrame:
+        """cid, elements: the full sets of these classes, from the text of one row each."""
+        wanted = wanted.distinct().join(classes.select("cid", "doc_id", "text_key"), "cid")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
         found = texts.join(wanted.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (texts["text_key"] == wanted["text_key"])).select("cid", "text")
 
@@ -205,19 +256,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80) -> DataFram
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tobytes() for x in shingles.shingle_sets(batch.column("text"), size)], pa.binary())], names=["cid", "elements"])
 
-        return tables.write(name, found.mapInArrow(run, "cid long, elements binary"), "lz4")
+        return tables.write(name, found.mapInArrow(run, "cid long, elements binary").dropDuplicates(["cid"]), "lz4")
 
-    links = tables.write("links1", verified(stars, sets_of(stars, "sets1"), limit))
-    roots = tables.write("roots1", graph.components(links, tables))
+    links = tables.write("links1", verified(stars, sets_of(stars.select(F.explode(F.array("x", "y")).alias("cid")), "sets1"), limit))
     tables.drop("sets1")
+    roots = tables.write("roots1", graph.components(links, tables))
     placed = members.filter("size > 2").join(roots, members["cid"] == roots["node"], "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
     mixed = placed.groupBy("band").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")).select("band", "blocks")
     cells = placed.join(mixed, "band").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     cells = cells.join(classes.select("cid", "n", "registers"), "cid").select("band", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cid", "root", "n", "registers")
-    cells = cells.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-    rest = tables.write("pairs2", block_pairs(cells, limit).distinct().join(stars, ["x", "y"], "left_anti"))
+    whole = lambda df: df.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "cid")
+    rest = tables.write("rest", involved(whole(cells), limit))
     if not rest.isEmpty():
-        more = tables.write("links2", verified(rest, sets_of(rest, "sets2"), limit))
+        more = tables.write("links2", cell_links(whole(rest.join(sets_of(rest.select("cid"), "sets2"), "cid")), limit))
         tables.drop("sets2")
         roots = tables.write("roots2", graph.components(links.unionByName(more), tables))
     named = classes.join(roots, classes["cid"] == roots["node"], "left").select("set_key", "least", F.coalesce("root", "cid").alias("root"))
