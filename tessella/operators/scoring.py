@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.functions import values as V
 
-BY_ID = Window.partitionBy("doc_id").orderBy("segment_id")
+def by_id():
+    return Window.partitionBy("doc_id").orderBy("segment_id")
 
 
 def with_batches(segments: DataFrame, size: int = V.BATCH_SIZE) -> DataFrame:
     """Adds batch (from 0): runs of `size` segments of all types in order."""
-    return segments.withColumn("batch", F.floor((F.row_number().over(BY_ID) - 1) / size).cast("int"))
+    return segments.withColumn("batch", F.floor((F.row_number().over(by_id()) - 1) / size).cast("int"))
 
 
 def narratives(evaluated: DataFrame) -> DataFrame:
