@@ -25,11 +25,12 @@ from .common import Tables, keep, ship
 from .shingles import slices, split_words
 
 DEPTH = 6
-LEAST_SHARE = 5e-6
+LEAST_SHARE = 1e-5
 END = 0xFF  # no byte of UTF-8; also stands before each text
 FOLDS, HELD_OUT = 7, 2
 LANES = 16384
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+SCORE_BYTES = 4 << 20
 SYMBOLS = 256  # 0xFE and 0xFF don't occur in UTF-8; END takes the place of the latter
 
 
@@ -109,41 +110,47 @@ class Automaton:
 
     def __init__(self, rows: pd.DataFrame):
         """rows: k, ctx, sym, n, all of the retained contexts and of the empty one."""
-        rows = rows.sort_values(["k", "ctx"], kind="stable")
-        seen = np.unique(np.append(rows["sym"].to_numpy(), END))
-        self.symbol = np.full(SYMBOLS, len(seen), np.int64)  # all unseen bytes are one column
+        k, ctx, sym, n, total = (rows[c].to_numpy() for c in ("k", "ctx", "sym", "n", "all"))
+        order = np.lexsort((sym, ctx, k))
+        k, ctx, sym, n, total = k[order], ctx[order], sym[order], n[order], total[order]
+        seen = np.unique(np.append(sym, END))
+        self.symbol = np.full(SYMBOLS, len(seen), np.int16)  # all unseen bytes are one column
         self.symbol[seen] = np.arange(len(seen))
         self.width = len(seen) + 1
-        own: dict[bytes, tuple[np.ndarray, np.ndarray, int]] = {}
-        for (k, ctx), part in rows.groupby(["k", "ctx"], sort=True):
-            own[int(ctx).to_bytes(8, "big")[8 - k :] if k else b""] = (self.symbol[part["sym"].to_numpy()], part["n"].to_numpy(), int(part["all"].iloc[0]))
+        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (ctx[1:] != ctx[:-1]))))[: len(k)]
+        name = lambda i: int(ctx[i]).to_bytes(8, "big")[8 - k[i] :] if k[i] else b""
+        bounds = [*first.tolist(), len(k)]
+        own = {name(a): (a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)}
         states = {b""}
         for c in own:
-            states.update(c[a:b] for a in range(len(c)) for b in range(a + 1, len(c) + 1))
-        order = sorted(states, key=lambda c: (len(c), c))
-        place = {c: i for i, c in enumerate(order)}
-        self.next = np.zeros((len(order), self.width), np.int32)
-        self.log = np.zeros((len(order), self.width), np.float32)
-        sym, n, total = own.get(b"", (np.zeros(0, int), np.zeros(0, int), 0))
-        chance = np.ones(self.width)
-        chance[sym] += n
-        chances = {b"": chance / (total + SYMBOLS)}
-        child: dict[bytes, list[bytes]] = {}
-        for c in order[1:]:
-            child.setdefault(c[:-1], []).append(c)
-        for i, c in enumerate(order):
+            states.update(c[x:y] for x in range(len(c)) for y in range(x + 1, len(c) + 1))
+        listed = sorted(states, key=lambda c: (len(c), c))
+        place = {c: i for i, c in enumerate(listed)}
+        child: dict[int, list[int]] = {}
+        for i, c in enumerate(listed):
             if c:
-                self.next[i] = self.next[place[c[1:]]]
-                p = chances[c[1:]]
-                if c in own:
-                    sym, n, total = own[c]
-                    p = p * len(sym)
-                    p[sym] += n
-                    p /= total + len(sym)
-                chances[c] = p
-            self.log[i] = np.log10(chances[c])
-            for t in child.get(c, ()):
-                self.next[i, self.symbol[t[-1]]] = place[t]
+                child.setdefault(place[c[:-1]], []).append(i)
+        self.next = np.zeros((len(listed), self.width), np.int32)
+        self.log = np.zeros((len(listed), self.width), np.float32)  # chances, until all are known
+        for i, c in enumerate(listed):
+            a, b = own.get(c, (0, 0))
+            mine = self.symbol[sym[a:b]]
+            if not c:
+                p = np.ones(self.width)
+                p[mine] += n[a:b]
+                p /= (total[a] if b else 0) + SYMBOLS
+            else:
+                up = place[c[1:]]
+                self.next[i] = self.next[up]
+                p = self.log[up].astype(np.float64)
+                if b:
+                    p *= b - a
+                    p[mine] += n[a:b]
+                    p /= total[a] + b - a
+            self.log[i] = p
+            for t in child.get(i, ()):
+                self.next[i, self.symbol[listed[t][-1]]] = t
+        np.log10(self.log, out=self.log)
         start = 0
         for _ in range(DEPTH):
             start = self.next[start, self.symbol[END]]
@@ -152,9 +159,10 @@ class Automaton:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """log10 probability of each text with its end."""
+        return np.concatenate([np.zeros(0), *(self._scores(part) for _, part in slices(texts, SCORE_BYTES))])
+
+    def _scores(self, texts: pa.Array) -> np.ndarray:
         stream, starts = byte_stream(texts, 0)
-        if not len(texts):
-            return np.zeros(0)
         lanes = min(LANES, -(-len(stream) // (4 * DEPTH)))
         steps = -(-len(stream) // lanes)
         padded = np.full(DEPTH + lanes * steps, END, np.uint8)
