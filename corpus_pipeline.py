@@ -44,11 +44,12 @@ STAGES = [("quality rules", quality_stage), ("near-duplicates", dedup_stage), ("
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.ship(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = common.Tables(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES):
-        tables = common.Tables(spark, f"stage{i}")
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = tables.write("docs", docs)
+            docs = tables.write(f"stage{i}", docs)
+    tables.drop()  # the last stage has checkpointed its result
     return docs
 
 
