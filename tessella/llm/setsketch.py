@@ -30,7 +30,7 @@ BASE, RATE, TOP = 1.1, 20.0, 255
 SHARE = (BASE - 1) / (BASE * np.log(BASE))
 #: Estimates have a deviation of 0.026 at 0.8; pairs this far below the limit are not verified.
 SLACK = 0.1
-BLOCK, FAN = 1024, 256
+BLOCK, FAN = 2048, 256
 
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(0, 1 << 32, REGISTERS, dtype=np.uint64) | 1).astype(np.uint32)
