@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import values as V
@@ -171,30 +171,40 @@ def whole_number(c: Column | str) -> Column:
     return F.when(x == F.floor(x), x.cast("int"))
 
 
-def segment_type(heading: Column | str, text: Column | str, before_first_chapter: Column) -> Column:
+def type_parts(heading: Column | str, text: Column | str) -> dict[str, Column]:
+    """What the rules of classification look at; as columns of their own they are computed once."""
+    t = text_of(text)
+    body = F.regexp_replace(t, r"(?U)^\s+", "")
+    return {"p_heading": normal_heading(heading), "p_text": t, "p_lines": lines_of(t), "p_low": F.lower(t), "p_start": F.substring(body, 1, 60), "p_first": F.lower(stripped(F.substring_index(body, "\n", 1)))}
+
+
+def segment_type(heading: Column | str, text: Column | str, before_first_chapter: Column, parts: dict[str, Column] | None = None) -> Column:
     """The ordered rules of classification as one CASE."""
-    h, t = normal_heading(heading), text_of(text)
-    lines = lines_of(t)
-    start = F.substring(F.regexp_replace(t, r"(?U)^\s+", ""), 1, 60)
-    first = F.lower(stripped(F.get(F.split(F.regexp_replace(t, r"(?U)^\s+", ""), "\n"), F.lit(0))))
-    phrases = reduce(lambda n, w: n + F.contains(F.lower(t), F.lit(w)).cast("int"), V.PREFACE_PHRASES, F.lit(0))
+    h, t, lines, low, start, first = (parts or type_parts(heading, text)).values()
+    count = lambda words: reduce(lambda n, w: n + F.contains(low, F.lit(w)).cast("int"), words, F.lit(0))
     n_exercise = exercise_lines(lines)
-    tables = F.regexp_count(t, F.lit(r"\[TABLE:"))
     any_front = reduce(lambda a, b: a | b, (h.rlike("(?i)" + p) for p in V.FRONT_PARTS))
     whole_front = reduce(lambda a, b: a | b, (first.rlike(rf"(?i)^(?:{p})\z") for p in V.FRONT_PARTS))
+    legal = count(V.COPYRIGHT_WORDS) + F.when(F.contains(t, F.lit("©")), 2).otherwise(0)
     return (
         F.when((h != "") & h.rlike(V.PREFACE_HEADING) & before_first_chapter, "preface")
-        .when((h == "frontmatter") & before_first_chapter & (phrases >= 2), "preface")
+        .when((h == "frontmatter") & before_first_chapter & (count(V.PREFACE_PHRASES) >= 2), "preface")
         .when(h.rlike(V.REFERENCE_HEADING), "reference_table")
-        .when((tables >= 2) & (prose_density(t) <= V.PROSE_LIMIT), "reference_table")
+        .when(F.contains(t, F.lit("[TABLE:")) & (F.regexp_count(t, F.lit(r"\[TABLE:")) >= 2) & (prose_density(t) <= V.PROSE_LIMIT), "reference_table")
         .when(h.rlike(V.SOLUTION) | start.rlike(V.SOLUTION), "solution")
         .when(h.rlike(V.EXERCISE_HEADING) | h.rlike(V.EXERCISE_LINE) | ((n_exercise >= 3) & (n_exercise >= 0.4 * F.size(lines))), "exercise")
         .when(h.rlike(V.GLOSSARY_HEADING) | (definition_lines(t) >= 5), "glossary")
         .when(h.rlike(V.SUMMARY_HEADING), "summary")
-        .when((option_lines(lines) >= 3) & (question_lines(lines) >= 2), "assessment")
+        .when((F.size(lines) >= 5) & (option_lines(lines) >= 3) & (question_lines(lines) >= 2), "assessment")
         .when(any_front | whole_front, "frontmatter")
         .when(F.lower(F.substring(t, 1, 500)).rlike(V.INSTITUTION), "frontmatter")
         .when(F.substring(t, 1, 2000).rlike(V.UNIT_WORD) & F.substring(t, 1, 2000).rlike(V.TEXTBOOK), "frontmatter")
-        .when(copyright_score(t) >= V.COPYRIGHT_LIMIT, "frontmatter")
+        .when(legal >= V.COPYRIGHT_LIMIT, "frontmatter")
         .otherwise("instructional")
     )
+
+
+def with_segment_type(df: DataFrame, before_first_chapter: Column) -> DataFrame:
+    """df (heading, text) with segment_type."""
+    parts = type_parts("heading", "text")
+    return df.withColumns(parts).withColumn("segment_type", segment_type("heading", "text", before_first_chapter, {c: F.col(c) for c in parts})).drop(*parts)

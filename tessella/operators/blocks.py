@@ -219,7 +219,8 @@ def number_segments(chunks: DataFrame, first: DataFrame) -> DataFrame:
     by_place = Window.partitionBy("doc_id").orderBy("block_idx", "chunk_idx")
     rows = chunks.filter(T.stripped("text") != "").join(first, "doc_id", "left")
     before = F.col("first_chapter_idx").isNull() | (F.col("block_idx") < F.col("first_chapter_idx"))
-    return rows.select("doc_id", F.row_number().over(by_place).alias("segment_id"), "heading", T.stripped("text").alias("text"), T.segment_type("heading", "text", before).alias("segment_type"))
+    rows = T.with_segment_type(rows, before)
+    return rows.select("doc_id", F.row_number().over(by_place).alias("segment_id"), "heading", T.stripped("text").alias("text"), "segment_type")
 
 
 def segment_documents(blocks: DataFrame, max_words: int = V.MAX_WORDS) -> DataFrame:

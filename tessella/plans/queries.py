@@ -342,7 +342,7 @@ def c01_classification(spark, sf):
     rows = D.blocks(spark, sf)
     rows = rows.join(B.first_chapters(rows), "doc_id")
     before = F.col("first_chapter_idx").isNull() | (F.col("block_idx") < F.col("first_chapter_idx"))
-    return rows.select("doc_id", "block_idx", T.segment_type("heading", "text", before).alias("segment_type"))
+    return T.with_segment_type(rows, before).select("doc_id", "block_idx", "segment_type")
 
 
 # ---- scoring
