@@ -33,25 +33,30 @@ def unescaped(text: Column) -> Column:
     return text
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """No side of these joins has a proven bound, so none is gathered to be broadcast."""
+    return side.hint("merge")
+
+
 def reply_paths(nodes: DataFrame, tables: Tables) -> DataFrame:
     """nodes: tree, node, parent. tree, leaf, node, up (steps above the leaf): all nodes of every path from a leaf to its root."""
     ids = nodes.select("tree", "node")
     links = nodes.filter("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("to"))
-    links = links.join(ids.withColumnRenamed("node", "to"), ["tree", "to"], "left_semi")
+    links = links.join(merged(ids.withColumnRenamed("node", "to")), ["tree", "to"], "left_semi")
     jumps, count = [tables.write("jump0", links.select("tree", "node", "to"))], nodes.count()
     while 1 << (len(jumps) - 1) < count:
         last = jumps[-1]
         further = last.select("tree", F.col("node").alias("to"), F.col("to").alias("on"))
-        jumps.append(tables.write(f"jump{len(jumps)}", last.join(further, ["tree", "to"]).select("tree", "node", F.col("on").alias("to"))))
+        jumps.append(tables.write(f"jump{len(jumps)}", last.join(merged(further), ["tree", "to"]).select("tree", "node", F.col("on").alias("to"))))
         if jumps[-1].isEmpty():
             break
-    leaves = ids.join(links.select("tree", F.col("to").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    leaves = ids.join(merged(links.select("tree", F.col("to").alias("node")).distinct()), ["tree", "node"], "left_anti")
     if 1 << (len(jumps) - 1) >= count:  # whoever still has an ancestor this far up is in or below a cycle
-        leaves = leaves.join(jumps[-1].select("tree", "node"), ["tree", "node"], "left_anti")
+        leaves = leaves.join(merged(jumps[-1].select("tree", "node")), ["tree", "node"], "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
     for k in reversed(range(len(jumps))):
-        above = paths.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
-        paths = paths.unionByName(above)
+        above = paths.join(merged(jumps[k]), ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + (1 << k)).alias("up"))
+        paths = tables.write(f"paths{k}", paths.unionByName(above))  # else the plan doubles with every level
     return paths
 
 
@@ -60,10 +65,10 @@ def format_trees(nodes: DataFrame, tables: Tables, branches: int = 1) -> DataFra
     one = Window.partitionBy("tree", "node").orderBy("parent", "role", "text")
     nodes = nodes.withColumn("copy", F.row_number().over(one)).filter("copy = 1").drop("copy")
     nodes = tables.write("nodes", nodes.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")))
-    paths = tables.write("paths", reply_paths(nodes.select("tree", "node", "parent"), tables))
-    scored = paths.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+    paths = reply_paths(nodes.select("tree", "node", "parent"), tables)
+    scored = paths.join(merged(nodes.select("tree", "node", "score")), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
     scored = scored.withColumn("branch", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf"))).filter(F.col("branch") <= branches)
-    turns = paths.join(scored, ["tree", "leaf"]).join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
+    turns = paths.join(merged(scored), ["tree", "leaf"]).join(merged(nodes.select("tree", "node", "role", "text")), ["tree", "node"])
     head = F.concat(F.lit(OPEN), escaped(F.col("role")), F.lit(SHUT))
     turns = turns.select("tree", "leaf", "branch", F.struct((-F.col("up")).alias("at"), head.alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("loss")).alias("turn"))
     talks = turns.groupBy("tree", "leaf", "branch").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
