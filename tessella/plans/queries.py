@@ -49,9 +49,9 @@ def p02_page_number_lines(spark, sf):
     return rows.filter(~T.is_page_number("line")).groupBy("doc_id").agg(F.count("*").alias("kept"))
 
 
-@query(r"SELECT doc_id, regexp_replace('a(cid:' || doc_id || ')b ' || substr(text, 1, 40), '\(cid:\d+\)', '[?]', 'g') AS text FROM documents")
+@query(r"SELECT doc_id, regexp_replace('a(cid:' || doc_id || ')b ' || text, '\(cid:\d+\)', '[?]', 'g') AS text FROM documents")
 def p03_cid(spark, sf):
-    raw = F.concat(F.lit("a(cid:"), F.col("doc_id").cast("string"), F.lit(")b "), F.substring("text", 1, 40))
+    raw = F.concat(F.lit("a(cid:"), F.col("doc_id").cast("string"), F.lit(")b "), "text")
     return D.docs(spark, sf).select("doc_id", T.without_cid(raw).alias("text"))
 
 
@@ -107,16 +107,16 @@ def p16_exercise_lines(spark, sf):
     return D.docs(spark, sf).select("doc_id", T.exercise_lines(parts).alias("n"))
 
 
-@query("WITH " + D.LINES + f" SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN '' ELSE {STRIP.format('lower(substr(line, 1, 30))')} END AS heading FROM ln")
+@query("WITH " + D.LINES + f" SELECT doc_id, i, CASE WHEN i % 5 = 0 THEN '' ELSE {STRIP.format('''lower(string_split(line, '.')[1])''')} END AS heading FROM ln")
 def p17_normal_heading(spark, sf):
-    h = F.when(F.col("i") % 5 == 0, " OpenStax ").otherwise(F.substring("line", 1, 30))
+    h = F.when(F.col("i") % 5 == 0, " OpenStax ").otherwise(F.substring_index("line", ".", 1))
     return D.lines(spark, sf).select("doc_id", "i", T.normal_heading(h).alias("heading"))
 
 
-@query(r"SELECT doc_id, regexp_extract('by Jane Doe' || chr(10) || 'Title: ' || substr(replace(text, chr(10), ' '), 1, 60), '(?im)^title\s*[:\-]\s*(.{5,120})', 1) AS raw FROM documents WHERE len(text) > 40")
+@query(r"SELECT doc_id, regexp_extract('by Jane Doe' || chr(10) || 'Title: ' || replace(text, chr(10), ' '), '(?im)^title\s*[:\-]\s*(.{5,120})', 1) AS raw FROM documents")
 def p18_first_match(spark, sf):
-    t = F.concat(F.lit("by Jane Doe\nTitle: "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 60))
-    return D.docs(spark, sf).filter("length(text) > 40").select("doc_id", F.regexp_extract(t, V.TITLES[0], 1).alias("raw"))
+    t = F.concat(F.lit("by Jane Doe\nTitle: "), F.replace("text", F.lit("\n"), F.lit(" ")))
+    return D.docs(spark, sf).select("doc_id", F.regexp_extract(t, V.TITLES[0], 1).alias("raw"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'undergraduate_introductory' WHEN 1 THEN '' WHEN 2 THEN 'graduate' ELSE 'advanced' END AS level FROM documents")

@@ -22,43 +22,43 @@ LINES = "ln AS (SELECT doc_id, CAST(i AS BIGINT) AS i, line FROM (SELECT doc_id,
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """Tokens of the first 400 characters of each line, laid out on pages of 20 lines; names of fonts and sizes follow from the token."""
-    rows = lines(spark, sf).select("doc_id", "i", F.posexplode(F.split(F.substring("line", 1, 400), " ", -1)).alias("w", "text")).filter("text <> ''")
+    """Tokens of each line, laid out on pages of 20 lines; names of fonts and sizes follow from the token."""
+    rows = lines(spark, sf).select("doc_id", "i", F.posexplode(F.split("line", " ", -1)).alias("w", "text")).filter("text <> ''")
     size = (F.lit(10) + F.length("text") % 7).cast("double")
     font = F.when(F.length("text") % 5 == 0, "CourierNew").when(F.length("text") % 11 == 0, "Times-Bold").otherwise("Times")
     top = (F.lit(100) + ((F.col("i") - 1) % 20) * 30).cast("double")
     return rows.select("doc_id", ((F.col("i") - 1) / 20).cast("int").alias("page_idx"), F.col("w").cast("int").alias("word_seq"), "text", (F.col("w") * 9).cast("double").alias("x0"), (F.col("w") * 9 + 8).cast("double").alias("x1"), top.alias("top"), (top + 12).alias("bottom"), top.alias("doctop"), size.alias("size"), font.alias("fontname"), F.lit(800.0).alias("page_h"))
 
 
-WORDS = LINES + """, tk AS (SELECT doc_id, i, unnest(string_split(substr(line, 1, 400), ' ')) AS text, generate_subscripts(string_split(substr(line, 1, 400), ' '), 1) - 1 AS w FROM ln),
+WORDS = LINES + """, tk AS (SELECT doc_id, i, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS w FROM ln),
 wd AS (SELECT doc_id, CAST((i - 1) // 20 AS INTEGER) AS page_idx, w, text, w * 9.0 AS x0, 100.0 + ((i - 1) % 20) * 30 AS doctop, CAST(10 + len(text) % 7 AS DOUBLE) AS size,
     CASE WHEN len(text) % 5 = 0 THEN 'CourierNew' WHEN len(text) % 11 = 0 THEN 'Times-Bold' ELSE 'Times' END AS fontname FROM tk WHERE text <> '')"""
 
 
 def blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Every third line that is a block has a heading: its first 30 characters, or a chapter's."""
-    heading = F.when(F.col("i") % 6 == 4, F.concat(F.lit("Chapter "), (F.col("i") / 6).cast("int").cast("string"))).when(F.col("i") % 3 == 1, F.substring("line", 1, 30))
+    """Every third line that is a block has a heading: its first sentence, or a chapter's."""
+    heading = F.when(F.col("i") % 6 == 4, F.concat(F.lit("Chapter "), (F.col("i") / 6).cast("int").cast("string"))).when(F.col("i") % 3 == 1, F.substring_index("line", ".", 1))
     return lines(spark, sf).select("doc_id", (F.col("i") - 1).cast("int").alias("block_idx"), heading.alias("heading"), F.col("line").alias("text"))
 
 
-BLOCKS = LINES + ", bl AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS block_idx, CASE WHEN i % 6 = 4 THEN 'Chapter ' || (i // 6) WHEN i % 3 = 1 THEN substr(line, 1, 30) END AS heading, line AS text FROM ln)"
+BLOCKS = LINES + ", bl AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS block_idx, CASE WHEN i % 6 = 4 THEN 'Chapter ' || (i // 6) WHEN i % 3 = 1 THEN string_split(line, '.')[1] END AS heading, line AS text FROM ln)"
 
 
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when((F.col("doc_id") + F.col("i")) % 4 == 0, "exercise").when((F.col("doc_id") + F.col("i")) % 13 == 0, "glossary").otherwise("instructional")
-    return lines(spark, sf).select("doc_id", F.col("i").cast("int").alias("segment_id"), F.when(F.col("i") % 3 == 1, F.substring("line", 1, 30)).alias("heading"), F.col("line").alias("text"), kind.alias("segment_type"))
+    return lines(spark, sf).select("doc_id", F.col("i").cast("int").alias("segment_id"), F.when(F.col("i") % 3 == 1, F.substring_index("line", ".", 1)).alias("heading"), F.col("line").alias("text"), kind.alias("segment_type"))
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
     score = lambda k: ((F.col("doc_id") * 7 + F.col("segment_id") * 3 + k * 5) % 11).cast("int")
-    why = lambda k: F.when((F.col("segment_id") + k) % 5 == 0, "").otherwise(F.substring("text", k + 1, 60))
+    why = lambda k: F.when((F.col("segment_id") + k) % 5 == 0, "").otherwise(F.expr(f"substring(text, {k + 1})"))
     rows = segments(spark, sf)
     scores = F.struct(*(score(k).alias(d) for k, d in enumerate(V.MODULE_DIMS)))
     reasons = F.struct(*(why(k).alias(f"{d}_rationale") for k, d in enumerate(V.MODULE_DIMS)))
-    return rows.select("*", scores.alias("scores"), reasons.alias("reasoning"), F.when(F.col("segment_id") % 6 == 5, "").otherwise(F.substring("text", 1, 80)).alias("summary"), ((F.col("doc_id") + F.col("segment_id")) % 7 == 0).alias("incomplete"))
+    return rows.select("*", scores.alias("scores"), reasons.alias("reasoning"), F.when(F.col("segment_id") % 6 == 5, "").otherwise(F.col("text")).alias("summary"), ((F.col("doc_id") + F.col("segment_id")) % 7 == 0).alias("incomplete"))
 
 
-SEGMENTS = LINES + """, sg AS (SELECT doc_id, CAST(i AS INTEGER) AS segment_id, CASE WHEN i % 3 = 1 THEN substr(line, 1, 30) END AS heading, line AS text,
+SEGMENTS = LINES + """, sg AS (SELECT doc_id, CAST(i AS INTEGER) AS segment_id, CASE WHEN i % 3 = 1 THEN string_split(line, '.')[1] END AS heading, line AS text,
     CASE WHEN (doc_id + i) % 4 = 0 THEN 'exercise' WHEN (doc_id + i) % 13 = 0 THEN 'glossary' ELSE 'instructional' END AS segment_type FROM ln)"""
-EVALUATED = SEGMENTS + ", ev AS (SELECT *, " + ", ".join(f"CAST((doc_id * 7 + segment_id * 3 + {k * 5}) % 11 AS INTEGER) AS {d}, CASE WHEN (segment_id + {k}) % 5 = 0 THEN '' ELSE substr(text, {k + 1}, 60) END AS {d}_rationale" for k, d in enumerate(V.MODULE_DIMS)) + """,
-    CASE WHEN segment_id % 6 = 5 THEN '' ELSE substr(text, 1, 80) END AS summary, (doc_id + segment_id) % 7 = 0 AS incomplete FROM sg)"""
+EVALUATED = SEGMENTS + ", ev AS (SELECT *, " + ", ".join(f"CAST((doc_id * 7 + segment_id * 3 + {k * 5}) % 11 AS INTEGER) AS {d}, CASE WHEN (segment_id + {k}) % 5 = 0 THEN '' ELSE substr(text, {k + 1}) END AS {d}_rationale" for k, d in enumerate(V.MODULE_DIMS)) + """,
+    CASE WHEN segment_id % 6 = 5 THEN '' ELSE text END AS summary, (doc_id + segment_id) % 7 = 0 AS incomplete FROM sg)"""
