@@ -30,7 +30,7 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir; a fresh one only where that is unset (tests)."""
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessella.own.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("tessella.own.checkpoint.dir", None)
     if not at:
         at = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("tessella.own.checkpoint.dir", at)
