@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,21 +45,30 @@ THRESHOLD, HOLDS = 0.5, 0.9
 
 
 class Element:
-    __slots__ = ("tag", "path", "around", "parent", "hidden")
+    """An open or closed element: its place in page order, the number of its tag path, and what it is part of."""
 
-    def __init__(self, tag: str, attributes: str, parent: Element | None):
+    __slots__ = ("tag", "place", "path", "around", "parent", "hidden", "inside", "depth")
+
+    def __init__(self, tag: str, attributes: str, parent: Element | None, page: Page):
         words = set()
         if attributes and "=" in attributes:
             for m in ROLE.finditer(attributes):
                 words |= set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())) & AROUND_WORDS
-        self.tag, self.parent = tag, parent
-        self.path = f"{parent.path if parent else ''}/{tag}{''.join('.' + w for w in sorted(words))}"
-        inside = parent is not None and parent.in_article()
-        self.around = bool(words and tag not in ("html", "body", "article", "main")) or tag in AROUND or (tag == "header" and not inside) or (parent is not None and parent.around)
+        self.tag, self.parent, self.depth, self.place = tag, parent, parent.depth + 1 if parent else 0, len(page.elements)
+        step = (parent.path if parent else -1, tag, *sorted(words))
+        self.path = page.paths.setdefault(step, len(page.paths))
+        before = parent is not None and parent.inside
+        self.inside = before or tag in ("article", "main")
+        self.around = bool(words and tag not in ("html", "body", "article", "main")) or tag in AROUND or (tag == "header" and not before) or (parent is not None and parent.around)
         self.hidden = bool(parent and parent.hidden) or bool(attributes and HIDDEN.search(attributes))
+        page.elements.append(self)
+
 
-    def in_article(self) -> bool:
-        return self.tag in ("article", "main") or bool(self.parent and self.parent.in_article())
+class Page:
+    def __init__(self) -> None:
+        self.elements: list[Element] = []
+        self.paths: dict[tuple, int] = {}
+        self.blocks: list[Block] = []
 
 
 class Block:
@@ -68,10 +78,21 @@ class Block:
         self.element, self.text, self.linked = element, text, linked
 
 
-def blocks_of(page: str) -> list[Block]:
+def read_page(page: str) -> Page:
     """The blocks of text in page order, each with the element it stands in."""
-    root = Element("#", "", None)
-    now, out, parts, linked, link = root, [], [], 0, 0
+    read = Page()
+    root = Element("#", "", None, read)
+    now, out, parts, linked, link = root, read.blocks, [], 0, 0
+
+    opened: Counter[str] = Counter()
+
+    def leave(element: Element) -> None:
+        """Ends everything open up to this element, itself included."""
+        nonlocal now
+        stop = element.parent
+        while now is not stop:
+            opened[now.tag] -= 1
+            now = now.parent
 
     def flush() -> None:
         nonlocal linked
@@ -115,31 +136,32 @@ def blocks_of(page: str) -> list[Block]:
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = stop.end() if stop else end
         elif closing:
-            up = now
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                now = up.parent
+            if opened[tag]:
+                up = now
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
         elif tag not in VOID:
             if now.tag == "p":
-                now = now.parent
-            shut = CLOSES.get(tag)
+                leave(now)
+            shut = CLOSES.get(tag, set())
             up = now
-            while shut and up is not root and up.tag not in ("ul", "ol", "dl", "table", "select", "tbody"):
+            while any(opened[x] for x in shut) and up is not root and up.tag not in ("ul", "ol", "dl", "table", "select", "tbody"):
                 if up.tag in shut:
-                    now = up.parent
+                    leave(up)
                     break
                 up = up.parent
             if tag in HEADINGS and now.tag in HEADINGS:
-                now = now.parent
-            now = Element(tag, m[3], now)
+                leave(now)
+            now = Element(tag, m[3], now, read)
+            opened[tag] += 1
     flush()
-    return out
+    return read
 
 
-def selected_paths(blocks: list[Block]) -> set[str]:
+def selected_paths(blocks: list[Block]) -> set[int]:
     """Paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
-    order: dict[str, int] = {}
+    order: dict[int, int] = {}
     for b in blocks:
         order.setdefault(b.element.path, len(order))
     size, marks, count = (np.zeros(len(order)) for _ in range(3))
@@ -153,34 +175,25 @@ def selected_paths(blocks: list[Block]) -> set[str]:
         around[order[b.element.path]] |= b.element.around
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.1, 0.8, 0.1], "valid")
     fused = np.sqrt(smooth(size / count) * smooth(marks / count)) * np.where(around, 0.0, 1.0)
-    weight = np.repeat(fused, 1)
-    limit = weight.mean() + THRESHOLD * weight.std() if len(weight) > 1 else 0.0
-    limit = min(limit, fused.max())
+    limit = min(fused.mean() + THRESHOLD * fused.std(), fused.max())
     return {p for p, i in order.items() if fused[i] >= limit and fused[i] > 0}
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
+    read = read_page(page or "")
+    blocks, elements = read.blocks, read.elements
     if not blocks:
         return ""
-    chosen = selected_paths(blocks)
-    if not chosen:
-        chosen = {b.element.path for b in blocks if not b.element.around}
-    total = sum(len(b.text) for b in blocks if b.element.path in chosen)
-    held: dict[int, int] = {}
-    known: dict[int, Element] = {}
-    depth: dict[int, int] = {}
+    chosen = selected_paths(blocks) or {b.element.path for b in blocks if not b.element.around}
+    held = [0] * len(elements)
     for b in blocks:
         if b.element.path in chosen:
-            up, chain = b.element, []
-            while up is not None:
-                chain.append(up)
-                up = up.parent
-            for d, e in enumerate(reversed(chain)):
-                held[id(e)] = held.get(id(e), 0) + len(b.text)
-                known[id(e)], depth[id(e)] = e, d
-    able = [i for i in held if held[i] >= HOLDS * total]
-    article = known[max(able, key=lambda i: depth[i])] if able else None
+            held[b.element.place] += len(b.text)
+    for e in reversed(elements):  # parents stand before their children
+        if e.parent is not None:
+            held[e.parent.place] += held[e.place]
+    able = [e for e in elements if held[e.place] and held[e.place] >= HOLDS * held[0]]
+    article = max(able, key=lambda e: e.depth) if able else None
     while article is not None and article.tag in {"p", *HEADINGS}:
         article = article.parent
     named = article
@@ -188,12 +201,10 @@ def main_text(page: str | None) -> str:
         named = named.parent
     article = named or article
     if article is not None and article.tag not in ("#", "html", "body"):
-        def inside(e: Element) -> bool:
-            while e is not None and e is not article:
-                e = e.parent
-            return e is article
-
-        own = [b for b in blocks if inside(b.element) and (article.around or not b.element.around)]
+        inside = [False] * len(elements)
+        for e in elements:
+            inside[e.place] = e is article or (e.parent is not None and inside[e.parent.place])
+        own = [b for b in blocks if inside[b.element.place] and (article.around or not b.element.around)]
     else:
         own, waiting = [], []
         for b in blocks:

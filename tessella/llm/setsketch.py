@@ -4,7 +4,8 @@ Texts with equal shingle sets are one class. Register bands give buckets of clas
 held against its bucket's centre first, and what isn't in one component by then is compared pair by
 pair inside its bucket, in blocks, so no link between different texts that share a bucket is lost and
 no group is expanded into all its pairs. Null and blank texts have empty sets and link with nothing.
-Repeated rows each get a row; a null doc_id never names a component unless all its members have none.
+Repeated rows each get a row; a null doc_id names a component only if all its members
+have none, and then each of its different texts is kept.
 Other columns of the input are ignored, whatever their names.
 """
 
@@ -275,7 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80) -> DataFram
     named = tables.write("named", named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("set_key", "component_id"))
     found = rows.select("doc_id", "text_key", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = keep(found.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")))
+    out = keep(found.select("doc_id", "text_key", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
     tables.drop()
     return out
 
@@ -285,4 +286,6 @@ def one_of_each(docs: DataFrame, size: int = 5, limit: int = 80) -> DataFrame:
     flags = near_duplicates(docs, size, limit).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).distinct()
     columns = docs.columns
     keyed = docs.withColumn("kept_key", F.xxhash64("text")).withColumn("kept_id", F.col("doc_id").cast("long"))
-    return keyed.join(flags, ["kept_id", "kept_key"], "left_semi").dropDuplicates(["kept_id", "kept_key"]).select(*columns)
+    flags = flags.withColumnRenamed("kept_id", "flag_id").withColumnRenamed("kept_key", "flag_key")
+    kept = keyed.join(flags, F.col("kept_id").eqNullSafe(F.col("flag_id")) & (F.col("kept_key") == F.col("flag_key")), "left_semi")
+    return kept.dropDuplicates(["kept_id", "kept_key"]).select(*columns)
