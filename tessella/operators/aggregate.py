@@ -123,3 +123,30 @@ def course_documents(metadata: DataFrame, evaluated: DataFrame, course: DataFram
     counts = module_gate(evaluated).select("doc_id", F.struct("total_segments", "scored_segments", "excluded_segments", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("evaluated_at"), F.lit(version).alias("prompt_version")).alias("meta"))
     rows = metadata.select("doc_id", F.struct(*(c for c in metadata.columns if c != "doc_id")).alias("m")).join(assessment_trees(evaluated, course), "doc_id", "left").join(segments, "doc_id", "left").join(counts, "doc_id", "left")
     return rows.select("doc_id", F.struct(F.col("m").alias("course_metadata"), F.col("tree").alias("assessment"), F.transform("segments", lambda x: x["s"]).alias("segments"), F.col("meta").alias("evaluation_meta")).alias("document"))
+
+
+def gathered(rows: DataFrame, text: Column, order: str, name: str, glue: str = "\n") -> DataFrame:
+    """doc_id and the rows' texts in order as one; a course is what is gathered."""
+    xs = F.array_sort(F.collect_list(F.struct(F.col(order), text.alias("x"))))
+    return rows.groupBy("doc_id").agg(F.array_join(F.transform(xs, lambda r: r["x"]), glue).alias(name))
+
+
+def course_prompts(evaluated: DataFrame, segments: DataFrame) -> DataFrame:
+    """doc_id, prompt of a course's one request: scores and summaries of its modules, the weakest one's text, the strongest ones,
+    repeated pairs, what stands around the modules, and a note where the course looks like a part of a larger one."""
+    modules = gathered(score_lines(evaluated.filter("segment_type = 'instructional'")), F.col("line"), "segment_id", "modules")
+    pairs = gathered(similar_pairs(evaluated), F.concat(F.col("i").cast("string"), F.lit(" and "), F.col("j").cast("string")), "i", "pairs", ", ")
+    around = segments.filter("segment_type <> 'instructional'")
+    around = gathered(around, F.concat(F.lit("["), "segment_type", F.lit("] "), T.by_type("text", "segment_type")), "segment_id", "around", "\n\n")
+    rows = partial_courses(segments)
+    for side in (modules, course_digest(evaluated), pairs, around):
+        rows = rows.join(side, "doc_id", "left")
+    part = lambda title, c: F.concat(F.lit(f"## {title}\n"), c)
+    strongest = F.array_join(F.transform("strongest_ids", lambda x: x.cast("string")), ", ")
+    note = F.when(F.col("partial"), F.lit("The file looks like a part of a larger course: don't mark down what other files may hold."))
+    return rows.select("doc_id", F.concat_ws("\n\n", part("Modules", F.col("modules")), part("Mean", F.col("mean")), part("Weakest module", F.concat(F.col("weakest_id").cast("string"), F.lit("\n"), "evidence")), part("Strongest modules", strongest), part("Repeated summaries", F.col("pairs")), part("Around the modules", F.col("around")), note).alias("prompt"))
+
+
+def run_metrics(evaluated: DataFrame) -> DataFrame:
+    """segment_type, courses, segments, incomplete, chars: what a run has seen, for its log."""
+    return evaluated.groupBy("segment_type").agg(F.approx_count_distinct("doc_id").alias("courses"), F.count("*").alias("segments"), F.count_if("incomplete").alias("incomplete"), F.sum(F.length("text")).alias("chars"))

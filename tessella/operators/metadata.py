@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,3 +104,30 @@ def summary(rows: DataFrame) -> DataFrame:
     """doc_id, label, value, present: a line for each field."""
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("label"), (F.col(c) if c in TEXTS else F.array_join(F.col(c), ", ")).alias("value")) for c in (*TEXTS, *LISTS))))
     return rows.select("doc_id", each.alias("e")).select("doc_id", "e.label", "e.value", (F.col("e.value") != "").alias("present"))
+
+
+COVER_PROMPT, RAW_PROMPT = 6000, 15000
+
+
+def prompts(rows: DataFrame, rules: str) -> DataFrame:
+    """rows: doc_id, cover, raw. doc_id, prompt: the rules and as much of both texts as a request takes."""
+    return rows.select("doc_id", F.concat_ws("\n\n", F.lit(rules), F.concat(F.lit("COVER:\n"), F.substring("cover", 1, COVER_PROMPT)), F.concat(F.lit("TEXT:\n"), F.substring("raw", 1, RAW_PROMPT))).alias("prompt"))
+
+
+def enriched(rows: DataFrame, providers: list[Callable[[str], str]], tries: int = 2, wait: float = 3.0) -> DataFrame:
+    """rows: doc_id, prompt. doc_id, raw of the first provider that answers; what isn't JSON isn't asked again elsewhere."""
+    from tessella.operators.scoring import call_with_retry
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for doc, prompt in pdf.itertuples(index=False):
+                for call in providers:
+                    try:
+                        out.append((doc, call_with_retry(call, prompt, tries, wait)))
+                        break
+                    except Exception:  # the next provider's turn
+                        continue
+            yield pd.DataFrame(out, columns=["doc_id", "raw"])
+
+    return rows.select("doc_id", "prompt").mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, raw string")

@@ -316,3 +316,29 @@ def test_partitioning_changes_nothing(spark):
     df = spark.createDataFrame(rows, BLOCK)
     got = [sorted(map(tuple, blocks.segment_documents(df.repartition(n), 50).collect()), key=str) for n in (1, 7)]
     assert got[0] == got[1] and all(re.search(r"\w", r[3]) for r in got[0])
+
+
+def test_course_and_metadata_prompts(spark):
+    ev = scored(spark, [("instructional", 5, "first text", False), ("instructional", 2, "second text", False), ("preface", 0, "y" * 5000, False)])
+    got = aggregate.course_prompts(ev, ev.select("doc_id", "segment_id", "heading", "text", "segment_type")).first().prompt
+    assert "Module 1: summary 1 [goal_focus=5" in got and "## Weakest module\n2\nsecond text" in got and "[... truncated for brevity ...]" in got and "part of a larger course" in got
+    assert {r.segment_type: r.segments for r in aggregate.run_metrics(ev).collect()} == {"instructional": 2, "preface": 1}
+    rows = spark.createDataFrame([("d", "c" * 7000, "r" * 20000)], "doc_id string, cover string, raw string")
+    prompt = metadata.prompts(rows, "rules")
+    assert len(prompt.first().prompt) == len("rules\n\nCOVER:\n\n\nTEXT:\n") + 6000 + 15000
+
+    def broken(p):
+        raise OSError("down")
+
+    assert [r.raw for r in metadata.enriched(prompt, [broken, lambda p: "second"]).collect()] == ["second"]
+    assert metadata.enriched(prompt, [broken]).count() == 0
+
+
+def test_command_line(spark, tmp_path):
+    from tessella import __main__ as cli
+
+    spark.createDataFrame([("d", 0, "Chapter 1", "Words.")], BLOCK).write.parquet(str(tmp_path / "blocks.parquet"))
+    spark.createDataFrame([], "doc_id string, ord int, raw string").write.parquet(str(tmp_path / "responses.parquet"))
+    spark.createDataFrame([], "doc_id string, scores struct<" + ",".join(f"{d}:int" for d in V.COURSE_DIMS) + ">, reasoning struct<" + ",".join(f"{d}_rationale:string" for d in V.COURSE_DIMS) + ">, overall_score double").write.parquet(str(tmp_path / "course.parquet"))
+    cli.main(["--input", str(tmp_path), "--output", str(tmp_path / "out")])
+    assert '"incomplete":true' in spark.read.text(str(tmp_path / "out")).first().value
