@@ -15,6 +15,7 @@ fallback) or one unknown piece. Repeated rows each get a row; other columns are
 
 from __future__ import annotations
 
+import contextlib
 import heapq
 import re
 import zlib
@@ -24,6 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,9 +56,21 @@ def byte_base(model_path: str) -> int:
 # ---- lattice
 
 
+@contextlib.contextmanager
+def sorted_groups(spark: SparkSession) -> Iterator[None]:
+    """Edges come in the order of their units: they are gathered as they come, without a hash table that would sort them again."""
+    key = "spark.sql.execution.useObjectHashAggregateExec"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def edges_of(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
     """units: unit, in which ▁ are spaces. unit, edges: array of (start, stop, id, score), in no order."""
-    units = units.withColumn("n", F.length("unit"))
+    units = units.sortWithinPartitions("unit").withColumn("n", F.length("unit"))
     starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("len"))
     spans = spans.select("unit", "start", (F.col("start") + F.col("len")).alias("stop"), F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
@@ -135,32 +149,33 @@ def replayed(unit: str, ranks: dict[str, tuple[float, int]], bytes_from: int) ->
     return out
 
 
-def encode_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unigram: bool = False) -> DataFrame:
-    """units: unit (distinct; with ▁ as spaces). unit, ids."""
-    spark = units.sparkSession
+def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unigram: bool = False) -> DataFrame:
+    """unit, ids of the units that the fold can hold."""
     rows = rows.assign(piece=rows["piece"].str.replace("▁", " "))
-    pieces, longest = spark.createDataFrame(rows), int(rows["piece"].str.len().max())
+    pieces, longest = units.sparkSession.createDataFrame(rows), int(rows["piece"].str.len().max())
     lattice = edges_of(units.filter(F.length("unit") <= LONG), pieces, longest).withColumn("n", F.length("unit"))
     cuts = viterbi_cuts(F.col("edges"), F.col("n"), float(rows["score"].min()) - 10) if unigram else merge_cuts(F.col("edges"), F.col("n"))
     lattice = lattice.withColumn("cuts", cuts)
-    short = lattice.select("unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("n"), F.col("unit"), bytes_from).alias("ids"))
-    if unigram:
-        return short
-    ranks = {p: (s, i) for p, i, s in zip(rows["piece"], rows["id"], rows["score"], strict=True)}
+    return lattice.select("unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("n"), F.col("unit"), bytes_from).alias("ids"))
+
+
+def replay_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int) -> DataFrame:
+    """unit, ids of the longer units of a BPE model."""
+    ranks = {p: (s, i) for p, i, s in zip(rows["piece"].str.replace("▁", " "), rows["id"], rows["score"], strict=True)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [replayed(x.as_py(), ranks, bytes_from) for x in batch.column("unit")]
             yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
 
-    return short.unionByName(units.filter(F.length("unit") > LONG).select("unit").mapInArrow(run, "unit string, ids array<int>"))
+    return units.filter(F.length("unit") > LONG).select("unit").mapInArrow(run, "unit string, ids array<int>")
 
 
 # ---- documents
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """chunk, units (distinct, without their first space), doc_id, n_units, place (of each unit in `units`), for runs of documents."""
+    """chunk, units (distinct, without their first space), doc_id, n_units, place (of each unit in `units`, compressed), for runs of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -180,12 +195,13 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     rows, sizes = np.flatnonzero(odd.to_numpy(zero_copy_only=False)), np.array([len(x) for x in spaced])
                     order = np.argsort(np.concatenate((np.repeat(np.arange(len(part)), counts), np.repeat(rows, sizes))), kind="stable")
                     counts[rows], index = sizes, index[order]
-                columns = [coded.dictionary.cast(pa.string()), batch.column("doc_id").slice(at, len(part)), pa.array(counts), pa.array(index.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns)], names=["chunk", "units", "doc_id", "n_units", "place"])
+                place = zstandard.ZstdCompressor(level=3).compress(index.astype("<i4").tobytes())
+                columns = [coded.dictionary.cast(pa.string()), batch.column("doc_id").slice(at, len(part)), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns), pa.array([place], pa.binary())], names=["chunk", "units", "doc_id", "n_units", "place"])
                 chunk += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "chunk long, units array<string>, doc_id array<long>, n_units array<long>, place array<int>")
+    return rows.mapInArrow(run, "chunk long, units array<string>, doc_id array<long>, n_units array<long>, place binary")
 
 
 def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
@@ -194,16 +210,20 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
     ship(spark)
     tables = Tables(spark, "lattice")
     chunks = tables.write("chunks", chunk_rows(docs))
-    places = chunks.select("chunk", F.posexplode("units").alias("at", "unit")).withColumn("unit", F.concat(F.lit(" "), "unit"))
-    known = encode_units(places.select("unit").distinct(), piece_rows(model_path), byte_base(model_path))
-    coded = places.join(known, "unit").select("chunk", "at", "ids")
+    places = chunks.select("chunk", F.posexplode("units").alias("at", "unit")).withColumn("unit", F.concat(F.lit(" "), "unit")).repartition("unit")
+    #: All columns are looked at, so that both uses of `places` have the same exchange and share it.
+    distinct = places.groupBy("unit").agg(F.min("chunk").alias("chunk"), F.min("at").alias("at")).filter("chunk >= 0 AND at >= 0").select("unit")
+    rows, base = piece_rows(model_path), byte_base(model_path)
+    coded = places.join(fold_units(distinct, rows, base).hint("merge"), "unit").select("chunk", "at", "ids")
+    long = places.filter(F.length("unit") > LONG)
+    coded = coded.unionByName(long.join(replay_units(long.select("unit").distinct(), rows, base).hint("merge"), "unit").select("chunk", "at", "ids"))
 
     def run(chunk: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
         row = chunk.iloc[0]
         units = units.sort_values("at")
         sizes = np.fromiter(map(len, units["ids"]), np.int64, len(units))
         table = np.concatenate([np.zeros(0, np.int32), *units["ids"]]).astype(np.uint32)
-        starts, place = np.cumsum(sizes) - sizes, np.asarray(row["place"], np.int64)
+        starts, place = np.cumsum(sizes) - sizes, np.frombuffer(zstandard.ZstdDecompressor().decompress(row["place"]), "<i4").astype(np.int64)
         n = sizes[place]
         ends = np.cumsum(n)
         ids = table[np.repeat(starts[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -214,7 +234,8 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
 
     schema = "doc_id long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
     again = tables.read("chunks", chunks.schema)
-    out = keep(again.select("chunk", "doc_id", "n_units", "place").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(run, schema))
+    with sorted_groups(spark):
+        out = keep(again.select("chunk", "doc_id", "n_units", "place").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(run, schema))
     tables.drop()
     return out
 
