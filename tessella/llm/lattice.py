@@ -83,12 +83,12 @@ def power(bit: Column) -> Column:
 
 
 def merge_cuts(edges: Column, n: Column) -> Column:
-    """The set of cuts, as bits, that BPE leaves in a unit of n characters."""
+    """The set of cuts, as bits, that BPE leaves in a unit of n characters. edges: those of two characters or more."""
     inner = lambda e: power(e["stop"]) - power(e["start"] + 1)
     at = lambda cuts, i: F.call_function("shiftright", cuts, i.cast("int")).bitwiseAND(F.lit(1)) == 1
 
     def step(cuts: Column, _: Column) -> Column:
-        able = F.filter(edges, lambda e: e["id"].isNotNull() & at(cuts, e["start"]) & at(cuts, e["stop"]) & (F.bit_count(cuts.bitwiseAND(inner(e))) == 1))
+        able = F.filter(edges, lambda e: at(cuts, e["start"]) & at(cuts, e["stop"]) & (F.bit_count(cuts.bitwiseAND(inner(e))) == 1))
         best = F.array_max(F.transform(able, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), inner(e).alias("inner"))))
         return F.coalesce(cuts - cuts.bitwiseAND(best["inner"]), cuts)
 
@@ -154,7 +154,8 @@ def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unigram: b
     rows = rows.assign(piece=rows["piece"].str.replace("▁", " "))
     pieces, longest = units.sparkSession.createDataFrame(rows), int(rows["piece"].str.len().max())
     lattice = edges_of(units.filter(F.length("unit") <= LONG), pieces, longest).withColumn("n", F.length("unit"))
-    cuts = viterbi_cuts(F.col("edges"), F.col("n"), float(rows["score"].min()) - 10) if unigram else merge_cuts(F.col("edges"), F.col("n"))
+    lattice = lattice.withColumn("merges", F.filter("edges", lambda e: e["id"].isNotNull() & (e["stop"] > e["start"] + 1)))
+    cuts = viterbi_cuts(F.col("edges"), F.col("n"), float(rows["score"].min()) - 10) if unigram else merge_cuts(F.col("merges"), F.col("n"))
     lattice = lattice.withColumn("cuts", cuts)
     return lattice.select("unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("n"), F.col("unit"), bytes_from).alias("ids"))
 
