@@ -1,12 +1,13 @@
 """Language-model scoring by a probabilistic suffix tree over the bytes of lower-cased text.
 
-Contexts are up to DEPTH symbols long. One is retained if it is at least LEAST_SHARE of all training
-symbols and its next-symbol distribution diverges from that of its suffix by more than it costs to
-write down. There are at most 1 / LEAST_SHARE contexts of a length, whatever the corpus: that bounds
-the model, which is broadcast. Counts are exact over all training documents. A text is scored by the
-longest retained suffix at each symbol, through an automaton that walks many places of many texts at
-once. Null and empty texts are the end alone. Documents without an id are training documents; repeated
-rows count and are scored each for itself; columns other than doc_id and text are ignored.
+Contexts are up to DEPTH symbols long. One is retained if it occurs LEAST_COUNT times (less often in
+small corpora) and its next-symbol distribution diverges from that of its suffix by more than it costs
+to write down, so the model grows with the corpus. It is a table in SHARDS by the last two symbols of
+a context, which all longer contexts of a place share; only shorter contexts are broadcast. Counts are
+exact over all training documents. A text is scored by the longest retained suffix at each symbol: runs
+of texts ask the shards for the grams they hold. Null and empty texts are the end alone. Documents
+without an id are training documents; repeated rows count and are scored each for itself; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -18,19 +19,24 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Tables, keep, ship
 from .shingles import slices, split_words
 
 DEPTH = 6
-LEAST_SHARE = 1e-5
+#: The evidence a context needs: LEAST_COUNT places, or this share of the symbols where that is less.
+LEAST_COUNT, LEAST_SHARE = 20, 5e-6
+SHARDS = 512
 END = 0xFF  # no byte of UTF-8; also stands before each text
 FOLDS, HELD_OUT = 7, 2
 LANES = 16384
 CHUNK_BYTES = 8 << 20
-SCORE_BYTES = 4 << 20
+SCORE_BYTES = 8 << 20
+#: An odd factor and its inverse modulo 2 ** 16.
+MIX = 40503
+UNMIX = pow(MIX, -1, 1 << 16)
 SYMBOLS = 256  # 0xFE and 0xFF don't occur in UTF-8; END takes the place of the latter
 
 
@@ -47,15 +53,20 @@ def byte_stream(texts: pa.Array, before: int) -> tuple[np.ndarray, np.ndarray]:
     return stream, np.cumsum(sizes) - sizes + shift
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes that end at each symbol of the texts, and how often each occurs."""
+def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of DEPTH + 1 bytes that end at each symbol of the texts, each text's end included; and how many each text has."""
     stream, starts = byte_stream(texts, DEPTH)
     wide = np.zeros(len(stream) - DEPTH, np.uint64)
     for k in range(DEPTH + 1):
         wide = (wide << np.uint64(8)) | stream[k : len(stream) - DEPTH + k]
     real = np.ones(len(stream), bool)
     real[(starts[:, None] - np.arange(1, DEPTH + 1)).ravel()] = False
-    return np.unique(wide[real[DEPTH:]], return_counts=True)
+    return wide[real[DEPTH:]], np.diff(starts, append=len(stream) + DEPTH) - DEPTH
+
+
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of the texts, and how often each occurs."""
+    return np.unique(codes_of(texts)[0], return_counts=True)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -91,7 +102,7 @@ def frequent(counted: DataFrame, total: int) -> DataFrame:
     rows = counted.select(F.explode(places).alias("p"), F.col("code").bitwiseAND(F.lit(0xFF)).alias("sym"), "n")
     rows = rows.groupBy("p.k", "p.ctx", "sym").agg(F.sum("n").alias("n"))
     of_ctx = Window.partitionBy("k", "ctx")  # at most SYMBOLS rows each
-    rows = rows.withColumn("all", F.sum("n").over(of_ctx)).filter((F.col("k") == 0) | (F.col("all") >= F.lit(max(2, LEAST_SHARE * total))))
+    rows = rows.withColumn("all", F.sum("n").over(of_ctx)).filter((F.col("k") == 0) | (F.col("all") >= F.lit(max(2, min(LEAST_COUNT, LEAST_SHARE * total)))))
     return rows.select("k", "ctx", "sym", "n", "all")
 
 
@@ -106,7 +117,7 @@ def divergent(rows: DataFrame) -> DataFrame:
 
 
 class Automaton:
-    """next state and log10 probability for each state and symbol; state 0 is the empty context."""
+    """A model in memory, for what is small: next state and log10 probability for each state and symbol; state 0 is the empty context."""
 
     def __init__(self, rows: pd.DataFrame):
         """rows: k, ctx, sym, n, all of the retained contexts and of the empty one."""
@@ -184,23 +195,145 @@ class Automaton:
         return np.add.reduceat(each, starts)
 
 
-def train(docs: DataFrame, tables: Tables) -> Automaton:
-    """docs: text. Only what LEAST_SHARE bounds comes to the driver."""
+def turned(codes: np.ndarray) -> np.ndarray:
+    """Codes with the last two symbols of the context, mixed, in front: sorted, each shard's codes are a run."""
+    key = ((codes >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(MIX)) & np.uint64(0xFFFF)
+    return key << np.uint64(40) | (codes >> np.uint64(24)) << np.uint64(8) | codes & np.uint64(0xFF)
+
+
+def turned_back(codes: np.ndarray) -> np.ndarray:
+    key = ((codes >> np.uint64(40)) * np.uint64(UNMIX)) & np.uint64(0xFFFF)
+    return (codes >> np.uint64(8) & np.uint64(0xFFFFFFFF)) << np.uint64(24) | key << np.uint64(8) | codes & np.uint64(0xFF)
+
+
+def shard_of(ctx: Column) -> Column:
+    key = (ctx.bitwiseAND(F.lit(0xFFFF)) * F.lit(MIX)).bitwiseAND(F.lit(0xFFFF))
+    return F.shiftright(key * F.lit(SHARDS), 16).cast("int")
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers as bytes, like places of all together."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def spread(raw: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+class Contexts:
+    """The chances of next symbols by the contexts of at least one length, looked up in sorted arrays."""
+
+    def __init__(self, k: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray, total: np.ndarray):
+        """Rows of retained contexts, in any order."""
+        self.levels = []
+        pair = (ctx.astype(np.uint64) << np.uint64(8)) | sym.astype(np.uint64)
+        for level in np.unique(k):
+            own = np.flatnonzero(k == level)
+            own = own[np.argsort(pair[own])]
+            names, first, symbols = np.unique(pair[own] >> np.uint64(8), return_index=True, return_counts=True)
+            self.levels.append((int(level), names, total[own][first].astype(float), symbols.astype(float), pair[own], n[own].astype(float)))
+
+    def fold(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """p: the chances by shorter contexts. Those by the longest retained context of each code."""
+        for level, names, total, symbols, pairs, n in self.levels:
+            part = codes & np.uint64((1 << (8 * (level + 1))) - 1)
+            at = np.minimum(np.searchsorted(names, part >> np.uint64(8)), len(names) - 1)
+            hit = np.flatnonzero(names[at] == part >> np.uint64(8))
+            at, part = at[hit], part[hit]
+            place = np.minimum(np.searchsorted(pairs, part), len(pairs) - 1)
+            seen = np.where(pairs[place] == part, n[place], 0.0)
+            p[hit] = seen + (symbols[at] * p[hit] if level else 1.0)
+            p[hit] /= total[at] + (symbols[at] if level else SYMBOLS)
+        return p
+
+
+def train(docs: DataFrame, tables: Tables) -> tuple[pd.DataFrame, DataFrame]:
+    """docs: text. The contexts of under two symbols, and the longer ones as a row for each shard: shard, rows."""
     counted = tables.write("grams", count_grams(docs))
     total = counted.agg(F.sum("n")).first()[0] or 0
     rows = tables.write("contexts", frequent(counted, total))
-    kept = divergent(rows).unionByName(rows.filter("k = 0").select("k", "ctx").distinct())
-    found = rows.join(kept, ["k", "ctx"], "left_semi").toPandas()
     tables.drop("grams")
-    return Automaton(found)
+    kept = divergent(rows).unionByName(rows.filter("k = 0").select("k", "ctx").distinct())
+    found = tables.write("found", rows.join(kept, ["k", "ctx"], "left_semi"))
+    tables.drop("contexts")
+    short = found.filter("k < 2").toPandas()  # at most SYMBOLS + 1 contexts
+    return short, found.filter("k >= 2").groupBy(shard_of(F.col("ctx")).alias("shard")).agg(F.collect_list(F.struct("k", "ctx", "sym", "n", "all")).alias("rows"))
 
 
-CHUNK = "chunk long, words array<string>, train array<long>, doc_id array<long>, held array<boolean>, n_tokens array<long>, score array<double>, distinct array<long>, word array<int>, times array<int>"
+def questions(chunks: DataFrame) -> DataFrame:
+    """shard, chunk, part, n, codes: the distinct codes of each part of a chunk's texts, by the shard that knows them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, texts in zip(batch.column("chunk"), batch.column("texts"), strict=True):
+                for part, (_, own) in enumerate(slices(pa.array(texts.as_py(), pa.large_string()), SCORE_BYTES)):
+                    codes = turned(np.unique(codes_of(own)[0]))
+                    codes.sort()
+                    shards = ((codes >> np.uint64(40)) * np.uint64(SHARDS) >> np.uint64(16)).astype(np.int32)
+                    bounds = np.concatenate(([0], np.flatnonzero(np.diff(shards)) + 1, [len(codes)]))
+                    packed = [squeezed(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    m = len(packed)
+                    yield pa.RecordBatch.from_arrays([pa.array(shards[bounds[:-1]]), pa.array([chunk.as_py()] * m, pa.int64()), pa.array([part] * m, pa.int32()), pa.array(np.diff(bounds).astype(np.int32)), pa.array(packed, pa.binary())], names=["shard", "chunk", "part", "n", "codes"])
+
+    return chunks.select("chunk", "texts").mapInArrow(run, "shard int, chunk long, part int, n int, codes binary")
 
 
-def chunk_rows(docs: DataFrame, model) -> DataFrame:
+def answers(asked: DataFrame, shards: DataFrame, short) -> DataFrame:
+    """chunk, part, shard, n, logs: log10 of the chances of each code asked for. A shard's rows come before its questions."""
+    known = shards.select("shard", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("codes"), "rows")
+    rows = asked.withColumn("rows", F.lit(None).cast(known.schema["rows"].dataType)).unionByName(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = lambda x: [x[c].to_numpy() if isinstance(x, pd.DataFrame) else x.field(c).to_numpy(zero_copy_only=False) for c in ("k", "ctx", "sym", "n", "all")]
+        low, own, now = Contexts(*of(short.value)), None, None
+        for batch in batches:
+            shard, chunk, sizes = (batch.column(c).to_numpy() for c in ("shard", "chunk", "n"))
+            out: list[bytes | None] = [None] * batch.num_rows
+            for i in range(batch.num_rows):
+                if chunk[i] < 0:
+                    own, now = Contexts(*of(batch.column("rows")[i].values)), shard[i]
+                    continue
+                codes = turned_back(np.cumsum(spread(batch.column("codes")[i].as_py(), int(sizes[i]), np.uint64), dtype=np.uint64))
+                p = low.fold(codes, np.full(len(codes), 1.0 / SYMBOLS))
+                if now == shard[i]:
+                    p = own.fold(codes, p)
+                out[i] = squeezed(np.log10(p).astype(np.float32))
+            real = pa.array(chunk >= 0)
+            columns = [*(batch.column(c) for c in ("chunk", "part", "shard", "n")), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays([c.filter(real) for c in columns], names=["chunk", "part", "shard", "n", "logs"])
+
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "chunk", "part")
+    return rows.mapInArrow(run, "chunk long, part int, shard int, n int, logs binary")
+
+
+def scored(texts: pa.Array, told: pd.DataFrame) -> np.ndarray:
+    """log10 probability of each text of a chunk, from the answers to all its questions."""
+    told = told.sort_values(["part", "shard"])
+    out = []
+    for part, (_, own) in enumerate(slices(texts, SCORE_BYTES)):
+        codes, counts = codes_of(own)
+        codes = turned(codes)
+        order = np.argsort(codes)
+        codes = codes[order]
+        place = np.cumsum(np.concatenate(([False], codes[1:] != codes[:-1])))
+        mine = told[told["part"] == part]
+        logs = np.concatenate([spread(x, int(n), np.float32) for x, n in zip(mine["logs"], mine["n"], strict=True)])
+        assert len(logs) == place[-1] + 1
+        each = np.empty(len(codes))
+        each[order] = logs[place]
+        out.append(np.add.reduceat(each, np.cumsum(counts) - counts))
+    return np.concatenate([np.zeros(0), *out])
+
+
+CHUNK = "chunk long, words array<string>, train array<long>, doc_id array<long>, held array<boolean>, n_tokens array<long>, texts array<string>, distinct array<long>, word array<int>, times array<int>"
+
+
+def chunk_rows(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, held. A row for each run of documents of some CHUNK_BYTES: its distinct words with their counts in
-    training documents, and for each document its score and the words it has."""
+    training documents, and for each document its text and the words it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
@@ -215,9 +348,9 @@ def chunk_rows(docs: DataFrame, model) -> DataFrame:
                 doc, word = np.divmod(own, max(1, len(coded.dictionary)))
                 training = ~held.to_numpy(zero_copy_only=False).astype(bool)
                 train = np.bincount(word, times * training[doc], len(coded.dictionary)).astype(np.int64)
-                columns = [coded.dictionary.cast(pa.string()), pa.array(train), doc_id, held, pa.array(counts + 1), pa.array(model.value.scores(part)), pa.array(np.bincount(doc, minlength=len(part))), pa.array(word.astype(np.int32)), pa.array(times.astype(np.int32))]
+                columns = [coded.dictionary.cast(pa.string()), pa.array(train), doc_id, held, pa.array(counts + 1), part.cast(pa.string()), pa.array(np.bincount(doc, minlength=len(part))), pa.array(word.astype(np.int32)), pa.array(times.astype(np.int32))]
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists], names=["chunk", "words", "train", "doc_id", "held", "n_tokens", "score", "distinct", "word", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists], names=["chunk", "words", "train", "doc_id", "held", "n_tokens", "texts", "distinct", "word", "times"])
                 chunk += 1
 
     return docs.mapInArrow(run, CHUNK)
@@ -230,8 +363,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tables = Tables(spark, "suffix-lm")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    model = spark.sparkContext.broadcast(train(rows.filter("NOT held"), tables))
-    chunks = tables.write("chunks", chunk_rows(rows, model))
+    short, shards = train(rows.filter("NOT held"), tables)
+    chunks = tables.write("chunks", chunk_rows(rows))
+    told = tables.write("told", answers(questions(chunks), shards, spark.sparkContext.broadcast(short)))
+    tables.drop("found")
     words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("chunk", "at", "w.words", "w.train")
     same = Window.partitionBy("words")  # as many rows as chunks that have the word
     words = words.select("chunk", "at", F.sum("train").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"), "train")
@@ -242,9 +377,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def base(chunk: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        row = chunk.iloc[0]
+        row, told = chunk.iloc[0], words[words["logs"].notna()]
+        words = words[words["logs"].isna()]
         c = np.zeros(len(words) + 1, np.int64)
-        c[words["at"].to_numpy()] = words["c"].to_numpy()
+        c[words["at"].to_numpy(np.int64)] = words["c"].to_numpy(np.int64)
         logs = np.log10((c + 1.0) / (n + v + 1.0))
         doc = np.repeat(np.arange(len(row["n_tokens"])), row["distinct"])
         word, times = np.asarray(row["word"], np.int64), np.asarray(row["times"], np.int64)
@@ -256,10 +392,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
             "n_known": np.bincount(doc, times * (c[word] > 0), docs).astype(np.int64) + int(ends > 0),
             "train_tokens": n,
             "base_score": np.bincount(doc, times * logs[word], docs) + np.log10((ends + 1.0) / (n + v + 1.0)),
-            "score": row["score"],
+            "score": scored(pa.array(row["texts"], pa.large_string()), told),
         })
 
-    out = chunks.drop("words", "train").groupBy("chunk").cogroup(words.select("chunk", "at", "c").groupBy("chunk")).applyInPandas(base, schema)
+    sides = words.select("chunk", "at", "c").unionByName(told, allowMissingColumns=True)
+    out = chunks.drop("words", "train").groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInPandas(base, schema)
     out = keep(out)
     tables.drop()
     return out

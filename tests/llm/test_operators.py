@@ -13,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import chat_format, html_extract, impact_index, lattice, packing, quality, secret_scan, setsketch, suffix_lm, token_files
 from tessella.llm.common import Tables
@@ -451,6 +452,27 @@ def test_model_learns_and_counts_grow(spark):
     assert len(got) > 10 and -sum(r.score for r in got) / chars < 0.6  # digits a character; uniform bytes take 2.4
 
 
+def test_contexts_grow_with_the_corpus_and_shards_score_as_one_model(spark):
+    import pandas as pd
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 1500)) for i in range(560)] + [(900 + i, f"Quxblim zyv{i}, " * 2) for i in range(12)] + [(None, None), (950, "é 日本 Quxblim")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 == 2}
+    tables = Tables(spark, "t")
+    short, shards = suffix_lm.train(df.filter(~F.coalesce(F.col("doc_id").isin(*held), F.lit(False))), tables)
+    long = shards.select(F.explode("rows").alias("r")).select("r.*").toPandas()
+    every = pd.concat([short, long], ignore_index=True)
+    names = {int(c).to_bytes(k, "big") for k, c in zip(every["k"], every["ctx"], strict=True)}
+    total = int(short[short["k"] == 0]["all"].iloc[0])
+    assert int(every["all"].min()) < 1e-5 * total and any(b"q" in c for c in names)  # a word in under 1e-5 of all symbols
+    model = suffix_lm.Automaton(every)
+    got = suffix_lm.score_documents(df).collect()
+    want = dict(zip([i for i, _ in rows], model.scores(pa.array([t for _, t in rows], pa.large_string())), strict=True))
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id], rel=1e-4) for r in got)
+
+
 def test_model_of_nothing(none):
     assert suffix_lm.score_documents(none).count() == 0
 
