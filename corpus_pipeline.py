@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, unchanged."""
+    """Documents that the rules keep, without boilerplate lines; n_chars follows."""
     common.ship(spark)
     return quality.kept_documents(docs, COLUMNS)
 

@@ -49,7 +49,7 @@ def base_rules(df: DataFrame) -> DataFrame:
 
 
 def boilerplate_words(docs: DataFrame, tables: Tables) -> DataFrame:
-    """host, text_key, lost: words of each text that stand in lines above the limits of its host.
+    """host, text_key, lost, gone: words of each text that stand in lines above the limits of its host, and the places of these lines.
 
     Exact copies are one text, so a copied document doesn't make its own lines boilerplate.
     """
@@ -64,27 +64,38 @@ def boilerplate_words(docs: DataFrame, tables: Tables) -> DataFrame:
     often = often.join(texts, "host").filter(100 * F.col("seen") > LINE_TEXTS_PERCENT * F.col("texts")).select("host", "line_key")
     often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hit = lines.withColumn("salt", F.pmod("text_key", F.lit(SALTS)).cast("int")).join(often, ["host", "line_key", "salt"])
-    return hit.groupBy("host", "text_key").agg(F.sum("n").alias("lost"))
+    return hit.groupBy("host", "text_key").agg(F.sum("n").alias("lost"), F.collect_list("pos").alias("gone"))
 
 
-def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs: doc_id, text, source. Returns `carry`, the base columns, lost_words and kept, a row per row of docs."""
+def judged(docs: DataFrame, carry: tuple[str, ...], places: bool) -> DataFrame:
+    """own, the base columns, lost_words and kept, and with `places` the lines to remove as gone (null for none)."""
     tables = Tables(docs.sparkSession, "quality")
     src = docs.select(F.struct(*carry).alias("own"), F.coalesce("text", F.lit("")).alias("body"), F.xxhash64(F.coalesce("source", F.lit(""))).alias("host"))
     src = src.withColumn("text_key", F.xxhash64("body"))
-    lost = keep(boilerplate_words(src, tables))
+    lost = boilerplate_words(src, tables)
+    lost = keep(lost if places else lost.drop("gone"))
     tables.drop()
     lost = lost.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = base_rules(src).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     rows = rows.join(lost, ["host", "text_key", "salt"], "left")
     lost_words = F.coalesce("lost", F.lit(0)).cast("long")
     kept = ~F.col("base_failed") & (100 * (F.col("n_words") - lost_words) >= LEFT_PERCENT * F.col("n_words"))
-    return rows.select("own.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", lost_words.alias("lost_words"), kept.alias("kept"))
+    return rows.select("own", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", lost_words.alias("lost_words"), kept.alias("kept"), *(["gone"] if places else []))
+
+
+def quality_rules(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs: doc_id, text, source. Returns `carry`, the base columns, lost_words and kept, a row per row of docs."""
+    rows = judged(docs, carry, places=False)
+    return rows.select("own.*", *(c for c in rows.columns if c != "own"))
 
 
 def kept_documents(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """The rows of docs that the rules keep, unchanged."""
-    return quality_rules(docs, columns).filter("kept").select(*columns)
+    """The rows of docs that the rules keep, without the lines above the limits of their host; n_chars follows."""
+    rows = judged(docs, columns, places=True).filter("kept")
+    left = F.array_join(F.filter(F.split("own.text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    rows = rows.withColumn("left", F.when(F.col("gone").isNotNull(), left))
+    fresh = {"text": F.coalesce("left", "own.text"), "n_chars": F.coalesce(F.length("left").cast("long"), F.col("own.n_chars"))}
+    return rows.select(*(fresh[c].alias(c) if c in fresh else F.col(f"own.{c}") for c in columns))
 
 
 ORACLE_SQL = rf"""

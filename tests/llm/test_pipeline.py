@@ -62,6 +62,18 @@ def test_stages_keep_the_columns_and_take_more(spark, corpus):
     assert not any(re.search("abcdefgh12345", r.text) for r in docs.collect()) and all(r.n_chars == len(r.text) for r in docs.collect())
 
 
+def test_boilerplate_lines_leave_the_texts(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(i, f"Home | About\n{text(i)}\n  \nAll  rights RESERVED\nlast {i}", "en", "s", 0) for i in range(30)]
+    rows += [(50, f"{text(50)}\n\nown line", "en", "s", 7), (51, f"home | about\n{text(51)}", "en", "other", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.quality_stage(spark, docs, "").collect()}
+    for i in range(30):
+        want = f"{text(i)}\n  \nlast {i}"
+        assert got[i] == (want, len(want))
+    assert got[50] == (rows[30][1], 7) and got[51] == (rows[31][1], 7)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
