@@ -546,6 +546,19 @@ def test_registers_merge_and_estimate():
     assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.1
 
 
+def test_an_estimate_six_deviations_low_is_still_verified():
+    n = np.array([1000])
+    true = 0.8
+    a = np.full(setsketch.REGISTERS, 100, np.uint8)
+    for other in range(setsketch.REGISTERS + 1):  # the fewest equal registers that are put at six deviations below
+        b = a.copy()
+        b[:other:2] += 1
+        b[1:other:2] -= 1
+        if setsketch.likelihood(np.array([(a > b).sum()]), np.array([(a < b).sum()]), n, n)[0] <= true - 6 * 0.026:
+            break
+    assert setsketch.alike(a, b[None], n, n, true - setsketch.SLACK)[0]
+
+
 def test_one_of_each_keeps_columns_and_one_row(docs, texts, spark):
     kept = setsketch.one_of_each(docs, 5).collect()
     want = {i for i, _, c in components([(i, t) for i, t in enumerate(texts)] + [(3, "one")], 5) if i == c}
