@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-Every text is scanned by the base rules; then encoded runs in it (URL and Unicode escapes, base64,
-compressed data inside base64) are unwrapped into layers, each scanned and unwrapped again until no
+Every text is scanned by the base rules; then the text with its URL and Unicode escapes taken off, and
+each encoded run in it (escapes by themselves, base64, compressed data inside base64), is unwrapped into layers, each scanned and unwrapped again until no
 new layer appears. A layer seen before is not entered again. What a layer shows is mapped back to
 code points of the whole text. Null and empty texts have no spans; repeated rows each get a row.
 A compressed layer of over MAX_LAYER bytes isn't entered but counted in n_skipped.
@@ -32,7 +32,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_VALUE = 8
 
-ESCAPED = re.compile(r"""[^\s"'<>]*(?:%[0-9A-Fa-f]{2}|\\u\{?[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})[^\s"'<>]*""")
+ESCAPED = re.compile(r"""[^\s"'<>]*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})[^\s"'<>]*""")
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 MAX_LAYER = 64 << 20
@@ -67,36 +67,42 @@ class Layer:
 def unescaped(run: str, layer: Layer, at: int) -> Layer | None:
     """One level of URL and Unicode escapes taken off a run that starts at `at` in the layer."""
     out: list[str] = []
-    place: list[tuple[int, int]] = []
+    starts: list[np.ndarray] = []
+    ends: list[np.ndarray] = []
     last = 0
+
+    def plain(a: int, b: int) -> None:
+        out.append(run[a:b])
+        starts.append(np.arange(a, b))
+        ends.append(np.arange(a + 1, b + 1))
+
     for m in ESCAPE.finditer(run):
-        out.append(run[last : m.start()])
-        place += [(k, k + 1) for k in range(last, m.start())]
+        plain(last, m.start())
         if m[1]:
             raw = bytes.fromhex(m[1].replace("%", ""))
             try:
                 got = raw.decode()
             except UnicodeDecodeError:
                 got = raw.decode("latin-1")
-            step = m.start()
-            for c in got:
-                size = 3 * (len(c.encode()) if len(got) != len(raw) else 1)
-                place.append((step, step + size))
-                step += size
+            sizes = np.array([3 * (len(c.encode()) if len(got) != len(raw) else 1) for c in got])
+            ends.append(m.start() + np.cumsum(sizes))
+            starts.append(ends[-1] - sizes)
         else:
             point = int(m[2] or m[3] or m[4] or m[5], 16)
             got = chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else "�"
-            place.append((m.start(), m.end()))
+            starts.append(np.array([m.start()]))
+            ends.append(np.array([m.end()]))
         out.append(got)
         last = m.end()
-    out.append(run[last:])
-    place += [(k, k + 1) for k in range(last, len(run))]
+    if not last:
+        return None
+    plain(last, len(run))
     text = "".join(out)
-    return None if text == run else mapped(text, place, layer, at)
+    return None if text == run else mapped(text, np.stack([np.concatenate(starts), np.concatenate(ends)], axis=1), layer, at)
 
 
-def mapped(text: str, place: list[tuple[int, int]], layer: Layer, at: int) -> Layer:
-    where = np.array(place, np.int64).reshape(-1, 2) + at
+def mapped(text: str, place: np.ndarray | list[tuple[int, int]], layer: Layer, at: int) -> Layer:
+    where = np.asarray(place, np.int64).reshape(-1, 2) + at
     if layer.starts is None:
         return Layer(text, where[:, 0], where[:, 1])
     return Layer(text, layer.starts[where[:, 0]], layer.ends[where[:, 1] - 1])
@@ -158,6 +164,7 @@ def layers(text: str) -> Iterator[tuple[Layer | None, bool]]:
         own = layer.text
         children = []
         if "%" in own or "\\" in own:
+            children.append((unescaped(own, layer, 0), False))
             children += [(unescaped(m[0], layer, m.start()), False) for m in ESCAPED.finditer(own)]
         children += [from_base64(m[0], layer, m.start()) for m in BASE64.finditer(own)]
         for child, skipped in children:
