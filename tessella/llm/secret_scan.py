@@ -4,7 +4,9 @@ Every text is scanned by the base rules; then the text with its URL and Unicode
 each encoded run in it (escapes by themselves, base64, compressed data inside base64), is unwrapped into layers, each scanned and unwrapped again until no
 new layer appears. A layer seen before is not entered again. What a layer shows is mapped back to
 code points of the whole text. Null and empty texts have no spans; repeated rows each get a row.
-A compressed layer of over MAX_LAYER bytes isn't entered but counted in n_skipped.
+Bytes that aren't UTF-8 become a replacement character; every layer is scanned. Compressed data is
+inflated as a stream over all its members and levels and scanned in overlapping windows, whatever its
+size; n_skipped counts windows that cut a run of over MOST characters which may itself be encoded.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +36,16 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_VALUE = 8
 
-ESCAPED = re.compile(r"""[^\s"'<>]*(?:%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8})[^\s"'<>]*""")
+TOKEN = re.compile(r"""[^\s"'<>]+""")
 ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-MAX_LAYER = 64 << 20
+#: Lines of base64 in a row, their ends as they are or as escapes; the last may be short.
+BREAK = r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK}[A-Za-z0-9+/_-]{{16,}}+)*+(?:{BREAK}[A-Za-z0-9+/_-]++)?+={{0,2}}")
+PIECE = re.compile(r"\\[rn]|([A-Za-z0-9+/_=-]+)")
+#: Characters of encoded runs and what may stand inside them: a window isn't cut among these.
+RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\{} \t\r\n"
+STEP, WINDOW, OVERLAP, MOST = 1 << 20, 8 << 20, 64 << 10, 64 << 20
 MAGIC = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78\x01": lambda: zlib.decompressobj(15), b"\x78\x5e": lambda: zlib.decompressobj(15), b"\x78\x9c": lambda: zlib.decompressobj(15), b"\x78\xda": lambda: zlib.decompressobj(15), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor}
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
@@ -108,85 +118,162 @@ def mapped(text: str, place: np.ndarray | list[tuple[int, int]], layer: Layer, a
     return Layer(text, layer.starts[where[:, 0]], layer.ends[where[:, 1] - 1])
 
 
-def readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and re.sub(r"[\n\r\t]", "", text).isprintable() else None
-
-
-def inflated(raw: bytes) -> tuple[bytes | None, bool]:
-    """What a compressed layer holds (None if it isn't one), and whether it is too large."""
-    make = MAGIC.get(raw[:2])
-    if not make:
-        return None, False
-    try:
-        unpack = make()
-        got = unpack.decompress(raw, MAX_LAYER + 1)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None, False
-    return (None, True) if len(got) > MAX_LAYER else (got or None, False)
+BROKEN = (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)
 
 
-def from_base64(run: str, layer: Layer, at: int) -> tuple[Layer | None, bool]:
+def members(chunks: Iterator[bytes], make) -> Iterator[bytes]:
+    """What all members of a compressed stream hold, as far as it is sound."""
+    unpack = make()
+    for data in chunks:
+        while True:
+            try:
+                got = unpack.decompress(data, STEP)
+            except BROKEN:
+                return
+            if got:
+                yield got
+            if unpack.eof:
+                data = unpack.unused_data.lstrip(b"\0")
+                unpack = make()
+                if not data:
+                    break
+            elif isinstance(unpack, bz2.BZ2Decompressor | lzma.LZMADecompressor):
+                data = b""
+                if unpack.needs_input:
+                    break
+            else:
+                data = unpack.unconsumed_tail
+                if not data and len(got) < STEP:
+                    break
+
+
+def inflated(raw: bytes) -> Iterator[bytes] | None:
+    """What compressed data holds, through all levels of compression (None if it isn't compressed)."""
+    chunks: Iterator[bytes] | None = None
+    head, heads = raw, set()
+    while (make := MAGIC.get(head[:2])) and head not in heads:
+        heads.add(head)
+        inner = members(chunks if chunks is not None else iter([raw]), make)
+        head = b""
+        while len(head) < 2 and (more := next(inner, b"")):
+            head += more
+        if not head:
+            break
+        chunks = chain([head], inner)
+    else:
+        return chunks
+    # the last level only looked compressed: start again, one level less
+    depth = len(heads) - 1
+    chunks, head = iter([raw]), raw
+    for _ in range(depth):
+        inner = members(chunks, MAGIC[head[:2]])
+        head = b""
+        while len(head) < 2 and (more := next(inner, b"")):
+            head += more
+        chunks = chain([head], inner)
+    return chunks if depth else None
+
+
+def windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
+    """The text of a stream in overlapping windows, and whether a run that may be encoded is cut."""
+    decoder, held = codecs.getincrementaldecoder("utf-8")("replace"), ""
+    fresh = False
+    for chunk in chunks:
+        held += decoder.decode(chunk)
+        fresh = True
+        if len(held) >= WINDOW:
+            cut = len(held.rstrip(RUN))
+            if cut > WINDOW // 2 or len(held) >= MOST:
+                whole = cut > WINDOW // 2
+                yield held, not whole
+                held = held[max(0, (cut if whole else len(held)) - OVERLAP) :]
+                fresh = False
+    held += decoder.decode(b"", True)
+    if fresh and held:
+        yield held, False
+
+
+def from_base64(run: str, places: np.ndarray, layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """The layers that a run of base64 holds; its characters stand at `places` of the layer."""
     bare = run.rstrip("=")
     bare = bare[: len(bare) - (len(bare) % 4 == 1)]
     try:
         raw = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4))
     except (binascii.Error, ValueError):
-        return None, False
-    packed, skipped = False, False
-    while True:
-        more, skipped = inflated(raw)
-        if more is None or more == raw:
-            break
-        raw, packed = more, True
-    text = readable(raw)
-    if text is None:
-        return None, skipped
-    if packed:
-        place = [(0, len(run))] * len(text)
-    else:
-        place, byte = [], 0
-        for c in text:
-            n = len(c.encode())
-            place.append((4 * (byte // 3), min(len(bare), 4 * ((byte + n - 1) // 3) + 4)))
-            byte += n
-    return mapped(text, place, layer, at), skipped
-
-
-def layers(text: str) -> Iterator[tuple[Layer | None, bool]]:
-    """All layers below the text, by worklist; None with True for one that is too large."""
-    work, seen = [Layer(text)], {text}
+        return
+    stream = inflated(raw)
+    if stream is not None:
+        start, end = layer.whole(int(places[0]), int(places[-1]) + 1)
+        for text, cut in windows(stream):
+            yield Layer(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text))), cut
+        return
+    text = raw.decode(errors="surrogateescape")
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    odd = (points >= 0xD800) & (points < 0xE000)
+    ends = np.cumsum(np.where(odd, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)))
+    starts = np.concatenate(([0], ends[:-1]))
+    if odd.any():
+        text = re.sub("[\ud800-\udfff]", "\ufffd", text)
+    if text:
+        place = np.stack([places[4 * (starts // 3)], places[np.minimum(len(bare), 4 * ((ends - 1) // 3) + 4) - 1] + 1], axis=1)
+        yield mapped(text, place, layer, 0), False
+
+
+def base64_runs(own: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Runs of base64 with the place of each character: each by itself, and lines in a row as one, all of them and those of one width."""
+    for m in BASE64.finditer(own):
+        yield m[0], np.arange(m.start(), m.end())
+    for m in WRAPPED.finditer(own):
+        lines = [(x[1], np.arange(m.start() + x.start(), m.start() + x.end())) for x in PIECE.finditer(m[0]) if x[1]]
+        groups, at = {(0, len(lines))}, 0
+        while at < len(lines):
+            end = at + 1
+            while end < len(lines) and len(lines[end][0]) == len(lines[at][0]):
+                end += 1
+            groups.add((at, end + (end < len(lines) and len(lines[end][0]) < len(lines[at][0]))))
+            at = end
+        for a, b in sorted(groups):
+            if b - a > 1:
+                yield "".join(x for x, _ in lines[a:b]), np.concatenate([x for _, x in lines[a:b]])
+
+
+def unwrapped(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
+    """The layers right below a layer."""
+    own = layer.text
+    if "%" in own or "\\" in own:
+        yield unescaped(own, layer, 0), False
+        for m in TOKEN.finditer(own):
+            if "%" in m[0] or "\\" in m[0]:
+                yield unescaped(m[0], layer, m.start()), False
+    for run, places in base64_runs(own):
+        yield from from_base64(run, places, layer)
+
+
+def layers(text: str) -> Iterator[tuple[Layer, bool]]:
+    """All layers below the text, depth first; with True for one that cuts a run."""
+    work, seen = [unwrapped(Layer(text))], {text}
     while work:
-        layer = work.pop()
-        own = layer.text
-        children = []
-        if "%" in own or "\\" in own:
-            children.append((unescaped(own, layer, 0), False))
-            children += [(unescaped(m[0], layer, m.start()), False) for m in ESCAPED.finditer(own)]
-        children += [from_base64(m[0], layer, m.start()) for m in BASE64.finditer(own)]
-        for child, skipped in children:
-            if skipped:
-                yield None, True
-            if child is not None and (key := f"{child.starts[0] if len(child.starts) else 0}:{child.text}") not in seen:
+        child, cut = next(work[-1], (None, None))
+        if cut is None:
+            work.pop()
+        elif child is not None and len(child.text):
+            key = (int(child.starts[0]), hashlib.blake2b(child.text.encode("utf-8", "replace"), digest_size=16).digest())
+            if key not in seen:
                 seen.add(key)
-                yield child, False
-                work.append(child)
+                yield child, cut
+                work.append(unwrapped(child))
 
 
 def scan(text: str | None) -> tuple[list[Span], list[Span], int]:
-    """Base spans, all spans, and how many layers were too large."""
+    """Base spans, all spans, and how many windows cut a run."""
     text = text or ""
     base = base_spans(text)
     every, skipped = set(base), 0
-    for layer, large in layers(text):
-        skipped += large
-        if layer is not None:
-            for a, kind, b in base_spans(layer.text):
-                start, end = layer.whole(a, b)
-                every.add((start, kind, end))
+    for layer, cut in layers(text):
+        skipped += cut
+        for a, kind, b in base_spans(layer.text):
+            start, end = layer.whole(a, b)
+            every.add((start, kind, end))
     return base, sorted(every), skipped
 
 

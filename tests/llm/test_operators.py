@@ -255,6 +255,29 @@ def test_escapes_are_read_with_what_stands_around_them(run):
     assert [(a, b) for a, _, b in secret_scan.scan(text)[1]] == [(start, text.index(run) + len(run))]
 
 
+def test_layers_are_scanned_whatever_else_they_hold():
+    rng = random.Random(6)
+    note = f"a note\u00a0with \u3000 marks\ufeff\f\0 {SECRET} end. ".encode()
+    noise = "".join(rng.choice("ghijkl mnop,qrst.") for _ in range(1 << 20)).encode().replace(b" ", b" , ") * 8
+    packed = {
+        "odd characters": base64.b64encode(note),
+        "no UTF-8": base64.b64encode(b"\xff\xfe " + note + b"\x80"),
+        "gzip, no UTF-8": base64.b64encode(gzip.compress(b"\xff" + note)),
+        "second member": base64.b64encode(gzip.compress(b"first. ") + gzip.compress(note)),
+        "many windows": base64.b64encode(gzip.compress(gzip.compress(noise + note + noise + b" password = hunter2hunter2"))),
+        "lines": base64.encodebytes(b"plain text that is long enough to be wrapped, " * 3 + note),
+        "gzip lines": base64.encodebytes(gzip.compress(bytes(rng.randrange(256) for _ in range(200)) + note)),
+        "escaped lines": base64.encodebytes(gzip.compress(bytes(rng.randrange(256) for _ in range(200)) + note)).replace(b"\n", b"\\n"),
+    }
+    for name, raw in packed.items():
+        run = raw.decode().strip()
+        text = f"before: {run} after."
+        base, every, skipped = secret_scan.scan(text)
+        assert any(k == 1 for _, k, _ in every) and not base and not skipped, name
+        assert all(8 <= a < b <= 8 + len(run) for a, _, b in every), name
+        assert name != "many windows" or any(k == 0 for _, k, _ in every)
+
+
 def test_plain_text_has_no_hidden_spans_and_cycles_end(texts):
     for t in texts:
         base, every, _ = secret_scan.scan(t)
