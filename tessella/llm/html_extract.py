@@ -4,8 +4,11 @@ A page is read into blocks, each with its path of tags (and the classes that tel
 the root. Text length, punctuation and linked text are summed by path; both ratios are smoothed over
 neighbouring paths, fused and held against a threshold, which selects paths. The deepest element that
 holds nearly all selected text is the article: its blocks are the main text, without those that its
-own menus, notices, adverts, forms and comments hold. Where that element is the body itself, only the
-selected paths and the headings before them are taken.
+own menus, notices, adverts, forms and comments hold. Unless it is an <article> or <main>, selected
+paths outside it and the headings before them are taken too; where it is the body itself, only these.
+A part whose role word or tag says that it is around an article isn't if it holds most of the page's
+text, and an <article> or <main> is part of it only where it lists such (comments, related). A page of
+nothing but such parts is judged by its paths alone.
 
 A null or empty page has empty text. Scripts, styles and comments never count. Unclosed elements end
 where HTML ends them; a page that breaks off inside a tag loses that tag alone. Repeated rows each get
@@ -28,7 +31,8 @@ from .common import ship
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ROLE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NONE = re.compile(r"display\s*:\s*none", re.I)
 RAW = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "title", "head", "video", "audio"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
@@ -38,16 +42,29 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements and role words of what is around an article.
 AROUND = {"nav", "footer", "aside", "form", "button", "select", "menu", "dialog", "fieldset"}
 AROUND_WORDS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer foot masthead topbar cookie cookies consent gdpr notice notification alert banner ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments respond reply replies discussion disqus share sharing social related recommended newsletter subscribe subscription signup login popup modal widget pagination pager copyright legal disclaimer toolbar search searchform skip".split())
+#: Parts that hold articles which aren't the page's own; and tags of parts that never are its main text.
+LISTS = frozenset("comment comments respond reply replies discussion disqus related recommended promo promotion sponsor sponsored ad ads advert adverts advertisement advertising".split())
+NEVER = {"nav", "footer", "menu", "button", "select"}
+MOST = 0.5
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 SPACES = re.compile(r"\s+")
 #: The share of the spread above the mean from which a path is selected, and of selected text that the article holds.
 THRESHOLD, HOLDS = 0.5, 0.9
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element's own attributes hide it."""
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip()
+        if (name == "hidden" and value.lower() != "false") or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and NONE.search(value)):
+            return True
+    return False
+
+
 class Element:
     """An open or closed element: its place in page order, the number of its tag path, and what it is part of."""
 
-    __slots__ = ("tag", "place", "path", "around", "parent", "hidden", "inside", "depth")
+    __slots__ = ("tag", "place", "path", "around", "apart", "marked", "parent", "hidden", "inside", "depth")
 
     def __init__(self, tag: str, attributes: str, parent: Element | None, page: Page):
         words = set()
@@ -59,8 +76,10 @@ class Element:
         self.path = page.paths.setdefault(step, len(page.paths))
         before = parent is not None and parent.inside
         self.inside = before or tag in ("article", "main")
-        self.around = bool(words and tag not in ("html", "body", "article", "main")) or tag in AROUND or (tag == "header" and not before) or (parent is not None and parent.around)
-        self.hidden = bool(parent and parent.hidden) or bool(attributes and HIDDEN.search(attributes))
+        self.marked = bool(words and tag not in ("html", "body", "article", "main")) or tag in AROUND or (tag == "header" and not before)
+        self.apart = self.marked and (tag in AROUND - {"form", "fieldset"} or bool(words & LISTS))
+        self.around = self.marked
+        self.hidden = bool(parent and parent.hidden) or bool(attributes and is_hidden(attributes))
         page.elements.append(self)
 
 
@@ -159,6 +178,27 @@ def read_page(page: str) -> Page:
     return read
 
 
+def place_around(read: Page) -> bool:
+    """Tells of each element whether it is around the article, now that it is known how much text each holds; and whether all text was."""
+    size = [0] * len(read.elements)
+    for b in read.blocks:
+        size[b.element.place] += len(b.text) - b.linked
+    for e in reversed(read.elements):  # parents stand before their children
+        if e.parent is not None:
+            size[e.parent.place] += size[e.place]
+    for e in read.elements:
+        if e.marked and e.tag not in NEVER and size[0] and size[e.place] >= MOST * size[0]:
+            e.around = e.apart = False
+        if e.parent is not None:
+            e.apart = e.apart or e.parent.apart
+            e.around = e.apart if e.tag in ("article", "main") else e.around or e.parent.around
+    every = all(b.element.around for b in read.blocks)
+    if every:
+        for e in read.elements:
+            e.around = False
+    return every
+
+
 def selected_paths(blocks: list[Block]) -> set[int]:
     """Paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
     order: dict[int, int] = {}
@@ -170,9 +210,9 @@ def selected_paths(blocks: list[Block]) -> set[int]:
         size[i] += len(b.text) - b.linked
         marks[i] += len(PUNCTUATION.findall(b.text)) * (1 - b.linked / max(1, len(b.text)))
         count[i] += 1
-    around = np.array([False] * len(order))
+    around = np.array([True] * len(order))
     for b in blocks:
-        around[order[b.element.path]] |= b.element.around
+        around[order[b.element.path]] &= b.element.around
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.1, 0.8, 0.1], "valid")
     fused = np.sqrt(smooth(size / count) * smooth(marks / count)) * np.where(around, 0.0, 1.0)
     limit = min(fused.mean() + THRESHOLD * fused.std(), fused.max())
@@ -184,10 +224,11 @@ def main_text(page: str | None) -> str:
     blocks, elements = read.blocks, read.elements
     if not blocks:
         return ""
-    chosen = selected_paths(blocks) or {b.element.path for b in blocks if not b.element.around}
+    nothing_else = place_around(read)
+    chosen = selected_paths(blocks) or (set() if nothing_else else {b.element.path for b in blocks if not b.element.around})
     held = [0] * len(elements)
     for b in blocks:
-        if b.element.path in chosen:
+        if b.element.path in chosen and not b.element.around:
             held[b.element.place] += len(b.text)
     for e in reversed(elements):  # parents stand before their children
         if e.parent is not None:
@@ -200,23 +241,22 @@ def main_text(page: str | None) -> str:
     while named is not None and named.tag not in ("article", "main"):
         named = named.parent
     article = named or article
+    inside = [False] * len(elements)
     if article is not None and article.tag not in ("#", "html", "body"):
-        inside = [False] * len(elements)
         for e in elements:
             inside[e.place] = e is article or (e.parent is not None and inside[e.parent.place])
-        own = [b for b in blocks if inside[b.element.place] and (article.around or not b.element.around)]
-    else:
-        own, waiting = [], []
-        for b in blocks:
-            if b.element.around:
-                continue
-            if b.element.path in chosen:
-                own += [*waiting, b]
-                waiting = []
-            elif b.element.tag in HEADINGS:
-                waiting.append(b)
-            else:
-                waiting = []
+    own, waiting = [], []
+    for b in blocks:
+        within = inside[b.element.place]
+        if b.element.around and not (within and article.around):
+            continue
+        if within or (b.element.path in chosen and not named):
+            own += [*waiting, b]
+            waiting = []
+        elif b.element.tag in HEADINGS and not named:
+            waiting.append(b)
+        else:
+            waiting = []
     return "\n".join(b.text for b in own)
 
 

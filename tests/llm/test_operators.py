@@ -107,6 +107,18 @@ def test_main_text_of_a_page_with_everything_around_it():
     assert html_extract.main_text(PAGE) == "A & B\nFirst, some text. And more, of it; here.\nSecond bold, part. €5 <x>\nitem, one.\nitem two\nThird one, closing. 3 < 4."
 
 
+def test_main_text_stands_in_parts_with_odd_names():
+    body = "".join(f"<p>Paragraph {i}, with words. And more of them, too.</p>" for i in range(20))
+    want = "\n".join(f"Paragraph {i}, with words. And more of them, too." for i in range(20))
+    menu = '<nav><a href="/">Home</a></nav>'
+    assert html_extract.main_text(f'<body>{menu}<div class="has-sidebar">{body}</div></body>') == want
+    assert html_extract.main_text(f'<body><form action="x">{menu}<div>{body}</div></form></body>') == want
+    assert html_extract.main_text(f'<body>{menu}<div class="share-layout"><article>{body}</article></div><div class="comments">{body * 3}<article>{body}</article></div></body>').startswith(want)
+    assert html_extract.main_text(f'<body>{menu}<div class="overflow-hidden" data-hidden="1">{body}</div></body>') == want
+    assert html_extract.main_text(f'<body>{menu}<div>{body}</div><div hidden>{body}</div><div style="color:red; display : none">{body}</div></body>') == want
+    assert html_extract.main_text(f"<body>{menu}<section><p>A lead, with words. And more of it, too.</p></section><section>{body}</section></body>") == "A lead, with words. And more of it, too.\n" + want
+
+
 def test_main_text_of_odd_pages(spark):
     odd = [None, "", "plain words", "<p>a<p>b", "<div><p>cut off <b", "<script>x", "<nav><a>x</a></nav>", "<p>" * 3000 + "deep, text.", "<div>" * 30000 + "deeper, text."]
     df = spark.createDataFrame([(i, "u", t, 1) for i, t in enumerate(odd)], "page_id long, url string, html string, text int")
