@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, keep, ship
+from .common import Tables, keep, settled, ship
 from .tokens import encoded
 
 CAPACITY = 2048
@@ -34,6 +34,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     """doc_id, piece, start, length, ids_crc32 (and ids, if kept): documents cut where longer than a sequence; the first piece is the shorter one."""
     ship(docs.sparkSession)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column("doc_id").to_pylist()

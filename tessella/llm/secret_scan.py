@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import settled, ship
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -301,6 +301,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. A row per row: counts of base spans by kind, their digest, all spans, n_added, n_skipped."""
     ship(docs.sparkSession)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -320,6 +321,7 @@ def redact(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     place = columns.index("text")
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = (x.as_py() for x in batch.column(place))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, shingles
-from .common import Tables, keep, ship
+from .common import Tables, keep, settled, ship
 
 #: Registers of a byte; the first BANDS * ROWS are banded, all serve the estimate.
 REGISTERS, BANDS, ROWS = 256, 32, 4
@@ -98,6 +98,7 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
 def sketch_rows(docs: DataFrame, size: int) -> DataFrame:
     """doc_id, text_key, n_shingles, set_key, registers for each row of docs."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key, regs = [], [], []
@@ -112,6 +113,7 @@ def sketch_rows(docs: DataFrame, size: int) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -131,6 +133,7 @@ def likely(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     rows = pairs.join(side("x"), "x").join(side("y"), "y").filter(100 * F.least("nx", "ny") >= limit * F.greatest("nx", "ny"))
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -166,6 +169,7 @@ CELL = "band long, lo long, hi long, side long, cid long, root long, n long, reg
 def involved(cells: DataFrame, limit: int) -> DataFrame:
     """The rows of sorted cells that are in a likely pair: at most as many as there are members."""
 
+    @settled
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in runs(batches, ["band", "lo", "hi"]):
             needed = np.zeros(len(cell), bool)
@@ -187,6 +191,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
 def cell_links(cells: DataFrame, limit: int) -> DataFrame:
     """Links a, b on full sets inside sorted cells with `elements`; a pair that others have joined by then isn't held against each other."""
 
+    @settled
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in runs(batches, ["band", "lo", "hi"]):
             sets, cid, links = [np.frombuffer(x, np.uint64) for x in cell["elements"]], cell["cid"].to_numpy(), []
@@ -211,6 +216,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: int) -> DataFrame:
     centre = dealt.select("x", "salt").distinct().join(sets.withColumnRenamed("cid", "x"), "x").select("x", "salt", F.col("x").alias("y"), "elements", F.lit(0).alias("late"))
     member = dealt.join(sets.withColumnRenamed("cid", "y"), "y").select("x", "salt", "y", "elements", F.lit(1).alias("late"))
 
+    @settled
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, at = None, None
         for batch in batches:
@@ -253,6 +259,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, limit: int = 80) -> DataFram
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
         found = texts.join(wanted.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id")) & (texts["text_key"] == wanted["text_key"])).select("cid", "text")
 
+        @settled
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([x.tobytes() for x in shingles.shingle_sets(batch.column("text"), size)], pa.binary())], names=["cid", "elements"])

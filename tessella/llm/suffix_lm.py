@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, keep, ship
+from .common import Tables, keep, settled, ship
 from .shingles import slices, split_words
 
 DEPTH = 6
@@ -72,6 +72,7 @@ def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def count_grams(docs: DataFrame) -> DataFrame:
     """code, n over all texts."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -266,6 +267,7 @@ def train(docs: DataFrame, tables: Tables) -> tuple[pd.DataFrame, DataFrame]:
 def questions(chunks: DataFrame) -> DataFrame:
     """shard, chunk, part, n, codes: the distinct codes of each part of a chunk's texts, by the shard that knows them."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, texts in zip(batch.column("chunk"), batch.column("texts"), strict=True):
@@ -286,6 +288,7 @@ def answers(asked: DataFrame, shards: DataFrame, short) -> DataFrame:
     known = shards.select("shard", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("codes"), "rows")
     rows = asked.withColumn("rows", F.lit(None).cast(known.schema["rows"].dataType)).unionByName(known)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = lambda x: [x[c].to_numpy() if isinstance(x, pd.DataFrame) else x.field(c).to_numpy(zero_copy_only=False) for c in ("k", "ctx", "sym", "n", "all")]
         low, own, now = Contexts(*of(short.value)), None, None
@@ -335,6 +338,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text, held. A row for each run of documents of some CHUNK_BYTES: its distinct words with their counts in
     training documents, and for each document its text and the words it has."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:

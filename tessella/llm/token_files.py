@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, keep, ship
+from .common import Tables, keep, settled, ship
 from .tokens import encoded
 
 END_ID = 2
@@ -122,6 +122,7 @@ def write_files(docs: DataFrame, tables: Tables, tokenizer: str, end: int = END_
     """docs: doc_id, text. The table of files: file_no, n_ids, image."""
     ship(docs.sparkSession)
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         file_no, doc_ids, lengths, ids, held = TaskContext.get().partitionId() << 24, [], [], [], 0
 
@@ -149,6 +150,7 @@ def write_files(docs: DataFrame, tables: Tables, tokenizer: str, end: int = END_
 def read_files(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file_no, image in zip(batch.column("file_no").to_pylist(), batch.column("image"), strict=True):

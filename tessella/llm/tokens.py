@@ -21,8 +21,8 @@ import pyarrow.compute as pc  # noqa: E402
 from .shingles import slices  # noqa: E402
 
 #: Distinct units in each of the two generations that a worker remembers.
-REMEMBERED = 400_000
-SLICE_BYTES = 24 << 20
+REMEMBERED = 150_000
+SLICE_BYTES = 8 << 20
 #: Where a space may not begin a unit, in Arrow's expressions and in Python's.
 SPACE_AFTER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 CUT = re.compile(r"(?<=\S)(?= )")
