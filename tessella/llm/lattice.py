@@ -5,9 +5,10 @@ to the next. No piece reaches from another character into a ▁, so units are en
 distinct one once: all its substrings up to the longest piece's length are joined to the piece table,
 the matches are the unit's edges, and a Spark aggregate folds over them. For a unigram model the fold
 is Viterbi over the edges by end. A BPE model's scores are the ranks of its merges, and the best sum of
-ranks isn't what such a model encodes to; there the fold replays the merges over the lattice (best
-rank first, leftmost first) and gives the library's ids. Units of over LONG characters, for which the
-fold's 64-bit set of cuts is too small, are replayed by a heap in Python.
+ranks isn't what such a model encodes to; there the fold goes over the edges by rank, then place, and
+gives the library's ids; the model's type decides. Units of over LONG characters, for which the
+fold's 64-bit set of cuts is too small, are encoded in Python, by a heap of merges or Viterbi. The ids
+are decoded again, each distinct unit once, and the texts put together from them.
 
 Null and empty texts have no ids. Characters without a piece are written as byte pieces (BPE with byte
 fallback) or one unknown piece. Repeated rows each get a row; other columns are ignored.
@@ -30,11 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, keep, ship
+from .common import Tables, keep, settled, ship
 from .shingles import slices
 
+#: Units of more characters don't fit the fold's 64-bit set of cuts.
 LONG = 60
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
+#: Characters by which the longest piece that begins like a substring is looked up.
+HEAD = 3
+UNIGRAM, BPE = 1, 2
 UNIT = re.compile(r" [ ]*[^ ]+| +")
 
 
@@ -47,10 +52,58 @@ def piece_rows(model_path: str) -> pd.DataFrame:
     return pd.DataFrame({"piece": [m.id_to_piece(i) for i in ids], "id": ids, "score": [float(m.get_score(i)) for i in ids]})
 
 
-def byte_base(model_path: str) -> int:
+def special_ids(model_path: str) -> tuple[int, int]:
+    """The id of the first byte piece (-1 without byte fallback) and that of the unknown piece."""
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=model_path).piece_to_id("<0x00>")
+    m = sentencepiece.SentencePieceProcessor(model_file=model_path)
+    first = m.piece_to_id("<0x00>")
+    return (first if m.is_byte(first) else -1), m.unk_id()
+
+
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Number and value of each field of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte, at = raw[at], at + 1
+            value |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return value
+
+    while at < len(raw):
+        number, kind = divmod(varint(), 8)
+        if kind == 0:
+            yield number, varint()
+            continue
+        size = {1: 8, 5: 4}.get(kind) or varint()
+        at += size
+        yield number, raw[at - size : at]
+
+
+def model_type(model_path: str) -> int:
+    """UNIGRAM or BPE, as the model's trainer specification (field 2, its field 3) says."""
+    with open(model_path, "rb") as file:
+        spec = next((v for k, v in fields(file.read()) if k == 2), b"")
+    kind = next((v for k, v in fields(spec) if k == 3), UNIGRAM)
+    if kind not in (UNIGRAM, BPE):
+        raise ValueError(f"model type {kind} is neither unigram nor BPE")
+    return kind
+
+
+def late_pieces(scores: dict[str, float]) -> set[str]:
+    """Pieces that merge after a longer piece which they begin or end: only they can make a merge possible whose rank has passed."""
+    found = set()
+    for whole, score in scores.items():
+        for k in range(1, len(whole)):
+            parts = whole[:k], whole[k:]
+            if all(len(x) == 1 or x in scores for x in parts):
+                found.update(x for x in parts if len(x) > 1 and scores[x] < score)
+    return found
 
 
 # ---- lattice
@@ -68,29 +121,55 @@ def sorted_groups(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def edges_of(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """units: unit, in which ▁ are spaces. unit, edges: array of (start, stop, id, score), in no order."""
+def power(bit: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+
+
+def edges_of(units: DataFrame, rows: pd.DataFrame) -> DataFrame:
+    """units: unit, in which ▁ are spaces. unit, edges: array of (score, start, stop, ends, inner, late, id), best score first, then leftmost.
+
+    ends and inner are the cuts at and between an edge's ends, as bits. A character without a piece is an edge without an id.
+    Substrings are no longer than the longest piece that begins with the same HEAD characters.
+    """
+    spark = units.sparkSession
+    heads = rows.assign(head=rows["piece"].str.slice(0, HEAD), most=rows["piece"].str.len()).groupby("head", as_index=False)["most"].max()
     units = units.sortWithinPartitions("unit").withColumn("n", F.length("unit"))
     starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("start")))).alias("len"))
+    starts = starts.withColumn("head", F.substring("unit", F.col("start") + 1, F.lit(HEAD))).join(F.broadcast(spark.createDataFrame(heads)), "head", "left")
+    most = F.least(F.greatest(F.coalesce("most", F.lit(1)), F.lit(HEAD - 1)).cast("int"), F.col("n") - F.col("start"))
+    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
     spans = spans.select("unit", "start", (F.col("start") + F.col("len")).alias("stop"), F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
-    found = spans.join(F.broadcast(pieces), "piece", "left").filter("id IS NOT NULL OR stop = start + 1")
-    return found.groupBy("unit").agg(F.collect_list(F.struct("start", "stop", "id", "score")).alias("edges"))
+    found = spans.join(F.broadcast(spark.createDataFrame(rows)), "piece", "left").filter("id IS NOT NULL OR stop = start + 1")
+    inner = power(F.col("stop")) - power(F.col("start") + 1)
+    edge = F.struct((-F.col("score")).alias("cost"), "start", "stop", (power(F.col("start")).bitwiseOR(power(F.col("stop")))).alias("ends"), inner.alias("inner"), "late", F.col("id").cast("int").alias("id"))
+    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
-def power(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
+def able(cuts: Column, e: Column) -> Column:
+    """Whether an edge's two parts are what stands between its ends."""
+    return (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(cuts.bitwiseAND(e["inner"])) == 1)
 
 
 def merge_cuts(edges: Column, n: Column) -> Column:
-    """The set of cuts, as bits, that BPE leaves in a unit of n characters. edges: those of two characters or more."""
-    inner = lambda e: power(e["stop"]) - power(e["start"] + 1)
-    at = lambda cuts, i: F.call_function("shiftright", cuts, i.cast("int")).bitwiseAND(F.lit(1)) == 1
+    """The set of cuts, as bits, that BPE leaves in a unit of n characters: a fold over the edges, best rank first, leftmost first.
+
+    -1 where a merge made another one possible whose turn had passed.
+    """
+    passed = lambda cuts, e: F.coalesce(e["late"], F.lit(False)) & F.exists(edges, lambda f: (f["cost"] < e["cost"]) & able(cuts, f))
+
+    def step(cuts: Column, e: Column) -> Column:
+        fewer = cuts.bitwiseAND(F.bitwise_not(e["inner"]))
+        return F.when((cuts >= 0) & able(cuts, e), F.when(passed(fewer, e), F.lit(-1).cast("long")).otherwise(fewer)).otherwise(cuts)
+
+    return F.aggregate(edges, power(n + 1) - F.lit(1).cast("long"), step)
+
+
+def slow_cuts(edges: Column, n: Column) -> Column:
+    """The same where merges must turn back: the best edge that is possible is looked for anew after each merge."""
 
     def step(cuts: Column, _: Column) -> Column:
-        able = F.filter(edges, lambda e: at(cuts, e["start"]) & at(cuts, e["stop"]) & (F.bit_count(cuts.bitwiseAND(inner(e))) == 1))
-        best = F.array_max(F.transform(able, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), inner(e).alias("inner"))))
-        return F.coalesce(cuts - cuts.bitwiseAND(best["inner"]), cuts)
+        best = F.get(F.filter(edges, lambda e: able(cuts, e)), F.lit(0))
+        return F.coalesce(cuts.bitwiseAND(F.bitwise_not(best["inner"])), cuts)
 
     return F.aggregate(F.sequence(F.lit(1), n), power(n + 1) - F.lit(1).cast("long"), step)
 
@@ -101,28 +180,29 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
 
     def step(best: Column, stop: Column) -> Column:
         here = F.filter(edges, lambda e: e["stop"] == stop)
-        ways = F.transform(here, lambda e: F.struct((F.get(best, e["start"])["score"] + F.coalesce(e["score"], F.lit(unknown))).alias("score"), (-e["start"]).alias("left"), F.get(best, e["start"])["cuts"].bitwiseOR(power(stop)).alias("cuts")))
+        ways = F.transform(here, lambda e: F.struct((F.get(best, e["start"])["score"] + F.coalesce(-e["cost"], F.lit(unknown))).alias("score"), (-e["start"]).alias("left"), F.get(best, e["start"])["cuts"].bitwiseOR(power(stop)).alias("cuts")))
         return F.array_append(best, F.array_max(ways))
 
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["cuts"]
 
 
-def cut_ids(edges: Column, cuts: Column, n: Column, unit: Column, bytes_from: int) -> Column:
-    """The ids between the cuts; byte pieces where a character has none."""
-    places = F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftright", cuts, i).bitwiseAND(F.lit(1)) == 1)
+def cut_ids(edges: Column, cuts: Column, unit: Column, bytes_from: int, unknown: int) -> Column:
+    """The ids between the cuts; byte pieces, or else the unknown piece, where a character has none."""
+    own = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) == 0))
+    own = F.array_sort(F.transform(own, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
 
-    def ids(start: Column, k: Column) -> Column:
-        stop = F.get(places, k + 1)
-        edge = F.get(F.filter(edges, lambda e: (e["start"] == start) & (e["stop"] == stop)), F.lit(0))
-        raw = F.hex(F.encode(F.substring(unit, start + 1, F.lit(1)), "UTF-8"))
+    def ids(e: Column) -> Column:
+        if bytes_from < 0:
+            return F.array(F.coalesce(e["id"], F.lit(unknown)))
+        raw = F.hex(F.encode(F.substring(unit, e["start"] + 1, F.lit(1)), "UTF-8"))
         spelt = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + bytes_from)
-        return F.when(edge["id"].isNotNull(), F.array(edge["id"].cast("int"))).otherwise(spelt)
+        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelt)
 
-    return F.flatten(F.transform(F.slice(places, F.lit(1), F.size(places) - 1), ids))
+    return F.flatten(F.transform(own, ids))
 
 
-def replayed(unit: str, ranks: dict[str, tuple[float, int]], bytes_from: int) -> list[int]:
-    """BPE of one unit of any length by a heap of merges."""
+def merged_spans(unit: str, ranks: dict[str, tuple[float, int]]) -> list[tuple[int, int]]:
+    """BPE of one unit of any length by a heap of merges: start and stop of each piece."""
     text = list(unit)
     left, right = list(range(-1, len(text) - 1)), [*range(1, len(text)), -1]
     heap: list[tuple[float, int, int, int]] = []
@@ -142,31 +222,55 @@ def replayed(unit: str, ranks: dict[str, tuple[float, int]], bytes_from: int) ->
             left[right[b]] = a
         offer(left[a], a)
         offer(a, right[a])
-    out: list[int] = []
-    for t in text:
-        if t:
-            out += [ranks[t][1]] if t in ranks else [bytes_from + x for x in t.encode()]
-    return out
-
-
-def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unigram: bool = False) -> DataFrame:
+    return [(i, i + len(t)) for i, t in enumerate(text) if t]
+
+
+def best_path(unit: str, pieces: dict[str, tuple[float, int]], longest: int, unknown: float) -> list[tuple[int, int]]:
+    """Viterbi over one unit of any length: start and stop of each piece of the best path."""
+    score, back = [0.0], [0]
+    for stop in range(1, len(unit) + 1):
+        ways = [(score[a] + pieces[unit[a:stop]][0], -a) for a in range(max(0, stop - longest), stop) if unit[a:stop] in pieces]
+        if unit[stop - 1] not in pieces:
+            ways.append((score[stop - 1] + unknown, 1 - stop))
+        got = max(ways)
+        score.append(got[0])
+        back.append(-got[1])
+    out, stop = [], len(unit)
+    while stop:
+        out.append((back[stop], stop))
+        stop = back[stop]
+    return out[::-1]
+
+
+def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int = BPE) -> DataFrame:
     """unit, ids of the units that the fold can hold."""
     rows = rows.assign(piece=rows["piece"].str.replace("▁", " "))
-    pieces, longest = units.sparkSession.createDataFrame(rows), int(rows["piece"].str.len().max())
-    lattice = edges_of(units.filter(F.length("unit") <= LONG), pieces, longest).withColumn("n", F.length("unit"))
-    lattice = lattice.withColumn("merges", F.filter("edges", lambda e: e["id"].isNotNull() & (e["stop"] > e["start"] + 1)))
-    cuts = viterbi_cuts(F.col("edges"), F.col("n"), float(rows["score"].min()) - 10) if unigram else merge_cuts(F.col("merges"), F.col("n"))
-    lattice = lattice.withColumn("cuts", cuts)
-    return lattice.select("unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("n"), F.col("unit"), bytes_from).alias("ids"))
-
-
-def replay_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int) -> DataFrame:
-    """unit, ids of the longer units of a BPE model."""
+    late = late_pieces(dict(zip(rows["piece"], rows["score"], strict=True)))
+    lattice = edges_of(units.filter(F.length("unit") <= LONG), rows.assign(late=rows["piece"].isin(late))).withColumn("n", F.length("unit"))
+    if kind == UNIGRAM:
+        lattice = lattice.withColumn("cuts", viterbi_cuts(F.col("edges"), F.col("n"), float(rows["score"].min()) - 10))
+    else:
+        lattice = lattice.withColumn("fast", merge_cuts(F.col("edges"), F.col("n")))
+        lattice = lattice.withColumn("cuts", F.when(F.col("fast") >= 0, F.col("fast")).otherwise(slow_cuts(F.col("edges"), F.col("n"))))
+    return lattice.select("unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("unit"), bytes_from, unknown).alias("ids"))
+
+
+def long_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int = BPE) -> DataFrame:
+    """unit, ids of the longer units: merges by a heap, or Viterbi, in memory in proportion to one unit."""
     ranks = {p: (s, i) for p, i, s in zip(rows["piece"].str.replace("▁", " "), rows["id"], rows["score"], strict=True)}
+    longest, least = max(map(len, ranks)), min(s for s, _ in ranks.values()) - 10
 
+    def ids_of(unit: str) -> list[int]:
+        out: list[int] = []
+        for a, b in best_path(unit, ranks, longest, least) if kind == UNIGRAM else merged_spans(unit, ranks):
+            piece = unit[a:b]
+            out += [ranks[piece][1]] if piece in ranks else [bytes_from + x for x in piece.encode()] if bytes_from >= 0 else [unknown]
+        return out
+
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [replayed(x.as_py(), ranks, bytes_from) for x in batch.column("unit")]
+            ids = [ids_of(x.as_py()) for x in batch.column("unit")]
             yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
 
     return units.filter(F.length("unit") > LONG).select("unit").mapInArrow(run, "unit string, ids array<int>")
@@ -175,9 +279,21 @@ def replay_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int) -> DataF
 # ---- documents
 
 
+def by_planes(values: np.ndarray) -> bytes:
+    """Little-endian numbers compressed with like bytes of all together."""
+    planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def from_planes(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """chunk, units (distinct, without their first space), doc_id, n_units, place (of each unit in `units`, compressed), for runs of documents."""
+    """chunk, units (distinct, without their first space, most frequent first), doc_id, n_units, place (of each unit in `units`, compressed), for runs of documents."""
 
+    @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 24
         for batch in batches:
@@ -196,17 +312,68 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     rows, sizes = np.flatnonzero(odd.to_numpy(zero_copy_only=False)), np.array([len(x) for x in spaced])
                     order = np.argsort(np.concatenate((np.repeat(np.arange(len(part)), counts), np.repeat(rows, sizes))), kind="stable")
                     counts[rows], index = sizes, index[order]
-                place = zstandard.ZstdCompressor(level=3).compress(index.astype("<i4").tobytes())
-                columns = [coded.dictionary.cast(pa.string()), batch.column("doc_id").slice(at, len(part)), pa.array(counts)]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns), pa.array([place], pa.binary())], names=["chunk", "units", "doc_id", "n_units", "place"])
+                often = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+                number = np.empty(len(often), np.int64)
+                number[often] = np.arange(len(often))
+                columns = [coded.dictionary.take(pa.array(often)).cast(pa.string()), batch.column("doc_id").slice(at, len(part)), pa.array(counts)]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists, pa.array([by_planes(number[index])], pa.binary())], names=["chunk", "units", "doc_id", "n_units", "place"])
                 chunk += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "chunk long, units array<string>, doc_id array<long>, n_units array<long>, place binary")
 
 
+def gathered(coded: DataFrame) -> DataFrame:
+    """coded: chunk, at, ids. The same with the units of a chunk that lie in one partition as one compressed row: chunk, at, sizes, ids."""
+
+    @settled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def row() -> pa.RecordBatch:
+            columns = [by_planes(np.concatenate(x)) for x in list(zip(*held, strict=True))[1:]]
+            chunk = held[0][0]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x], pa.binary()) for x in columns)], names=["chunk", "at", "sizes", "ids"])
+
+        for batch in batches:
+            chunk, at, lists = batch.column("chunk").to_numpy(), batch.column("at").to_numpy(), batch.column("ids")
+            sizes, ids = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            bounds = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                if b > a:
+                    if held and held[0][0] != chunk[a]:
+                        yield row()
+                    held.append((int(chunk[a]), at[a:b], sizes[a:b], ids[ends[a] : ends[b]]))
+        if held:
+            yield row()
+
+    return coded.sortWithinPartitions("chunk", "at").mapInArrow(run, "chunk long, at binary, sizes binary, ids binary")
+
+
+def id_bytes(rows: pd.DataFrame, bytes_from: int, unknown: int) -> list[bytes]:
+    """What each id spells."""
+    spelt = [b""] * (max(int(rows["id"].max()), bytes_from + 255, unknown) + 1)
+    spelt[unknown] = " ⁇ ".encode()
+    for i, piece in zip(rows["id"], rows["piece"], strict=True):
+        spelt[i] = piece.replace("▁", " ").encode()
+    if bytes_from >= 0:
+        spelt[bytes_from : bytes_from + 256] = [bytes([x]) for x in range(256)]
+    return spelt
+
+
+def spread(values: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of `values` that `place` names, in a row, and where each begins and the last ends."""
+    starts, n = (np.cumsum(sizes) - sizes)[place], sizes[place]
+    ends = np.cumsum(n)
+    return values[np.repeat(starts - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], np.concatenate(([0], ends))
+
+
 def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), and ids if kept, for each row."""
+    """docs: doc_id, text. A row for each row: doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), and of the text that the ids decode
+    to its n_bytes and text_crc32 (UTF-8, without the first space); and ids if kept."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     tables = Tables(spark, "lattice")
@@ -214,26 +381,31 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
     places = chunks.select("chunk", F.posexplode("units").alias("at", "unit")).withColumn("unit", F.concat(F.lit(" "), "unit")).repartition("unit")
     #: All columns are looked at, so that both uses of `places` have the same exchange and share it.
     distinct = places.groupBy("unit").agg(F.min("chunk").alias("chunk"), F.min("at").alias("at")).filter("chunk >= 0 AND at >= 0").select("unit")
-    rows, base = piece_rows(model_path), byte_base(model_path)
-    coded = places.join(fold_units(distinct, rows, base).hint("merge"), "unit").select("chunk", "at", "ids")
+    rows, (base, unknown), kind = piece_rows(model_path), special_ids(model_path), model_type(model_path)
+    coded = gathered(places.join(fold_units(distinct, rows, base, unknown, kind).hint("merge"), "unit").select("chunk", "at", "ids"))
     long = places.filter(F.length("unit") > LONG)
-    coded = coded.unionByName(long.join(replay_units(long.select("unit").distinct(), rows, base).hint("merge"), "unit").select("chunk", "at", "ids"))
+    coded = coded.unionByName(gathered(long.join(long_units(long.select("unit").distinct(), rows, base, unknown, kind).hint("merge"), "unit").select("chunk", "at", "ids")))
+    spelt = id_bytes(rows, base, unknown)
 
     def run(chunk: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
         row = chunk.iloc[0]
-        units = units.sort_values("at")
-        sizes = np.fromiter(map(len, units["ids"]), np.int64, len(units))
-        table = np.concatenate([np.zeros(0, np.int32), *units["ids"]]).astype(np.uint32)
-        starts, place = np.cumsum(sizes) - sizes, np.frombuffer(zstandard.ZstdDecompressor().decompress(row["place"]), "<i4").astype(np.int64)
-        n = sizes[place]
-        ends = np.cumsum(n)
-        ids = table[np.repeat(starts[place] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(np.asarray(row["n_units"], np.int64))))]
-        own = [ids[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
-        out = {"doc_id": pd.array(row["doc_id"], "Int64"), "n_tokens": np.diff(stops), "ids_crc32": [zlib.crc32(x.tobytes()) for x in own]}
+        at, sizes, ids = (np.concatenate([np.zeros(0, np.int32), *map(from_planes, units[c])]) for c in ("at", "sizes", "ids"))
+        order = np.argsort(at)
+        ids, _ = spread(ids, sizes.astype(np.int64), order)
+        sizes = sizes[order].astype(np.int64)
+        letters = [spelt[i] for i in ids]
+        n_letters = np.add.reduceat(np.append(np.fromiter(map(len, letters), np.int64, len(letters)), 0), np.cumsum(sizes) - sizes) if len(sizes) else sizes
+        place = from_planes(row["place"])
+        tokens, token_at = spread(ids.astype(np.uint32), sizes, place)
+        text, text_at = spread(np.frombuffer(b"".join(letters), np.uint8), n_letters, place)
+        bounds = np.concatenate(([0], np.cumsum(np.asarray(row["n_units"], np.int64))))
+        stops, ends = token_at[bounds], text_at[bounds]
+        own = [tokens[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
+        read = [text[a + 1 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        out = {"doc_id": pd.array(row["doc_id"], "Int64"), "n_tokens": np.diff(stops), "ids_crc32": [zlib.crc32(x) for x in own], "n_bytes": [len(x) for x in read], "text_crc32": [zlib.crc32(x) for x in read]}
         return pd.DataFrame(out | ({"ids": [x.astype(np.int32) for x in own]} if keep_ids else {}))
 
-    schema = "doc_id long, n_tokens long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    schema = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long" + (", ids array<int>" if keep_ids else "")
     again = tables.read("chunks", chunks.schema)
     with sorted_groups(spark):
         out = keep(again.select("chunk", "doc_id", "n_units", "place").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(run, schema))
@@ -243,7 +415,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
 
 def decode(rows: DataFrame, model_path: str) -> DataFrame:
     """rows: doc_id (unique), ids. doc_id, text: pieces are joined by id and put together in order; byte pieces become what they spell."""
-    base = byte_base(model_path)
+    base, _ = special_ids(model_path)
     table = piece_rows(model_path).assign(piece=lambda x: x["piece"].str.replace("▁", " "))[["id", "piece"]]
     spelt = pd.DataFrame({"id": range(base, base + 256), "raw": [f"{x:02X}" for x in range(256)]})
     table = pd.concat([table.assign(raw=[p.encode().hex().upper() for p in table["piece"]])[["id", "raw"]], spelt])

@@ -399,6 +399,8 @@ def test_lattice_gives_the_library_ids_and_decodes(spark, docs, texts):
     for r in got:
         text = (texts[r.doc_id] if r.doc_id is not None else "no id here, at all") or ""
         assert list(r.ids) == lib.encode(text) and r.n_tokens == len(r.ids) and r.ids_crc32 == crc(r.ids)
+        plain = text.replace("▁", " ").encode()
+        assert (r.n_bytes, r.text_crc32) == (len(plain), zlib.crc32(plain))
     back = {r.doc_id: r.text for r in lattice.decode(rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "ids"), path).collect()}
     assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
 
@@ -422,11 +424,58 @@ def test_viterbi_fold_equals_brute_force(spark):
         return ways[-1]
 
     back = {i: p for p, i in zip(table["piece"], table["id"], strict=True)}
-    for r in lattice.fold_units(spark.createDataFrame([(u,) for u in units], "unit string"), table, 1000, unigram=True).collect():
+    for r in lattice.fold_units(spark.createDataFrame([(u,) for u in units], "unit string"), table, 1000, 0, lattice.UNIGRAM).collect():
         total = sum(score[back[i]] if i < 1000 else min(score.values()) - 10 for i in r.ids)
         assert total == pytest.approx(best(r.unit))
 
 
+def test_merges_fold_equals_brute_force_where_ranks_turn_back(spark):
+    import pandas as pd
+
+    rng = random.Random(9)
+    turned = 0
+    for _ in range(4):
+        pieces = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(2, 6))) for _ in range(25)})
+        rng.shuffle(pieces)
+        table = pd.DataFrame({"piece": [*" ab", *pieces], "id": range(len(pieces) + 3), "score": [0.0, 0.0, 0.0, *(-float(i) for i in range(len(pieces)))]})
+        ranks = {p: (s, i) for p, i, s in zip(table["piece"], table["id"], table["score"], strict=True)}
+        late = lattice.late_pieces({p: s for p, (s, _) in ranks.items()})
+        units = sorted({" " + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 20))) for _ in range(80)})
+
+        def merged(u):
+            t = list(u)
+            while ways := [(-ranks[a + b][0], i) for i, (a, b) in enumerate(zip(t, t[1:], strict=False)) if a + b in ranks]:
+                i = min(ways)[1]
+                t[i : i + 2] = [t[i] + t[i + 1]]
+            return [ranks[x][1] for x in t]
+
+        df = spark.createDataFrame([(u,) for u in units], "unit string")
+        assert {r.unit: list(r.ids) for r in lattice.fold_units(df, table, 1000, 0).collect()} == {u: merged(u) for u in units}
+        assert all([ranks[u[a:b]][1] for a, b in lattice.merged_spans(u, ranks)] == merged(u) for u in units)
+        edges = lattice.edges_of(df, table.assign(late=table["piece"].isin(late)))
+        turned += edges.filter(lattice.merge_cuts(F.col("edges"), F.length("unit")) < 0).count()
+    assert turned
+
+
+def test_long_units_of_a_unigram_model_take_the_best_path(spark):
+    import pandas as pd
+
+    score = {" ": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, " a": -4.0, "aba": -5.5}
+    table = pd.DataFrame({"piece": list(score), "id": range(len(score)), "score": list(score.values())})
+    unit = " " + "abxaab" * 9
+    short = lattice.fold_units(spark.createDataFrame([(unit,)], "unit string"), table, -1, 7, lattice.UNIGRAM).first().ids
+    ranks = {p: (s, i) for p, i, s in zip(table["piece"], table["id"], table["score"], strict=True)}
+    path = lattice.best_path(unit, ranks, 3, -15.5)
+    total = lambda ids: sum(-15.5 if i == 7 else table["score"][i] for i in ids)
+    assert total(short) == pytest.approx(total([ranks[unit[a:b]][1] if unit[a:b] in ranks else 7 for a, b in path]))
+    longer = lattice.long_units(spark.createDataFrame([(unit * 3,)], "unit string"), table, -1, 7, lattice.UNIGRAM).first().ids
+    assert len(longer) > 60 and set(longer) <= {*range(8)}
+
+
+def test_model_type_is_read_from_the_file():
+    assert lattice.model_type(vocabulary("piece_bpe_32k.model")) == lattice.BPE
+
+
 def test_lattice_of_nothing(none):
     assert lattice.encode_documents(none, vocabulary("piece_bpe_32k.model")).count() == 0
 
