@@ -16,11 +16,10 @@ fallback) or one unknown piece. Repeated rows each get a row; other columns are
 
 from __future__ import annotations
 
-import contextlib
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +35,11 @@ from .shingles import slices
 
 #: Units of more characters don't fit the fold's 64-bit set of cuts.
 LONG = 60
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
+#: Distinct units of BLOCK_TASKS reading tasks are dealt to as many buckets: that bounds what meets in one.
+BUCKETS, BLOCK_TASKS = 1024, 256
+#: Units of a chunk whose ids are put together at a time.
+TOGETHER = 400_000
 #: Characters by which the longest piece that begins like a substring is looked up.
 HEAD = 3
 UNIGRAM, BPE = 1, 2
@@ -109,40 +112,28 @@ def late_pieces(scores: dict[str, float]) -> set[str]:
 # ---- lattice
 
 
-@contextlib.contextmanager
-def sorted_groups(spark: SparkSession) -> Iterator[None]:
-    """Edges come in the order of their units: they are gathered as they come, without a hash table that would sort them again."""
-    key = "spark.sql.execution.useObjectHashAggregateExec"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def power(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
 def edges_of(units: DataFrame, rows: pd.DataFrame) -> DataFrame:
-    """units: unit, in which ▁ are spaces. unit, edges: array of (score, start, stop, ends, inner, late, id), best score first, then leftmost.
+    """units: bucket, unit, in which ▁ are spaces, and its length n. bucket, unit, n, edges: array of (score, start, stop, ends, inner, late, id), best score first, then leftmost.
 
     ends and inner are the cuts at and between an edge's ends, as bits. A character without a piece is an edge without an id.
     Substrings are no longer than the longest piece that begins with the same HEAD characters.
     """
     spark = units.sparkSession
     heads = rows.assign(head=rows["piece"].str.slice(0, HEAD), most=rows["piece"].str.len()).groupby("head", as_index=False)["most"].max()
-    units = units.sortWithinPartitions("unit").withColumn("n", F.length("unit"))
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    key = ("bucket", "unit", "n")
+    starts = units.select(*key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     starts = starts.withColumn("head", F.substring("unit", F.col("start") + 1, F.lit(HEAD))).join(F.broadcast(spark.createDataFrame(heads)), "head", "left")
     most = F.least(F.greatest(F.coalesce("most", F.lit(1)), F.lit(HEAD - 1)).cast("int"), F.col("n") - F.col("start"))
-    spans = starts.select("unit", "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
-    spans = spans.select("unit", "start", (F.col("start") + F.col("len")).alias("stop"), F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
+    spans = starts.select(*key, "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
+    spans = spans.select(*key, "start", (F.col("start") + F.col("len")).alias("stop"), F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
     found = spans.join(F.broadcast(spark.createDataFrame(rows)), "piece", "left").filter("id IS NOT NULL OR stop = start + 1")
     inner = power(F.col("stop")) - power(F.col("start") + 1)
     edge = F.struct((-F.col("score")).alias("cost"), "start", "stop", (power(F.col("start")).bitwiseOR(power(F.col("stop")))).alias("ends"), inner.alias("inner"), "late", F.col("id").cast("int").alias("id"))
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return found.groupBy(*key).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def able(cuts: Column, e: Column) -> Column:
@@ -243,20 +234,20 @@ def best_path(unit: str, pieces: dict[str, tuple[float, int]], longest: int, unk
 
 
 def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int = BPE) -> DataFrame:
-    """unit, ids of the units that the fold can hold."""
+    """units: bucket, unit, n. bucket, unit, ids of the units that the fold can hold."""
     rows = rows.assign(piece=rows["piece"].str.replace("▁", " "))
     late = late_pieces(dict(zip(rows["piece"], rows["score"], strict=True)))
-    lattice = edges_of(units.filter(F.length("unit") <= LONG), rows.assign(late=rows["piece"].isin(late))).withColumn("n", F.length("unit"))
+    lattice = edges_of(units.filter(F.col("n") <= LONG), rows.assign(late=rows["piece"].isin(late)))
     if kind == UNIGRAM:
         lattice = lattice.withColumn("cuts", viterbi_cuts(F.col("edges"), F.col("n"), float(rows["score"].min()) - 10))
     else:
         lattice = lattice.withColumn("fast", merge_cuts(F.col("edges"), F.col("n")))
         lattice = lattice.withColumn("cuts", F.when(F.col("fast") >= 0, F.col("fast")).otherwise(slow_cuts(F.col("edges"), F.col("n"))))
-    return lattice.select("unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("unit"), bytes_from, unknown).alias("ids"))
+    return lattice.select("bucket", "unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("unit"), bytes_from, unknown).alias("ids"))
 
 
-def long_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int = BPE) -> DataFrame:
-    """unit, ids of the longer units: merges by a heap, or Viterbi, in memory in proportion to one unit."""
+def long_encoder(rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int = BPE) -> Callable[[str], list[int]]:
+    """Ids of units of any length: merges by a heap, or Viterbi, in memory in proportion to one unit."""
     ranks = {p: (s, i) for p, i, s in zip(rows["piece"].str.replace("▁", " "), rows["id"], rows["score"], strict=True)}
     longest, least = max(map(len, ranks)), min(s for s, _ in ranks.values()) - 10
 
@@ -267,20 +258,14 @@ def long_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: i
             out += [ranks[piece][1]] if piece in ranks else [bytes_from + x for x in piece.encode()] if bytes_from >= 0 else [unknown]
         return out
 
-    @settled
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [ids_of(x.as_py()) for x in batch.column("unit")]
-            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "ids"])
-
-    return units.filter(F.length("unit") > LONG).select("unit").mapInArrow(run, "unit string, ids array<int>")
+    return ids_of
 
 
 # ---- documents
 
 
 def by_planes(values: np.ndarray) -> bytes:
-    """Little-endian numbers compressed with like bytes of all together."""
+    """Numbers of 32 bits compressed with like bytes of all together."""
     planes = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T)
     return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
@@ -291,11 +276,13 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """chunk, units (distinct, without their first space, most frequent first), doc_id, n_units, place (of each unit in `units`, compressed), for runs of documents."""
+    """Runs of documents: chunk, doc_id, n_units, place (of each unit among the distinct ones, most frequent first), order (of these by
+    bucket), and parts: the distinct units (without their first space) by bucket, with the number of the first."""
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 24
+        task = TaskContext.get().partitionId()
+        chunk = task << 24
         for batch in batches:
             for at, part in slices(batch.column("text"), CHUNK_BYTES):
                 part = pc.replace_substring(part, "▁", " ")
@@ -312,45 +299,46 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                     rows, sizes = np.flatnonzero(odd.to_numpy(zero_copy_only=False)), np.array([len(x) for x in spaced])
                     order = np.argsort(np.concatenate((np.repeat(np.arange(len(part)), counts), np.repeat(rows, sizes))), kind="stable")
                     counts[rows], index = sizes, index[order]
-                often = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
-                number = np.empty(len(often), np.int64)
-                number[often] = np.arange(len(often))
-                columns = [coded.dictionary.take(pa.array(often)).cast(pa.string()), batch.column("doc_id").slice(at, len(part)), pa.array(counts)]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists, pa.array([by_planes(number[index])], pa.binary())], names=["chunk", "units", "doc_id", "n_units", "place"])
+                units = coded.dictionary
+                often = np.argsort(-np.bincount(index, minlength=len(units)), kind="stable")
+                frequent = np.empty(len(units), np.int64)
+                frequent[often] = np.arange(len(units))
+                bucket = (pd.util.hash_array(units.to_numpy(zero_copy_only=False), categorize=False) % BUCKETS).astype(np.int32)
+                dealt = pc.sort_indices(pa.table({"b": bucket, "u": units}), sort_keys=[("b", "ascending"), ("u", "ascending")]).to_numpy()
+                number = np.empty(len(units), np.int64)
+                number[dealt] = np.arange(len(units))
+                own, base, size = np.unique(bucket[dealt], return_index=True, return_counts=True)
+                lists = pa.ListArray.from_arrays(pa.array([*base, len(units)], pa.int32()), units.take(pa.array(dealt)).cast(pa.string()))
+                parts = pa.StructArray.from_arrays([pa.array(own + task // BLOCK_TASKS * BUCKETS, pa.int32()), pa.array(base, pa.int32()), lists], names=["bucket", "base", "units"])
+                arrays = [batch.column("doc_id").slice(at, len(part)), pa.array(counts), parts]
+                arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays]
+                packed = [pa.array([by_planes(x)], pa.binary()) for x in (frequent[index], number[often])]
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *arrays, *packed], names=["chunk", "doc_id", "n_units", "parts", "place", "order"])
                 chunk += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "chunk long, units array<string>, doc_id array<long>, n_units array<long>, place binary")
+    return rows.mapInArrow(run, "chunk long, doc_id array<long>, n_units array<long>, parts array<struct<bucket: int, base: int, units: array<string>>>, place binary, order binary")
 
 
-def gathered(coded: DataFrame) -> DataFrame:
-    """coded: chunk, at, ids. The same with the units of a chunk that lie in one partition as one compressed row: chunk, at, sizes, ids."""
+def gathered(parts: DataFrame, coded: DataFrame, long_ids: Callable[[str], list[int]]) -> DataFrame:
+    """parts: bucket, chunk, base, units; coded: bucket, unit, ids of all but long units. chunk, base, n, sizes, ids: the ids of each part's units, compressed."""
 
-    @settled
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def row() -> pa.RecordBatch:
-            columns = [by_planes(np.concatenate(x)) for x in list(zip(*held, strict=True))[1:]]
-            chunk = held[0][0]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([chunk]), *(pa.array([x], pa.binary()) for x in columns)], names=["chunk", "at", "sizes", "ids"])
-
-        for batch in batches:
-            chunk, at, lists = batch.column("chunk").to_numpy(), batch.column("at").to_numpy(), batch.column("ids")
-            sizes, ids = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
-            ends = np.concatenate(([0], np.cumsum(sizes)))
-            bounds = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1).tolist(), len(chunk)]
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b > a:
-                    if held and held[0][0] != chunk[a]:
-                        yield row()
-                    held.append((int(chunk[a]), at[a:b], sizes[a:b], ids[ends[a] : ends[b]]))
-        if held:
-            yield row()
+    def run(parts: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
+        known = {unit: i for i, unit in enumerate(coded["unit"])}
+        long = sorted({" " + x for units in parts["units"] for x in units if len(x) >= LONG})
+        known |= {unit: len(coded) + i for i, unit in enumerate(long)}
+        ids = [*coded["ids"], *(np.array(long_ids(x), np.int32) for x in long)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        table = np.concatenate([np.zeros(0, np.int32), *ids])
+        out = []
+        for units in parts["units"]:
+            place = np.fromiter((known[" " + x] for x in units), np.int64, len(units))
+            out.append((len(place), by_planes(sizes[place]), by_planes(spread(table, sizes, place)[0])))
+        n, each, ids = zip(*out, strict=True) if out else ((), (), ())
+        return pd.DataFrame({"chunk": parts["chunk"], "base": parts["base"], "n": n, "sizes": each, "ids": ids})
 
-    return coded.sortWithinPartitions("chunk", "at").mapInArrow(run, "chunk long, at binary, sizes binary, ids binary")
+    coded = coded.select(F.col("bucket").alias("dealt"), "unit", "ids")  # both sides come from one exchange: their columns need names of their own
+    return parts.groupBy("bucket").cogroup(coded.groupBy("dealt")).applyInPandas(run, "chunk long, base int, n int, sizes binary, ids binary")
 
 
 def id_bytes(rows: pd.DataFrame, bytes_from: int, unknown: int) -> list[bytes]:
@@ -378,37 +366,40 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
     ship(spark)
     tables = Tables(spark, "lattice")
     chunks = tables.write("chunks", chunk_rows(docs))
-    places = chunks.select("chunk", F.posexplode("units").alias("at", "unit")).withColumn("unit", F.concat(F.lit(" "), "unit")).repartition("unit")
-    #: All columns are looked at, so that both uses of `places` have the same exchange and share it.
-    distinct = places.groupBy("unit").agg(F.min("chunk").alias("chunk"), F.min("at").alias("at")).filter("chunk >= 0 AND at >= 0").select("unit")
-    rows, (base, unknown), kind = piece_rows(model_path), special_ids(model_path), model_type(model_path)
-    coded = gathered(places.join(fold_units(distinct, rows, base, unknown, kind).hint("merge"), "unit").select("chunk", "at", "ids"))
-    long = places.filter(F.length("unit") > LONG)
-    coded = coded.unionByName(gathered(long.join(long_units(long.select("unit").distinct(), rows, base, unknown, kind).hint("merge"), "unit").select("chunk", "at", "ids")))
-    spelt = id_bytes(rows, base, unknown)
-
-    def run(chunk: pd.DataFrame, units: pd.DataFrame) -> pd.DataFrame:
-        row = chunk.iloc[0]
-        at, sizes, ids = (np.concatenate([np.zeros(0, np.int32), *map(from_planes, units[c])]) for c in ("at", "sizes", "ids"))
-        order = np.argsort(at)
-        ids, _ = spread(ids, sizes.astype(np.int64), order)
-        sizes = sizes[order].astype(np.int64)
+    parts = chunks.select("chunk", F.explode("parts").alias("p")).select("p.bucket", "chunk", "p.base", "p.units").repartition("bucket")
+    #: All columns are looked at, and lengths come from the aggregate, so that no filter differs below the exchange: both uses of `parts` share it.
+    units = parts.select("bucket", "chunk", "base", F.explode_outer("units").alias("unit")).withColumn("unit", F.concat(F.lit(" "), "unit"))
+    units = units.groupBy("bucket", "unit").agg(F.min("chunk").alias("chunk"), F.min("base").alias("base"), F.max(F.length("unit")).alias("n")).filter("chunk >= 0 AND base >= 0").select("bucket", "unit", "n")
+    rows, (first, unknown), kind = piece_rows(model_path), special_ids(model_path), model_type(model_path)
+    told = gathered(parts, fold_units(units, rows, first, unknown, kind), long_encoder(rows, first, unknown, kind))
+    spelt = id_bytes(rows, first, unknown)
+
+    def run(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        row, told = chunk.iloc[0], told.sort_values("base")
+        sizes, ids = (np.concatenate([np.zeros(0, np.int32), *map(from_planes, told[c])]) for c in ("sizes", "ids"))
+        sizes = sizes.astype(np.int64)
         letters = [spelt[i] for i in ids]
-        n_letters = np.add.reduceat(np.append(np.fromiter(map(len, letters), np.int64, len(letters)), 0), np.cumsum(sizes) - sizes) if len(sizes) else sizes
-        place = from_planes(row["place"])
-        tokens, token_at = spread(ids.astype(np.uint32), sizes, place)
-        text, text_at = spread(np.frombuffer(b"".join(letters), np.uint8), n_letters, place)
-        bounds = np.concatenate(([0], np.cumsum(np.asarray(row["n_units"], np.int64))))
-        stops, ends = token_at[bounds], text_at[bounds]
-        own = [tokens[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
-        read = [text[a + 1 : b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        out = {"doc_id": pd.array(row["doc_id"], "Int64"), "n_tokens": np.diff(stops), "ids_crc32": [zlib.crc32(x) for x in own], "n_bytes": [len(x) for x in read], "text_crc32": [zlib.crc32(x) for x in read]}
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, letters), np.int64, len(letters)))))
+        n_letters = np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])
+        letters, ids = np.frombuffer(b"".join(letters), np.uint8), ids.astype(np.uint32)
+        place, counts = from_planes(row["order"])[from_planes(row["place"])], np.asarray(row["n_units"], np.int64)
+        own: list[np.ndarray] = []
+        read: list[tuple[int, int]] = []
+        bounds = np.concatenate(([0], np.cumsum(counts)))
+        at = 0
+        while at < len(counts):  # runs of documents, so that memory doesn't grow with the chunk
+            stop = max(at + 1, int(np.searchsorted(bounds, bounds[at] + TOGETHER, "right")) - 1)
+            part, cuts = place[bounds[at] : bounds[stop]], bounds[at : stop + 1] - bounds[at]
+            (tokens, token_at), (text, text_at) = spread(ids, sizes, part), spread(letters, n_letters, part)
+            own += [tokens[a:b] for a, b in zip(token_at[cuts][:-1], token_at[cuts][1:], strict=True)]
+            read += [(max(0, b - a - 1), zlib.crc32(text[a + 1 : b])) for a, b in zip(text_at[cuts][:-1], text_at[cuts][1:], strict=True)]
+            at = stop
+        out = {"doc_id": pd.array(row["doc_id"], "Int64"), "n_tokens": [len(x) for x in own], "ids_crc32": [zlib.crc32(x) for x in own], "n_bytes": [n for n, _ in read], "text_crc32": [c for _, c in read]}
         return pd.DataFrame(out | ({"ids": [x.astype(np.int32) for x in own]} if keep_ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long" + (", ids array<int>" if keep_ids else "")
-    again = tables.read("chunks", chunks.schema)
-    with sorted_groups(spark):
-        out = keep(again.select("chunk", "doc_id", "n_units", "place").groupBy("chunk").cogroup(coded.groupBy("chunk")).applyInPandas(run, schema))
+    again = tables.read("chunks", chunks.schema).select("chunk", "doc_id", "n_units", "place", "order")
+    out = keep(again.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, schema))
     tables.drop()
     return out
 
