@@ -112,28 +112,45 @@ def late_pieces(scores: dict[str, float]) -> set[str]:
 # ---- lattice
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings but one: rows that come in the order of their groups are aggregated as they come."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
+    return own
+
+
 def power(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
 
-def edges_of(units: DataFrame, rows: pd.DataFrame) -> DataFrame:
-    """units: bucket, unit, in which ▁ are spaces, and its length n. bucket, unit, n, edges: array of (score, start, stop, ends, inner, late, id), best score first, then leftmost.
+def bits(code: Column, at: int, size: int) -> Column:
+    """`size` bits of a code, from bit `at` on."""
+    return (F.shiftright(code, at) if at else code).bitwiseAND(F.lit((1 << size) - 1))
+
+
+def edges_of(units: DataFrame, rows: pd.DataFrame, kind: int = BPE) -> DataFrame:
+    """units: bucket, unit, in which ▁ are spaces, and its length n. bucket, unit, n, edges: array of (code, ends, inner; score for unigram
+    models), best rank first, then leftmost.
 
-    ends and inner are the cuts at and between an edge's ends, as bits. A character without a piece is an edge without an id.
-    Substrings are no longer than the longest piece that begins with the same HEAD characters.
+    code holds, from its highest bits, rank, start, stop, whether the piece is late, and id + 1 (0 for a character without a piece); ends
+    and inner are the cuts at and between the edge's ends, as bits. Substrings are no longer than the longest piece that begins with the
+    same HEAD characters. Units are in order before their edges are made, so that these come in order.
     """
     spark = units.sparkSession
     heads = rows.assign(head=rows["piece"].str.slice(0, HEAD), most=rows["piece"].str.len()).groupby("head", as_index=False)["most"].max()
-    key = ("bucket", "unit", "n")
-    starts = units.select(*key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    rank = rows["score"].rank(method="dense", ascending=False).astype("int64")
+    table = spark.createDataFrame(pd.DataFrame({"piece": rows["piece"], "known": rank * (1 << 33) + rows["late"].astype("int64") * (1 << 20) + rows["id"].astype("int64") + 1, "score": rows["score"]}))
+    starts = units.sortWithinPartitions("unit", "bucket").select("unit", "bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
     starts = starts.withColumn("head", F.substring("unit", F.col("start") + 1, F.lit(HEAD))).join(F.broadcast(spark.createDataFrame(heads)), "head", "left")
-    most = F.least(F.greatest(F.coalesce("most", F.lit(1)), F.lit(HEAD - 1)).cast("int"), F.col("n") - F.col("start"))
-    spans = starts.select(*key, "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
-    spans = spans.select(*key, "start", (F.col("start") + F.col("len")).alias("stop"), F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
-    found = spans.join(F.broadcast(spark.createDataFrame(rows)), "piece", "left").filter("id IS NOT NULL OR stop = start + 1")
-    inner = power(F.col("stop")) - power(F.col("start") + 1)
-    edge = F.struct((-F.col("score")).alias("cost"), "start", "stop", (power(F.col("start")).bitwiseOR(power(F.col("stop")))).alias("ends"), inner.alias("inner"), "late", F.col("id").cast("int").alias("id"))
-    return found.groupBy(*key).agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    most = F.least(F.greatest(F.coalesce("most", F.lit(1)), F.lit(HEAD - 1)).cast("int"), F.length("unit") - F.col("start"))
+    spans = starts.select("unit", "bucket", "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
+    spans = spans.select("unit", "bucket", "start", "len", F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
+    found = spans.join(F.broadcast(table), "piece", "left").filter("known IS NOT NULL OR len = 1")
+    place = F.shiftleft(F.col("start").cast("long"), 27).bitwiseOR(F.shiftleft((F.col("start") + F.col("len")).cast("long"), 21))
+    stop = F.col("start") + F.col("len")
+    columns = [F.coalesce("known", F.lit(0)).bitwiseOR(place).alias("code"), power(F.col("start")).bitwiseOR(power(stop)).alias("ends"), (power(stop) - power(F.col("start") + 1)).alias("inner")]
+    edge = F.struct(*columns, *(["score"] if kind == UNIGRAM else []))
+    return found.groupBy("unit", "bucket").agg(F.sort_array(F.collect_list(edge)).alias("edges")).withColumn("n", F.length("unit"))
 
 
 def able(cuts: Column, e: Column) -> Column:
@@ -146,7 +163,7 @@ def merge_cuts(edges: Column, n: Column) -> Column:
 
     -1 where a merge made another one possible whose turn had passed.
     """
-    passed = lambda cuts, e: F.coalesce(e["late"], F.lit(False)) & F.exists(edges, lambda f: (f["cost"] < e["cost"]) & able(cuts, f))
+    passed = lambda cuts, e: (bits(e["code"], 20, 1) == 1) & F.exists(edges, lambda f: (f["code"] < e["code"]) & able(cuts, f))
 
     def step(cuts: Column, e: Column) -> Column:
         fewer = cuts.bitwiseAND(F.bitwise_not(e["inner"]))
@@ -170,8 +187,9 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
     first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("left"), F.lit(1).cast("long").alias("cuts")))
 
     def step(best: Column, stop: Column) -> Column:
-        here = F.filter(edges, lambda e: e["stop"] == stop)
-        ways = F.transform(here, lambda e: F.struct((F.get(best, e["start"])["score"] + F.coalesce(-e["cost"], F.lit(unknown))).alias("score"), (-e["start"]).alias("left"), F.get(best, e["start"])["cuts"].bitwiseOR(power(stop)).alias("cuts")))
+        here = F.filter(edges, lambda e: bits(e["code"], 21, 6) == stop)
+        at = lambda e: bits(e["code"], 27, 6).cast("int")
+        ways = F.transform(here, lambda e: F.struct((F.get(best, at(e))["score"] + F.coalesce(e["score"], F.lit(unknown))).alias("score"), (-at(e)).alias("left"), F.get(best, at(e))["cuts"].bitwiseOR(power(stop)).alias("cuts")))
         return F.array_append(best, F.array_max(ways))
 
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["cuts"]
@@ -180,14 +198,14 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
 def cut_ids(edges: Column, cuts: Column, unit: Column, bytes_from: int, unknown: int) -> Column:
     """The ids between the cuts; byte pieces, or else the unknown piece, where a character has none."""
     own = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) == 0))
-    own = F.array_sort(F.transform(own, lambda e: F.struct(e["start"].alias("start"), e["id"].alias("id"))))
+    own = F.array_sort(F.transform(own, lambda e: F.struct(bits(e["code"], 27, 6).cast("int").alias("start"), F.nullif(bits(e["code"], 0, 20), F.lit(0)).cast("int").alias("id"))))
 
     def ids(e: Column) -> Column:
         if bytes_from < 0:
-            return F.array(F.coalesce(e["id"], F.lit(unknown)))
+            return F.array(F.coalesce(e["id"] - 1, F.lit(unknown)))
         raw = F.hex(F.encode(F.substring(unit, e["start"] + 1, F.lit(1)), "UTF-8"))
         spelt = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + bytes_from)
-        return F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(spelt)
+        return F.when(e["id"].isNotNull(), F.array(e["id"] - 1)).otherwise(spelt)
 
     return F.flatten(F.transform(own, ids))
 
@@ -237,7 +255,7 @@ def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: i
     """units: bucket, unit, n. bucket, unit, ids of the units that the fold can hold."""
     rows = rows.assign(piece=rows["piece"].str.replace("▁", " "))
     late = late_pieces(dict(zip(rows["piece"], rows["score"], strict=True)))
-    lattice = edges_of(units.filter(F.col("n") <= LONG), rows.assign(late=rows["piece"].isin(late)))
+    lattice = edges_of(units.filter(F.col("n") <= LONG), rows.assign(late=rows["piece"].isin(late)), kind)
     if kind == UNIGRAM:
         lattice = lattice.withColumn("cuts", viterbi_cuts(F.col("edges"), F.col("n"), float(rows["score"].min()) - 10))
     else:
@@ -364,7 +382,7 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
     to its n_bytes and text_crc32 (UTF-8, without the first space); and ids if kept."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    tables = Tables(spark, "lattice")
+    tables = Tables(own_session(spark), "lattice")
     chunks = tables.write("chunks", chunk_rows(docs))
     parts = chunks.select("chunk", F.explode("parts").alias("p")).select("p.bucket", "chunk", "p.base", "p.units").repartition("bucket")
     #: All columns are looked at, and lengths come from the aggregate, so that no filter differs below the exchange: both uses of `parts` share it.
