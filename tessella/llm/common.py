@@ -29,6 +29,16 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *have])
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    own = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if own:
+        own(0)
+
+
 def settled(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A function for mapInArrow or mapInPandas that gives freed memory back to the system when a task ends: workers live on between tasks."""
 
@@ -37,12 +47,7 @@ def settled(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from run(batches)
         finally:
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
-            if trim:
-                trim(0)
+            trim()
 
     return own
 

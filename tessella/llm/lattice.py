@@ -19,25 +19,29 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, keep, settled, ship
+from .common import Tables, keep, settled, ship, trim
 from .shingles import slices
 
 #: Units of more characters don't fit the fold's 64-bit set of cuts.
 LONG = 60
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 24 << 20
 #: Distinct units of BLOCK_TASKS reading tasks are dealt to as many buckets: that bounds what meets in one.
 BUCKETS, BLOCK_TASKS = 1024, 256
+#: Partitions for each chunk's units while they have all their edges.
+PARTITIONS = 4
 #: Units of a chunk whose ids are put together at a time.
 TOGETHER = 400_000
 #: Characters by which the longest piece that begins like a substring is looked up.
@@ -132,7 +136,8 @@ def edges_of(units: DataFrame, rows: pd.DataFrame, kind: int = BPE) -> DataFrame
     """units: bucket, unit, in which ▁ are spaces, and its length n. bucket, unit, n, edges: array of (code, ends, inner; score for unigram
     models), best rank first, then leftmost.
 
-    code holds, from its highest bits, rank, start, stop, whether the piece is late, and id + 1 (0 for a character without a piece); ends
+    code holds, from its highest bits, rank, start, stop, whether the piece is late, and id + 1 (0 for a character without a piece, which
+    only unigram models need as an edge); units of which no substring is a piece have no row. ends
     and inner are the cuts at and between the edge's ends, as bits. Substrings are no longer than the longest piece that begins with the
     same HEAD characters. Units are in order before their edges are made, so that these come in order.
     """
@@ -140,12 +145,13 @@ def edges_of(units: DataFrame, rows: pd.DataFrame, kind: int = BPE) -> DataFrame
     heads = rows.assign(head=rows["piece"].str.slice(0, HEAD), most=rows["piece"].str.len()).groupby("head", as_index=False)["most"].max()
     rank = rows["score"].rank(method="dense", ascending=False).astype("int64")
     table = spark.createDataFrame(pd.DataFrame({"piece": rows["piece"], "known": rank * (1 << 33) + rows["late"].astype("int64") * (1 << 20) + rows["id"].astype("int64") + 1, "score": rows["score"]}))
-    starts = units.sortWithinPartitions("unit", "bucket").select("unit", "bucket", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("start"))
+    least = 1 if kind == UNIGRAM else 2  # what merges leave of single characters needs no edge
+    starts = units.filter(F.col("n") >= least).sortWithinPartitions("unit", "bucket").select("unit", "bucket", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("start"))
     starts = starts.withColumn("head", F.substring("unit", F.col("start") + 1, F.lit(HEAD))).join(F.broadcast(spark.createDataFrame(heads)), "head", "left")
-    most = F.least(F.greatest(F.coalesce("most", F.lit(1)), F.lit(HEAD - 1)).cast("int"), F.length("unit") - F.col("start"))
-    spans = starts.select("unit", "bucket", "start", F.explode(F.sequence(F.lit(1), most)).alias("len"))
+    most = F.least(F.greatest(F.coalesce("most", F.lit(least)), F.lit(HEAD - 1)).cast("int"), F.length("unit") - F.col("start"))
+    spans = starts.select("unit", "bucket", "start", F.explode(F.sequence(F.lit(least), most)).alias("len"))
     spans = spans.select("unit", "bucket", "start", "len", F.substring("unit", F.col("start") + 1, F.col("len")).alias("piece"))
-    found = spans.join(F.broadcast(table), "piece", "left").filter("known IS NOT NULL OR len = 1")
+    found = spans.join(F.broadcast(table), "piece", "left" if kind == UNIGRAM else "inner").filter("known IS NOT NULL OR len = 1")
     place = F.shiftleft(F.col("start").cast("long"), 27).bitwiseOR(F.shiftleft((F.col("start") + F.col("len")).cast("long"), 21))
     stop = F.col("start") + F.col("len")
     columns = [F.coalesce("known", F.lit(0)).bitwiseOR(place).alias("code"), power(F.col("start")).bitwiseOR(power(stop)).alias("ends"), (power(stop) - power(F.col("start") + 1)).alias("inner")]
@@ -195,19 +201,35 @@ def viterbi_cuts(edges: Column, n: Column, unknown: float) -> Column:
     return F.element_at(F.aggregate(F.sequence(F.lit(1), n), first, step), -1)["cuts"]
 
 
-def cut_ids(edges: Column, cuts: Column, unit: Column, bytes_from: int, unknown: int) -> Column:
-    """The ids between the cuts; byte pieces, or else the unknown piece, where a character has none."""
+def tokens_of(edges: Column, cuts: Column) -> Column:
+    """The low bits of the codes of the edges between the cuts, in order of their starts. Characters without one are between them."""
     own = F.filter(edges, lambda e: (cuts.bitwiseAND(e["ends"]) == e["ends"]) & (cuts.bitwiseAND(e["inner"]) == 0))
-    own = F.array_sort(F.transform(own, lambda e: F.struct(bits(e["code"], 27, 6).cast("int").alias("start"), F.nullif(bits(e["code"], 0, 20), F.lit(0)).cast("int").alias("id"))))
+    return F.array_sort(F.transform(own, lambda e: bits(e["code"], 0, 33)))
 
-    def ids(e: Column) -> Column:
-        if bytes_from < 0:
-            return F.array(F.coalesce(e["id"] - 1, F.lit(unknown)))
-        raw = F.hex(F.encode(F.substring(unit, e["start"] + 1, F.lit(1)), "UTF-8"))
-        spelt = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2).cast("int") - 1), lambda i: F.conv(F.substring(raw, 2 * i + 1, F.lit(2)), 16, 10).cast("int") + bytes_from)
-        return F.when(e["id"].isNotNull(), F.array(e["id"] - 1)).otherwise(spelt)
 
-    return F.flatten(F.transform(own, ids))
+class Characters:
+    """Ids of what stands for one character: its piece, else its byte pieces, else the unknown piece."""
+
+    def __init__(self, rows: pd.DataFrame, bytes_from: int, unknown: int):
+        self.ids = {p.replace("▁", " "): [i] for p, i in zip(rows["piece"], rows["id"], strict=True) if len(p) == 1}
+        self.bytes_from, self.unknown = bytes_from, unknown
+
+    def of(self, text: str) -> list[int]:
+        out: list[int] = []
+        for c in text:
+            out += self.ids.get(c) or ([self.bytes_from + x for x in c.encode()] if self.bytes_from >= 0 else [self.unknown])
+        return out
+
+    def unit(self, unit: str, tokens: Iterable[int]) -> list[int]:
+        """The ids of a unit, from its tokens_of."""
+        out, at = [], 0
+        for x in tokens:
+            start, stop, own = x >> 27, x >> 21 & 63, (x & 0xFFFFF) - 1
+            if start > at:
+                out += self.of(unit[at:start])
+            out += [own] if own >= 0 else self.of(unit[start:stop])
+            at = stop
+        return out + self.of(unit[at:]) if at < len(unit) else out
 
 
 def merged_spans(unit: str, ranks: dict[str, tuple[float, int]]) -> list[tuple[int, int]]:
@@ -251,8 +273,8 @@ def best_path(unit: str, pieces: dict[str, tuple[float, int]], longest: int, unk
     return out[::-1]
 
 
-def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int = BPE) -> DataFrame:
-    """units: bucket, unit, n. bucket, unit, ids of the units that the fold can hold."""
+def fold_units(units: DataFrame, rows: pd.DataFrame, kind: int = BPE) -> DataFrame:
+    """units: bucket, unit, n. bucket, unit, tokens of the units that the fold can hold and that have an edge."""
     rows = rows.assign(piece=rows["piece"].str.replace("▁", " "))
     late = late_pieces(dict(zip(rows["piece"], rows["score"], strict=True)))
     lattice = edges_of(units.filter(F.col("n") <= LONG), rows.assign(late=rows["piece"].isin(late)), kind)
@@ -261,10 +283,10 @@ def fold_units(units: DataFrame, rows: pd.DataFrame, bytes_from: int, unknown: i
     else:
         lattice = lattice.withColumn("fast", merge_cuts(F.col("edges"), F.col("n")))
         lattice = lattice.withColumn("cuts", F.when(F.col("fast") >= 0, F.col("fast")).otherwise(slow_cuts(F.col("edges"), F.col("n"))))
-    return lattice.select("bucket", "unit", cut_ids(F.col("edges"), F.col("cuts"), F.col("unit"), bytes_from, unknown).alias("ids"))
+    return lattice.select("bucket", "unit", tokens_of(F.col("edges"), F.col("cuts")).alias("tokens"))
 
 
-def long_encoder(rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int = BPE) -> Callable[[str], list[int]]:
+def long_encoder(rows: pd.DataFrame, characters: Characters, kind: int = BPE) -> Callable[[str], list[int]]:
     """Ids of units of any length: merges by a heap, or Viterbi, in memory in proportion to one unit."""
     ranks = {p: (s, i) for p, i, s in zip(rows["piece"].str.replace("▁", " "), rows["id"], rows["score"], strict=True)}
     longest, least = max(map(len, ranks)), min(s for s, _ in ranks.values()) - 10
@@ -272,8 +294,7 @@ def long_encoder(rows: pd.DataFrame, bytes_from: int, unknown: int, kind: int =
     def ids_of(unit: str) -> list[int]:
         out: list[int] = []
         for a, b in best_path(unit, ranks, longest, least) if kind == UNIGRAM else merged_spans(unit, ranks):
-            piece = unit[a:b]
-            out += [ranks[piece][1]] if piece in ranks else [bytes_from + x for x in piece.encode()] if bytes_from >= 0 else [unknown]
+            out += [ranks[unit[a:b]][1]] if unit[a:b] in ranks else characters.of(unit[a:b])
         return out
 
     return ids_of
@@ -293,9 +314,9 @@ def from_planes(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """Runs of documents: chunk, doc_id, n_units, place (of each unit among the distinct ones, most frequent first), order (of these by
-    bucket), and parts: the distinct units (without their first space) by bucket, with the number of the first."""
+def chunk_rows(docs: DataFrame, places: bool) -> DataFrame:
+    """Runs of documents. Of each the distinct units (without their first space) by bucket: chunk, digest, parts, each with the number of its
+    first unit; or, with `places`: chunk, digest, doc_id, n_units and the number of each unit, compressed as place."""
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,57 +327,69 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 part = pc.replace_substring(part, "▁", " ")
                 empty = pc.equal(pc.binary_length(part), 0)
                 odd = pc.match_substring_regex(part, "^ |  | $")
-                plain = pc.if_else(pc.or_(odd, empty), pa.scalar(None, part.type), part)
-                lists = pc.split_pattern(plain, " ")
+                lists = pc.split_pattern(pc.if_else(pc.or_(odd, empty), pa.scalar(None, part.type), part), " ")
                 counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
                 flat = pc.drop_null(lists).flatten()
                 spaced = [[u[1:] for u in UNIT.findall(" " + part[int(i)].as_py())] for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False))]
-                coded = pa.concat_arrays([flat.cast(pa.large_string()), pa.array([u for x in spaced for u in x], pa.large_string())]).dictionary_encode()
-                index = coded.indices.to_numpy(zero_copy_only=False)
+                if spaced:
+                    flat = pa.concat_arrays([flat.cast(pa.large_string()), pa.array([u for x in spaced for u in x], pa.large_string())])
+                coded = flat.dictionary_encode()
+                index, units = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+                del lists, flat, coded
                 if spaced:  # they stand behind all others: put each back in its place
                     rows, sizes = np.flatnonzero(odd.to_numpy(zero_copy_only=False)), np.array([len(x) for x in spaced])
                     order = np.argsort(np.concatenate((np.repeat(np.arange(len(part)), counts), np.repeat(rows, sizes))), kind="stable")
                     counts[rows], index = sizes, index[order]
-                units = coded.dictionary
-                often = np.argsort(-np.bincount(index, minlength=len(units)), kind="stable")
-                frequent = np.empty(len(units), np.int64)
-                frequent[often] = np.arange(len(units))
                 bucket = (pd.util.hash_array(units.to_numpy(zero_copy_only=False), categorize=False) % BUCKETS).astype(np.int32)
                 dealt = pc.sort_indices(pa.table({"b": bucket, "u": units}), sort_keys=[("b", "ascending"), ("u", "ascending")]).to_numpy()
-                number = np.empty(len(units), np.int64)
-                number[dealt] = np.arange(len(units))
-                own, base, size = np.unique(bucket[dealt], return_index=True, return_counts=True)
-                lists = pa.ListArray.from_arrays(pa.array([*base, len(units)], pa.int32()), units.take(pa.array(dealt)).cast(pa.string()))
-                parts = pa.StructArray.from_arrays([pa.array(own + task // BLOCK_TASKS * BUCKETS, pa.int32()), pa.array(base, pa.int32()), lists], names=["bucket", "base", "units"])
-                arrays = [batch.column("doc_id").slice(at, len(part)), pa.array(counts), parts]
+                units = units.take(pa.array(dealt)).cast(pa.string())
+                digest = xxhash.xxh64_intdigest(b"".join(x for x in units.buffers()[1:])) >> 1
+                if places:
+                    number = np.empty(len(units), np.int32)
+                    number[dealt] = np.arange(len(units))
+                    arrays = [batch.column("doc_id").slice(at, len(part)), pa.array(counts)]
+                    rest = {"place": pa.array([by_planes(number[index])], pa.binary())}
+                    names = ["doc_id", "n_units"]
+                else:
+                    own, base = np.unique(bucket[dealt], return_index=True)
+                    lists = pa.ListArray.from_arrays(pa.array([*base, len(units)], pa.int32()), units)
+                    arrays = [pa.StructArray.from_arrays([pa.array(own + task // BLOCK_TASKS * BUCKETS, pa.int32()), pa.array(base, pa.int32()), lists], names=["bucket", "base", "units"])]
+                    rest, names = {}, ["parts"]
                 arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays]
-                packed = [pa.array([by_planes(x)], pa.binary()) for x in (frequent[index], number[often])]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *arrays, *packed], names=["chunk", "doc_id", "n_units", "parts", "place", "order"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([digest]), *arrays, *rest.values()], names=["chunk", "digest", *names, *rest])
                 chunk += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "chunk long, doc_id array<long>, n_units array<long>, parts array<struct<bucket: int, base: int, units: array<string>>>, place binary, order binary")
+    more = "doc_id array<long>, n_units array<long>, place binary" if places else "parts array<struct<bucket: int, base: int, units: array<string>>>"
+    return rows.mapInArrow(run, f"chunk long, digest long, {more}")
 
 
-def gathered(parts: DataFrame, coded: DataFrame, long_ids: Callable[[str], list[int]]) -> DataFrame:
-    """parts: bucket, chunk, base, units; coded: bucket, unit, ids of all but long units. chunk, base, n, sizes, ids: the ids of each part's units, compressed."""
+def gathered(parts: DataFrame, coded: DataFrame, rows: pd.DataFrame, characters: Characters, kind: int) -> DataFrame:
+    """parts: bucket, chunk, digest, base, units; coded: bucket, unit, tokens. chunk, digest, base, sizes, ids: the ids of each part's units, compressed."""
+    long_ids = long_encoder(rows, characters, kind)
 
     def run(parts: pd.DataFrame, coded: pd.DataFrame) -> pd.DataFrame:
-        known = {unit: i for i, unit in enumerate(coded["unit"])}
-        long = sorted({" " + x for units in parts["units"] for x in units if len(x) >= LONG})
-        known |= {unit: len(coded) + i for i, unit in enumerate(long)}
-        ids = [*coded["ids"], *(np.array(long_ids(x), np.int32) for x in long)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        table = np.concatenate([np.zeros(0, np.int32), *ids])
-        out = []
+        known = dict(zip(coded["unit"], coded["tokens"], strict=True))
+        number: dict[str, int] = {}
+        ids: list[list[int]] = []
+        places = []
         for units in parts["units"]:
-            place = np.fromiter((known[" " + x] for x in units), np.int64, len(units))
-            out.append((len(place), by_planes(sizes[place]), by_planes(spread(table, sizes, place)[0])))
-        n, each, ids = zip(*out, strict=True) if out else ((), (), ())
-        return pd.DataFrame({"chunk": parts["chunk"], "base": parts["base"], "n": n, "sizes": each, "ids": ids})
+            place = np.empty(len(units), np.int64)
+            for i, unit in enumerate(units):
+                at = number.get(unit)
+                if at is None:
+                    at = number[unit] = len(ids)
+                    own = " " + unit
+                    ids.append(long_ids(own) if len(own) > LONG else characters.unit(own, known[own].tolist() if own in known else ()))
+                place[i] = at
+            places.append(place)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        table = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        packed = [(by_planes(sizes[x]), by_planes(spread(table, sizes, x)[0])) for x in places]
+        return pd.DataFrame({"chunk": parts["chunk"], "digest": parts["digest"], "base": parts["base"], "sizes": [x for x, _ in packed], "ids": [x for _, x in packed]})
 
-    coded = coded.select(F.col("bucket").alias("dealt"), "unit", "ids")  # both sides come from one exchange: their columns need names of their own
-    return parts.groupBy("bucket").cogroup(coded.groupBy("dealt")).applyInPandas(run, "chunk long, base int, n int, sizes binary, ids binary")
+    coded = coded.select(F.col("bucket").alias("dealt"), "unit", "tokens")  # both sides come from one exchange: their columns need names of their own
+    return parts.groupBy("bucket").cogroup(coded.groupBy("dealt")).applyInPandas(run, "chunk long, digest long, base int, sizes binary, ids binary")
 
 
 def id_bytes(rows: pd.DataFrame, bytes_from: int, unknown: int) -> list[bytes]:
@@ -379,28 +412,32 @@ def spread(values: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> tuple[np
 
 def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -> DataFrame:
     """docs: doc_id, text. A row for each row: doc_id, n_tokens, ids_crc32 (little-endian unsigned 32-bit ids), and of the text that the ids decode
-    to its n_bytes and text_crc32 (UTF-8, without the first space); and ids if kept."""
+    to its n_bytes and text_crc32 (UTF-8, without the first space); and ids if kept. docs is read twice; its rows must come in the same
+    order within partitions (as from files), or an error is raised."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
     tables = Tables(own_session(spark), "lattice")
-    chunks = tables.write("chunks", chunk_rows(docs))
-    parts = chunks.select("chunk", F.explode("parts").alias("p")).select("p.bucket", "chunk", "p.base", "p.units").repartition("bucket")
+    chunks = tables.write("chunks", chunk_rows(docs, places=False))
+    parts = chunks.select("chunk", "digest", F.explode("parts").alias("p")).select("p.bucket", "chunk", "digest", "p.base", "p.units").repartition(max(8, PARTITIONS * chunks.count()), "bucket")
     #: All columns are looked at, and lengths come from the aggregate, so that no filter differs below the exchange: both uses of `parts` share it.
-    units = parts.select("bucket", "chunk", "base", F.explode_outer("units").alias("unit")).withColumn("unit", F.concat(F.lit(" "), "unit"))
-    units = units.groupBy("bucket", "unit").agg(F.min("chunk").alias("chunk"), F.min("base").alias("base"), F.max(F.length("unit")).alias("n")).filter("chunk >= 0 AND base >= 0").select("bucket", "unit", "n")
+    units = parts.select("bucket", "chunk", "digest", "base", F.explode_outer("units").alias("unit")).withColumn("unit", F.concat(F.lit(" "), "unit"))
+    looked = [F.min(c).alias(c) for c in ("chunk", "digest", "base")]
+    units = units.groupBy("bucket", "unit").agg(*looked, F.max(F.length("unit")).alias("n")).filter("chunk >= 0 AND digest >= 0 AND base >= 0").select("bucket", "unit", "n")
     rows, (first, unknown), kind = piece_rows(model_path), special_ids(model_path), model_type(model_path)
-    told = gathered(parts, fold_units(units, rows, first, unknown, kind), long_encoder(rows, first, unknown, kind))
+    told = gathered(parts, fold_units(units, rows, kind), rows, Characters(rows, first, unknown), kind)
     spelt = id_bytes(rows, first, unknown)
 
     def run(chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row, told = chunk.iloc[0], told.sort_values("base")
+        if (told["digest"] != row["digest"]).any():
+            raise RuntimeError("documents came in another order when they were read again")
         sizes, ids = (np.concatenate([np.zeros(0, np.int32), *map(from_planes, told[c])]) for c in ("sizes", "ids"))
         sizes = sizes.astype(np.int64)
         letters = [spelt[i] for i in ids]
         ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, letters), np.int64, len(letters)))))
         n_letters = np.diff(ends[np.concatenate(([0], np.cumsum(sizes)))])
         letters, ids = np.frombuffer(b"".join(letters), np.uint8), ids.astype(np.uint32)
-        place, counts = from_planes(row["order"])[from_planes(row["place"])], np.asarray(row["n_units"], np.int64)
+        place, counts = from_planes(row["place"]), np.asarray(row["n_units"], np.int64)
         own: list[np.ndarray] = []
         read: list[tuple[int, int]] = []
         bounds = np.concatenate(([0], np.cumsum(counts)))
@@ -412,11 +449,12 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
             own += [tokens[a:b] for a, b in zip(token_at[cuts][:-1], token_at[cuts][1:], strict=True)]
             read += [(max(0, b - a - 1), zlib.crc32(text[a + 1 : b])) for a, b in zip(text_at[cuts][:-1], text_at[cuts][1:], strict=True)]
             at = stop
+        trim()
         out = {"doc_id": pd.array(row["doc_id"], "Int64"), "n_tokens": [len(x) for x in own], "ids_crc32": [zlib.crc32(x) for x in own], "n_bytes": [n for n, _ in read], "text_crc32": [c for _, c in read]}
         return pd.DataFrame(out | ({"ids": [x.astype(np.int32) for x in own]} if keep_ids else {}))
 
     schema = "doc_id long, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long" + (", ids array<int>" if keep_ids else "")
-    again = tables.read("chunks", chunks.schema).select("chunk", "doc_id", "n_units", "place", "order")
+    again = chunk_rows(docs, places=True)  # split again: places take more room than texts
     out = keep(again.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, schema))
     tables.drop()
     return out

@@ -426,8 +426,11 @@ def test_viterbi_fold_equals_brute_force(spark):
         return ways[-1]
 
     back = {i: p for p, i in zip(table["piece"], table["id"], strict=True)}
-    for r in lattice.fold_units(spark.createDataFrame([(0, u, len(u)) for u in units], UNITS), table, 1000, 0, lattice.UNIGRAM).collect():
-        total = sum(score[back[i]] if i < 1000 else min(score.values()) - 10 for i in r.ids)
+    rows = lattice.fold_units(spark.createDataFrame([(0, u, len(u)) for u in units], UNITS), table, lattice.UNIGRAM).collect()
+    assert {r.unit for r in rows} == set(units)
+    for r in rows:
+        ids = lattice.Characters(table, 1000, 0).unit(r.unit, r.tokens)
+        total = sum(score[back[i]] if i < 1000 else min(score.values()) - 10 for i in ids)
         assert total == pytest.approx(best(r.unit))
 
 
@@ -452,7 +455,8 @@ def test_merges_fold_equals_brute_force_where_ranks_turn_back(spark):
             return [ranks[x][1] for x in t]
 
         df = spark.createDataFrame([(0, u, len(u)) for u in units], UNITS)
-        assert {r.unit: list(r.ids) for r in lattice.fold_units(df, table, 1000, 0).collect()} == {u: merged(u) for u in units}
+        found = {r.unit: r.tokens for r in lattice.fold_units(df, table).collect()}
+        assert {u: lattice.Characters(table, 1000, 0).unit(u, found.get(u, ())) for u in units} == {u: merged(u) for u in units}
         assert all([ranks[u[a:b]][1] for a, b in lattice.merged_spans(u, ranks)] == merged(u) for u in units)
         edges = lattice.edges_of(df, table.assign(late=table["piece"].isin(late)))
         turned += edges.filter(lattice.merge_cuts(F.col("edges"), F.col("n")) < 0).count()
@@ -465,12 +469,13 @@ def test_long_units_of_a_unigram_model_take_the_best_path(spark):
     score = {" ": -3.0, "a": -2.0, "b": -2.5, "ab": -3.0, " a": -4.0, "aba": -5.5}
     table = pd.DataFrame({"piece": list(score), "id": range(len(score)), "score": list(score.values())})
     unit = " " + "abxaab" * 9
-    short = lattice.fold_units(spark.createDataFrame([(0, unit, len(unit))], UNITS), table, -1, 7, lattice.UNIGRAM).first().ids
+    characters = lattice.Characters(table, -1, 7)
+    short = characters.unit(unit, lattice.fold_units(spark.createDataFrame([(0, unit, len(unit))], UNITS), table, lattice.UNIGRAM).first().tokens)
     ranks = {p: (s, i) for p, i, s in zip(table["piece"], table["id"], table["score"], strict=True)}
     path = lattice.best_path(unit, ranks, 3, -15.5)
     total = lambda ids: sum(-15.5 if i == 7 else table["score"][i] for i in ids)
     assert total(short) == pytest.approx(total([ranks[unit[a:b]][1] if unit[a:b] in ranks else 7 for a, b in path]))
-    longer = lattice.long_encoder(table, -1, 7, lattice.UNIGRAM)(unit * 3)
+    longer = lattice.long_encoder(table, characters, lattice.UNIGRAM)(unit * 3)
     assert len(longer) > 60 and set(longer) <= {*range(8)}
 
 
