@@ -116,13 +116,6 @@ def late_pieces(scores: dict[str, float]) -> set[str]:
 # ---- lattice
 
 
-def own_session(spark: SparkSession) -> SparkSession:
-    """A session with the same settings but one: rows that come in the order of their groups are aggregated as they come."""
-    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
-    own.conf.set("spark.sql.execution.useObjectHashAggregateExec", "false")
-    return own
-
-
 def power(bit: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))
 
@@ -316,7 +309,7 @@ def from_planes(raw: bytes) -> np.ndarray:
 
 def chunk_rows(docs: DataFrame, places: bool) -> DataFrame:
     """Runs of documents. Of each the distinct units (without their first space) by bucket: chunk, digest, parts, each with the number of its
-    first unit; or, with `places`: chunk, digest, doc_id, n_units and the number of each unit, compressed as place."""
+    first unit and its units in one string, between ▁ (no unit holds one); or, with `places`: chunk, digest, doc_id, n_units and the number of each unit, compressed as place."""
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,14 +346,14 @@ def chunk_rows(docs: DataFrame, places: bool) -> DataFrame:
                 else:
                     own, base = np.unique(bucket[dealt], return_index=True)
                     lists = pa.ListArray.from_arrays(pa.array([*base, len(units)], pa.int32()), units)
-                    arrays = [pa.StructArray.from_arrays([pa.array(own + task // BLOCK_TASKS * BUCKETS, pa.int32()), pa.array(base, pa.int32()), lists], names=["bucket", "base", "units"])]
+                    arrays = [pa.StructArray.from_arrays([pa.array(own + task // BLOCK_TASKS * BUCKETS, pa.int32()), pa.array(base, pa.int32()), pc.binary_join(lists, "▁")], names=["bucket", "base", "units"])]
                     rest, names = {}, ["parts"]
                 arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in arrays]
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([digest]), *arrays, *rest.values()], names=["chunk", "digest", *names, *rest])
                 chunk += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    more = "doc_id array<long>, n_units array<long>, place binary" if places else "parts array<struct<bucket: int, base: int, units: array<string>>>"
+    more = "doc_id array<long>, n_units array<long>, place binary" if places else "parts array<struct<bucket: int, base: int, units: string>>"
     return rows.mapInArrow(run, f"chunk long, digest long, {more}")
 
 
@@ -373,7 +366,7 @@ def gathered(parts: DataFrame, coded: DataFrame, rows: pd.DataFrame, characters:
         number: dict[str, int] = {}
         ids: list[list[int]] = []
         places = []
-        for units in parts["units"]:
+        for units in (x.split("▁") for x in parts["units"]):
             place = np.empty(len(units), np.int64)
             for i, unit in enumerate(units):
                 at = number.get(unit)
@@ -416,11 +409,11 @@ def encode_documents(docs: DataFrame, model_path: str, keep_ids: bool = False) -
     order within partitions (as from files), or an error is raised."""
     spark: SparkSession = docs.sparkSession
     ship(spark)
-    tables = Tables(own_session(spark), "lattice")
+    tables = Tables(spark, "lattice")
     chunks = tables.write("chunks", chunk_rows(docs, places=False))
     parts = chunks.select("chunk", "digest", F.explode("parts").alias("p")).select("p.bucket", "chunk", "digest", "p.base", "p.units").repartition(max(8, PARTITIONS * chunks.count()), "bucket")
     #: All columns are looked at, and lengths come from the aggregate, so that no filter differs below the exchange: both uses of `parts` share it.
-    units = parts.select("bucket", "chunk", "digest", "base", F.explode_outer("units").alias("unit")).withColumn("unit", F.concat(F.lit(" "), "unit"))
+    units = parts.select("bucket", "chunk", "digest", "base", F.explode_outer(F.split("units", "▁")).alias("unit")).withColumn("unit", F.concat(F.lit(" "), "unit"))
     looked = [F.min(c).alias(c) for c in ("chunk", "digest", "base")]
     units = units.groupBy("bucket", "unit").agg(*looked, F.max(F.length("unit")).alias("n")).filter("chunk >= 0 AND digest >= 0 AND base >= 0").select("bucket", "unit", "n")
     rows, (first, unknown), kind = piece_rows(model_path), special_ids(model_path), model_type(model_path)
