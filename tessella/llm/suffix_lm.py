@@ -2,12 +2,15 @@
 
 Contexts are up to DEPTH symbols long. One is retained if it occurs LEAST_COUNT times (less often in
 small corpora) and its next-symbol distribution diverges from that of its suffix by more than it costs
-to write down, so the model grows with the corpus. It is a table in SHARDS by the last two symbols of
-a context, which all longer contexts of a place share; only shorter contexts are broadcast. Counts are
-exact over all training documents. A text is scored by the longest retained suffix at each symbol: runs
-of texts ask the shards for the grams they hold. Null and empty texts are the end alone. Documents
-without an id are training documents; repeated rows count and are scored each for itself; columns other
-than doc_id and text are ignored.
+to write down, so the model grows with the corpus. Grams are counted exactly over all training documents
+and dealt to SHARDS by the last two symbols of their context, which all longer contexts of a place share:
+a shard tells its retained contexts on its own, and only contexts of under two symbols are shared by all
+(256 * 256 counts at most). A text is scored by the longest retained suffix at each symbol: runs of texts
+ask the shards for the grams they hold. Nothing of the model is on the driver or broadcast but those counts.
+
+Null and empty texts are the end alone. Documents without an id are training documents; repeated rows
+count and are scored each for itself; columns other than doc_id and text are ignored. docs is read
+several times; its rows must come in the same order within partitions (as from files), or an error is raised.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Tables, keep, settled, ship
+from .common import Tables, keep, settled, ship, trim
 from .shingles import slices, split_words
 
 DEPTH = 6
@@ -31,9 +35,12 @@ LEAST_COUNT, LEAST_SHARE = 20, 5e-6
 SHARDS = 512
 END = 0xFF  # no byte of UTF-8; also stands before each text
 FOLDS, HELD_OUT = 7, 2
-LANES = 16384
-CHUNK_BYTES = 8 << 20
-SCORE_BYTES = 8 << 20
+CHUNK_BYTES = 24 << 20
+SCORE_BYTES = 6 << 20
+#: Distinct grams that a task holds before it sends them on.
+HELD_GRAMS = 4 << 20
+#: Words are dealt to so many buckets, and to so many for each chunk's worth of text where that is more.
+BUCKETS, BUCKETS_A_CHUNK = 1024, 32
 #: An odd factor and its inverse modulo 2 ** 16.
 MIX = 40503
 UNMIX = pow(MIX, -1, 1 << 16)
@@ -64,136 +71,7 @@ def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return wide[real[DEPTH:]], np.diff(starts, append=len(stream) + DEPTH) - DEPTH
 
 
-def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct codes of the texts, and how often each occurs."""
-    return np.unique(codes_of(texts)[0], return_counts=True)
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """code, n over all texts."""
-
-    @settled
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(codes, kind="stable")
-            codes, n = codes[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
-            return codes[first], np.add.reduceat(n, first)
-
-        for batch in batches:
-            for _, part in slices(batch.column("text")):
-                held.append(grams(part))
-                if len(held) > 8:
-                    held = [merged()]
-        if held:
-            codes, n = merged()
-            for at in range(0, len(codes), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + (1 << 18)].view(np.int64)), pa.array(n[at : at + (1 << 18)])], names=["code", "n"])
-
-    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def frequent(counted: DataFrame, total: int) -> DataFrame:
-    """k, ctx, sym, n, all: the next-symbol counts of the contexts that are frequent enough."""
-    ctx = lambda k: F.shiftrightunsigned("code", 8).bitwiseAND(F.lit((1 << (8 * k)) - 1))
-    places = F.array(*(F.struct(F.lit(k).alias("k"), ctx(k).alias("ctx")) for k in range(DEPTH + 1)))
-    rows = counted.select(F.explode(places).alias("p"), F.col("code").bitwiseAND(F.lit(0xFF)).alias("sym"), "n")
-    rows = rows.groupBy("p.k", "p.ctx", "sym").agg(F.sum("n").alias("n"))
-    of_ctx = Window.partitionBy("k", "ctx")  # at most SYMBOLS rows each
-    rows = rows.withColumn("all", F.sum("n").over(of_ctx)).filter((F.col("k") == 0) | (F.col("all") >= F.lit(max(2, min(LEAST_COUNT, LEAST_SHARE * total)))))
-    return rows.select("k", "ctx", "sym", "n", "all")
-
-
-def divergent(rows: DataFrame) -> DataFrame:
-    """k, ctx of the contexts that gain more by their own distribution than half a log of their count for each symbol."""
-    parent = rows.select((F.col("k") + 1).alias("k"), F.col("ctx").alias("up"), "sym", F.col("n").alias("un"), F.col("all").alias("uall"))
-    mask = F.expr("CASE k " + " ".join(f"WHEN {k} THEN {(1 << (8 * (k - 1))) - 1}L" for k in range(1, DEPTH + 1)) + " END")
-    both = rows.filter("k > 0").withColumn("up", F.col("ctx").bitwiseAND(mask)).join(parent, ["k", "up", "sym"])
-    gain = F.sum(F.col("n") * F.ln((F.col("n") / F.col("all")) / (F.col("un") / F.col("uall"))))
-    tested = both.groupBy("k", "ctx").agg(gain.alias("gain"), F.count("*").alias("symbols"), F.first("all").alias("all"))
-    return tested.filter(F.col("gain") > 0.5 * F.col("symbols") * F.ln("all")).select("k", "ctx")
-
-
-class Automaton:
-    """A model in memory, for what is small: next state and log10 probability for each state and symbol; state 0 is the empty context."""
-
-    def __init__(self, rows: pd.DataFrame):
-        """rows: k, ctx, sym, n, all of the retained contexts and of the empty one."""
-        k, ctx, sym, n, total = (rows[c].to_numpy() for c in ("k", "ctx", "sym", "n", "all"))
-        order = np.lexsort((sym, ctx, k))
-        k, ctx, sym, n, total = k[order], ctx[order], sym[order], n[order], total[order]
-        seen = np.unique(np.append(sym, END))
-        self.symbol = np.full(SYMBOLS, len(seen), np.int16)  # all unseen bytes are one column
-        self.symbol[seen] = np.arange(len(seen))
-        self.width = len(seen) + 1
-        first = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (ctx[1:] != ctx[:-1]))))[: len(k)]
-        name = lambda i: int(ctx[i]).to_bytes(8, "big")[8 - k[i] :] if k[i] else b""
-        bounds = [*first.tolist(), len(k)]
-        own = {name(a): (a, b) for a, b in zip(bounds[:-1], bounds[1:], strict=True)}
-        states = {b""}
-        for c in own:
-            states.update(c[x:y] for x in range(len(c)) for y in range(x + 1, len(c) + 1))
-        listed = sorted(states, key=lambda c: (len(c), c))
-        place = {c: i for i, c in enumerate(listed)}
-        child: dict[int, list[int]] = {}
-        for i, c in enumerate(listed):
-            if c:
-                child.setdefault(place[c[:-1]], []).append(i)
-        self.next = np.zeros((len(listed), self.width), np.int32)
-        self.log = np.zeros((len(listed), self.width), np.float32)  # chances, until all are known
-        for i, c in enumerate(listed):
-            a, b = own.get(c, (0, 0))
-            mine = self.symbol[sym[a:b]]
-            if not c:
-                p = np.ones(self.width)
-                p[mine] += n[a:b]
-                p /= (total[a] if b else 0) + SYMBOLS
-            else:
-                up = place[c[1:]]
-                self.next[i] = self.next[up]
-                p = self.log[up].astype(np.float64)
-                if b:
-                    p *= b - a
-                    p[mine] += n[a:b]
-                    p /= total[a] + b - a
-            self.log[i] = p
-            for t in child.get(i, ()):
-                self.next[i, self.symbol[listed[t][-1]]] = t
-        np.log10(self.log, out=self.log)
-        start = 0
-        for _ in range(DEPTH):
-            start = self.next[start, self.symbol[END]]
-        self.start = int(start)
-        self.next[:, self.symbol[END]] = start
-
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        return np.concatenate([np.zeros(0), *(self._scores(part) for _, part in slices(texts, SCORE_BYTES))])
-
-    def _scores(self, texts: pa.Array) -> np.ndarray:
-        stream, starts = byte_stream(texts, 0)
-        lanes = min(LANES, -(-len(stream) // (4 * DEPTH)))
-        steps = -(-len(stream) // lanes)
-        padded = np.full(DEPTH + lanes * steps, END, np.uint8)
-        padded[DEPTH : DEPTH + len(stream)] = stream
-        padded = self.symbol[padded]
-        at = np.arange(lanes) * steps
-        state = np.full(lanes, self.start, np.int64)
-        state[1:] = 0
-        flat, logs = self.next.ravel(), self.log.ravel()
-        gained = np.empty((steps, lanes), np.float32)
-        for t in range(DEPTH + steps):
-            cell = state * self.width + padded[at + t]
-            if t >= DEPTH:
-                np.take(logs, cell, out=gained[t - DEPTH])
-            state = flat[cell].astype(np.int64)
-            if t == DEPTH - 1:
-                state[0] = self.start
-        each = gained.T.ravel()[: len(stream)].astype(np.float64)
-        return np.add.reduceat(each, starts)
+# ---- counting
 
 
 def turned(codes: np.ndarray) -> np.ndarray:
@@ -207,157 +85,332 @@ def turned_back(codes: np.ndarray) -> np.ndarray:
     return (codes >> np.uint64(8) & np.uint64(0xFFFFFFFF)) << np.uint64(24) | key << np.uint64(8) | codes & np.uint64(0xFF)
 
 
-def shard_of(ctx: Column) -> Column:
-    key = (ctx.bitwiseAND(F.lit(0xFFFF)) * F.lit(MIX)).bitwiseAND(F.lit(0xFFFF))
-    return F.shiftright(key * F.lit(SHARDS), 16).cast("int")
-
-
 def squeezed(values: np.ndarray) -> bytes:
     """Numbers as bytes, like places of all together."""
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def spread(raw: bytes, n: int, kind: type) -> np.ndarray:
     size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
     planes = np.frombuffer(pa.decompress(raw, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def merged(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes, sorted, with the sums of their counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))[: len(codes)]
+    return codes[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def by_shard(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shards of turned, sorted codes, and the bounds of each one's run."""
+    shards = ((codes >> np.uint64(40)) * np.uint64(SHARDS) >> np.uint64(16)).astype(np.int32)
+    bounds = np.concatenate(([0], np.flatnonzero(np.diff(shards)) + 1, [len(codes)])) if len(codes) else np.zeros(1, np.int64)
+    return shards[bounds[:-1]], bounds
+
+
+def count_grams(docs: DataFrame) -> DataFrame:
+    """docs: text. shard, n, codes, counts: the distinct grams of some texts that belong to a shard; and as shard -1 how often each symbol follows each."""
+
+    @settled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        pairs = np.zeros(1 << 16, np.int64)
+
+        def rows(shards: np.ndarray, bounds: np.ndarray, codes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            at = list(zip(bounds[:-1], bounds[1:], strict=True))
+            packed = [[squeezed(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in at], [squeezed(n[a:b].astype(np.int32)) for a, b in at]]
+            return pa.RecordBatch.from_arrays([pa.array(shards), pa.array(np.diff(bounds).astype(np.int32)), *(pa.array(x, pa.binary()) for x in packed)], names=["shard", "n", "codes", "counts"])
+
+        def sent() -> pa.RecordBatch:
+            codes, n = merged(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            held.clear()
+            return rows(*by_shard(codes), codes, n)
+
+        for batch in batches:
+            for _, part in slices(batch.column("text"), SCORE_BYTES):
+                codes, n = np.unique(turned(codes_of(part)[0]), return_counts=True)
+                pairs += np.bincount((turned_back(codes) & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64)
+                held.append((codes, n))
+                if sum(len(x) for x, _ in held) > HELD_GRAMS:
+                    held[:] = [merged(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                    if len(held[0][0]) > HELD_GRAMS // 2:
+                        yield sent()
+        if held:
+            yield sent()
+        seen = np.flatnonzero(pairs)
+        if len(seen):
+            yield rows(np.array([-1], np.int32), np.array([0, len(seen)]), seen.astype(np.uint64), pairs[seen])
+
+    return docs.select("text").mapInArrow(run, "shard int, n int, codes binary, counts binary")
+
+
+def unpacked(codes: bytes, counts: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(spread(codes, n, np.uint64), dtype=np.uint64), spread(counts, n, np.int32).astype(np.int64)
+
+
+def pair_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """code (symbol before, symbol), n over all training texts: at most 256 * 256 rows come to the driver."""
+
+    @settled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                codes, n = unpacked(row["codes"], row["counts"], row["n"])
+                yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int64)), pa.array(n)], names=["code", "n"])
+
+    rows = grams.filter("shard = -1").select("n", "codes", "counts").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    found = rows.toPandas().sort_values("code")
+    return found["code"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
+
+
+# ---- the tree
+
+
+class Level:
+    """All contexts of one length: which symbols follow each how often. pairs: (context, symbol) codes, sorted."""
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray):
+        self.pairs, self.n = pairs, n
+        ctx = pairs >> np.uint64(8)
+        self.first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1])))[: len(pairs)]
+        self.names = ctx[self.first]
+        self.symbols = np.diff(self.first, append=len(pairs))
+        self.total = np.add.reduceat(n, self.first) if len(self.first) else n
+
+    def suffixes(self, k: int) -> Level:
+        """The level of contexts of k symbols."""
+        return Level(*merged(self.pairs & np.uint64((1 << (8 * (k + 1))) - 1), self.n))
+
+    def retained(self, shorter: Level, k: int, least: float) -> Level:
+        """The contexts of k symbols that occur often enough and gain more by their own distribution than half a log of their count for each
+        symbol. shorter: the level of their suffixes."""
+        at = np.searchsorted(shorter.pairs, self.pairs & np.uint64((1 << (8 * k)) - 1))
+        owner = np.repeat(np.arange(len(shorter.names)), shorter.symbols)[at]
+        every = np.repeat(self.total, self.symbols)
+        gain = self.n * np.log((self.n / every) / (shorter.n[at] / shorter.total[owner]))
+        gain = np.add.reduceat(gain, self.first) if len(self.first) else gain
+        kept = np.repeat((self.total >= least) & (gain > 0.5 * self.symbols * np.log(self.total)), self.symbols)
+        return Level(self.pairs[kept], self.n[kept])
+
+
 class Contexts:
-    """The chances of next symbols by the contexts of at least one length, looked up in sorted arrays."""
-
-    def __init__(self, k: np.ndarray, ctx: np.ndarray, sym: np.ndarray, n: np.ndarray, total: np.ndarray):
-        """Rows of retained contexts, in any order."""
-        self.levels = []
-        pair = (ctx.astype(np.uint64) << np.uint64(8)) | sym.astype(np.uint64)
-        for level in np.unique(k):
-            own = np.flatnonzero(k == level)
-            own = own[np.argsort(pair[own])]
-            names, first, symbols = np.unique(pair[own] >> np.uint64(8), return_index=True, return_counts=True)
-            self.levels.append((int(level), names, total[own][first].astype(float), symbols.astype(float), pair[own], n[own].astype(float)))
+    """Retained contexts of some lengths, looked up in sorted arrays."""
+
+    def __init__(self, levels: list[tuple[int, Level]]):
+        self.levels = [(k, x) for k, x in sorted(levels, key=lambda x: x[0]) if len(x.names)]
+
+    @classmethod
+    def of(cls, k: np.ndarray, pairs: np.ndarray, n: np.ndarray) -> Contexts:
+        return cls([(int(x), Level(pairs[k == x], n[k == x])) for x in np.unique(k)])
 
     def fold(self, codes: np.ndarray, p: np.ndarray) -> np.ndarray:
         """p: the chances by shorter contexts. Those by the longest retained context of each code."""
-        for level, names, total, symbols, pairs, n in self.levels:
-            part = codes & np.uint64((1 << (8 * (level + 1))) - 1)
-            at = np.minimum(np.searchsorted(names, part >> np.uint64(8)), len(names) - 1)
-            hit = np.flatnonzero(names[at] == part >> np.uint64(8))
+        for k, level in self.levels:
+            part = codes & np.uint64((1 << (8 * (k + 1))) - 1)
+            at = np.minimum(np.searchsorted(level.names, part >> np.uint64(8)), len(level.names) - 1)
+            hit = np.flatnonzero(level.names[at] == part >> np.uint64(8))
             at, part = at[hit], part[hit]
-            place = np.minimum(np.searchsorted(pairs, part), len(pairs) - 1)
-            seen = np.where(pairs[place] == part, n[place], 0.0)
-            p[hit] = seen + (symbols[at] * p[hit] if level else 1.0)
-            p[hit] /= total[at] + (symbols[at] if level else SYMBOLS)
+            place = np.minimum(np.searchsorted(level.pairs, part), len(level.pairs) - 1)
+            seen = np.where(level.pairs[place] == part, level.n[place], 0).astype(float)
+            p[hit] = seen + (level.symbols[at] * p[hit] if k else 1.0)
+            p[hit] /= level.total[at] + (level.symbols[at] if k else SYMBOLS)
         return p
 
 
-def train(docs: DataFrame, tables: Tables) -> tuple[pd.DataFrame, DataFrame]:
-    """docs: text. The contexts of under two symbols, and the longer ones as a row for each shard: shard, rows."""
-    counted = tables.write("grams", count_grams(docs))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    rows = tables.write("contexts", frequent(counted, total))
+def least_count(total: int) -> float:
+    return max(2, min(LEAST_COUNT, LEAST_SHARE * total))
+
+
+def short_contexts(pairs: np.ndarray, n: np.ndarray) -> Contexts:
+    """The empty context and the retained ones of one symbol."""
+    one = Level(pairs, n)
+    none = one.suffixes(0)
+    return Contexts([(0, none), (1, one.retained(none, 1, least_count(int(n.sum()))))])
+
+
+def shard_levels(codes: np.ndarray, n: np.ndarray, pairs: np.ndarray, pair_n: np.ndarray) -> list[tuple[int, Level]]:
+    """The retained contexts of two symbols and more among a shard's grams."""
+    least = least_count(int(pair_n.sum()))
+    level, out = Level(codes, n), []
+    for k in range(DEPTH, 1, -1):
+        shorter = level.suffixes(k - 1) if k > 2 else Level(pairs, pair_n)
+        out.append((k, level.retained(shorter, k, least)))
+        level = shorter
+    return out
+
+
+MODEL = "shard int, m int, k binary, pairs binary, n binary"
+
+
+def train(docs: DataFrame, tables: Tables) -> tuple[np.ndarray, np.ndarray, DataFrame]:
+    """docs: text. The counts of symbol pairs, and a row for each shard of the tree: the retained (context, symbol) codes with length and count."""
+    grams = tables.write("grams", count_grams(docs))
+    pairs, pair_n = pair_counts(grams)
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        codes, n = zip(*(unpacked(*x) for x in zip(rows["codes"], rows["counts"], rows["n"], strict=True)), strict=True)
+        levels = shard_levels(*merged(turned_back(np.concatenate(codes)), np.concatenate(n)), pairs, pair_n)
+        k = np.repeat([k for k, _ in levels], [len(x.pairs) for _, x in levels]).astype(np.uint8)
+        columns = [k, np.concatenate([x.pairs for _, x in levels]), np.concatenate([x.n for _, x in levels])]
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "m": [len(k)]} | {c: [squeezed(x)] for c, x in zip(("k", "pairs", "n"), columns, strict=True)})
+
+    model = tables.write("model", grams.filter("shard >= 0").groupBy("shard").applyInPandas(run, MODEL))
     tables.drop("grams")
-    kept = divergent(rows).unionByName(rows.filter("k = 0").select("k", "ctx").distinct())
-    found = tables.write("found", rows.join(kept, ["k", "ctx"], "left_semi"))
-    tables.drop("contexts")
-    short = found.filter("k < 2").toPandas()  # at most SYMBOLS + 1 contexts
-    return short, found.filter("k >= 2").groupBy(shard_of(F.col("ctx")).alias("shard")).agg(F.collect_list(F.struct("k", "ctx", "sym", "n", "all")).alias("rows"))
+    return pairs, pair_n, model
 
 
-def questions(chunks: DataFrame) -> DataFrame:
+# ---- scoring
+
+
+def questions(docs: DataFrame) -> DataFrame:
     """shard, chunk, part, n, codes: the distinct codes of each part of a chunk's texts, by the shard that knows them."""
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, texts in zip(batch.column("chunk"), batch.column("texts"), strict=True):
-                for part, (_, own) in enumerate(slices(pa.array(texts.as_py(), pa.large_string()), SCORE_BYTES)):
-                    codes = turned(np.unique(codes_of(own)[0]))
-                    codes.sort()
-                    shards = ((codes >> np.uint64(40)) * np.uint64(SHARDS) >> np.uint64(16)).astype(np.int32)
-                    bounds = np.concatenate(([0], np.flatnonzero(np.diff(shards)) + 1, [len(codes)]))
-                    packed = [squeezed(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    m = len(packed)
-                    yield pa.RecordBatch.from_arrays([pa.array(shards[bounds[:-1]]), pa.array([chunk.as_py()] * m, pa.int64()), pa.array([part] * m, pa.int32()), pa.array(np.diff(bounds).astype(np.int32)), pa.array(packed, pa.binary())], names=["shard", "chunk", "part", "n", "codes"])
+        for chunk, _, texts in chunks_of(batches):
+            for part, (_, own) in enumerate(slices(texts, SCORE_BYTES)):
+                codes = np.unique(turned(codes_of(own)[0]))
+                shards, bounds = by_shard(codes)
+                packed = [squeezed(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                m = len(packed)
+                yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array([chunk] * m, pa.int64()), pa.array([part] * m, pa.int32()), pa.array(np.diff(bounds).astype(np.int32)), pa.array(packed, pa.binary())], names=["shard", "chunk", "part", "n", "codes"])
 
-    return chunks.select("chunk", "texts").mapInArrow(run, "shard int, chunk long, part int, n int, codes binary")
+    return docs.mapInArrow(run, "shard int, chunk long, part int, n int, codes binary")
 
 
-def answers(asked: DataFrame, shards: DataFrame, short) -> DataFrame:
-    """chunk, part, shard, n, logs: log10 of the chances of each code asked for. A shard's rows come before its questions."""
-    known = shards.select("shard", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("codes"), "rows")
-    rows = asked.withColumn("rows", F.lit(None).cast(known.schema["rows"].dataType)).unionByName(known)
+def answers(asked: DataFrame, model: DataFrame, pairs: np.ndarray, pair_n: np.ndarray) -> DataFrame:
+    """chunk, part, shard, n, m, values, which: log10 of the chances of each code asked for. A shard's contexts come before its questions."""
+    known = model.select("shard", F.lit(-1).cast("long").alias("chunk"), F.lit(0).alias("part"), F.col("m").alias("n"), F.col("pairs").alias("codes"), "k", F.col("n").alias("counts"))
+    rows = asked.withColumn("k", F.lit(None).cast("binary")).withColumn("counts", F.lit(None).cast("binary")).unionByName(known)
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = lambda x: [x[c].to_numpy() if isinstance(x, pd.DataFrame) else x.field(c).to_numpy(zero_copy_only=False) for c in ("k", "ctx", "sym", "n", "all")]
-        low, own, now = Contexts(*of(short.value)), None, None
+        low, own, now = short_contexts(pairs, pair_n), None, None
         for batch in batches:
-            shard, chunk, sizes = (batch.column(c).to_numpy() for c in ("shard", "chunk", "n"))
-            out: list[bytes | None] = [None] * batch.num_rows
-            for i in range(batch.num_rows):
-                if chunk[i] < 0:
-                    own, now = Contexts(*of(batch.column("rows")[i].values)), shard[i]
+            out: list[tuple] = []
+            for shard, chunk, part, n, raw, k, counts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if chunk < 0:
+                    own, now = Contexts.of(spread(k, n, np.uint8), spread(raw, n, np.uint64), spread(counts, n, np.int64)), shard
                     continue
-                codes = turned_back(np.cumsum(spread(batch.column("codes")[i].as_py(), int(sizes[i]), np.uint64), dtype=np.uint64))
+                codes = turned_back(np.cumsum(spread(raw, n, np.uint64), dtype=np.uint64))
                 p = low.fold(codes, np.full(len(codes), 1.0 / SYMBOLS))
-                if now == shard[i]:
+                if now == shard:
                     p = own.fold(codes, p)
-                out[i] = squeezed(np.log10(p).astype(np.float32))
-            real = pa.array(chunk >= 0)
-            columns = [*(batch.column(c) for c in ("chunk", "part", "shard", "n")), pa.array(out, pa.binary())]
-            yield pa.RecordBatch.from_arrays([c.filter(real) for c in columns], names=["chunk", "part", "shard", "n", "logs"])
+                values, which = np.unique(np.log10(p).astype(np.float32), return_inverse=True)
+                out.append((chunk, part, shard, n, len(values), squeezed(values), squeezed(which.astype(np.int32))))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=["chunk", "part", "shard", "n", "m", "values", "which"])
 
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "chunk", "part")
-    return rows.mapInArrow(run, "chunk long, part int, shard int, n int, logs binary")
+    rows = rows.select("shard", "chunk", "part", "n", "codes", "k", "counts").repartition("shard").sortWithinPartitions("shard", "chunk", "part")
+    return rows.mapInArrow(run, "chunk long, part int, shard int, n int, m int, values binary, which binary")
 
 
 def scored(texts: pa.Array, told: pd.DataFrame) -> np.ndarray:
     """log10 probability of each text of a chunk, from the answers to all its questions."""
     told = told.sort_values(["part", "shard"])
-    out = []
+    out = [np.zeros(0)]
     for part, (_, own) in enumerate(slices(texts, SCORE_BYTES)):
         codes, counts = codes_of(own)
         codes = turned(codes)
         order = np.argsort(codes)
         codes = codes[order]
-        place = np.cumsum(np.concatenate(([False], codes[1:] != codes[:-1])))
+        place = np.cumsum(np.concatenate(([False], codes[1:] != codes[:-1])), dtype=np.int32)
+        del codes
         mine = told[told["part"] == part]
-        logs = np.concatenate([spread(x, int(n), np.float32) for x, n in zip(mine["logs"], mine["n"], strict=True)])
-        assert len(logs) == place[-1] + 1
-        each = np.empty(len(codes))
+        logs = np.concatenate([spread(v, int(m), np.float32)[spread(w, int(n), np.int32)] for v, w, n, m in zip(mine["values"], mine["which"], mine["n"], mine["m"], strict=True)])
+        if len(logs) != place[-1] + 1:
+            raise RuntimeError("documents came in another order when they were read again")
+        each = np.empty(len(place))
         each[order] = logs[place]
+        del order, place
         out.append(np.add.reduceat(each, np.cumsum(counts) - counts))
-    return np.concatenate([np.zeros(0), *out])
+    return np.concatenate(out)
+
+
+# ---- words
 
 
-CHUNK = "chunk long, words array<string>, train array<long>, doc_id array<long>, held array<boolean>, n_tokens array<long>, texts array<string>, distinct array<long>, word array<int>, times array<int>"
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, pa.Array], pa.Array]]:
+    """chunk, the other columns, texts: runs of documents of some CHUNK_BYTES, numbered alike whenever the rows are read. All readers take the
+    same columns, since the order after a repartition can depend on them."""
+    chunk = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        for at, part in slices(batch.column("text"), CHUNK_BYTES):
+            yield chunk, {c: batch.column(c).slice(at, len(part)) for c in batch.schema.names if c != "text"}, part
+            chunk += 1
 
 
-def chunk_rows(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, held. A row for each run of documents of some CHUNK_BYTES: its distinct words with their counts in
-    training documents, and for each document its text and the words it has."""
+def words_of(texts: pa.Array, buckets: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The distinct words by bucket, their buckets; the number of each word of the texts, how many each text has; and a digest of the words."""
+    flat, counts = split_words(texts)
+    coded = flat.dictionary_encode()
+    index, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    bucket = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % buckets).astype(np.int32)
+    dealt = pc.sort_indices(pa.table({"b": bucket, "w": words}), sort_keys=[("b", "ascending"), ("w", "ascending")]).to_numpy()
+    number = np.empty(len(words), np.int64)
+    number[dealt] = np.arange(len(words))
+    words = words.take(pa.array(dealt)).cast(pa.string())
+    return words, bucket[dealt], number[index], counts, xxhash.xxh64_intdigest("\n".join(words.to_pylist()).encode()) >> 1
+
+
+def word_parts(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs: text, held. bucket, chunk, digest, base, words, train: the distinct words of a chunk in a bucket, the number of the first, and how
+    often each stands in training documents."""
 
     @settled
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            for at, part in slices(batch.column("text"), CHUNK_BYTES):
-                doc_id, held = (batch.column(c).slice(at, len(part)) for c in ("doc_id", "held"))
-                flat, counts = split_words(part)
-                coded = flat.dictionary_encode()
-                index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-                doc = np.repeat(np.arange(len(part)), counts)
-                own, times = np.unique(doc * max(1, len(coded.dictionary)) + index, return_counts=True)
-                doc, word = np.divmod(own, max(1, len(coded.dictionary)))
-                training = ~held.to_numpy(zero_copy_only=False).astype(bool)
-                train = np.bincount(word, times * training[doc], len(coded.dictionary)).astype(np.int64)
-                columns = [coded.dictionary.cast(pa.string()), pa.array(train), doc_id, held, pa.array(counts + 1), part.cast(pa.string()), pa.array(np.bincount(doc, minlength=len(part))), pa.array(word.astype(np.int32)), pa.array(times.astype(np.int32))]
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), *lists], names=["chunk", "words", "train", "doc_id", "held", "n_tokens", "texts", "distinct", "word", "times"])
-                chunk += 1
-
-    return docs.mapInArrow(run, CHUNK)
+        for chunk, columns, texts in chunks_of(batches):
+            words, bucket, index, counts, digest = words_of(texts, buckets)
+            training = np.repeat(~columns["held"].to_numpy(zero_copy_only=False).astype(bool), counts)
+            train = np.bincount(index[training], minlength=len(words)).astype(np.int32)
+            own, base = np.unique(bucket, return_index=True)
+            ends = pa.array([*base, len(words)], pa.int32())
+            lists = [pc.binary_join(pa.ListArray.from_arrays(ends, words), " "), pa.ListArray.from_arrays(ends, pa.array(train))]
+            m = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([chunk] * m, pa.int64()), pa.array([digest] * m, pa.int64()), pa.array(base, pa.int32()), *(x.slice(0, m) for x in lists)], names=["bucket", "chunk", "digest", "base", "words", "train"])
+
+    return docs.mapInArrow(run, "bucket int, chunk long, digest long, base int, words string, train array<int>")
+
+
+def word_counts(parts: DataFrame) -> DataFrame:
+    """chunk, digest, base, m, c (how often each word of the part stands in all training documents), and for the bucket's first row n and v:
+    the words and distinct words of training documents in the bucket."""
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        number: dict[str, int] = {}
+        places = [np.fromiter((number.setdefault(w, len(number)) for w in x.split(" ")), np.int64) for x in parts["words"]]
+        c = np.bincount(np.concatenate(places), np.concatenate([*parts["train"]]), len(number)).astype(np.int64)
+        one = np.zeros(len(parts), np.int64)
+        one[0] = 1
+        return pd.DataFrame({"chunk": parts["chunk"], "digest": parts["digest"], "base": parts["base"], "m": [len(x) for x in places], "c": [squeezed(c[x]) for x in places], "n": one * c.sum(), "v": one * (c > 0).sum()})
+
+    return parts.groupBy("bucket").applyInPandas(run, "chunk long, digest long, base int, m int, c binary, n long, v long")
+
+
+def whole_chunks(docs: DataFrame, buckets: int) -> DataFrame:
+    """docs: doc_id, held, text. A row for each chunk: its documents' texts, compressed, and the words that each has."""
+
+    @settled
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, columns, texts in chunks_of(batches):
+            words, _, index, counts, digest = words_of(texts, buckets)
+            own, times = np.unique(np.repeat(np.arange(len(texts)), counts) * max(1, len(words)) + index, return_counts=True)
+            doc, word = np.divmod(own, max(1, len(words)))
+            sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            raw = b"".join(x.as_buffer().to_pybytes() for x in texts)
+            lists = [columns["doc_id"], columns["held"], pa.array(counts + 1), pa.array(sizes), pa.array(np.bincount(doc, minlength=len(texts)))]
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists]
+            packed = [squeezed(word.astype(np.int32)), squeezed(times.astype(np.int32)), pa.compress(raw, codec="zstd", asbytes=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([digest]), *arrays, *(pa.array([x], pa.binary()) for x in packed)], names=["chunk", "digest", "doc_id", "held", "n_tokens", "sizes", "distinct", "word", "times", "raw"])
+
+    arrays = "doc_id array<long>, held array<boolean>, n_tokens array<long>, sizes array<long>, distinct array<long>"
+    return docs.mapInArrow(run, f"chunk long, digest long, {arrays}, word binary, times binary, raw binary")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -367,40 +420,41 @@ def score_documents(docs: DataFrame) -> DataFrame:
     tables = Tables(spark, "suffix-lm")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held"))
-    short, shards = train(rows.filter("NOT held"), tables)
-    chunks = tables.write("chunks", chunk_rows(rows))
-    told = tables.write("told", answers(questions(chunks), shards, spark.sparkContext.broadcast(short)))
-    tables.drop("found")
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("at", "w")).select("chunk", "at", "w.words", "w.train")
-    same = Window.partitionBy("words")  # as many rows as chunks that have the word
-    words = words.select("chunk", "at", F.sum("train").over(same).alias("c"), (F.min("chunk").over(same) == F.col("chunk")).alias("first"), "train")
-    words = tables.write("words", words)
-    n, v = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("first") & (F.col("c") > 0))).first()
-    ends = chunks.select(F.size(F.filter("held", lambda x: ~x)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs, pair_n, model = train(rows.filter("NOT held"), tables)
+    buckets = max(BUCKETS, BUCKETS_A_CHUNK * (int(pair_n.sum()) // CHUNK_BYTES + 1))
+    words = tables.write("words", word_counts(word_parts(rows, buckets)))
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    ends = rows.filter("NOT held").count()
     n, v = n + ends, v + (ends > 0)
+    told = answers(questions(rows), model, pairs, pair_n)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def base(chunk: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-        row, told = chunk.iloc[0], words[words["logs"].notna()]
-        words = words[words["logs"].isna()]
-        c = np.zeros(len(words) + 1, np.int64)
-        c[words["at"].to_numpy(np.int64)] = words["c"].to_numpy(np.int64)
+    def run(chunk: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        row, told = chunk.iloc[0], rows[rows["c"].isna()]
+        rows = rows[rows["c"].notna()].sort_values("base")
+        if (rows["digest"] != row["digest"]).any():
+            raise RuntimeError("documents came in another order when they were read again")
+        c = np.concatenate([np.zeros(0, np.int64), *(spread(x, int(m), np.int64) for x, m in zip(rows["c"], rows["m"], strict=True))])
         logs = np.log10((c + 1.0) / (n + v + 1.0))
-        doc = np.repeat(np.arange(len(row["n_tokens"])), row["distinct"])
-        word, times = np.asarray(row["word"], np.int64), np.asarray(row["times"], np.int64)
-        docs = len(row["n_tokens"])
-        return pd.DataFrame({
+        counts, m = np.asarray(row["n_tokens"]), int(np.sum(row["distinct"]))
+        doc = np.repeat(np.arange(len(counts)), row["distinct"])
+        word, times = spread(row["word"], m, np.int32), spread(row["times"], m, np.int32)
+        sizes = np.asarray(row["sizes"], np.int64)
+        raw = pa.decompress(row["raw"], int(sizes.sum()), codec="zstd") if sizes.sum() else pa.py_buffer(b"")
+        texts = pa.Array.from_buffers(pa.large_string(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)), raw])
+        out = pd.DataFrame({
             "doc_id": pd.array(row["doc_id"], "Int64"),
             "held_out": np.asarray(row["held"], bool),
-            "n_tokens": row["n_tokens"],
-            "n_known": np.bincount(doc, times * (c[word] > 0), docs).astype(np.int64) + int(ends > 0),
+            "n_tokens": counts,
+            "n_known": np.bincount(doc, times * (c[word] > 0), len(counts)).astype(np.int64) + int(ends > 0),
             "train_tokens": n,
-            "base_score": np.bincount(doc, times * logs[word], docs) + np.log10((ends + 1.0) / (n + v + 1.0)),
-            "score": scored(pa.array(row["texts"], pa.large_string()), told),
+            "base_score": np.bincount(doc, times * logs[word], len(counts)) + np.log10((ends + 1.0) / (n + v + 1.0)),
+            "score": scored(texts, told),
         })
+        trim()
+        return out
 
-    sides = words.select("chunk", "at", "c").unionByName(told, allowMissingColumns=True)
-    out = chunks.drop("words", "train").groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInPandas(base, schema)
-    out = keep(out)
+    sides = words.select("chunk", "digest", "base", "m", "c").unionByName(told, allowMissingColumns=True)
+    out = keep(whole_chunks(rows, buckets).groupBy("chunk").cogroup(sides.groupBy("chunk")).applyInPandas(run, schema))
     tables.drop()
     return out

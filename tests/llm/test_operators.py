@@ -504,42 +504,56 @@ def test_base_score_equals_brute_force_and_held_out_is_even(spark, docs, texts):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_automaton_takes_the_longest_retained_context():
-    import pandas as pd
-    import pyarrow as pa
-
-    rng = random.Random(3)
-    corpus = [prose(rng, 60).translate(LOW) for _ in range(20)]
-    counts: Counter = Counter()
+def plain_tree(corpus):
+    """Counts by context, the contexts that the rules retain, and the chance of a symbol after a context: everything by dictionaries."""
+    counts: dict = {}
     for t in corpus:
-        s = b"\xff" * suffix_lm.DEPTH + t.encode() + b"\xff"
+        s = b"\xff" * suffix_lm.DEPTH + (t or "").translate(LOW).encode() + b"\xff"
         for i in range(suffix_lm.DEPTH, len(s)):
             for k in range(suffix_lm.DEPTH + 1):
-                counts[(s[i - k : i], s[i])] += 1
-    total: Counter = Counter()
-    for (ctx, _), n in counts.items():
-        total[ctx] += n
-    kept = {c for c in total if c == b"" or (total[c] >= 20 and rng.random() < 0.3)}
-    rows = [(len(c), int.from_bytes(c, "big"), s, n, total[c]) for (c, s), n in counts.items() if c in kept]
-    model = suffix_lm.Automaton(pd.DataFrame(rows, columns=["k", "ctx", "sym", "n", "all"]))
+                counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
+    total = {c: sum(x.values()) for c, x in counts.items()}
+    least = suffix_lm.least_count(total[b""])
+    kept = {b""}
+    for c, x in counts.items():
+        if c and total[c] >= least:
+            gain = sum(n * math.log((n / total[c]) / (counts[c[1:]][y] / total[c[1:]])) for y, n in x.items())
+            if gain > 0.5 * len(x) * math.log(total[c]):
+                kept.add(c)
 
     def chance(ctx, s):
-        own = {x: n for (c, x), n in counts.items() if c == ctx}
-        if not ctx:
-            return (own.get(s, 0) + 1) / (total[b""] + 256)
         if ctx not in kept:
             return chance(ctx[1:], s)
-        return (own.get(s, 0) + len(own) * chance(ctx[1:], s)) / (total[ctx] + len(own))
+        own = counts[ctx]
+        return (own[s] + 1) / (total[ctx] + 256) if not ctx else (own[s] + len(own) * chance(ctx[1:], s)) / (total[ctx] + len(own))
 
-    tests = ["", "alphas beta", "Zeta, unseen é words", corpus[0], corpus[1][:5]]
-    got = model.scores(pa.array(tests, pa.large_string()))
-    for t, score in zip(tests, got, strict=True):
-        s = b"\xff" * suffix_lm.DEPTH + t.translate(LOW).encode() + b"\xff"
-        want = 0.0
-        for i in range(suffix_lm.DEPTH, len(s)):
-            ctx = s[i - suffix_lm.DEPTH : i]
-            want += math.log10(chance(ctx, s[i]))
-        assert score == pytest.approx(want, rel=1e-4)
+    def score(t):
+        s = b"\xff" * suffix_lm.DEPTH + (t or "").translate(LOW).encode() + b"\xff"
+        return sum(math.log10(chance(s[i - suffix_lm.DEPTH : i], s[i])) for i in range(suffix_lm.DEPTH, len(s)))
+
+    return counts, kept, score
+
+
+def test_tree_retains_and_scores_as_brute_force(spark, docs, texts):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, "one"), (None, "no id here, at all")]
+    counts, kept, score = plain_tree([t for i, t in rows if not held(i)])
+    tables = Tables(spark, "t")
+    pairs, pair_n, model = suffix_lm.train(docs.filter(~F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))), tables)
+    assert dict(zip(pairs.tolist(), pair_n.tolist(), strict=True)) == {c[0] << 8 | s: n for c, x in counts.items() if len(c) == 1 for s, n in x.items()}
+    found = {int(c).to_bytes(1, "big") for k, x in suffix_lm.short_contexts(pairs, pair_n).levels if k for c in x.names} | {b""}
+    for r in model.collect():
+        k, codes, n = (suffix_lm.spread(r[c], r.m, t) for c, t in (("k", np.uint8), ("pairs", np.uint64), ("n", np.int64)))
+        for length, code, times in zip(k.tolist(), codes.tolist(), n.tolist(), strict=True):
+            name = (code >> 8).to_bytes(length, "big")
+            found.add(name)
+            assert counts[name][code & 0xFF] == times
+    assert found == kept and any(len(c) == suffix_lm.DEPTH for c in kept)
+    tables.drop()
+    want = Counter((i, round(score(t), 2)) for i, t in rows)
+    got = Counter((r.doc_id, round(r.score, 2)) for r in suffix_lm.score_documents(docs).collect())
+    assert sum((want - got).values()) <= len(rows) // 20  # roundings of 32 bits
+    assert sorted(i for i, _ in want.elements() if i is not None) == sorted(i for i, _ in got.elements() if i is not None)
 
 
 def test_model_learns_and_counts_grow(spark):
@@ -550,25 +564,15 @@ def test_model_learns_and_counts_grow(spark):
     assert len(got) > 10 and -sum(r.score for r in got) / chars < 0.6  # digits a character; uniform bytes take 2.4
 
 
-def test_contexts_grow_with_the_corpus_and_shards_score_as_one_model(spark):
-    import pandas as pd
-    import pyarrow as pa
-
+def test_contexts_grow_with_the_corpus(spark):
     rng = random.Random(9)
-    rows = [(i, prose(rng, 1500)) for i in range(560)] + [(900 + i, f"Quxblim zyv{i}, " * 2) for i in range(12)] + [(None, None), (950, "é 日本 Quxblim")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    held = {i for i, _ in rows if i is not None and zlib.crc32(str(i).encode()) % 7 == 2}
+    rows = [(prose(rng, 1500),) for _ in range(480)] + [(f"Quxblim zyv{i}, " * 2,) for i in range(12)] + [(None,), ("é 日本 Quxblim",)]
     tables = Tables(spark, "t")
-    short, shards = suffix_lm.train(df.filter(~F.coalesce(F.col("doc_id").isin(*held), F.lit(False))), tables)
-    long = shards.select(F.explode("rows").alias("r")).select("r.*").toPandas()
-    every = pd.concat([short, long], ignore_index=True)
-    names = {int(c).to_bytes(k, "big") for k, c in zip(every["k"], every["ctx"], strict=True)}
-    total = int(short[short["k"] == 0]["all"].iloc[0])
-    assert int(every["all"].min()) < 1e-5 * total and any(b"q" in c for c in names)  # a word in under 1e-5 of all symbols
-    model = suffix_lm.Automaton(every)
-    got = suffix_lm.score_documents(df).collect()
-    want = dict(zip([i for i, _ in rows], model.scores(pa.array([t for _, t in rows], pa.large_string())), strict=True))
-    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.doc_id], rel=1e-4) for r in got)
+    pairs, pair_n, model = suffix_lm.train(spark.createDataFrame(rows, "text string"), tables)
+    names = {bytes([int(c)]): t for k, x in suffix_lm.short_contexts(pairs, pair_n).levels if k for c, t in zip(x.names, x.total, strict=True)}
+    assert names[b"q"] < 1e-5 * pair_n.sum()  # from a word in under 1e-5 of all symbols
+    assert sum(r.m for r in model.collect()) > 100
+    tables.drop()
 
 
 def test_model_of_nothing(none):
