@@ -45,6 +45,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted. A sort is several times faster here than np.unique's hash table."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def word_hashes(flat: pa.Array) -> np.ndarray:
     coded = flat.dictionary_encode()
     own = np.fromiter((xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
@@ -62,7 +68,7 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
         at = 0
         for n in counts:
             if n >= size:
-                yield np.unique(chain[at : at + n - size + 1])
+                yield distinct(chain[at : at + n - size + 1])
             elif n:
                 yield np.array([xxhash.xxh64_intdigest(words[at : at + n].tobytes(), seed=int(n))], np.uint64)
             else:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Tables, keep, settled, ship, trim
-from .shingles import slices, split_words
+from .shingles import distinct, slices, split_words
 
 DEPTH = 6
 #: The evidence a context needs: LEAST_COUNT places, or this share of the symbols where that is less.
@@ -101,7 +101,7 @@ def spread(raw: bytes, n: int, kind: type) -> np.ndarray:
 
 def merged(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes, sorted, with the sums of their counts."""
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes, n = codes[order], n[order]
     first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))[: len(codes)]
     return codes[first], np.add.reduceat(n, first) if len(first) else n
@@ -275,7 +275,7 @@ def questions(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, texts in chunks_of(batches):
             for part, (_, own) in enumerate(slices(texts, SCORE_BYTES)):
-                codes = np.unique(turned(codes_of(own)[0]))
+                codes = distinct(turned(codes_of(own)[0]))
                 shards, bounds = by_shard(codes)
                 packed = [squeezed(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 m = len(packed)

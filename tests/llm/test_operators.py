@@ -571,7 +571,7 @@ def test_contexts_grow_with_the_corpus(spark):
     pairs, pair_n, model = suffix_lm.train(spark.createDataFrame(rows, "text string"), tables)
     names = {bytes([int(c)]): t for k, x in suffix_lm.short_contexts(pairs, pair_n).levels if k for c, t in zip(x.names, x.total, strict=True)}
     assert names[b"q"] < 1e-5 * pair_n.sum()  # from a word in under 1e-5 of all symbols
-    assert sum(r.m for r in model.collect()) > 100
+    assert sum(r.m for r in model.collect()) > 50
     tables.drop()
 
 
