@@ -100,10 +100,18 @@ def normal_heading(c: Column | str) -> Column:
     return F.when(low.isin(*V.RUNNING_HEADERS), "").otherwise(low)
 
 
+def py_title(c: Column | str) -> Column:
+    """Title case as Python has it: a letter after anything but a letter is a capital, all others are small."""
+    letters = F.split(text_of(c), "")
+    cased = lambda x: F.coalesce(x.rlike(r"[\p{Lu}\p{Ll}\p{Lt}]"), F.lit(False))
+    return F.array_join(F.transform(letters, lambda x, i: F.when((i > 0) & cased(F.get(letters, i - 1)), F.lower(x)).otherwise(F.upper(x))), "")
+
+
 def first_match(c: Column | str, patterns: tuple[str, ...]) -> Column:
-    """Group 1 of the first pattern that matches, stripped; '' if none does."""
+    """Group 1 of the first pattern that matches, stripped, in title case if it is all capitals; '' if none does."""
     found = [F.nullif(F.regexp_replace(stripped(F.regexp_extract(text_of(c), p, 1)), "[.,;:]+$", ""), F.lit("")) for p in patterns]
-    return F.coalesce(*found, F.lit(""))
+    best = F.coalesce(*found, F.lit(""))
+    return F.when(best == F.upper(best), py_title(best)).otherwise(best)
 
 
 def level(c: Column | str) -> Column:

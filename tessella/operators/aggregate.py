@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import values as V
+from tessella.functions.numbers import py_round
 
 POOL = "segment_type = 'instructional' AND NOT incomplete"
 
@@ -27,9 +28,9 @@ def module_gate(evaluated: DataFrame, dims: tuple[str, ...] = V.MODULE_DIMS) ->
     pool = F.expr(POOL)
     all_weight = F.sum(F.when(pool, weight))
     score = lambda d: F.col(f"scores.{d}")
-    parts = [F.coalesce(F.round(F.when(all_weight > 0, F.sum(F.when(pool, score(d) * weight)) / F.nullif(all_weight, F.lit(0))).otherwise(F.avg(F.when(pool, score(d)))), 2), F.lit(0.0)).alias(d) for d in dims]
+    parts = [F.coalesce(py_round(F.when(all_weight > 0, F.sum(F.when(pool, score(d) * weight)) / F.nullif(all_weight, F.lit(0))).otherwise(F.avg(F.when(pool, score(d)))), 2), F.lit(0.0)).alias(d) for d in dims]
     counts = [F.count("*").alias("total_segments"), F.count_if(pool).alias("scored_segments"), F.count_if(~pool).alias("excluded_segments"), F.array_sort(F.collect_set(F.when(F.col("segment_type") != "instructional", F.col("segment_type")))).alias("excluded_types"), F.bool_or(F.col("segment_type") == "instructional").alias("has_instructional")]
-    return evaluated.groupBy("doc_id").agg(*parts, *counts).withColumn("overall_score", F.round(mean_of(*(F.col(d) for d in dims)), 2))
+    return evaluated.groupBy("doc_id").agg(*parts, *counts).withColumn("overall_score", py_round(mean_of(*(F.col(d) for d in dims))))
 
 
 def unpivoted(evaluated: DataFrame, dims: tuple[str, ...] = V.MODULE_DIMS) -> DataFrame:
@@ -68,7 +69,7 @@ def course_digest(evaluated: DataFrame, top: int = 3) -> DataFrame:
     rows = ranked(evaluated)
     best = F.array_sort(F.collect_list(F.when(F.col("strong") <= top, F.struct("strong", "segment_id"))))
     weakest = lambda c: F.max(F.when(F.col("weak") == 1, c))
-    return rows.groupBy("doc_id").agg(F.format_string("%.1f", F.avg("mean")).alias("mean"), weakest(F.col("segment_id")).alias("weakest_id"), weakest(F.substring(T.stripped("text"), 1, 600)).alias("evidence"), F.transform(best, lambda x: x["segment_id"]).alias("strongest_ids"))
+    return rows.groupBy("doc_id").agg(F.format_string("%.1f", py_round(F.avg("mean"), 1)).alias("mean"), weakest(F.col("segment_id")).alias("weakest_id"), weakest(F.substring(T.stripped("text"), 1, 600)).alias("evidence"), F.transform(best, lambda x: x["segment_id"]).alias("strongest_ids"))
 
 
 def score_lines(evaluated: DataFrame, dims: tuple[str, ...] = V.MODULE_DIMS) -> DataFrame:

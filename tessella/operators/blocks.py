@@ -150,18 +150,27 @@ def merged(rows: list[tuple[str | None, str]], max_words: int, barred: list[bool
     return [(head[i], "\n\n".join(parts[i])) for i in range(len(rows)) if alive[i]]
 
 
-def merge_blocks(blocks: DataFrame, max_words: int = V.MAX_WORDS) -> DataFrame:
-    """blocks: doc_id, block_idx, heading, text. Chapter and unit openings are never merged into what stands before them."""
+def merge_blocks(blocks: DataFrame, max_words: int = V.MAX_WORDS, chunked: bool = False) -> DataFrame:
+    """blocks: doc_id, block_idx, heading, text. Chapter and unit openings are never merged into what stands before them.
+
+    With `chunked`, each merged text in pieces, with their chunk_idx. A document that can't be merged stays as it came: its failure isn't another's.
+    """
     h = F.coalesce(T.stripped("heading"), F.lit(""))
     barred = h.rlike(V.MERGE_BARRIER) | h.rlike(V.UNIT_BARRIER) | F.substring("text", 1, 200).rlike(V.UNIT_BARRIER)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block_idx")
-        rows = [(h if isinstance(h, str) else None, t) for h, t in zip(pdf["heading"], pdf["text"], strict=True)]
-        out = merged(rows, max_words, pdf["barred"].tolist())
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "block_idx": range(len(out)), "heading": [h for h, _ in out], "text": [t for _, t in out]})
-
-    schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, block_idx int, heading string, text string"
+        out = [(h if isinstance(h, str) else None, t) for h, t in zip(pdf["heading"], pdf["text"], strict=True)]
+        try:
+            out = merged(out, max_words, pdf["barred"].tolist())
+            rows = [(i, j, h, c) for i, (h, t) in enumerate(out) for j, c in enumerate(chunks_of(t, max_words) if chunked else [t])]
+        except Exception:
+            rows = [(i, 0, h, t) for i, (h, t) in enumerate(out)]
+        found = pd.DataFrame(rows, columns=["block_idx", "chunk_idx", "heading", "text"])
+        found.insert(0, "doc_id", pdf["doc_id"].iloc[0])
+        return found if chunked else found.drop(columns="chunk_idx")
+
+    schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, block_idx int, {'chunk_idx int, ' if chunked else ''}heading string, text string"
     return blocks.select("doc_id", "block_idx", "heading", T.text_of("text").alias("text"), barred.alias("barred")).groupBy("doc_id").applyInPandas(run, schema)
 
 
@@ -214,16 +223,19 @@ def chunk_blocks(blocks: DataFrame, max_words: int = V.MAX_WORDS) -> DataFrame:
     return small.unionByName(rows.filter(T.word_count("text") > max_words).mapInPandas(run, schema))
 
 
-def number_segments(chunks: DataFrame, first: DataFrame) -> DataFrame:
-    """doc_id, segment_id (from 1), heading, text, segment_type of the chunks that aren't blank."""
+def number_segments(chunks: DataFrame) -> DataFrame:
+    """doc_id, segment_id (from 1), heading, text, segment_type of the chunks that aren't blank.
+
+    A document's first chapter is the first block whose heading opens one; all three windows share one exchange by doc_id.
+    """
     by_place = Window.partitionBy("doc_id").orderBy("block_idx", "chunk_idx")
-    rows = chunks.filter(T.stripped("text") != "").join(first, "doc_id", "left")
+    first = F.min(F.when(T.stripped("heading").rlike(V.CHAPTER_START), F.col("block_idx"))).over(Window.partitionBy("doc_id"))
+    rows = chunks.withColumn("first_chapter_idx", first).filter(T.stripped("text") != "")
     before = F.col("first_chapter_idx").isNull() | (F.col("block_idx") < F.col("first_chapter_idx"))
     rows = T.with_segment_type(rows, before)
     return rows.select("doc_id", F.row_number().over(by_place).alias("segment_id"), "heading", T.stripped("text").alias("text"), "segment_type")
 
 
 def segment_documents(blocks: DataFrame, max_words: int = V.MAX_WORDS) -> DataFrame:
-    """blocks: doc_id, block_idx, heading, text, to segments: merged, chunked, numbered and classified."""
-    joined = merge_blocks(blocks, max_words)
-    return number_segments(chunk_blocks(joined, max_words), first_chapters(joined))
+    """blocks: doc_id, block_idx, heading, text, to segments: merged and chunked in one step a document, numbered and classified."""
+    return number_segments(merge_blocks(blocks, max_words, chunked=True))

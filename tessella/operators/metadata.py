@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
@@ -47,13 +47,23 @@ def with_fallback(rows: DataFrame) -> DataFrame:
 
 
 def title_by_size(words: DataFrame) -> DataFrame:
-    """doc_id, title: the words nearly as large as the largest of the cover (size 14 or more), in order; else that word."""
+    """doc_id, title: the words nearly as large as the largest of the cover (size 14 or more), in order (in title case if all are capitals); else that word."""
     rows = words.filter((F.col("page_idx") < 3) & (F.length("text") >= 2) & F.col("text").rlike(r"^[\x00-\x7F]+$"))
     best = rows.groupBy("doc_id").agg(F.max("size").alias("largest"), F.max_by("text", F.struct("size", -F.col("page_idx"), -F.col("word_seq"))).alias("single")).filter("largest >= 14")
     large = rows.join(best, "doc_id").filter(F.col("size") >= 0.9 * F.col("largest"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "word_seq", "text"))), lambda w: w["text"]), " ")
     out = large.groupBy("doc_id").agg(joined.alias("t"), F.first("single").alias("single"), F.count("*").alias("n"))
-    return out.select("doc_id", F.when(F.col("n").between(2, 20), F.col("t")).otherwise(F.col("single")).alias("title"))
+    best = F.when(F.col("n").between(2, 20), F.col("t")).otherwise(F.col("single"))
+    shouted = (best == F.upper(best)) & (best != F.lower(best)) & (F.col("n").between(2, 20))
+    title = F.when(shouted, T.py_title(best)).otherwise(best)
+    return out.select("doc_id", title.alias("title"))
+
+
+def largest_words(words: DataFrame, n: int = 15) -> DataFrame:
+    """doc_id, n, text, size: the n largest words of the first three pages of each document, ties in page order."""
+    by_size = Window.partitionBy("doc_id").orderBy(F.desc("size"), "page_idx", "doctop", "word_seq")
+    rows = words.filter("page_idx < 3").withColumn("n", F.row_number().over(by_size))
+    return rows.filter(F.col("n") <= n).select("doc_id", "n", "text", "size")
 
 
 def heuristics(rows: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import values as V
+from tessella.functions.numbers import py_round
 
 def by_id():
     return Window.partitionBy("doc_id").orderBy("segment_id")
@@ -87,10 +88,16 @@ def parse_course_response(responses: DataFrame, dims: tuple[str, ...] = V.COURSE
     listed = F.transform(F.try_variant_get(inner, "$.rubric_scores", "array<variant>"), lambda x: F.struct(F.try_variant_get(x, "$.id", "string").alias("k"), F.try_variant_get(x, "$.score", "string").alias("s")))
     scores = F.coalesce(F.try_variant_get(inner, "$.scores", "map<string,string>"), F.map_from_entries(listed))
     values = F.filter(F.transform(F.map_values("scores"), lambda x: x.try_cast("double")), lambda x: x.isNotNull())
-    overall = F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values), 2)).otherwise(0.0)
+    overall = F.when(F.size(values) > 0, py_round(F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.size(values))).otherwise(0.0)
     return responses.select("doc_id", scores.alias("scores")).withColumn("overall_score", F.coalesce(overall, F.lit(0.0)))
 
 
+def with_metadata(segments: DataFrame, metadata: DataFrame) -> DataFrame:
+    """The course's row as `metadata` on each of its segments; null where a course has none. The optimizer broadcasts it if it is small."""
+    columns = [c for c in metadata.columns if c != "doc_id"]
+    return segments.join(metadata.select("doc_id", F.struct(*columns).alias("metadata")), "doc_id", "left")
+
+
 def match_responses(segments: DataFrame, parsed: DataFrame, dims: tuple[str, ...] = V.MODULE_DIMS) -> DataFrame:
     """Every segment with its scores: the last response of its id; without a whole one it is incomplete. Other types pass by with zeros."""
     last = parsed.filter("segment_id IS NOT NULL").groupBy("doc_id", "segment_id").agg(F.max_by(F.struct("scores", "reasoning", "summary"), F.struct("ord", "item")).alias("r"))

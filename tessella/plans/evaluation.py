@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from tessella.functions import values as V
 from tessella.operators import aggregate, blocks, scoring
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed in spark.checkpoint.dir. Where that is unset, a local session uses a folder of its warehouse."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints-{uuid.uuid4().hex}"
+        sc.setCheckpointDir(at)
+    return df.checkpoint(eager=True)
+
+
 def evaluate(course_blocks: DataFrame, metadata: DataFrame, responses: DataFrame, course_responses: DataFrame, max_words: int = V.MAX_WORDS, limit: int = 0) -> DataFrame:
     """doc_id, document. responses: doc_id, ord, raw; course_responses: doc_id, scores, reasoning, overall_score."""
     segments = blocks.segment_documents(course_blocks, max_words)
     if limit:
         segments = segments.filter(segments["segment_id"] <= limit)
-    evaluated = scoring.match_responses(segments, scoring.parse_responses(responses))
+    evaluated = kept(scoring.match_responses(segments, scoring.parse_responses(responses)))  # read by every gate and digest
     return aggregate.course_documents(metadata, evaluated, course_responses)

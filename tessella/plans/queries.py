@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import values as V
+from tessella.functions.numbers import py_round
 from tessella.operators import aggregate as G
 from tessella.operators import blocks as B
 from tessella.operators import lines as L
@@ -113,10 +114,24 @@ def p17_normal_heading(spark, sf):
     return D.lines(spark, sf).select("doc_id", "i", T.normal_heading(h).alias("heading"))
 
 
-@query(r"SELECT doc_id, regexp_extract('by Jane Doe' || chr(10) || 'Title: ' || replace(text, chr(10), ' '), '(?im)^title\s*[:\-]\s*(.{5,120})', 1) AS raw FROM documents")
+P18 = r"""WITH raw AS (SELECT doc_id, regexp_replace(trim(regexp_extract('Title: ' || CASE WHEN doc_id % 2 = 0 THEN upper(line) ELSE line END, '(?im)^title\s*[:\-]\s*(.{5,120})', 1), ' ' || chr(9) || chr(13)), '[.,;:]+$', '') AS raw
+    FROM (SELECT doc_id, replace(string_split(coalesce(text, ''), chr(10))[1], 'ß', 's') AS line FROM documents))
+SELECT doc_id, CASE WHEN raw <> upper(raw) THEN raw ELSE array_to_string(list_transform(range(1, len(raw) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr(raw, i - 1, 1), '[\p{Lu}\p{Ll}\p{Lt}]')
+    THEN lower(substr(raw, i, 1)) ELSE upper(substr(raw, i, 1)) END), '') END AS title FROM raw"""
+
+
+@query(P18)
 def p18_first_match(spark, sf):
-    t = F.concat(F.lit("by Jane Doe\nTitle: "), F.replace("text", F.lit("\n"), F.lit(" ")))
-    return D.docs(spark, sf).select("doc_id", F.regexp_extract(t, V.TITLES[0], 1).alias("raw"))
+    """The first line as a title, in capitals for every second document."""
+    line = F.replace(F.get(F.split(F.coalesce("text", F.lit("")), "\n"), F.lit(0)), F.lit("ß"), F.lit("s"))  # the two engines have no capital of it in common
+    titled = F.concat(F.lit("Title: "), F.when(F.col("doc_id") % 2 == 0, F.upper(line)).otherwise(line))
+    return D.docs(spark, sf).select("doc_id", T.first_match(titled, (V.TITLES[0],)).alias("title"))
+
+
+@query("SELECT doc_id, round_even(coalesce(len(text), 0) / 8.0::DOUBLE, 2) AS eighths, round_even(coalesce(len(text), 0) / 16.0::DOUBLE, 1) AS sixteenths FROM documents")
+def g02_round_half_even(spark, sf):
+    """Halves that binary numbers hold exactly go to the even neighbour."""
+    return D.docs(spark, sf).select("doc_id", py_round(F.coalesce(F.length("text"), F.lit(0)) / 8.0).alias("eighths"), py_round(F.coalesce(F.length("text"), F.lit(0)) / 16.0, 1).alias("sixteenths"))
 
 
 @query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'undergraduate_introductory' WHEN 1 THEN '' WHEN 2 THEN 'graduate' ELSE 'advanced' END AS level FROM documents")
@@ -410,10 +425,10 @@ def p38_score_lines(spark, sf):
 
 # ---- aggregation
 
-GATE = "gt AS (SELECT doc_id, " + ", ".join(f"coalesce(round(CASE WHEN sum(len(text)) FILTER (p) > 0 THEN CAST(sum({d} * len(text)) FILTER (p) AS DOUBLE) / sum(len(text)) FILTER (p) ELSE avg({d}) FILTER (p) END, 2), 0.0) AS {d}" for d in V.MODULE_DIMS) + ", count(*) AS total_segments, count(*) FILTER (p) AS scored_segments, count(*) FILTER (NOT p) AS excluded_segments, coalesce(bool_or(segment_type = 'instructional'), false) AS has_instructional FROM (SELECT *, segment_type = 'instructional' AND NOT incomplete AS p FROM ev) GROUP BY doc_id)"
+GATE = "gt AS (SELECT doc_id, " + ", ".join(f"coalesce(round_even(CASE WHEN sum(len(text)) FILTER (p) > 0 THEN CAST(sum({d} * len(text)) FILTER (p) AS DOUBLE) / sum(len(text)) FILTER (p) ELSE avg({d}) FILTER (p) END, 2), 0.0) AS {d}" for d in V.MODULE_DIMS) + ", count(*) AS total_segments, count(*) FILTER (p) AS scored_segments, count(*) FILTER (NOT p) AS excluded_segments, coalesce(bool_or(segment_type = 'instructional'), false) AS has_instructional FROM (SELECT *, segment_type = 'instructional' AND NOT incomplete AS p FROM ev) GROUP BY doc_id)"
 
 
-@query("WITH " + D.EVALUATED + ", " + GATE + " SELECT *, round((" + " + ".join(V.MODULE_DIMS) + ") / 5, 2) AS overall_score FROM gt")
+@query("WITH " + D.EVALUATED + ", " + GATE + " SELECT *, round_even((" + " + ".join(V.MODULE_DIMS) + ") / 5, 2) AS overall_score FROM gt")
 def g01_g07_g15_module_gate(spark, sf):
     return G.module_gate(D.evaluated(spark, sf)).drop("excluded_types")
 
@@ -450,7 +465,7 @@ def g14_partial_courses(spark, sf):
     return G.partial_courses(D.segments(spark, sf))
 
 
-@query("WITH " + D.EVALUATED + ", " + GATE + " SELECT doc_id, round((" + " + ".join(V.MODULE_DIMS) + ") / 5, 2) AS module_score, goal_focus, 0.0 AS course_score, CAST(total_segments AS INTEGER) AS segments FROM gt")
+@query("WITH " + D.EVALUATED + ", " + GATE + " SELECT doc_id, round_even((" + " + ".join(V.MODULE_DIMS) + ") / 5, 2) AS module_score, goal_focus, 0.0 AS course_score, CAST(total_segments AS INTEGER) AS segments FROM gt")
 def g16_g17_course_documents(spark, sf):
     """The documents' main figures; courses without a course response have zeros."""
     ev = D.evaluated(spark, sf)
@@ -516,17 +531,14 @@ def s05_text_fallback(spark, sf):
     return M.with_fallback(rows).select("doc_id", F.when(F.col("raw") == F.col("alt"), "long").otherwise("own").alias("which"))
 
 
-@query("SELECT l.doc_id, o.n AS labelled FROM (SELECT DISTINCT doc_id FROM labels) l JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) o USING (doc_id)")
+@query("WITH " + D.BLOCKS + " SELECT bl.doc_id, block_idx, coalesce(l.n, 0) AS labelled FROM bl LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id)")
 def j08_metadata_join(spark, sf):
-    """A course's row on each of its segments; the small side is left to the optimizer's size check."""
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    return labels.select("doc_id").distinct().join(labels.groupBy("doc_id").agg(F.count("*").alias("labelled")), "doc_id")
+    """A course's row on each of its segments."""
+    rows = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.count("*").alias("labelled"))
+    joined = S.with_metadata(D.blocks(spark, sf), rows)
+    return joined.select("doc_id", "block_idx", F.coalesce("metadata.labelled", F.lit(0)).alias("labelled"))
 
 
 @query("WITH " + D.WORDS + ", r AS (SELECT doc_id, text, size, row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, page_idx, doctop, w) AS n FROM wd WHERE page_idx < 3) SELECT doc_id, CAST(n AS INTEGER) AS n, text, size FROM r WHERE n <= 15")
 def t06_largest_words(spark, sf):
-    from pyspark.sql import Window
-
-    rows = D.words(spark, sf).filter("page_idx < 3")
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("size"), "page_idx", "doctop", "word_seq"))
-    return rows.select("doc_id", n.alias("n"), "text", "size").filter("n <= 15")
+    return M.largest_words(D.words(spark, sf))

@@ -50,6 +50,21 @@ def words_of(files: DataFrame, reader: Callable[[bytes], Iterator[tuple]]) -> Da
     return files.select("doc_id", "content").mapInPandas(run, WORDS)
 
 
+def outline_of(files: DataFrame, reader: Callable[[bytes], Iterator[tuple[int, str, int]]]) -> DataFrame:
+    """doc_id, ord, level, title, page_idx of each file's outline; a file without one, or that fails, gives none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
+                try:
+                    rows = [(doc, i, level, title, page) for i, (level, title, page) in enumerate(reader(content))]
+                except Exception:
+                    continue
+                yield pd.DataFrame(rows, columns=["doc_id", "ord", "level", "title", "page_idx"])
+
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, ord int, level int, title string, page_idx int")
+
+
 def with_ocr(words: DataFrame, pages: DataFrame, ocr: DataFrame) -> DataFrame:
     """doc_id, page_idx, line of recognised text, for pages without words. ocr: doc_id, page_idx, text."""
     bare = pages.join(words.select("doc_id", "page_idx").distinct(), ["doc_id", "page_idx"], "left_anti")
@@ -93,6 +108,21 @@ def url_metadata(spark: SparkSession, doc_id: str, url: str, fetch: Callable[[st
     return M.conformed(spark.createDataFrame([(doc_id, url)], "doc_id string, source string"))
 
 
+def from_source(spark: SparkSession, doc_id: str, source: str, fetch: Callable[[str], str], pdf: Callable[[str], DataFrame]) -> DataFrame:
+    """The metadata that a source named by the user holds: an address, or a file read by its suffix (any but these as PDF); an empty row if it is missing."""
+    if source.lower().startswith(("http://", "https://", "www.")):
+        return url_metadata(spark, doc_id, source, fetch)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(source)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return M.conformed(spark.createDataFrame([(doc_id,)], "doc_id string"))
+    suffix = source.rsplit(".", 1)[-1].lower()
+    if suffix == "html":
+        return html_metadata(spark, doc_id)
+    found = {"json": json_metadata, "txt": text_metadata}.get(suffix)
+    return found(spark, source).withColumn("doc_id", F.lit(doc_id)) if found else pdf(source)
+
+
 def by_precedence(sources: list[DataFrame]) -> DataFrame:
     """Each course's row from the first source that has one."""
     out = M.conformed(sources[0])
