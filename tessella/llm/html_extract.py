@@ -199,24 +199,36 @@ def place_around(read: Page) -> bool:
     return every
 
 
+def above_threshold(fused: np.ndarray) -> np.ndarray:
+    limit = min(fused.mean() + THRESHOLD * fused.std(), fused.max())
+    return (fused >= limit) & (fused > 0)
+
+
 def selected_paths(blocks: list[Block]) -> set[int]:
-    """Paths whose smoothed and fused ratios of text and punctuation reach the threshold."""
+    """Paths whose smoothed and fused ratios of text and punctuation reach the threshold.
+
+    The ratios of all paths make the threshold. Paths around the article are left out of what reaches it; where nothing else does, the
+    threshold is that of the other paths alone. Without any punctuation the ratio of text decides, and without any text that isn't linked, that of all text.
+    """
     order: dict[int, int] = {}
     for b in blocks:
         order.setdefault(b.element.path, len(order))
-    size, marks, count = (np.zeros(len(order)) for _ in range(3))
+    size, every, marks, count = (np.zeros(len(order)) for _ in range(4))
+    around = np.ones(len(order), bool)
     for b in blocks:
         i = order[b.element.path]
         size[i] += len(b.text) - b.linked
+        every[i] += len(b.text)
         marks[i] += len(PUNCTUATION.findall(b.text)) * (1 - b.linked / max(1, len(b.text)))
         count[i] += 1
-    around = np.array([True] * len(order))
-    for b in blocks:
-        around[order[b.element.path]] &= b.element.around
+        around[i] &= b.element.around
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.1, 0.8, 0.1], "valid")
-    fused = np.sqrt(smooth(size / count) * smooth(marks / count)) * np.where(around, 0.0, 1.0)
-    limit = min(fused.mean() + THRESHOLD * fused.std(), fused.max())
-    return {p for p, i in order.items() if fused[i] >= limit and fused[i] > 0}
+    for ratio in (np.sqrt(smooth(size / count) * smooth(marks / count)), smooth(size / count), smooth(every / count)):
+        for fused in (ratio, np.where(around, 0.0, ratio)):
+            chosen = above_threshold(fused) & ~around
+            if chosen.any():
+                return {p for p, i in order.items() if chosen[i]}
+    return set()
 
 
 def main_text(page: str | None) -> str:
@@ -225,7 +237,9 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     nothing_else = place_around(read)
-    chosen = selected_paths(blocks) or (set() if nothing_else else {b.element.path for b in blocks if not b.element.around})
+    chosen = selected_paths(blocks)
+    if nothing_else and not any(len(b.text) > b.linked and PUNCTUATION.search(b.text) for b in blocks):
+        return ""  # menus and the like, and no sentence among them
     held = [0] * len(elements)
     for b in blocks:
         if b.element.path in chosen and not b.element.around:

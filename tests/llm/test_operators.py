@@ -127,6 +127,47 @@ def test_main_text_of_odd_pages(spark):
     assert all(n == len(t) for t, n in got.values())
 
 
+def plain_paths(blocks):
+    """The ratios, smoothed, fused and thresholded, with plain loops."""
+    order = list(dict.fromkeys(b.element.path for b in blocks))
+    own = {p: [b for b in blocks if b.element.path == p] for p in order}
+    text = [sum(len(b.text) - b.linked for b in own[p]) / len(own[p]) for p in order]
+    marks = [sum(sum(c in ".,;:!?…。、！？" for c in b.text) * (1 - b.linked / len(b.text)) for b in own[p]) / len(own[p]) for p in order]
+    near = lambda x, i: 0.1 * x[max(0, i - 1)] + 0.8 * x[i] + 0.1 * x[min(len(x) - 1, i + 1)]
+    fused = [math.sqrt(near(text, i) * near(marks, i)) for i in range(len(order))]
+    mean = sum(fused) / len(fused)
+    limit = min(mean + 0.5 * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)), max(fused))
+    return {p for p, f in zip(order, fused, strict=True) if f >= limit - 1e-12 and f > 0 and not all(b.element.around for b in own[p])}
+
+
+def test_ratios_equal_brute_force_and_select_the_content(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(40):
+        parts = [f"<{t}>{'<a>' if rng.random() < 0.3 else ''}{prose(rng, rng.randrange(1, 40))}</{t}>" for t in rng.choices(["p", "li", "h2", "td", "blockquote"], k=rng.randrange(1, 12))]
+        read = html_extract.read_page("<body><nav><a>Home</a></nav><div>" + "".join(parts) + "</div></body>")
+        html_extract.place_around(read)
+        want = plain_paths(read.blocks)
+        if want:
+            assert html_extract.selected_paths(read.blocks) == want
+    text = html_extract.main_text(PAGE)
+    low = "<body><div><ul><li>One<li>Two<li>Three</ul></div><div>" + "".join(f"<p>Sentence {i}, with words. And more, too.</p>" for i in range(5)) + "</div></body>"
+    assert "One" not in html_extract.main_text(low) and "Sentence 4" in html_extract.main_text(low)
+    own = html_extract.selected_paths
+    monkeypatch.setattr(html_extract, "selected_paths", lambda blocks: {b.element.path for b in blocks} - own(blocks))
+    assert html_extract.main_text(low).startswith("One")
+    monkeypatch.setattr(html_extract, "selected_paths", lambda blocks: set())
+    assert text and html_extract.main_text(PAGE) == ""
+
+
+def test_main_text_of_no_pages_repeated_rows_and_a_very_long_page(spark):
+    schema = "page_id long, url string, html string"
+    assert html_extract.extract_text(spark.createDataFrame([], schema)).count() == 0
+    long = "<body><nav><a>Home</a></nav><article>" + "<p>Some words, and more of them.</p>" * 80_000 + "</article>"
+    got = html_extract.extract_text(spark.createDataFrame([(1, "u", "<p>a, b.</p>"), (1, "u", "<p>a, b.</p>"), (None, None, long)], schema)).collect()
+    assert [(r.page_id, r.n_chars) for r in got if r.page_id] == [(1, 5), (1, 5)]
+    assert [r.n_chars for r in got if r.page_id is None] == [80_000 * 30 - 1]
+
+
 # ---- 3 and 6
 
 
