@@ -37,7 +37,7 @@ KEYWORDS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_VALUE = 8
 
 TOKEN = re.compile(r"""[^\s"'<>]+""")
-ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4})|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
+ESCAPE = re.compile(r"((?:%[0-9A-Fa-f]{2})+)|\\u([0-9A-Fa-f]{4}(?:(?<=[dD][89abAB]..)\\u[dD][c-fC-F][0-9A-Fa-f]{2})?)|\\u\{([0-9A-Fa-f]{1,6})\}|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Lines of base64 in a row, their ends as they are or as escapes; the last may be short.
 BREAK = r"[\x20\t]*(?:\r?\n|(?:\\r)?\\n)[\x20\t]*"
@@ -98,7 +98,8 @@ def unescaped(run: str, layer: Layer, at: int) -> Layer | None:
             ends.append(m.start() + np.cumsum(sizes))
             starts.append(ends[-1] - sizes)
         else:
-            point = int(m[2] or m[3] or m[4] or m[5], 16)
+            high, _, low = (m[2] or m[3] or m[4] or m[5]).partition("\\u")  # the two halves of one character
+            point = 0x10000 + (int(high, 16) - 0xD800 << 10) + int(low, 16) - 0xDC00 if low else int(high, 16)
             got = chr(point) if point < 0x110000 and not 0xD800 <= point < 0xE000 else "�"
             starts.append(np.array([m.start()]))
             ends.append(np.array([m.end()]))

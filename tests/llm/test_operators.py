@@ -352,6 +352,14 @@ def test_scan_rows_and_redaction(spark, docs):
     assert Counter(map(tuple, secret_scan.redact(docs).collect())) == Counter(map(tuple, docs.collect()))
 
 
+def test_both_halves_of_an_escaped_character_are_one():
+    slash = chr(92)
+    run = f"a{slash}ud83d{slash}ude00b{slash}ud83dx{slash}u0070"
+    layer = secret_scan.unescaped(run, secret_scan.Layer(run), 0)
+    assert layer.text == "a" + chr(0x1F600) + "b" + chr(0xFFFD) + "xp"
+    assert [layer.whole(i, i + 1) for i in range(6)] == [(0, 1), (1, 13), (13, 14), (14, 20), (20, 21), (21, 27)]
+
+
 # ---- 5
 
 
