@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from . import graph, shingles
 from .common import Tables, keep, settled, ship
 
-#: Registers of a byte; the first BANDS * ROWS are banded, all serve the estimate.
+#: Registers of two bytes; the first BANDS * ROWS are banded, all serve the estimate.
 REGISTERS, BANDS, ROWS = 256, 32, 4
-#: Equal registers at similarity s have a probability of about 1 - SHARE * (1 - s), so a link of 0.8 shares a band but for 2e-8.
-BASE, RATE, TOP = 1.1, 20.0, 255
+#: Equal registers at similarity s have a probability of about 1 - SHARE * (1 - s), so a link of 0.8 shares a band but for 5e-8.
+#: Registers of unrelated sets agree with (BASE - 1) / 4 at most: a band of theirs with 2.5e-16, so that chance pairs stay rare among any number of sets.
+BASE, RATE, TOP = 1.0005, 20.0, 65535
 SHARE = (BASE - 1) / (BASE * np.log(BASE))
 #: Estimates have a deviation of 0.026 at 0.8; pairs this far below the limit, over 7 deviations, are not verified.
 SLACK = 0.2
@@ -44,7 +45,7 @@ def registers(elements: np.ndarray) -> np.ndarray:
     for at in range(0, len(short), 512):
         np.minimum(least, np.multiply.outer(short[at : at + 512], _MUL).min(axis=0), out=least)
     x = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**32) / RATE
-    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint8)
+    return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
 
 def likelihood(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ def band_rows(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
+            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)[:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).astype(np.uint64)
             key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2]).copy()
             for k in range(ROWS):
                 key = shingles.mixed(key * np.uint64(0x100000001B3) + regs[:, :, k] + np.uint64(1))
@@ -138,7 +139,7 @@ def likely(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("rx", "ry"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("rx", "ry"))
             good = alike(a, b, batch.column("nx").to_numpy(), batch.column("ny").to_numpy(), limit / 100 - SLACK)
             yield pa.RecordBatch.from_arrays([batch.column("x").filter(pa.array(good)), batch.column("y").filter(pa.array(good))], names=["x", "y"])
 
@@ -147,7 +148,7 @@ def likely(pairs: DataFrame, classes: DataFrame, limit: int) -> DataFrame:
 
 def cell_pairs(cell: pd.DataFrame, limit: int) -> Iterator[tuple[int, np.ndarray]]:
     """i and the rows j of a cell whose pairs with i are likely links of different components. A pair belongs to the first band that it shares."""
-    regs = np.frombuffer(b"".join(cell["registers"]), np.uint8).reshape(-1, REGISTERS)
+    regs = np.frombuffer(b"".join(cell["registers"]), np.uint16).reshape(-1, REGISTERS)
     root, n, side = (cell[c].to_numpy() for c in ("root", "n", "side"))
     alone, number = cell["lo"].iloc[0] == cell["hi"].iloc[0], cell["band"].iloc[0] & 0xFF
     roots, at, sizes = np.unique(root, return_inverse=True, return_counts=True)

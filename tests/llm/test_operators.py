@@ -697,10 +697,17 @@ def test_registers_merge_and_estimate():
     assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.1
 
 
+def test_unrelated_sets_share_no_band():
+    rng = np.random.default_rng(11)
+    regs = np.array([setsketch.registers(rng.integers(0, 1 << 63, 300).astype(np.uint64)) for _ in range(2000)])
+    for at in range(0, setsketch.BANDS * setsketch.ROWS, setsketch.ROWS):
+        assert len(np.unique(regs[:, at : at + setsketch.ROWS], axis=0)) == len(regs)
+
+
 def test_an_estimate_six_deviations_low_is_still_verified():
     n = np.array([1000])
     true = 0.8
-    a = np.full(setsketch.REGISTERS, 100, np.uint8)
+    a = np.full(setsketch.REGISTERS, 100, np.uint16)
     for other in range(setsketch.REGISTERS + 1):  # the fewest equal registers that are put at six deviations below
         b = a.copy()
         b[:other:2] += 1
