@@ -61,26 +61,29 @@ def byte_stream(texts: pa.Array, before: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def codes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 bytes that end at each symbol of the texts, each text's end included; and how many each text has."""
+    """Turned codes of DEPTH + 1 bytes that end at each symbol of the texts, each text's end included; and how many each text has.
+
+    Turned: the last two symbols of the context, mixed, stand in front, so that sorted codes of a shard are a run.
+    """
     stream, starts = byte_stream(texts, DEPTH)
-    wide = np.zeros(len(stream) - DEPTH, np.uint64)
-    for k in range(DEPTH + 1):
-        wide = (wide << np.uint64(8)) | stream[k : len(stream) - DEPTH + k]
+    two = stream[:-1].astype(np.uint16) << np.uint16(8) | stream[1:]
+    n = len(stream) - DEPTH
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, 1 << 15):  # pieces stay in the processor's cache
+        own = slice(at, min(n, at + (1 << 15)))
+        last = two[own.start + DEPTH - 2 : own.stop + DEPTH - 2] * np.uint16(MIX)
+        older = two[own].astype(np.uint32) << np.uint32(16) | two[own.start + 2 : own.stop + 2]
+        out[own] = last.astype(np.uint64) << np.uint64(40) | older.astype(np.uint64) << np.uint64(8) | stream[own.start + DEPTH : own.stop + DEPTH]
     real = np.ones(len(stream), bool)
     real[(starts[:, None] - np.arange(1, DEPTH + 1)).ravel()] = False
-    return wide[real[DEPTH:]], np.diff(starts, append=len(stream) + DEPTH) - DEPTH
+    return out[real[DEPTH:]], np.diff(starts, append=len(stream) + DEPTH) - DEPTH
 
 
 # ---- counting
 
 
-def turned(codes: np.ndarray) -> np.ndarray:
-    """Codes with the last two symbols of the context, mixed, in front: sorted, each shard's codes are a run."""
-    key = ((codes >> np.uint64(8) & np.uint64(0xFFFF)) * np.uint64(MIX)) & np.uint64(0xFFFF)
-    return key << np.uint64(40) | (codes >> np.uint64(24)) << np.uint64(8) | codes & np.uint64(0xFF)
-
-
 def turned_back(codes: np.ndarray) -> np.ndarray:
+    """Codes with their symbols in the order of the text."""
     key = ((codes >> np.uint64(40)) * np.uint64(UNMIX)) & np.uint64(0xFFFF)
     return (codes >> np.uint64(8) & np.uint64(0xFFFFFFFF)) << np.uint64(24) | key << np.uint64(8) | codes & np.uint64(0xFF)
 
@@ -134,7 +137,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for _, part in slices(batch.column("text"), SCORE_BYTES):
-                codes, n = np.unique(turned(codes_of(part)[0]), return_counts=True)
+                codes, n = np.unique(codes_of(part)[0], return_counts=True)
                 pairs += np.bincount((turned_back(codes) & np.uint64(0xFFFF)).astype(np.int64), n, 1 << 16).astype(np.int64)
                 held.append((codes, n))
                 if sum(len(x) for x, _ in held) > HELD_GRAMS:
@@ -275,7 +278,7 @@ def questions(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, texts in chunks_of(batches):
             for part, (_, own) in enumerate(slices(texts, SCORE_BYTES)):
-                codes = distinct(turned(codes_of(own)[0]))
+                codes = distinct(codes_of(own)[0])
                 shards, bounds = by_shard(codes)
                 packed = [squeezed(np.diff(codes[a:b], prepend=np.uint64(0))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 m = len(packed)
@@ -317,7 +320,6 @@ def scored(texts: pa.Array, told: pd.DataFrame) -> np.ndarray:
     out = [np.zeros(0)]
     for part, (_, own) in enumerate(slices(texts, SCORE_BYTES)):
         codes, counts = codes_of(own)
-        codes = turned(codes)
         order = np.argsort(codes)
         codes = codes[order]
         place = np.cumsum(np.concatenate(([False], codes[1:] != codes[:-1])), dtype=np.int32)
