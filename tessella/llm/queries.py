@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, common, html_extract, impact_index, lattice, packing, quality, secret_scan, setsketch, suffix_lm, token_files
+from . import bpe, chat_format, common, html_extract, impact_index, importance, lattice, packing, quality, runs, secret_scan, setsketch, suffix_lm, token_files
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -59,9 +59,21 @@ def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_lm.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(runs.with_planted_periods(table(spark, sf_dir, "documents"))))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_impact_top_k": impact_index.ORACLE_SQL, "op5_chat_format": chat_format.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL}
+    return {"op1_impact_top_k": impact_index.ORACLE_SQL, "op5_chat_format": chat_format.ORACLE_SQL, "op7_quality_rules": quality.ORACLE_SQL, "op12_importance_resampling": importance.ORACLE_SQL}
