@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import values as V
 
 
+#: What ends a line.
+LINE_ENDS = r"\R|[\x1c-\x1e]"
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -29,7 +33,7 @@ def stripped(c: Column | str) -> Column:
 
 def lines_of(c: Column | str) -> Column:
     """Stripped lines that aren't blank."""
-    return F.filter(F.transform(F.split(text_of(c), r"\R|[\x1c-\x1e]"), stripped), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_of(c), LINE_ENDS), stripped), lambda x: x != "")
 
 
 def is_page_number(line: Column | str) -> Column:
@@ -107,10 +111,17 @@ def py_title(c: Column | str) -> Column:
     return F.array_join(F.transform(letters, lambda x, i: F.when((i > 0) & cased(F.get(letters, i - 1)), F.lower(x)).otherwise(F.upper(x))), "")
 
 
+def first_group(c: Column | str, patterns: tuple[str, ...]) -> Column:
+    """Group 1, stripped, of the first pattern that matches; null if none does."""
+    found = F.lit(None).cast("string")
+    for p in reversed(patterns):
+        found = F.when(text_of(c).rlike(p), stripped(F.regexp_extract(text_of(c), p, 1))).otherwise(found)
+    return found
+
+
 def first_match(c: Column | str, patterns: tuple[str, ...]) -> Column:
-    """Group 1 of the first pattern that matches, stripped, in title case if it is all capitals; '' if none does."""
-    found = [F.nullif(F.regexp_replace(stripped(F.regexp_extract(text_of(c), p, 1)), "[.,;:]+$", ""), F.lit("")) for p in patterns]
-    best = F.coalesce(*found, F.lit(""))
+    """Group 1 of the first pattern that matches, stripped, in title case if it is all capitals; '' if none does, or if nothing is left of it."""
+    best = F.coalesce(F.regexp_replace(first_group(c, patterns), "[.,;:]+$", ""), F.lit(""))
     return F.when(best == F.upper(best), py_title(best)).otherwise(best)
 
 
@@ -137,12 +148,12 @@ def clean_title(c: Column | str) -> Column:
 
 
 def roman(c: Column | str) -> Column:
-    """Page numbers: decimal digits pass through, Roman ones by subtraction, anything else is null."""
+    """Page numbers: decimal digits pass through, in Roman ones a digit before a greater one is taken off, anything else is null."""
     low = F.lower(stripped(text_of(c)))
     digits = F.transform(F.reverse(F.split(low, "")), lambda x: reduce(lambda e, kv: F.when(x == kv[0], kv[1]).otherwise(e), V.ROMAN_DIGITS.items(), F.lit(0)))
     zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last"))
-    total = F.aggregate(digits, zero, lambda s, d: F.struct((s["sum"] + F.when(d < s["last"], -d).otherwise(d)).alias("sum"), F.greatest(d, s["last"]).alias("last")), lambda s: s["sum"])
-    return F.when(low.rlike(r"^\d+$"), low.try_cast("int")).when(low.rlike("^[ivxlcdm]+$"), total)
+    total = F.aggregate(digits, zero, lambda s, d: F.struct((s["sum"] + F.when(d < s["last"], -d).otherwise(d)).alias("sum"), d.alias("last")), lambda s: s["sum"])
+    return F.when(low.rlike(r"^\d+$"), low.try_cast("int")).when(low.rlike("^[ivxlcdm]+$") & (total > 0), total)
 
 
 def unit_number(c: Column | str) -> Column:

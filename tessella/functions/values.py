@@ -11,13 +11,18 @@ DEFAULT_FONT_SIZE = 10.0
 MAX_WORDS = 30_000
 TABLE_CHARS = 4000
 BATCH_SIZE = 5
-NARRATIVE_SUMMARIES, NARRATIVE_CHARS = 5, 500
+NARRATIVE_SUMMARIES, NARRATIVE_CHARS, NARRATIVE_GLUE = 5, 500, " | "
+TOP_SCORE = 10
+RATIONALE_CHARS, EVIDENCE_CHARS = 200, 600
 PROSE_LIMIT = 0.75
 COPYRIGHT_LIMIT = 4
 SIMILARITY_LIMIT, SIMILAR_PAIRS = 0.6, 5
 CONTEXT_CHARS, OTHER_CHARS = 4000, 1500
 FALLBACK_WORDS, COVER_CHARS = 2000, 3000
 TOC_TOLERANCE = 2
+HEAD_CHARS = 400
+CONTENTS_WITHIN = 20
+CONTENTS_SEARCH, CONTENTS_PAGES = 15, 4
 
 MODULE_DIMS = ("goal_focus", "text_readability", "pedagogical_clarity", "example_concreteness", "example_coherence")
 COURSE_DIMS = ("prerequisite_alignment", "structural_usability", "business_relevance", "fluidity_continuity", "instructional_alignment")
@@ -36,6 +41,8 @@ ROMAN_UNITS = {"I": 1, "II": 2, "III": 3, "IV": 4, "V": 5, "VI": 6, "VII": 7, "V
 ROMAN_DIGITS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 MONOSPACE, HEAVY = "Courier|Mono|Code", "Bold|Black|Heavy"
 
+RETRY_SIGNS = ("429", "503", "rate limit", "quota", "service unavailable", "overloaded")
+
 # Patterns of the classification, in the order of its rules.
 PREFACE_HEADING = r"(?i)^\s*(?:preface|foreword|about\s+this\s+(?:book|text)|introduction)\s*$"
 REFERENCE_HEADING = r"(?i)\b(appendix|table of|reference table|index|quick\s+reference|cheat\s+sheet|summary\s+table|method\s+summary|api\s+reference|command\s+reference)\b"
@@ -70,6 +77,8 @@ CID = r"\(cid:\d+\)"
 FIGURE = r"(?i)^(Fig\.?\s*\d+\.\d+)\s+(.+)"
 UNIT_MARKER = r"(?i)UNIT\s*[-–]?\s*([IVX]+|\d+)"
 CONTENTS_HEADING = r"(?i)^\s*(contents|table\s+of\s+contents|index)\s*$"
+CONTENTS_HEAD = r"(?i)^\s*(table\s+of\s+)?contents?\s*$"
+DOTTED_LINE = r"(?i)\.{3,}\s*[\divxlcdm]+\s*$"
 TOC_LINE = r"(?i)^\s*((?:\d+(?:\.\d+)*|[IVX]+|Chapter\s+\d+|Ch\.\s*\d+|Part\s+[IVX]+))?\s*\.?\s*([A-Za-z][^.\n]*?)\s*[.\s]{3,}\s*(\d{1,4}|[ivxlcdm]+)\s*$"
 
 # Patterns of metadata.
@@ -95,6 +104,13 @@ SUBJECTS = (
     r"(?i)textbook\s+(?:for|in|on)\s+([A-Z][^.,]{3,60})",
     r"(?im)^(?:introduction\s+to|foundations?\s+(?:of|in)|fundamentals?\s+of)\s+([A-Z][^.\n]{3,80})",
 )
+DESCRIPTIONS = (
+    r"(?sU)About\s+[\w\s]+?\n\s*([A-Z][^.]{30,400}\.)",
+    r"(?iU)(?:this\s+(?:book|textbook|text|course|resource))\s+(?:provides?|covers?|introduces?|is\s+designed\s+to|aims?\s+to)\s+([^.]{30,350}\.)",
+    r"(?U)(?:Preface|Introduction)\s*\n+([A-Z][^\n]{50,400})",
+)
+BOILERPLATE = ("access for free", "if you")
+DESCRIPTION_LEAST, DESCRIPTION_CHARS = 30, 400
 BAD_AUTHOR = r"^(windows\s+user|administrator|admin|user|root|unknown|default|test|owner|pc|laptop|desktop|student|author|anonymous|n/?a)$"
 TOOL_AUTHOR = r"(acrobat|microsoft\s+word|libreoffice|openoffice|latex|tex|wkhtmltopdf|created\s+by|generated\s+by|converted\s+by)"
 COURSE_CODE = r"(?i)\s*[\[\(]?\s*[A-Z]{1,5}[-\s]?\d{3,}[A-Z0-9]*\s*[\]\)]?\s*"

@@ -5,32 +5,36 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import values as V
+from tessella.operators.errors import message
 
 
 def unit_starts(pages: DataFrame) -> DataFrame:
     """pages: doc_id, page_idx, text. doc_id, heading, start: the first page of each unit; nothing unless two or more ascend."""
-    head, title_at = F.substring("text", 1, 200), F.substring("text", 1, 300)
-    marks = pages.select("doc_id", "page_idx", F.regexp_extract(head, V.UNIT_MARKER, 1).alias("mark"), F.regexp_extract(title_at, V.UNIT_MARKER + r"([^\n]*)\n?([^\n]*)", 3).alias("title"))
+    mark = F.regexp_extract(F.substring("text", 1, 200), V.UNIT_MARKER, 1)
+    after = T.stripped(F.regexp_extract(F.substring("text", 1, 300), V.UNIT_MARKER + r"(?U)\s*([^\n]*)", 2))
+    marks = pages.select("doc_id", "page_idx", mark.alias("mark"), F.substring(after, 1, 80).alias("title"))
     marks = marks.withColumn("unit", T.unit_number("mark")).filter((F.col("mark") != "") & F.col("unit").isNotNull())
     first = Window.partitionBy("doc_id", "unit").orderBy("page_idx")
     marks = marks.withColumn("n", F.row_number().over(first)).filter("n = 1")
     by_unit, whole = Window.partitionBy("doc_id").orderBy("unit"), Window.partitionBy("doc_id")
     marks = marks.withColumn("up", F.coalesce(F.col("page_idx") > F.lag("page_idx").over(by_unit), F.lit(True)))
     marks = marks.withColumn("fine", F.bool_and("up").over(whole) & (F.count("*").over(whole) >= 2)).filter("fine")
-    title = F.substring(F.regexp_replace(F.col("title"), r"^[\s\-–:]+", ""), 1, 80)
+    title = T.stripped(F.regexp_replace("title", r"^[\s\-–:]+", ""))
     return marks.select("doc_id", F.concat(F.lit("Unit "), F.col("unit").cast("string"), F.when(title != "", F.concat(F.lit(": "), title)).otherwise("")).alias("heading"), F.col("page_idx").alias("start"))
 
 
 def outline_starts(outline: DataFrame, page_counts: DataFrame) -> DataFrame:
-    """outline: doc_id, ord (depth first), title, page_idx. The first title of each page, pages past the end clamped."""
-    rows = outline.join(page_counts, "doc_id").withColumn("start", F.least("page_idx", F.col("pages") - 1))
+    """outline: doc_id, ord (depth first), title, page_idx. The first title of each page (null if it is blank), pages past the end clamped, entries without a page left out."""
+    rows = outline.filter("page_idx IS NOT NULL").join(page_counts, "doc_id")
+    rows = rows.withColumn("start", F.greatest(F.lit(0), F.least("page_idx", F.col("pages") - 1)))
     first = Window.partitionBy("doc_id", "start").orderBy("ord")
-    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc_id", F.col("title").alias("heading"), "start")
+    heading = F.nullif(T.stripped("title"), F.lit("")).alias("heading")
+    return rows.withColumn("n", F.row_number().over(first)).filter("n = 1").select("doc_id", heading, "start")
 
 
 def page_ranges(starts: DataFrame, page_counts: DataFrame, frontmatter: bool = True) -> DataFrame:
@@ -55,12 +59,17 @@ def range_blocks(ranges: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.select("doc_id", index, "heading", "text")
 
 
-def contents_pages(heads: DataFrame, limit: int = 20) -> DataFrame:
+def page_heads(pages: DataFrame) -> DataFrame:
+    """pages: doc_id, page_idx, text. doc_id, page_idx, head: what a page begins with, in lower case."""
+    return pages.select("doc_id", "page_idx", F.lower(F.substring(T.text_of("text"), 1, V.HEAD_CHARS)).alias("head"))
+
+
+def contents_pages(heads: DataFrame, limit: int = V.CONTENTS_WITHIN) -> DataFrame:
     """heads: doc_id, page_idx, head. The pages of a run that a contents heading opens and dotted lines carry on."""
     heads = heads.filter(F.col("page_idx") < limit)
     lines = T.lines_of("head")
-    opens = F.exists(F.slice(lines, 1, 3), lambda x: x.rlike(r"(?i)^(table of )?contents?$"))
-    dotted = F.size(F.filter(lines, lambda x: x.rlike(r"\.{3,}\s*\w+\s*$"))) >= 2
+    opens = F.exists(F.slice(lines, 1, 3), lambda x: x.rlike(V.CONTENTS_HEAD))
+    dotted = F.size(F.filter(lines, lambda x: x.rlike(V.DOTTED_LINE))) >= 2
     rows = heads.select("doc_id", "page_idx", opens.alias("opens"), dotted.alias("dotted"))
     breaks = F.sum((~F.col("dotted") | F.col("opens")).cast("int")).over(Window.partitionBy("doc_id").orderBy("page_idx"))
     rows = rows.withColumn("run", breaks)
@@ -69,35 +78,76 @@ def contents_pages(heads: DataFrame, limit: int = 20) -> DataFrame:
 
 
 def toc_entries(lines: DataFrame) -> DataFrame:
-    """lines: doc_id, ord, line. Chapter lines of a table of contents: number, title, page; sub-chapters and headings left out."""
+    """lines: doc_id, ord, line and others. Chapter lines of a table of contents: number (null without one), title, page_number; sub-chapters and headings left out."""
     part = lambda i: F.regexp_extract("line", V.TOC_LINE, i)
-    rows = lines.select("doc_id", "ord", part(1).alias("number"), T.stripped(part(2)).alias("title"), T.roman(part(3)).alias("page_number"))
-    return rows.filter((F.col("title") != "") & (F.length("title") <= 200) & ~F.col("number").contains(".") & ~F.lower("title").isin("contents", "table of contents", "index"))
+    title = T.stripped(F.regexp_replace(T.stripped(part(2)), r"\.+$", ""))
+    others = [c for c in lines.columns if c != "line"]
+    rows = lines.select(*others, F.nullif(T.stripped(part(1)), F.lit("")).alias("number"), title.alias("title"), T.roman(part(3)).alias("page_number"))
+    plain = ~F.coalesce(F.col("number").contains("."), F.lit(False))
+    return rows.filter((F.col("title") != "") & (F.length("title") <= 200) & plain & ~F.lower("title").isin("contents", "table of contents", "index"))
 
 
-def locate_chapters(toc: DataFrame, heads: DataFrame) -> DataFrame:
-    """toc: doc_id, ord, title; heads: doc_id, page_idx, head (lower case), is_contents. doc_id, ord, title, start.
+def contents_entries(pages: DataFrame, within: int = V.CONTENTS_SEARCH, most: int = V.CONTENTS_PAGES) -> DataFrame:
+    """pages: doc_id, page_idx, text. doc_id, ord, number, title, page_number of the printed contents.
 
-    Each title in order takes the first page from the cursor on that names it, and moves the cursor behind it.
+    They begin on the first of `within` pages with a contents heading among its first five lines, on this page or one of the next, and go on
+    for `most` pages from there at most, up to the first page without an entry. A page that is missing, null or blank has none.
+    Entries on pages in a row keep the same distance between their page and its place among pages with entries; a gap widens it.
     """
+    rows = pages.filter(F.col("page_idx") < within).select("doc_id", "page_idx", "text")
+    opens = F.exists(F.slice(T.lines_of("text"), 1, 5), lambda x: x.rlike(V.CONTENTS_HEADING))
+    first = F.min(F.when(opens, F.col("page_idx"))).over(Window.partitionBy("doc_id"))
+    rows = rows.withColumn("first", first).filter(F.col("page_idx").between(F.col("first"), F.col("first") + most - 1))
+    lines = rows.select("doc_id", "page_idx", F.posexplode(F.split("text", T.LINE_ENDS)).alias("ord", "line"))
+    found = toc_entries(lines.filter(~F.col("line").rlike(V.CONTENTS_HEADING)))
+    by_page = Window.partitionBy("doc_id").orderBy("page_idx")
+    found = found.withColumn("gap", F.col("page_idx") - F.dense_rank().over(by_page))
+    found = found.withColumn("least", F.min("gap").over(Window.partitionBy("doc_id"))).filter(F.col("gap") == F.col("least"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_idx", "ord")) - 1
+    return found.select("doc_id", place.alias("ord"), "number", "title", "page_number")
 
-    def run(titles: pd.DataFrame, pages: pd.DataFrame) -> pd.DataFrame:
-        import re
 
-        pages = pages[~pages["is_contents"].astype(bool)].sort_values("page_idx")
-        out, cursor = [], 0
-        for number, (doc, at, title) in enumerate(titles.sort_values("ord")[["doc_id", "ord", "title"]].itertuples(index=False), 1):
-            words = [w for w in re.findall(r"\w+", title.lower()) if len(w) > 2][:3]
-            opening = re.compile(rf"\s*(chapter\s+{number}\b|{number}\s+\S)")
-            for page, head in pages[["page_idx", "head"]].itertuples(index=False):
-                if page >= cursor and words and sum(w in head for w in words) >= min(2, len(words)) and opening.match(head):
-                    out.append((doc, at, title, page))
-                    cursor = page + 1
-                    break
-        return pd.DataFrame(out if len(out) > 1 else [], columns=["doc_id", "ord", "title", "start"])
-
-    schema = f"doc_id {toc.schema['doc_id'].dataType.simpleString()}, ord int, title string, start int"
-    return toc.groupBy("doc_id").cogroup(heads.groupBy("doc_id")).applyInPandas(run, schema)
+def locate_chapters(toc: DataFrame, heads: DataFrame) -> DataFrame:
+    """toc: doc_id, ord, number, title; heads: doc_id, page_idx, head (of page_heads), is_contents. doc_id, ord, heading, start.
+
+    An ordered fold: each titled entry, in order, takes the first page from the cursor on that names it, and moves the cursor behind that page;
+    an entry without a page leaves it. The cursor starts behind the last contents page. A page names an entry if it holds two of the
+    title's first three words of over two letters (the one, if there is but one; none are asked for if there is none) and, where the
+    entry has a number, begins with that number, with or without "chapter" before it. Nothing is found for an entry without such words
+    and number, nor in a document with fewer than two titled entries or fewer than two found.
+    What is gathered of a document is its entries and its pages' heads.
+    """
+    behind = lambda c, n: F.substring(c, n + F.lit(1), F.length(c))
+    rest = F.regexp_extract("head", r"(?sU)^\s*chapter\s+(.*)$", 1)
+    plain = F.regexp_replace("head", r"(?U)^\s+", "")
+    page = F.struct("page_idx", "head", rest.alias("rest"), plain.alias("plain"))
+    open_pages = ~F.coalesce(F.col("is_contents"), F.lit(False)) & (T.stripped("head") != "")
+    pages = heads.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(open_pages, page))).alias("pages"),
+        F.coalesce(F.max(F.when(F.col("is_contents"), F.col("page_idx"))) + 1, F.lit(0)).cast("int").alias("cursor"),
+    )
+    words = F.slice(F.filter(F.split(F.lower("title"), r"(?U)\s+"), lambda w: F.length(w) > 2), 1, 3)
+    given = F.lower(T.stripped(T.text_of(F.col("number").cast("string"))))
+    heading = F.when(F.coalesce(F.col("number").cast("string"), F.lit("")) != "", F.concat(F.lit("Chapter "), "number", F.lit(": "), "title")).otherwise(F.col("title"))
+    entry = F.struct(F.col("ord").cast("int").alias("ord"), heading.alias("heading"), words.alias("words"), given.alias("given"), given.rlike(r"(?U)\w\z").alias("wordy"))
+    entries = toc.filter(F.col("title") != "").groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("entries")).filter(F.size("entries") >= 2)
+
+    def names(p: Column, e: Column) -> Column:
+        seen = F.size(F.filter(e["words"], lambda w: F.contains(p["head"], w)))
+        after = behind(p["rest"], F.length(e["given"]))
+        chapter = F.startswith(p["rest"], e["given"]) & (after.rlike(r"(?U)^\w") != e["wordy"])
+        bare = F.startswith(p["plain"], e["given"]) & behind(p["plain"], F.length(e["given"])).rlike(r"(?U)^\s+\S")
+        return (seen >= F.least(F.lit(2), F.size(e["words"]))) & F.when(e["given"] != "", chapter | bare).otherwise(F.size(e["words"]) > 0)
+
+    def step(s: Column, e: Column) -> Column:
+        at = F.get(F.filter("pages", lambda p: (p["page_idx"] >= s["cursor"]) & names(p, e)), F.lit(0))["page_idx"].cast("int")
+        hit = lambda x: F.array(F.struct(e["ord"].alias("ord"), e["heading"].alias("heading"), x.alias("start")))
+        moved = lambda x: F.when(x.isNull(), s).otherwise(F.struct((x + 1).alias("cursor"), F.concat(s["found"], hit(x)).alias("found")))
+        return F.get(F.transform(F.array(at), moved), F.lit(0))
+
+    start = F.struct(F.col("cursor"), F.expr("CAST(array() AS array<struct<ord:int,heading:string,start:int>>)").alias("found"))
+    rows = entries.join(pages, "doc_id").select("doc_id", F.aggregate("entries", start, step, lambda s: s["found"]).alias("found"))
+    return rows.filter(F.size("found") >= 2).select("doc_id", F.inline("found"))
 
 
 def choose_tier(tiers: list[DataFrame], toc_sizes: DataFrame) -> DataFrame:
@@ -150,27 +200,32 @@ def merged(rows: list[tuple[str | None, str]], max_words: int, barred: list[bool
     return [(head[i], "\n\n".join(parts[i])) for i in range(len(rows)) if alive[i]]
 
 
-def merge_blocks(blocks: DataFrame, max_words: int = V.MAX_WORDS, chunked: bool = False) -> DataFrame:
+def merge_blocks(blocks: DataFrame, max_words: int = V.MAX_WORDS, chunked: bool = False, errors: bool = False) -> DataFrame:
     """blocks: doc_id, block_idx, heading, text. Chapter and unit openings are never merged into what stands before them.
 
-    With `chunked`, each merged text in pieces, with their chunk_idx. A document that can't be merged stays as it came: its failure isn't another's.
+    With `chunked`, each merged text in pieces, with their chunk_idx. With `errors`, a document whose merging fails gives one row with the
+    failure in `error` (see operators/errors.py) and nothing else, and all other rows have a null there; without, its failure is the job's.
     """
     h = F.coalesce(T.stripped("heading"), F.lit(""))
     barred = h.rlike(V.MERGE_BARRIER) | h.rlike(V.UNIT_BARRIER) | F.substring("text", 1, 200).rlike(V.UNIT_BARRIER)
+    columns = ["doc_id", "block_idx", *["chunk_idx"] * chunked, "heading", "text", *["error"] * errors]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_idx")
-        out = [(h if isinstance(h, str) else None, t) for h, t in zip(pdf["heading"], pdf["text"], strict=True)]
+        doc = pdf["doc_id"].iloc[0]
         try:
+            pdf = pdf.sort_values("block_idx")
+            out = [(h if isinstance(h, str) else None, t) for h, t in zip(pdf["heading"], pdf["text"], strict=True)]
             out = merged(out, max_words, pdf["barred"].tolist())
-            rows = [(i, j, h, c) for i, (h, t) in enumerate(out) for j, c in enumerate(chunks_of(t, max_words) if chunked else [t])]
-        except Exception:
-            rows = [(i, 0, h, t) for i, (h, t) in enumerate(out)]
-        found = pd.DataFrame(rows, columns=["block_idx", "chunk_idx", "heading", "text"])
-        found.insert(0, "doc_id", pdf["doc_id"].iloc[0])
-        return found if chunked else found.drop(columns="chunk_idx")
-
-    schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, block_idx int, {'chunk_idx int, ' if chunked else ''}heading string, text string"
+            rows = [(doc, i, j, h, c, None) for i, (h, t) in enumerate(out) for j, c in enumerate(chunks_of(t, max_words) if chunked else [t])]
+        except Exception as e:
+            if not errors:
+                raise
+            rows = [(doc, None, None, None, None, message(e))]
+        found = pd.DataFrame(rows, columns=["doc_id", "block_idx", "chunk_idx", "heading", "text", "error"])
+        return found.astype({"block_idx": "Int32", "chunk_idx": "Int32"})[columns]
+
+    kinds = {"doc_id": blocks.schema["doc_id"].dataType.simpleString(), "block_idx": "int", "chunk_idx": "int"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns)
     return blocks.select("doc_id", "block_idx", "heading", T.text_of("text").alias("text"), barred.alias("barred")).groupBy("doc_id").applyInPandas(run, schema)
 
 

@@ -21,11 +21,12 @@ def in_body(words: DataFrame, top: float = V.CROP_TOP, bottom: float = V.CROP_BO
 
 
 def median_sizes(words: DataFrame) -> DataFrame:
-    """doc_id, threshold: the upper median font size, times the ratio of a header. Counts by size, not words, are gathered."""
-    sizes = words.groupBy("doc_id", F.coalesce("size", F.lit(0.0)).alias("size")).agg(F.count("*").alias("n"))
-    by_size = Window.partitionBy("doc_id").orderBy("size")
+    """doc_id, median, threshold: the upper median font size, and that times the ratio of a header. Words without a size don't count; where
+    none has one, a default is the median. Counts by size, not words, are gathered."""
+    sizes = words.groupBy("doc_id", "size").agg(F.count("size").alias("n"))
+    by_size = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("size"))
     sizes = sizes.withColumn("upto", F.sum("n").over(by_size)).withColumn("all", F.sum("n").over(Window.partitionBy("doc_id")))
-    median = F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("size")))
+    median = F.coalesce(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("size"))), F.lit(V.DEFAULT_FONT_SIZE))
     return sizes.groupBy("doc_id").agg(median.alias("median"), (median * V.HEADER_RATIO).alias("threshold"))
 
 
@@ -51,16 +52,17 @@ def lines_from_words(words: DataFrame, threshold: Column | None = None) -> DataF
     )
 
 
-def with_code_marks(lines: DataFrame) -> DataFrame:
-    """Lines with [CODE] and [/CODE] as lines of their own around each run of code; `mark` orders them on their line."""
+def with_code_marks(lines: DataFrame, flags: tuple[str, ...] = ()) -> DataFrame:
+    """Lines with [CODE] and [/CODE] as lines of their own around each run of code; `mark` orders them on their line. `flags`: further columns, false for marks."""
     on_page = Window.partitionBy(*PAGE).orderBy("y_key")
     before, after = F.coalesce(F.lag("is_code").over(on_page), F.lit(False)), F.coalesce(F.lead("is_code").over(on_page), F.lit(False))
+    mark = lambda at, text: F.struct(F.lit(at).alias("mark"), F.lit(text).alias("text"), *(F.lit(False).alias(c) for c in flags))
     rows = F.array_compact(F.array(
-        F.when(F.col("is_code") & ~before, F.struct(F.lit(0).alias("mark"), F.lit("[CODE]").alias("text"))),
-        F.struct(F.lit(1).alias("mark"), F.col("text").alias("text")),
-        F.when(F.col("is_code") & ~after, F.struct(F.lit(2).alias("mark"), F.lit("[/CODE]").alias("text"))),
+        F.when(F.col("is_code") & ~before, mark(0, "[CODE]")),
+        F.struct(F.lit(1).alias("mark"), F.col("text").alias("text"), *flags),
+        F.when(F.col("is_code") & ~after, mark(2, "[/CODE]")),
     ))
-    return lines.withColumn("rows", rows).select(*PAGE, "y_key", F.explode("rows").alias("r")).select(*PAGE, "y_key", "r.mark", "r.text")
+    return lines.withColumn("rows", rows).select(*PAGE, "y_key", F.explode("rows").alias("r")).select(*PAGE, "y_key", "r.*")
 
 
 def with_tables(lines: DataFrame, tables: DataFrame, tier: int = 1) -> DataFrame:
@@ -78,7 +80,7 @@ def page_text(lines: DataFrame) -> DataFrame:
 
 def is_header(text: Column, size: Column, bold: Column, threshold: Column, use_bold: bool = True) -> Column:
     low = F.regexp_replace(F.lower(text), "[.,:;]+$", "")
-    strong = bold & ~low.isin(*V.BOLD_LABELS) & ~text.endswith(":") & ~T.stripped(F.lower(text)).isin(*V.RUNNING_HEADERS) if use_bold else F.lit(False)
+    strong = bold & ~low.isin(*V.BOLD_LABELS) & ~text.endswith(":") & ~low.isin(*V.RUNNING_HEADERS) if use_bold else F.lit(False)
     return (F.length(text) < V.HEADER_MAX_CHARS) & ((size >= threshold) | strong)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.functions import values as V
+from tessella.operators.errors import message
 
 TEXTS = ("title", "author", "publisher", "level", "target_audience", "draft_notes", "source", "subject", "description", "isbn", "year")
 LISTS = ("prerequisites_stated", "prerequisites_inferred", "learning_outcomes_stated", "learning_outcomes_inferred", "contributing_authors")
@@ -66,17 +69,28 @@ def largest_words(words: DataFrame, n: int = 15) -> DataFrame:
     return rows.filter(F.col("n") <= n).select("doc_id", "n", "text", "size")
 
 
+def description(both: Column) -> Column:
+    """The first pattern's match of some length that isn't a publisher's boilerplate, cut to a length; '' if there is none."""
+    found = F.lit("")
+    for p in reversed(V.DESCRIPTIONS):
+        raw = T.stripped(F.regexp_extract(both, p, 1))
+        plain = ~F.lower(raw).rlike("^(" + "|".join(V.BOILERPLATE) + ")")
+        found = F.when((F.length(raw) >= V.DESCRIPTION_LEAST) & plain, F.substring(raw, 1, V.DESCRIPTION_CHARS)).otherwise(found)
+    return found
+
+
 def heuristics(rows: DataFrame) -> DataFrame:
-    """rows: doc_id, cover, raw. doc_id and what patterns find in the texts."""
-    both = F.concat("cover", F.lit("\n"), "raw")
-    about = T.stripped(F.regexp_extract(both, r"(?is)(?:this\s+(?:book|textbook|text|course|resource))\s+(?:provides?|covers?|introduces?|is\s+designed\s+to|aims?\s+to)\s+([^.]{30,350}\.)", 1))
+    """rows: doc_id, cover, raw. doc_id and what patterns find in the texts; null texts are empty."""
+    rows = rows.select("doc_id", T.text_of("cover").alias("cover"), F.concat(T.text_of("cover"), F.lit("\n\n"), T.text_of("raw")).alias("both"))
+    both = F.col("both")
+    subject = F.coalesce(F.regexp_replace(T.first_group(both, V.SUBJECTS), "[.,]+$", ""), F.lit(""))
     return rows.select(
         "doc_id",
         T.first_match("cover", V.TITLES).alias("title"),
         T.real_author(T.first_match("cover", V.AUTHORS)).alias("author"),
-        T.first_match(both, V.PUBLISHERS).alias("publisher"),
-        T.first_match(both, V.SUBJECTS).alias("subject"),
-        F.when(F.length(about) >= 30, F.substring(about, 1, 400)).otherwise("").alias("description"),
+        T.short_name(T.first_match("cover", V.PUBLISHERS)).alias("publisher"),
+        subject.alias("subject"),
+        description(both).alias("description"),
         T.isbn(both).alias("isbn"),
         T.year(both).alias("year"),
     )
@@ -125,19 +139,32 @@ def prompts(rows: DataFrame, rules: str) -> DataFrame:
 
 
 def enriched(rows: DataFrame, providers: list[Callable[[str], str]], tries: int = 2, wait: float = 3.0) -> DataFrame:
-    """rows: doc_id, prompt. doc_id, raw of the first provider that answers; what isn't JSON isn't asked again elsewhere."""
+    """rows: doc_id, prompt. doc_id, raw, provider, error: the answer of the first provider that gives a JSON object, and its number.
+
+    A provider is asked again after any failure; an answer that is no JSON object is the next one's turn. Where all fail, raw is null and
+    error says how each did.
+    """
     from tessella.operators.scoring import call_with_retry
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for doc, prompt in pdf.itertuples(index=False):
-                for call in providers:
+                failures, found = [], None
+                for number, call in enumerate(providers):
                     try:
-                        out.append((doc, call_with_retry(call, prompt, tries, wait)))
+                        raw = call_with_retry(call, prompt, tries, wait, every=True)
+                        if not isinstance(json.loads(unfenced(raw)), dict):
+                            raise ValueError("the answer is no JSON object")
+                        found = (doc, raw, number, None)
                         break
-                    except Exception:  # the next provider's turn
-                        continue
-            yield pd.DataFrame(out, columns=["doc_id", "raw"])
+                    except Exception as e:  # the next provider's turn
+                        failures.append(message(e))
+                out.append(found or (doc, None, None, "; ".join(failures)))
+            yield pd.DataFrame(out, columns=["doc_id", "raw", "provider", "error"]).astype({"provider": "Int32"})
+
+    return rows.select("doc_id", "prompt").mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, raw string, provider int, error string")
+
 
-    return rows.select("doc_id", "prompt").mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, raw string")
+def unfenced(raw: str) -> str:
+    return re.sub(r"\s*```$", "", re.sub(r"^```(?:json)?\s*", "", raw.strip()))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from tessella.functions import values as V
-from tessella.operators import aggregate, blocks, scoring
+from tessella.operators import aggregate, blocks, errors, scoring
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -24,10 +26,36 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@dataclass(frozen=True)
+class Evaluation:
+    """documents: doc_id, document; errors: a row for each course and step that failed; segments: what was scored; metrics: the run's counts, there already."""
+
+    documents: DataFrame
+    errors: DataFrame
+    segments: DataFrame
+    metrics: dict
+
+
+def metrics() -> list:
+    """What a run has seen: a count of segments for each type, and of those that were left incomplete, and all characters."""
+    kinds = [F.count_if(F.col("segment_type") == k).alias(k) for k in V.SEGMENT_TYPES]
+    return [F.count("*").alias("segments"), F.count_if("incomplete").alias("incomplete"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("characters"), *kinds]
+
+
+def run(course_blocks: DataFrame, metadata: DataFrame, responses: DataFrame, course_responses: DataFrame, max_words: int = V.MAX_WORDS, limit: int = 0, model: str = "") -> Evaluation:
+    """responses: doc_id, ord, raw; course_responses: doc_id, scores, reasoning, overall_score.
+
+    Blocks are merged once and scored segments are read once: counts are observed as they are written. A course that fails has an error row and no segments.
+    """
+    tagged = kept(blocks.merge_blocks(course_blocks, max_words, chunked=True, errors=True))
+    segments = aggregate.first_segments(blocks.number_segments(errors.good(tagged)), limit)
+    seen = Observation()
+    matched = scoring.match_responses(segments, scoring.parse_responses(responses)).observe(seen, *metrics())
+    evaluated = kept(matched)  # read by every gate and digest
+    documents = aggregate.course_documents(metadata, evaluated, course_responses, model)
+    return Evaluation(documents, errors.bad(tagged, "segments"), evaluated, seen.get)
+
+
 def evaluate(course_blocks: DataFrame, metadata: DataFrame, responses: DataFrame, course_responses: DataFrame, max_words: int = V.MAX_WORDS, limit: int = 0) -> DataFrame:
-    """doc_id, document. responses: doc_id, ord, raw; course_responses: doc_id, scores, reasoning, overall_score."""
-    segments = blocks.segment_documents(course_blocks, max_words)
-    if limit:
-        segments = segments.filter(segments["segment_id"] <= limit)
-    evaluated = kept(scoring.match_responses(segments, scoring.parse_responses(responses)))  # read by every gate and digest
-    return aggregate.course_documents(metadata, evaluated, course_responses)
+    """doc_id, document of every course."""
+    return run(course_blocks, metadata, responses, course_responses, max_words, limit).documents

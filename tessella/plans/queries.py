@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import sql as Q
 from tessella.functions import text as T
 from tessella.functions import values as V
 from tessella.functions.numbers import py_round
@@ -15,6 +16,7 @@ from tessella.operators import blocks as B
 from tessella.operators import lines as L
 from tessella.operators import metadata as M
 from tessella.operators import scoring as S
+from tessella.plans import cascade as C
 from tessella.plans import standins as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -294,13 +296,37 @@ def a09_toc_entries(spark, sf):
     return B.toc_entries(D.lines(spark, sf).select("doc_id", F.col("i").alias("ord"), line.alias("line")))
 
 
-@query("WITH " + D.LINES + ", n AS (SELECT doc_id, count(*) AS n FROM ln GROUP BY doc_id) SELECT doc_id, CAST(i AS INTEGER) AS ord, 'Topic number ' || i AS title, CAST(i * 2 AS INTEGER) AS start FROM ln JOIN n USING (doc_id) WHERE i * 2 < n AND n > 4")
+def contents_text(spark, sf):
+    """Lines as pages: the second has a contents heading, the next ones entries but for a plain page in some documents; more stand behind."""
+    title = F.array_join(F.slice(F.filter(F.split(F.regexp_replace("line", r"[^A-Za-z]+", " "), " "), lambda w: w != ""), 1, 3), " ")
+    i, entry = F.col("i"), F.concat(title, F.lit(" ...... "), F.col("i").cast("string"))
+    sub = F.concat(F.lit("1.2 "), title, F.lit(" ..... 9"))
+    numbered = F.concat((i * 2).cast("string"), F.lit(". "), entry, F.lit("\n"), sub, F.lit("\nxiv "), title, F.lit(" .... xiv"))
+    bare = (F.col("doc_id") % 3 == 0) & (i == 4)
+    text = F.when(i == 2, F.concat(F.lit("\n x \nTable of  Contents\n"), numbered)).when(bare, "plain page").otherwise(numbered)
+    return D.lines(spark, sf).select("doc_id", (i - 1).cast("int").alias("page_idx"), text.alias("text"))
+
+
+@query("WITH " + D.LINES + r""", t AS (SELECT doc_id, i, array_to_string(list_filter(string_split(regexp_replace(line, '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: w <> '')[:3], ' ') AS t FROM ln WHERE i BETWEEN 2 AND 5),
+e AS (SELECT * FROM t WHERE t <> '' AND len(t) <= 200 AND lower(t) NOT IN ('contents', 'table of contents', 'index') AND NOT (doc_id % 3 = 0 AND i >= 4) AND doc_id IN (SELECT doc_id FROM ln WHERE i = 2)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS g FROM e), r AS (SELECT * FROM g QUALIFY g = min(g) OVER (PARTITION BY doc_id)),
+b AS (SELECT doc_id, i, 1 AS k, CAST(i * 2 AS VARCHAR) AS number, t AS title, i AS page_number FROM r UNION ALL SELECT doc_id, i, 2, 'xiv', t, 14 FROM r)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, k) - 1 AS INTEGER) AS ord, number, title, CAST(page_number AS INTEGER) AS page_number FROM b""")
+def a09_contents_entries(spark, sf):
+    return B.contents_entries(contents_text(spark, sf))
+
+
+@query("WITH RECURSIVE " + D.COURSES + ", " + D.LOCATED + " SELECT doc_id, ord, heading, start FROM lo")
 def a10_j04_locate_chapters(spark, sf):
-    rows = D.lines(spark, sf).withColumn("i", F.col("i").cast("int"))
-    toc = rows.select("doc_id", F.col("i").alias("ord"), F.concat(F.lit("Topic number "), F.col("i").cast("string")).alias("title"))
-    page = F.col("i") - 1
-    head = F.when(page % 2 == 0, F.concat(F.lit("chapter "), (page / 2).cast("int").cast("string"), F.lit(" topic number"))).otherwise("other text")
-    return B.locate_chapters(toc, rows.select("doc_id", page.alias("page_idx"), head.alias("head"), F.lit(False).alias("is_contents")))
+    heads = B.page_heads(C.whole_pages(D.course_words(spark, sf)))
+    heads = heads.join(B.contents_pages(heads).withColumn("is_contents", F.lit(True)), ["doc_id", "page_idx"], "left")
+    return B.locate_chapters(D.course_toc(spark, sf), heads)
+
+
+@query("WITH RECURSIVE " + D.COURSES + ", " + D.LOCATED + ", " + D.CASCADE + " SELECT doc_id, CAST(tier AS INTEGER) AS tier, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS block_idx, heading, text FROM rr JOIN ok USING (doc_id, tier)")
+def a13_course_blocks(spark, sf):
+    """Words to blocks in one call; some documents are settled in each tier."""
+    return C.course_blocks(D.course_words(spark, sf), D.course_pages(spark, sf), D.course_toc(spark, sf), D.course_outline(spark, sf))
 
 
 TIERS = "t AS (SELECT doc_id, 1 AS tier, block_idx FROM bl WHERE block_idx % 2 = 0 AND doc_id % 2 = 0 UNION ALL SELECT doc_id, 2, block_idx FROM bl), n AS (SELECT doc_id, tier, count(*) AS n FROM t GROUP BY doc_id, tier), g AS (SELECT doc_id, min(tier) AS tier FROM n WHERE tier = 2 OR abs(n - 4) <= 2 GROUP BY doc_id)"
@@ -318,46 +344,127 @@ def a14_first_chapters(spark, sf):
     return B.first_chapters(D.blocks(spark, sf)).na.fill(-1)
 
 
-@query()
+LIMIT, CHUNK = 150, 100
+#: One pair a round, in every document that has one: the smallest pair below the limit, the leftmost of equals.
+MERGED = rf"""w0 AS (SELECT doc_id, block_idx, nullif(heading, NULL) AS h, text AS t, len(regexp_extract_all(text, '\S+')) AS n,
+    regexp_matches({STRIP.format("coalesce(heading, '')")}, '{V.MERGE_BARRIER}') OR regexp_matches({STRIP.format("coalesce(heading, '')")}, '{V.UNIT_BARRIER}') OR regexp_matches(substr(text, 1, 200), '{V.UNIT_BARRIER}') AS barred FROM bl),
+mg AS (SELECT doc_id, 0 AS step, list({{'h': h, 't': t, 'n': n, 'barred': barred}} ORDER BY block_idx) AS xs FROM w0 GROUP BY doc_id
+    UNION ALL SELECT doc_id, step + 1, list_concat(list_concat(xs[:i - 1], [{{'h': coalesce(nullif(xs[i].h, ''), xs[i + 1].h), 't': xs[i].t || chr(10) || chr(10) || xs[i + 1].t, 'n': xs[i].n + xs[i + 1].n, 'barred': xs[i].barred}}]), xs[i + 2:])
+    FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(xs)), lambda k: NOT xs[k + 1].barred AND xs[k].n + xs[k + 1].n < {LIMIT}), lambda k: {{'n': xs[k].n + xs[k + 1].n, 'k': k}})).k AS i FROM mg) WHERE i IS NOT NULL),
+me AS (SELECT doc_id, unnest(xs) AS x, generate_subscripts(xs, 1) - 1 AS block_idx FROM (SELECT * FROM mg QUALIFY step = max(step) OVER (PARTITION BY doc_id))),
+mb AS (SELECT doc_id, CAST(block_idx AS INTEGER) AS block_idx, x.h AS heading, x.t AS text FROM me)"""
+
+
+def chunked(limit: int) -> str:
+    """SQL of cb (doc_id, block_idx, chunk_idx, heading, text) from mb, whose texts are single paragraphs where they are over the limit: sentences are packed in order, long ones cut."""
+    return rf"""lg AS (SELECT doc_id, block_idx, heading, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM mb WHERE len(regexp_extract_all(text, '\S+')) > {limit}),
+sn AS (SELECT doc_id, block_idx, generate_subscripts(ss, 1) AS j, unnest(ss) AS s FROM lg), sw AS (SELECT *, regexp_extract_all(s, '\S+') AS ws FROM sn),
+pk AS (SELECT doc_id, block_idx, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS w, false AS held, CAST(0 AS BIGINT) AS at FROM lg
+    UNION ALL SELECT doc_id, block_idx, j, CASE WHEN n > {limit} THEN at + (n + {limit - 1}) // {limit} ELSE at END, CASE WHEN n > {limit} THEN 0 WHEN joins THEN w + n + 1 ELSE n END, n <= {limit}, at
+    FROM (SELECT sw.doc_id, sw.block_idx, sw.j, len(ws) AS n, w, held AND len(ws) <= {limit} AND w + len(ws) + 1 <= {limit} AS joins, CASE WHEN held AND NOT (len(ws) <= {limit} AND w + len(ws) + 1 <= {limit}) THEN k + 1 ELSE k END AS at
+        FROM pk JOIN sw ON sw.doc_id = pk.doc_id AND sw.block_idx = pk.block_idx AND sw.j = pk.j + 1)),
+pc0 AS (SELECT sw.doc_id, sw.block_idx, sw.j, 0 AS piece, pk.at AS chunk_idx, s AS t FROM pk JOIN sw USING (doc_id, block_idx, j) WHERE len(ws) <= {limit}
+    UNION ALL SELECT sw.doc_id, sw.block_idx, sw.j, q, pk.at + q, array_to_string(ws[q * {limit} + 1:(q + 1) * {limit}], ' ') FROM pk JOIN sw USING (doc_id, block_idx, j), LATERAL (SELECT unnest(range(0, (len(ws) + {limit - 1}) // {limit})) AS q) WHERE len(ws) > {limit}),
+cb AS (SELECT doc_id, block_idx, CAST(chunk_idx AS INTEGER) AS chunk_idx, heading, {STRIP.format("string_agg(t, ' ' ORDER BY j, piece)")} AS text FROM pc0 JOIN lg USING (doc_id, block_idx) GROUP BY doc_id, block_idx, chunk_idx, heading
+    UNION ALL SELECT doc_id, block_idx, 0, heading, text FROM mb WHERE len(regexp_extract_all(text, '\S+')) <= {limit})"""
+
+
+@query("WITH RECURSIVE " + D.BLOCKS + ", " + MERGED + " SELECT doc_id, block_idx, heading, text FROM mb")
 def a15_merge_blocks(spark, sf):
-    return B.merge_blocks(D.blocks(spark, sf), 150)
+    return B.merge_blocks(D.blocks(spark, sf), LIMIT)
 
 
-@query()
+@query("WITH RECURSIVE mb AS (SELECT doc_id, 0 AS block_idx, CAST(NULL AS VARCHAR) AS heading, coalesce(text, '') AS text FROM documents), " + chunked(CHUNK) + " SELECT * FROM cb")
 def a16_chunk_blocks(spark, sf):
-    rows = D.docs(spark, sf).select("doc_id", F.lit(0).alias("block_idx"), F.lit(None).cast("string").alias("heading"), "text")
-    return B.chunk_blocks(rows, 100)
-
-
-@query()
-def a17_segment_documents(spark, sf):
-    return B.segment_documents(D.blocks(spark, sf), 150)
+    rows = D.docs(spark, sf).select("doc_id", F.lit(0).alias("block_idx"), F.lit(None).cast("string").alias("heading"), T.text_of("text").alias("text"))
+    return B.chunk_blocks(rows, CHUNK)
 
 
 def _re(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-CASCADE = rf"""WITH {D.BLOCKS}, f AS (SELECT *, lower(coalesce(trim(heading), '')) AS h, min(block_idx) FILTER (regexp_matches(trim(heading), '{_re(V.CHAPTER_START)}')) OVER (PARTITION BY doc_id) AS fc FROM bl),
-k AS (SELECT *, {" + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in V.COPYRIGHT_WORDS)} + CASE WHEN contains(text, '©') THEN 2 ELSE 0 END AS legal, trim(text) AS body, CASE WHEN trim(text) = '' THEN 0 ELSE 1 END AS lines FROM f)
-SELECT doc_id, block_idx, CASE
- WHEN regexp_matches(h, '{_re(V.PREFACE_HEADING)}') AND (fc IS NULL OR block_idx < fc) THEN 'preface'
+def cascade(source: str, before: str) -> str:
+    """SQL of sg (source with segment_type): the ordered rules over heading and text; `before` tells whether a row stands before the first chapter."""
+    words = lambda ws, c: " + ".join(f"CAST(contains({c}, '{w}') AS INTEGER)" for w in ws)
+    front = " OR ".join(f"regexp_matches(h, '(?i){_re(p)}') OR regexp_full_match(fl, '(?i){_re(p)}')" for p in V.FRONT_PARTS)
+    return rf"""f0 AS (SELECT *, CASE WHEN lower(trim(coalesce(heading, ''))) IN ({", ".join(f"'{_re(w)}'" for w in V.RUNNING_HEADERS)}) THEN '' ELSE lower(trim(coalesce(heading, ''))) END AS h, {before} AS before,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: {STRIP.format("x")}), lambda x: x <> '') AS xs, lower(trim(split_part(regexp_replace(text, '^\s+', ''), chr(10), 1))) AS fl FROM {source}),
+f1 AS (SELECT *, {words(V.COPYRIGHT_WORDS, "lower(text)")} + CASE WHEN contains(text, '©') THEN 2 ELSE 0 END AS legal, {words(V.PREFACE_PHRASES, "lower(text)")} AS phrases,
+    regexp_replace(regexp_replace(text, '(?s)\[TABLE:(.*?)\n\]', '', 'g'), '(?s)\[CODE\].*?\[/CODE\]', '', 'g') AS plain,
+    list_sum(list_transform(list_filter(flatten(list_transform(regexp_extract_all(text, '(?s)\[TABLE:(.*?)\n\]', 1), lambda t: string_split(t, chr(10)))), lambda r: len(regexp_extract_all(regexp_replace(r, '\s*\|\s*', ' ', 'g'), '\S+')) > 10), lambda r: len(r))) AS wordy,
+    len(list_filter(generate_series(1, len(xs)), lambda k: xs[k] NOT IN ('[CODE]', '[/CODE]') AND regexp_matches(xs[k], '{_re(V.EXERCISE_LINE)}') AND coalesce(list_last(list_filter(xs[:k], lambda y: y IN ('[CODE]', '[/CODE]'))), '') <> '[CODE]')) AS tasks,
+    len(regexp_extract_all(text, '{_re(V.DEFINITION_LINE)}')) AS defined, len(list_filter(xs, lambda x: regexp_matches(x, '{_re(V.OPTION_LINE)}'))) AS options, len(list_filter(xs, lambda x: regexp_matches(x, '{_re(V.QUESTION_LINE)}'))) AS questions FROM f0),
+f2 AS (SELECT *, (coalesce(list_sum(list_transform(list_filter(string_split(plain, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{_re(V.BULLET_LINE)}')), lambda x: len(x))), 0) + coalesce(wordy, 0)) / greatest(len(text), 1) AS density FROM f1),
+sg AS (SELECT *, CASE
+ WHEN h <> '' AND regexp_matches(h, '{_re(V.PREFACE_HEADING)}') AND before THEN 'preface'
+ WHEN h = 'frontmatter' AND before AND phrases >= 2 THEN 'preface'
  WHEN regexp_matches(h, '{_re(V.REFERENCE_HEADING)}') THEN 'reference_table'
- WHEN regexp_matches(h, '{_re(V.SOLUTION)}') OR regexp_matches(substr(ltrim(text), 1, 60), '{_re(V.SOLUTION)}') THEN 'solution'
- WHEN regexp_matches(h, '{_re(V.EXERCISE_HEADING)}') OR regexp_matches(h, '{_re(V.EXERCISE_LINE)}') THEN 'exercise'
- WHEN regexp_matches(h, '{_re(V.GLOSSARY_HEADING)}') THEN 'glossary'
+ WHEN len(regexp_extract_all(text, '\[TABLE:')) >= 2 AND density <= {V.PROSE_LIMIT} THEN 'reference_table'
+ WHEN regexp_matches(h, '{_re(V.SOLUTION)}') OR regexp_matches(substr(regexp_replace(text, '^\s+', ''), 1, 60), '{_re(V.SOLUTION)}') THEN 'solution'
+ WHEN regexp_matches(h, '{_re(V.EXERCISE_HEADING)}') OR regexp_matches(h, '{_re(V.EXERCISE_LINE)}') OR (tasks >= 3 AND tasks >= len(xs) * 0.4::DOUBLE) THEN 'exercise'
+ WHEN regexp_matches(h, '{_re(V.GLOSSARY_HEADING)}') OR defined >= 5 THEN 'glossary'
  WHEN regexp_matches(h, '{_re(V.SUMMARY_HEADING)}') THEN 'summary'
- WHEN {" OR ".join(f"regexp_matches(h, '(?i){_re(p)}') OR regexp_full_match(lower(body), '(?i){_re(p)}')" for p in V.FRONT_PARTS)} THEN 'frontmatter'
+ WHEN options >= 3 AND questions >= 2 THEN 'assessment'
+ WHEN {front} THEN 'frontmatter'
  WHEN regexp_matches(lower(substr(text, 1, 500)), '{_re(V.INSTITUTION)}') THEN 'frontmatter'
- WHEN legal >= 4 THEN 'frontmatter' ELSE 'instructional' END AS segment_type FROM k"""
+ WHEN regexp_matches(substr(text, 1, 2000), '{_re(V.UNIT_WORD)}') AND regexp_matches(substr(text, 1, 2000), '{_re(V.TEXTBOOK)}') THEN 'frontmatter'
+ WHEN legal >= {V.COPYRIGHT_LIMIT} THEN 'frontmatter' ELSE 'instructional' END AS segment_type FROM f2)"""
+
+
+FIRST = rf"fc AS (SELECT *, min(block_idx) FILTER (regexp_matches(trim(heading), '{_re(V.CHAPTER_START)}')) OVER (PARTITION BY doc_id) AS first FROM "
+
+
+@query("WITH RECURSIVE " + D.BLOCKS + ", " + MERGED + ", " + chunked(LIMIT) + ", " + FIRST + "cb), nb AS (SELECT * FROM fc WHERE trim(text) <> ''), " + cascade("nb", "first IS NULL OR block_idx < first")
+       + f" SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block_idx, chunk_idx) AS INTEGER) AS segment_id, heading, {STRIP.format('text')} AS text, segment_type FROM sg")
+def a17_segment_documents(spark, sf):
+    return B.segment_documents(D.blocks(spark, sf), LIMIT)
+
+
+def typed_blocks(spark, sf):
+    """Lines as blocks that meet every rule of the classification: their words stand in tables, exercises, definitions, options and the like."""
+    line, i = F.col("line"), F.col("i")
+    word = F.regexp_extract("line", r"([A-Za-z]{4,12})", 1)
+    row = F.concat(F.lit("[TABLE:\n"), word, F.lit(" | "), word, F.lit("\n]\n"))
+    tasks = F.concat(F.lit("Exercise 1 "), word, F.lit("\n[CODE]\nPractice 2 x\n[/CODE]\nPractice 3 "), word, F.lit("\nQ4. "), word)
+    terms = F.concat(*(F.concat(F.lit(f"Term{c} is it: "), word, F.lit("\n")) for c in "ABCDE"))
+    asked = F.concat(*(F.concat(F.lit(f"{n}. "), word, F.lit("?\na. x\nb. "), word, F.lit("\n")) for n in (1, 2)))
+    kinds = {
+        0: (F.lit("Frontmatter"), F.concat(F.lit("Welcome to this book. "), line)), 1: (None, F.concat(row, row, F.substring("line", 1, 40))), 2: (None, F.concat(row, row, line, line)),
+        3: (None, tasks), 4: (None, F.concat(F.lit("[CODE]\n"), tasks)), 5: (None, terms), 6: (None, asked), 7: (None, F.concat(F.lit("UNIT I "), word, F.lit(" Text Book "), line)),
+        8: (F.lit("Chapter 3"), line), 9: (F.lit("OpenStax"), F.concat(line, F.lit(" © ISBN, all rights reserved"))), 10: (F.concat(F.lit("1. exercise on "), word), line), 11: (word, line),
+    }
+    k = (F.col("doc_id") + i) % 12
+    pick = lambda at: F.coalesce(*(F.when(k == n, v[at]) for n, v in kinds.items() if v[at] is not None))
+    return D.lines(spark, sf).select("doc_id", (i - 1).cast("int").alias("block_idx"), pick(0).alias("heading"), pick(1).alias("text"))
+
+
+TYPED = D.LINES + r""", ty AS (SELECT doc_id, i, line, (doc_id + i) % 12 AS k, regexp_extract(line, '([A-Za-z]{4,12})', 1) AS w FROM ln),
+tp AS (SELECT *, '[TABLE:' || chr(10) || w || ' | ' || w || chr(10) || ']' || chr(10) AS r, 'Exercise 1 ' || w || chr(10) || '[CODE]' || chr(10) || 'Practice 2 x' || chr(10) || '[/CODE]' || chr(10) || 'Practice 3 ' || w || chr(10) || 'Q4. ' || w AS e FROM ty),
+bl AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS block_idx, CASE k WHEN 0 THEN 'Frontmatter' WHEN 8 THEN 'Chapter 3' WHEN 9 THEN 'OpenStax' WHEN 10 THEN '1. exercise on ' || w WHEN 11 THEN w END AS heading,
+    CASE k WHEN 0 THEN 'Welcome to this book. ' || line WHEN 1 THEN r || r || substr(line, 1, 40) WHEN 2 THEN r || r || line || line WHEN 3 THEN e WHEN 4 THEN '[CODE]' || chr(10) || e
+    WHEN 5 THEN """ + " || ".join(f"'Term{c} is it: ' || w || chr(10)" for c in "ABCDE") + r""" WHEN 6 THEN """ + " || ".join(f"'{n}. ' || w || '?' || chr(10) || 'a. x' || chr(10) || 'b. ' || w || chr(10)" for n in (1, 2)) + r"""
+    WHEN 7 THEN 'UNIT I ' || w || ' Text Book ' || line WHEN 9 THEN line || ' © ISBN, all rights reserved' ELSE line END AS text FROM tp)"""
+CASCADE = "WITH " + TYPED + ", " + FIRST + "bl), " + cascade("fc", "first IS NULL OR block_idx < first") + " SELECT doc_id, block_idx, segment_type FROM sg"
+
+
+def typed(spark, sf):
+    rows = typed_blocks(spark, sf)
+    rows = rows.join(B.first_chapters(rows), "doc_id")
+    return rows.withColumn("before", F.col("first_chapter_idx").isNull() | (F.col("block_idx") < F.col("first_chapter_idx")))
 
 
 @query(CASCADE)
 def c01_classification(spark, sf):
-    rows = D.blocks(spark, sf)
-    rows = rows.join(B.first_chapters(rows), "doc_id")
-    before = F.col("first_chapter_idx").isNull() | (F.col("block_idx") < F.col("first_chapter_idx"))
-    return T.with_segment_type(rows, before).select("doc_id", "block_idx", "segment_type")
+    return T.with_segment_type(typed(spark, sf), F.col("before")).select("doc_id", "block_idx", "segment_type")
+
+
+@query(CASCADE)
+def sql_segment_types(spark, sf):
+    """The same in plain SQL text."""
+    Q.register(spark)
+    typed(spark, sf).createOrReplaceTempView("typed_blocks")
+    return spark.sql("SELECT doc_id, block_idx, segment_type(heading, text, before) AS segment_type FROM typed_blocks")
 
 
 # ---- scoring
@@ -425,10 +532,20 @@ def p38_score_lines(spark, sf):
 
 # ---- aggregation
 
-GATE = "gt AS (SELECT doc_id, " + ", ".join(f"coalesce(round_even(CASE WHEN sum(len(text)) FILTER (p) > 0 THEN CAST(sum({d} * len(text)) FILTER (p) AS DOUBLE) / sum(len(text)) FILTER (p) ELSE avg({d}) FILTER (p) END, 2), 0.0) AS {d}" for d in V.MODULE_DIMS) + ", count(*) AS total_segments, count(*) FILTER (p) AS scored_segments, count(*) FILTER (NOT p) AS excluded_segments, coalesce(bool_or(segment_type = 'instructional'), false) AS has_instructional FROM (SELECT *, segment_type = 'instructional' AND NOT incomplete AS p FROM ev) GROUP BY doc_id)"
+#: Sums in the order of segments, rounded by the exact binary value, as Python rounds.
+GATE = (
+    "po AS (SELECT doc_id, list({'l': CAST(len(text) AS DOUBLE), " + ", ".join(f"'{d}': CAST({d} AS DOUBLE)" for d in V.MODULE_DIMS) + "} ORDER BY segment_id) FILTER (p) AS xs, CAST(sum(len(text)) FILTER (p) AS DOUBLE) AS l,"
+    " count(*) AS total_segments, count(*) FILTER (p) AS scored_segments, count(*) FILTER (NOT p) AS excluded_segments, coalesce(bool_or(segment_type = 'instructional'), false) AS has_instructional"
+    " FROM (SELECT *, segment_type = 'instructional' AND NOT incomplete AS p FROM ev) GROUP BY doc_id),"
+    " gt AS (SELECT doc_id, " + ", ".join(
+        f"CASE WHEN xs IS NULL THEN 0.0 WHEN l > 0 THEN CAST(printf('%.2f', list_reduce(list_prepend(0.0::DOUBLE, list_transform(xs, lambda x: x.{d} * (x.l / l))), lambda a, b: a + b)) AS DOUBLE)"
+        f" ELSE CAST(printf('%.2f', list_sum(list_transform(xs, lambda x: x.{d})) / len(xs)) AS DOUBLE) END AS {d}" for d in V.MODULE_DIMS)
+    + ", total_segments, scored_segments, excluded_segments, has_instructional FROM po)"
+)
+OVERALL = "CAST(printf('%.2f', (" + " + ".join(V.MODULE_DIMS) + ") / 5) AS DOUBLE)"
 
 
-@query("WITH " + D.EVALUATED + ", " + GATE + " SELECT *, round_even((" + " + ".join(V.MODULE_DIMS) + ") / 5, 2) AS overall_score FROM gt")
+@query("WITH " + D.EVALUATED + ", " + GATE + f" SELECT *, {OVERALL} AS overall_score FROM gt")
 def g01_g07_g15_module_gate(spark, sf):
     return G.module_gate(D.evaluated(spark, sf)).drop("excluded_types")
 
@@ -465,7 +582,7 @@ def g14_partial_courses(spark, sf):
     return G.partial_courses(D.segments(spark, sf))
 
 
-@query("WITH " + D.EVALUATED + ", " + GATE + " SELECT doc_id, round_even((" + " + ".join(V.MODULE_DIMS) + ") / 5, 2) AS module_score, goal_focus, 0.0 AS course_score, CAST(total_segments AS INTEGER) AS segments FROM gt")
+@query("WITH " + D.EVALUATED + ", " + GATE + f" SELECT doc_id, {OVERALL} AS module_score, goal_focus, 0.0 AS course_score, CAST(total_segments AS INTEGER) AS segments FROM gt")
 def g16_g17_course_documents(spark, sf):
     """The documents' main figures; courses without a course response have zeros."""
     ev = D.evaluated(spark, sf)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import queue
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -11,8 +14,12 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import metadata as M
+from tessella.operators.errors import message
 
 WORDS = "doc_id string, page_idx int, word_seq int, text string, x0 double, x1 double, top double, bottom double, doctop double, size double, fontname string, page_h double"
+OUTLINE = "doc_id string, ord int, level int, title string, page_idx int"
+#: Seconds that an address has to answer.
+FETCH_SECONDS = 10
 
 
 @dataclass(frozen=True)
@@ -29,40 +36,35 @@ class EngineConfig:
 
 
 def course_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, doc_id, content of the *.pdf under a folder, or of one file."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(path)
-    return files.select("path", F.regexp_extract("path", r"([^/]+)\.pdf$", 1).alias("doc_id"), "content")
+    """path, doc_id, content of the PDF files under a folder (whatever the case of their suffix), or of one file; an error if there is no such path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    return files.select("path", F.regexp_extract("path", r"([^/]+)\.(?i:pdf)$", 1).alias("doc_id"), "content")
 
 
-def words_of(files: DataFrame, reader: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
-    """The words of each file by a reader that yields all columns of WORDS but the first; a file that fails gives none."""
+def parsed(files: DataFrame, schema: str, rows_of: Callable[[str, bytes], list[tuple]]) -> DataFrame:
+    """The rows of each file and a null `error`; of a file that fails, one row with its doc_id and the failure (see operators/errors.py)."""
+    columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in WORDS.split(", ")]
         for pdf in batches:
             for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
                 try:
-                    rows = [(doc, *r) for r in reader(content)]
-                except Exception:  # one course's failure is not another's
-                    continue
-                yield pd.DataFrame(rows, columns=columns)
+                    found = [(*r, None) for r in rows_of(doc, content)]
+                except Exception as e:  # one course's failure is not another's
+                    found = [(doc, *(None,) * (len(columns) - 1), message(e))]
+                yield pd.DataFrame(found, columns=[*columns, "error"], dtype=object)
 
-    return files.select("doc_id", "content").mapInPandas(run, WORDS)
+    return files.select("doc_id", "content").mapInPandas(run, f"{schema}, error string")
 
 
-def outline_of(files: DataFrame, reader: Callable[[bytes], Iterator[tuple[int, str, int]]]) -> DataFrame:
-    """doc_id, ord, level, title, page_idx of each file's outline; a file without one, or that fails, gives none."""
+def words_of(files: DataFrame, reader: Callable[[bytes], Iterator[tuple]]) -> DataFrame:
+    """The words of each file by a reader that yields all columns of WORDS but the first, tagged with `error`."""
+    return parsed(files, WORDS, lambda doc, content: [(doc, *r) for r in reader(content)])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for doc, content in zip(pdf["doc_id"], pdf["content"], strict=True):
-                try:
-                    rows = [(doc, i, level, title, page) for i, (level, title, page) in enumerate(reader(content))]
-                except Exception:
-                    continue
-                yield pd.DataFrame(rows, columns=["doc_id", "ord", "level", "title", "page_idx"])
 
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id string, ord int, level int, title string, page_idx int")
+def outline_of(files: DataFrame, reader: Callable[[bytes], Iterator[tuple[int, str, int]]]) -> DataFrame:
+    """doc_id, ord, level, title, page_idx of each file's outline, tagged with `error`; a file without one gives no row."""
+    return parsed(files, OUTLINE, lambda doc, content: [(doc, i, *r) for i, r in enumerate(reader(content))])
 
 
 def with_ocr(words: DataFrame, pages: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -97,11 +99,32 @@ def html_metadata(spark: SparkSession, doc_id: str) -> DataFrame:
     return M.conformed(spark.createDataFrame([(doc_id, f"{doc_id}.pdf")], "doc_id string, source string"))
 
 
-def url_metadata(spark: SparkSession, doc_id: str, url: str, fetch: Callable[[str], str]) -> DataFrame:
-    """A body that begins with { is JSON; any other names the address as source, a failed fetch the course's file."""
+def within_seconds(fetch: Callable[[str], str], url: str, seconds: float) -> str:
+    """What fetch gives, or TimeoutError: a fetch that hangs is left behind in its thread."""
+    with_answer: queue.Queue = queue.Queue()
+
+    def run() -> None:
+        try:
+            with_answer.put((fetch(url), None))
+        except Exception as e:
+            with_answer.put((None, e))
+
+    threading.Thread(target=run, daemon=True).start()
+    try:
+        body, failure = with_answer.get(timeout=seconds)
+    except queue.Empty:
+        raise TimeoutError(f"{url} didn't answer in {seconds} s") from None
+    if failure:
+        raise failure
+    return body
+
+
+def url_metadata(spark: SparkSession, doc_id: str, url: str, fetch: Callable[[str], str], seconds: float = FETCH_SECONDS) -> DataFrame:
+    """A body that begins with { is JSON; any other names the address as source, a failed fetch, or one that takes too long, the course's file."""
     try:
-        body = fetch(url)
-    except Exception:
+        body = within_seconds(fetch, url, seconds)
+    except Exception as e:
+        logging.getLogger("tessella").warning("%s: %s", url, message(e))
         return html_metadata(spark, doc_id)
     if body.lstrip().startswith("{"):
         return M.parse_response(spark.createDataFrame([(doc_id, body)], "doc_id string, raw string"))

@@ -1,17 +1,53 @@
-"""Where results go: one JSON document a course."""
+"""Where results go: one JSON document a course, in a file named after its source."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import metadata as M
+from tessella.sources import course_source
 
-def as_json(documents: DataFrame, pretty: bool = True) -> DataFrame:
-    """name, json of doc_id, document. Names come from doc_id, so two courses never share a file."""
-    name = F.concat(F.coalesce(F.nullif(F.col("doc_id").cast("string"), F.lit("")), F.lit("course")), F.lit("_evaluation.json"))
-    return documents.select(name.alias("name"), F.to_json("document", {"pretty": str(pretty).lower()}).alias("json"))
+
+def stem(source: Column, default: str) -> Column:
+    """A source's name without its folders and suffix."""
+    last = F.regexp_replace(F.coalesce(source, F.lit("")), r"/+\z", "")
+    name = F.regexp_replace(F.regexp_extract(last, r"([^/]*)\z", 1), r"(?<=.)\.[^.]+\z", "")
+    return F.when(name.isin("", "Unknown"), default).otherwise(name)
+
+
+def named(rows: DataFrame, source: Column, suffix: str, default: str) -> DataFrame:
+    """rows (doc_id and others) with `name`: <stem>_<suffix>.json; where stems are alike but for case, the first in order of doc_id has it and the others a number behind the stem.
+
+    A number that makes the name of another stem yields to it: the names that courses have by themselves stay theirs.
+    """
+    rows = rows.withColumn("stem", stem(source, default))
+    alike = Window.partitionBy(F.lower("stem")).orderBy(F.col("doc_id").cast("string"))
+    rows = rows.withColumn("copy", F.row_number().over(alike))
+    taken = rows.filter("copy = 1").select(F.lower("stem").alias("taken")).distinct()
+    rows = rows.withColumn("stem", F.when(F.col("copy") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("copy").cast("string"))))
+    clash = rows.join(taken, (F.lower("stem") == F.col("taken")) & (F.col("copy") > 1), "left")
+    name = F.when(F.col("taken").isNotNull(), F.concat("stem", F.lit("_"), F.col("doc_id").cast("string"))).otherwise(F.col("stem"))
+    return clash.withColumn("name", F.concat(name, F.lit(f"_{suffix}.json"))).drop("stem", "copy", "taken")
+
+
+def as_json(documents: DataFrame) -> DataFrame:
+    """name, json of doc_id, document."""
+    rows = named(documents, F.col("document.course_metadata.source"), "evaluation", "course_evaluation")
+    return rows.select("name", F.to_json("document", {"ignoreNullFields": "false"}).alias("json"))
+
+
+def metadata_json(rows: DataFrame) -> DataFrame:
+    """name, json of rows of metadata."""
+    fields = F.struct(*M.TEXTS, *M.LISTS, "toc")
+    return named(rows, F.col("source"), "metadata", "course").select("name", F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_files(files: DataFrame, path: str) -> None:
+    """name, json as files in a folder; a run that fails leaves none of them."""
+    course_source.register(files.sparkSession)
+    files.write.format("course_files").mode("overwrite").save(path)
 
 
 def write_json(documents: DataFrame, path: str) -> None:
-    """A folder for each course under path, with its document in one file; written by Spark's committer."""
-    documents.select("doc_id", F.to_json("document").alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
+    write_files(as_json(documents), path)

@@ -105,7 +105,7 @@ def test_chunks_of_known_texts():
 
 
 def test_chapters_units_and_ranges(spark):
-    toc = spark.createDataFrame([("d", 0, "Getting Started"), ("d", 1, "Missing Words Here"), ("d", 2, "Control Flow")], "doc_id string, ord int, title string")
+    toc = spark.createDataFrame([("d", 0, "1", "Getting Started"), ("d", 1, "2", "Missing Words Here"), ("d", 2, "3", "Control Flow")], "doc_id string, ord int, number string, title string")
     heads = spark.createDataFrame([("d", 0, "contents getting started", True), ("d", 1, "chapter 1 getting started", False), ("d", 2, "getting started again", False), ("d", 3, "3 control flow", False)], "doc_id string, page_idx int, head string, is_contents boolean")
     assert [(r.ord, r.start) for r in blocks.locate_chapters(toc, heads).orderBy("ord").collect()] == [(0, 1), (2, 3)]
     pages = spark.createDataFrame([("d", i, t) for i, t in enumerate(["cover", "UNIT - I\nFirst topic", "more", "Unit 2\n", "UNIT II again"])] + [("e", 0, "UNIT I")], "doc_id string, page_idx int, text string")
@@ -222,17 +222,17 @@ def test_retries():
         scoring.call_with_retry(lambda p: (_ for _ in ()).throw(RuntimeError("denied")), "p", sleep=waits.append)
 
 
-def test_failed_batches_give_no_response(spark):
+def test_failed_batches_give_an_error(spark):
     prompts = spark.createDataFrame([("d", 0, "good"), ("d", 1, "bad")], "doc_id string, batch int, prompt string")
     got = scoring.score_prompts(prompts, lambda p: "[]" if p == "good" else 1 / 0).collect()
-    assert [(r.ord, r.raw) for r in got] == [(0, "[]")]
+    assert [tuple(r)[1:] for r in got] == [(0, "[]", None), (1, None, "ZeroDivisionError: division by zero")]
 
 
 def test_response_contract_and_prompts(spark):
     schema = scoring.response_schema()
     assert schema["properties"]["scores"]["required"] == list(V.MODULE_DIMS)
     rubric = spark.createDataFrame([("module", 0, "a", "A", "d", 1.0, ["c"], ["q"], [("low", "1-3")])], "gate string, ord int, id string, name string, description string, weight double, criteria array<string>, questions array<string>, guide array<struct<band:string,text:string>>")
-    assert scoring.rubric_text(rubric).first().text == "## A (a)\nd\nC1: c\nQ1: q\n- low: 1-3"
+    assert scoring.rubric_text(rubric).first().text == "### A (`a`), weight 1.0\nd\n\nCriteria, 0 to 2 each:\n  C1: c\n\nScoring guide:\n  - low: 1-3\n\nQuestions to answer first:\n  1. q"
 
 
 def test_similar_summaries_and_partial_courses(spark):
@@ -275,7 +275,7 @@ def test_rubrics_and_files(spark, tmp_path):
             raise OSError
         yield (0, 0, "word", 1.0, 2.0, 3.0, 4.0, 3.0, 10.0, "T", 800.0)
 
-    assert [(r.doc_id, r.text) for r in readers.words_of(files, reader).collect()] == [("one", "word")]
+    assert sorted((r.doc_id, r.text, r.error) for r in readers.words_of(files, reader).collect()) == [("one", "word", None), ("two", None, "OSError: ")]
 
 
 def test_recognised_text_only_for_bare_pages(spark):
@@ -296,10 +296,10 @@ def test_whole_evaluation(spark, tmp_path):
     assert (d.assessment.module_gate.overall_score, d.assessment.course_gate.overall_score) == (6.0, 7.25)
     assert d.assessment.course_gate.rubrics["prerequisite_alignment"].score == 9.0
     assert [s.segment_type for s in d.segments] == ["preface", "instructional", "instructional"] and [s.incomplete for s in d.segments] == [False, False, True]
-    assert (d.evaluation_meta.total_segments, d.evaluation_meta.scored_segments) == (3, 1)
-    assert sinks.as_json(docs).first().name == "d_evaluation.json"
+    assert (d.evaluation_meta.total_segments, d.evaluation_meta.instructional_segments_scored) == (3, 1)
+    assert sinks.as_json(docs).first().name == "course_evaluation_evaluation.json"
     sinks.write_json(docs, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 1
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["course_evaluation_evaluation.json"]
 
 
 def test_arrivals_are_segmented_once(spark, tmp_path):
@@ -321,7 +321,7 @@ def test_partitioning_changes_nothing(spark):
 def test_course_and_metadata_prompts(spark):
     ev = scored(spark, [("instructional", 5, "first text", False), ("instructional", 2, "second text", False), ("preface", 0, "y" * 5000, False)])
     got = aggregate.course_prompts(ev, ev.select("doc_id", "segment_id", "heading", "text", "segment_type")).first().prompt
-    assert "Module 1: summary 1 [goal_focus=5" in got and "## Weakest module\n2\nsecond text" in got and "[... truncated for brevity ...]" in got and "part of a larger course" in got
+    assert "Module 1: summary 1 [goal_focus=5" in got and "## Weakest module\n2 (untitled), avg 2.0\nsecond text" in got and "goal_focus: why 2" in got and "[... truncated for brevity ...]" in got and "part of a larger course" in got
     assert {r.segment_type: r.segments for r in aggregate.run_metrics(ev).collect()} == {"instructional": 2, "preface": 1}
     rows = spark.createDataFrame([("d", "c" * 7000, "r" * 20000)], "doc_id string, cover string, raw string")
     prompt = metadata.prompts(rows, "rules")
@@ -330,8 +330,8 @@ def test_course_and_metadata_prompts(spark):
     def broken(p):
         raise OSError("down")
 
-    assert [r.raw for r in metadata.enriched(prompt, [broken, lambda p: "second"]).collect()] == ["second"]
-    assert metadata.enriched(prompt, [broken]).count() == 0
+    assert [r.raw for r in metadata.enriched(prompt, [broken, lambda p: '{"title": "x"}'], wait=0.0).collect()] == ['{"title": "x"}']
+    assert [(r.raw, r.error) for r in metadata.enriched(prompt, [broken], wait=0.0).collect()] == [(None, "OSError: down")]
 
 
 def test_command_line(spark, tmp_path):
@@ -341,4 +341,4 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([], "doc_id string, ord int, raw string").write.parquet(str(tmp_path / "responses.parquet"))
     spark.createDataFrame([], "doc_id string, scores struct<" + ",".join(f"{d}:int" for d in V.COURSE_DIMS) + ">, reasoning struct<" + ",".join(f"{d}_rationale:string" for d in V.COURSE_DIMS) + ">, overall_score double").write.parquet(str(tmp_path / "course.parquet"))
     cli.main(["--input", str(tmp_path), "--output", str(tmp_path / "out")])
-    assert '"incomplete":true' in spark.read.text(str(tmp_path / "out")).first().value
+    assert '"incomplete": true' in (tmp_path / "out" / "d_evaluation.json").read_text()

@@ -63,7 +63,8 @@ def test_a_named_source_is_read_by_its_kind(spark, tmp_path):
     assert read("www.x.org/m", '{"title": "V"}').title == "V" and read("http://x.org/m", "<p>").source == "http://x.org/m"
 
 
-def test_outlines_of_broken_files_are_left_out(spark):
+def test_outlines_of_broken_files_say_why(spark):
+    from tessella.operators import errors
     from tessella.sources import readers
 
     def reader(content):
@@ -73,4 +74,6 @@ def test_outlines_of_broken_files_are_left_out(spark):
         yield 2, "Two", 4
 
     files = spark.createDataFrame([("a", bytearray(b"ok")), ("b", bytearray(b"bad"))], "doc_id string, content binary")
-    assert [tuple(r) for r in readers.outline_of(files, reader).orderBy("ord").collect()] == [("a", 0, 1, "One", 3), ("a", 1, 2, "Two", 4)]
+    tagged = readers.outline_of(files, reader)
+    assert [tuple(r) for r in errors.good(tagged).orderBy("ord").collect()] == [("a", 0, 1, "One", 3), ("a", 1, 2, "Two", 4)]
+    assert [tuple(r) for r in errors.bad(tagged, "outline").collect()] == [("b", "outline", "ValueError: ")]
