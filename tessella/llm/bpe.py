@@ -27,10 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import settled, ship
 from .shingles import slices
-from .tokens import CUT, REMEMBERED, SLICE_BYTES, UnitEncoder, byte_letters
+from .tokens import REMEMBERED, SLICE_BYTES, UnitEncoder, byte_letters
 
-#: Pairs of tokens that a worker remembers as compatible or not.
-PAIRS = 1_000_000
+#: Places for pairs of tokens that a worker remembers as compatible or not.
+PAIRS = 1 << 20
+#: Bytes of words that go together, and how many do.
+LONG, TOGETHER = 64, 50_000
 NEVER = 1 << 62
 SHIFT = 24
 
@@ -156,48 +158,154 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class PrefixEncoder(UnitEncoder):
-    """Ids of texts by the method above. What is an added token, and where words begin and end, is settled before."""
+    """Ids of texts by the method above. What is an added token, and where words begin and end, is settled before.
+
+    The words of a slice advance together, byte by byte; long ones, of which there are few, go alone by the same steps.
+    """
 
     def __init__(self, v: Vocabulary):
         from tokenizers import pre_tokenizers
 
         self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        self.byte = {ord(letter): byte for byte, letter in byte_letters().items()}
         self.added = v.added
         self.any_added = re.compile("|".join(map(re.escape, sorted(v.added, key=len, reverse=True)))) if v.added else None
-        self.left, self.right, self.born = v.left.tolist(), v.right.tolist(), v.born.tolist()
-        self.rules = {pair: rank for rank, pair in enumerate(v.rules.tolist())}
-        self.size = [len(p) for p in v.pieces]
-        self.length, self.link, self.token = v.length.tolist(), v.link.tolist(), v.token.tolist()
-        self.arcs = dict(zip(v.arcs[:, 0].tolist(), v.arcs[:, 1].tolist(), strict=True))
+        self.left, self.right, self.born = v.left, v.right, v.born
+        by = np.argsort(v.rules)
+        self.rules, self.ranks = v.rules[by], by
+        self.size = np.array([len(p) for p in v.pieces])
+        self.length, self.link, self.token = v.length, v.link, v.token
+        by = np.argsort(v.arcs[:, 0])
+        self.arcs, self.leads = v.arcs[by, 0], v.arcs[by, 1]
         self.first = self._first_tokens()
-        self.fits: dict[int, bool] = {}
+        self.pairs, self.fits = np.full(PAIRS, -1, np.int64), np.zeros(PAIRS, bool)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _first_tokens(self) -> list[int]:
+    def _first_tokens(self) -> np.ndarray:
         """For each state, the nearest on its way by suffix links, itself included, whose longest string is a token."""
-        first = [0] * len(self.length)
-        for s in sorted(range(1, len(self.length)), key=self.length.__getitem__):  # a link leads to a shorter one
+        first = np.zeros(len(self.length), np.int64)
+        for s in np.argsort(self.length, kind="stable")[1:].tolist():  # a link leads to a shorter one
             first[s] = s if self.token[s] >= 0 else first[self.link[s]]
         return first
 
-    def compatible(self, a: int, b: int) -> bool:
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """`crossed`, for many pairs."""
+        out = np.zeros(len(a), bool)
+        who, x, dies = np.arange(len(a)), a, np.full(len(a), NEVER)
+        while len(who):
+            own, y, ends = np.arange(len(who)), b[who], np.full(len(who), NEVER)
+            while len(own):
+                key = x[own] << SHIFT | y
+                at = np.minimum(np.searchsorted(self.rules, key), len(self.rules) - 1)
+                rank = self.ranks[at]
+                hit = (self.rules[at] == key) & (rank < dies[own]) & (rank <= ends)
+                out[who[own[hit]]] = True
+                further = ~hit & (self.left[y] >= 0)
+                own, ends, y = own[further], self.born[y[further]], self.left[y[further]]
+            further = ~out[who] & (self.right[x] >= 0)
+            who, dies, x = who[further], self.born[x[further]], self.right[x[further]]
+        return out
+
+    def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Remembers pairs by a hash of both tokens; a pair that falls on another's place takes it."""
         key = a << SHIFT | b
-        got = self.fits.get(key)
-        if got is None:
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            got = self.fits[key] = not crossed(self.rules, self.left, self.right, self.born, a, b)
-        return got
-
-    def ids(self, word: bytes) -> bytes:
-        """The ids of a run of bytes that merges may join as they like."""
-        length, link, token, size, first, arcs = self.length, self.link, self.token, self.size, self.first, self.arcs
+        at = (key * 0x9E3779B1 >> 7) % PAIRS
+        new = np.flatnonzero(self.pairs[at] != key)
+        out = self.fits[at]
+        if len(new):
+            pairs, back = np.unique(key[new], return_inverse=True)
+            fits = ~self.apart(pairs >> SHIFT, pairs & ((1 << SHIFT) - 1))
+            out[new] = fits[back]
+            at = (pairs * 0x9E3779B1 >> 7) % PAIRS
+            self.pairs[at] = pairs
+            self.fits[at] = fits
+            self.fits[at] = self._own(at, pairs, fits)
+        return out
+
+    def _own(self, at: np.ndarray, pairs: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """What belongs to the pair that ended up at each place, where several of one call fell on it."""
+        kept = self.pairs[at]
+        return fits[np.searchsorted(pairs, kept)]
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of runs of bytes that merges may join as they like."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        sizes = sizes[order]
+        begin = np.cumsum(sizes) - sizes
+        text = np.frombuffer(b"".join([words[k] for k in order]), np.uint8).astype(np.int64)
+        last = np.zeros(len(text), np.int64)
+        state, held = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for at in range(int(sizes[0]) if len(words) else 0):
+            m = int(np.searchsorted(-sizes, -at, "left"))  # words of more than `at` bytes
+            byte = text[begin[:m] + at]
+            todo = np.arange(m)
+            while len(todo):  # the start has an arc for each byte
+                key = state[todo] << 8 | byte[todo]
+                arc = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+                hit = self.arcs[arc] == key
+                state[todo[hit]] = self.leads[arc[hit]]
+                held[todo[hit]] += 1
+                todo = todo[~hit]
+                state[todo] = self.link[state[todo]]
+                held[todo] = self.length[state[todo]]
+            s = state[:m]
+            s = self.first[np.where(held[:m] == self.length[s], s, self.link[s])]
+            todo = np.arange(m)
+            while len(todo):  # the longest token that ends here and fits, of which there is one
+                t = self.token[s]
+                before = at + 1 - self.size[t]
+                fits = before == 0
+                some = np.flatnonzero(~fits)
+                fits[some] = self.compatible(last[begin[todo[some]] + before[some] - 1], t[some])
+                last[begin[todo[fits]] + at] = t[fits]
+                todo, s = todo[~fits], self.first[self.link[s[~fits]]]
+        return self._followed(last, begin, sizes, order)
+
+    def _followed(self, last: np.ndarray, begin: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> list[bytes]:
+        """The tokens from the end of each word back to its start, in order."""
+        counts, rounds = np.zeros(len(sizes), np.int64), []
+        who, at = np.flatnonzero(sizes), sizes[sizes > 0]
+        while len(who):
+            t = last[begin[who] + at - 1]
+            rounds.append((who, t))
+            counts[who] += 1
+            at = at - self.size[t]
+            who, at = who[at > 0], at[at > 0]
+        ends = np.cumsum(counts)
+        flat = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint32)
+        for n, (who, t) in enumerate(rounds, 1):
+            flat[ends[who] - n] = t
+        out = [b""] * len(sizes)
+        raw = flat.tobytes()
+        for k, b, n in zip(order.tolist(), (4 * ends).tolist(), (4 * counts).tolist(), strict=True):
+            out[k] = raw[b - n : b]
+        return out
+
+    def encoded_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words; long ones one by one, so that short ones don't wait for them."""
+        raw = [w.encode() for w in words]
+        short = [k for k, w in enumerate(raw) if len(w) <= LONG]
+        out = [b""] * len(words)
+        for at in range(0, len(short), TOGETHER):
+            part = short[at : at + TOGETHER]
+            for k, got in zip(part, self.ids([raw[k] for k in part]), strict=True):
+                out[k] = got
+        for k, w in enumerate(raw):
+            if len(w) > LONG:
+                out[k] = self.alone(w)
+        return out
+
+    def alone(self, word: bytes) -> bytes:
+        """The same steps, one word at a time."""
+        if not hasattr(self, "plain"):
+            self.plain = {n: getattr(self, n).tolist() for n in ("length", "link", "token", "size", "first", "left", "right", "born")}
+            self.plain |= {"arcs": dict(zip(self.arcs.tolist(), self.leads.tolist(), strict=True)), "rules": dict(zip(self.rules.tolist(), self.ranks.tolist(), strict=True)), "fits": {}}
+        length, link, token, size, first, left, right, born, arcs, rules, known = self.plain.values()
         last, state, held = array("i"), 0, 0
         for at, byte in enumerate(word, 1):
             to = arcs.get(state << 8 | byte)
-            while to is None:  # the start has an arc for each byte
+            while to is None:
                 state = link[state]
                 held = length[state]
                 to = arcs.get(state << 8 | byte)
@@ -206,7 +314,14 @@ class PrefixEncoder(UnitEncoder):
             while True:
                 t = token[s]
                 before = at - size[t]
-                if not before or self.compatible(last[before - 1], t):
+                if not before:
+                    break
+                pair = last[before - 1] << SHIFT | t
+                if pair not in known:
+                    if len(known) > PAIRS:
+                        known.clear()
+                    known[pair] = not crossed(rules, left, right, born, last[before - 1], t)
+                if known[pair]:
                     break
                 s = first[link[s]]
             last.append(t)
@@ -217,34 +332,51 @@ class PrefixEncoder(UnitEncoder):
         out.reverse()
         return out.tobytes()
 
-    def _run(self, unit: str) -> bytes:
-        return self.ids(unit.encode())
-
-    def _plain(self, text: str) -> bytes:
-        """The ids of any text."""
+    def _words(self, text: str) -> list[str | bytes]:
+        """The words of any text, and the ids of added tokens between them."""
+        if not self.any_added or not self.any_added.search(text):
+            return [text[a:b] for _, (a, b) in self.cut.pre_tokenize_str(text)] if text else []
         out, at = [], 0
-        for found in [*self.any_added.finditer(text), None] if self.any_added else [None]:
+        for found in [*self.any_added.finditer(text), None]:
             part = text[at : found.start() if found else len(text)]
-            out += [self.ids(word.translate(self.byte).encode("latin-1")) for word, _ in self.cut.pre_tokenize_str(part)] if part else []
+            out += [part[a:b] for _, (a, b) in self.cut.pre_tokenize_str(part)] if part else []
             if found:
                 out.append(np.array([self.added[found.group()]], np.uint32).tobytes())
                 at = found.end()
-        return b"".join(out)
+        return out
 
     def units(self, units: list[str]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
+        young, old, new, words = self.young, self.old, [], {}
         for unit in units:
-            if unit not in young:
-                got = old.get(unit)
-                if got is None:
-                    letters = unit[1:] if unit[:1] == " " else unit
-                    got = self._run(unit) if letters.isalpha() else self._plain(unit)
+            if unit in young:
+                continue
+            got = old.get(unit)
+            if got is not None:
                 young[unit] = got
+                continue
+            if one_word(unit):
+                words[unit] = None
+                continue
+            parts = [unit[:-1], unit[-1]] if unit[-1:] in (".", ",") and one_word(unit[:-1]) else self._words(unit)
+            new.append((unit, parts))
+            for w in parts:
+                if type(w) is str:
+                    words[w] = young.get(w)
+        todo = [w for w, got in words.items() if got is None]
+        words.update(zip(todo, self.encoded_words(todo), strict=True))
+        for unit, parts in new:
+            young[unit] = b"".join([words[w] if type(w) is str else w for w in parts])
+        young.update((w, got) for w, got in words.items() if one_word(w))
         return [young[unit] for unit in units]
 
 
+def one_word(unit: str) -> bool:
+    """Letters, with or without a space before them, which are a word wherever they stand."""
+    return (unit[1:] if unit[:1] == " " else unit).isalpha()
+
+
 _encoders: dict[str, PrefixEncoder] = {}
 
 

@@ -205,14 +205,16 @@ def test_prefixes_give_the_librarys_ids(library):
     for letters in ("abetho sniE'rslv.,!?12 \n\t  éß日🙂́‍\xa0\x1c\x85", "aeths no", "ae-=_*. ", "aab"):
         texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 90))) for _ in range(700)]
     for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(e._plain(text), np.uint32).tolist() == want.ids
+        assert np.frombuffer(e.units([text])[0], np.uint32).tolist() == want.ids
+        raw = [w.encode() for w in e._words(text) if isinstance(w, str)]
+        assert e.ids(raw) == [e.alone(w) for w in raw]
 
 
 def test_last_token_of_each_prefix_is_its_encodings_last(library):
     e = bpe.PrefixEncoder(bpe.vocabulary(vocabulary()))
     word = " antidisestablishmentarianismsssss"
     for n in range(1, len(word) + 1):
-        assert np.frombuffer(e.ids(word[:n].encode()), np.uint32).tolist() == library.encode(word[:n], add_special_tokens=False).ids
+        assert np.frombuffer(e.ids([word[:n].encode()])[0], np.uint32).tolist() == library.encode(word[:n], add_special_tokens=False).ids
 
 
 def test_automaton_knows_all_substrings():
@@ -231,13 +233,14 @@ def test_automaton_knows_all_substrings():
 def test_pairs_are_compatible_as_merges_tell(library):
     v = bpe.vocabulary(vocabulary())
     e, rng = bpe.PrefixEncoder(v), random.Random(8)
-    apart = 0
-    for _ in range(4000):
-        a, b = rng.randrange(3000), rng.randrange(3000)
+    apart, pairs = 0, [(rng.randrange(3000), rng.randrange(3000)) for _ in range(4000)]
+    fits = e.compatible(*(np.array(x) for x in zip(*pairs, strict=True)))
+    assert (fits == e.compatible(*(np.array(x) for x in zip(*pairs, strict=True)))).all()
+    for (a, b), fit in zip(pairs, fits.tolist(), strict=True):
         word = (v.pieces[a] + v.pieces[b]).decode("latin-1").translate({k: x for k, x in bpe.byte_letters().items()})
         want = [t.id for t in library.model.tokenize(word)] == [a, b]
         apart += not want
-        assert e.compatible(a, b) == want
+        assert fit == want
     assert 100 < apart < 3900
 
 
