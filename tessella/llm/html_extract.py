@@ -2,13 +2,13 @@
 
 A page is read into blocks, each with its path of tags (and the classes that tell a part's role) from
 the root. Text length, punctuation and linked text are summed by path; both ratios are smoothed over
-neighbouring paths, fused and held against a threshold, which selects paths. The deepest element that
-holds nearly all selected text is the article: its blocks are the main text, without those that its
-own menus, notices, adverts, forms and comments hold. Unless it is an <article> or <main>, selected
-paths outside it and the headings before them are taken too; where it is the body itself, only these.
-A part whose role word or tag says that it is around an article isn't if it holds most of the page's
-text, and an <article> or <main> is part of it only where it lists such (comments, related). A page of
-nothing but such parts is judged by its paths alone.
+neighbouring paths and fused. A path whose role word or tag says that it is around an article has its
+ratio lowered, unless it holds most of the page's text; an <article> or <main> is part of it only where
+it lists such (comments, related). Nothing is left out by words alone: all paths, lowered or not, are
+held against one threshold, which selects paths, and their blocks are the main text. Headings, short
+lines and the like, whose own paths are low, come with the part that they stand in: a block is filled in
+where a container above it has most of its text selected and no more than half of it in the branch that
+the block stands in; a lowered part with little selected in it is no way up.
 
 A null or empty page has empty text. Scripts, styles and comments never count. Unclosed elements end
 where HTML ends them; a page that breaks off inside a tag loses that tag alone. Repeated rows each get
@@ -48,8 +48,12 @@ NEVER = {"nav", "footer", "menu", "button", "select"}
 MOST = 0.5
 PUNCTUATION = re.compile(r"[.,;:!?…。、！？]")
 SPACES = re.compile(r"\s+")
-#: The share of the spread above the mean from which a path is selected, and of selected text that the article holds.
-THRESHOLD, HOLDS = 0.5, 0.9
+#: The share of the spread above the mean from which a path is selected, and what the ratio of a path around the article is lowered to.
+THRESHOLD, LOWERED = 0.5, 0.05
+#: The share of a container's text that is selected where the rest is filled in, and that a branch filled in has at most.
+SELECTED, BRANCH = 0.5, 0.5
+#: Elements of text, which are no containers.
+TEXTS = HEADINGS | {"p", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "address", "center", "details", "summary", "caption", "hr"}
 
 
 def is_hidden(attributes: str) -> bool:
@@ -205,10 +209,9 @@ def above_threshold(fused: np.ndarray) -> np.ndarray:
 
 
 def selected_paths(blocks: list[Block]) -> set[int]:
-    """Paths whose smoothed and fused ratios of text and punctuation reach the threshold.
+    """Paths whose smoothed and fused ratios of text and punctuation, lowered around the article, reach the threshold.
 
-    The ratios of all paths make the threshold. Paths around the article are left out of what reaches it; where nothing else does, the
-    threshold is that of the other paths alone. Without any punctuation the ratio of text decides, and without any text that isn't linked, that of all text.
+    Without any punctuation the ratio of text decides, and without any text that isn't linked, that of all text.
     """
     order: dict[int, int] = {}
     for b in blocks:
@@ -223,55 +226,45 @@ def selected_paths(blocks: list[Block]) -> set[int]:
         count[i] += 1
         around[i] &= b.element.around
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), [0.1, 0.8, 0.1], "valid")
+    lowered = np.where(around, LOWERED, 1.0)
     for ratio in (np.sqrt(smooth(size / count) * smooth(marks / count)), smooth(size / count), smooth(every / count)):
-        for fused in (ratio, np.where(around, 0.0, ratio)):
-            chosen = above_threshold(fused) & ~around
-            if chosen.any():
-                return {p for p, i in order.items() if chosen[i]}
+        chosen = above_threshold(ratio * lowered)
+        if chosen.any():
+            return {p for p, i in order.items() if chosen[i]}
     return set()
 
 
+def filled_in(block: Block, size: list[int], held: list[int]) -> bool:
+    """Whether a container above the block has enough selected text, most of it in other branches than the block's."""
+    below, e = len(block.text), block.element
+    while e is not None and e.tag not in ("#", "html", "body"):
+        enough = held[e.place] >= SELECTED * size[e.place]
+        if e.marked and e.around and not enough:
+            return False
+        if e.tag not in TEXTS and enough and below <= BRANCH * size[e.place]:
+            return True
+        below, e = size[e.place], e.parent
+    return False
+
+
 def main_text(page: str | None) -> str:
     read = read_page(page or "")
     blocks, elements = read.blocks, read.elements
     if not blocks:
         return ""
     nothing_else = place_around(read)
-    chosen = selected_paths(blocks)
     if nothing_else and not any(len(b.text) > b.linked and PUNCTUATION.search(b.text) for b in blocks):
         return ""  # menus and the like, and no sentence among them
-    held = [0] * len(elements)
+    chosen = selected_paths(blocks)
+    size, held = [0] * len(elements), [0] * len(elements)
     for b in blocks:
-        if b.element.path in chosen and not b.element.around:
-            held[b.element.place] += len(b.text)
+        size[b.element.place] += len(b.text)
+        held[b.element.place] += len(b.text) * (b.element.path in chosen)
     for e in reversed(elements):  # parents stand before their children
         if e.parent is not None:
+            size[e.parent.place] += size[e.place]
             held[e.parent.place] += held[e.place]
-    able = [e for e in elements if held[e.place] and held[e.place] >= HOLDS * held[0]]
-    article = max(able, key=lambda e: e.depth) if able else None
-    while article is not None and article.tag in {"p", *HEADINGS}:
-        article = article.parent
-    named = article
-    while named is not None and named.tag not in ("article", "main"):
-        named = named.parent
-    article = named or article
-    inside = [False] * len(elements)
-    if article is not None and article.tag not in ("#", "html", "body"):
-        for e in elements:
-            inside[e.place] = e is article or (e.parent is not None and inside[e.parent.place])
-    own, waiting = [], []
-    for b in blocks:
-        within = inside[b.element.place]
-        if b.element.around and not (within and article.around):
-            continue
-        if within or (b.element.path in chosen and not named):
-            own += [*waiting, b]
-            waiting = []
-        elif b.element.tag in HEADINGS and not named:
-            waiting.append(b)
-        else:
-            waiting = []
-    return "\n".join(b.text for b in own)
+    return "\n".join(b.text for b in blocks if b.element.path in chosen or filled_in(b, size, held))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

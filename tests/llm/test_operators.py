@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import string
@@ -12,6 +13,7 @@ from collections import Counter
 from urllib.parse import quote
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,35 +130,83 @@ def test_main_text_of_odd_pages(spark):
 
 
 def plain_paths(blocks):
-    """The ratios, smoothed, fused and thresholded, with plain loops."""
+    """The ratios, smoothed, fused, lowered and thresholded, with plain loops."""
     order = list(dict.fromkeys(b.element.path for b in blocks))
     own = {p: [b for b in blocks if b.element.path == p] for p in order}
+    near = lambda x, i: 0.1 * x[max(0, i - 1)] + 0.8 * x[i] + 0.1 * x[min(len(x) - 1, i + 1)]
     text = [sum(len(b.text) - b.linked for b in own[p]) / len(own[p]) for p in order]
     marks = [sum(sum(c in ".,;:!?…。、！？" for c in b.text) * (1 - b.linked / len(b.text)) for b in own[p]) / len(own[p]) for p in order]
-    near = lambda x, i: 0.1 * x[max(0, i - 1)] + 0.8 * x[i] + 0.1 * x[min(len(x) - 1, i + 1)]
-    fused = [math.sqrt(near(text, i) * near(marks, i)) for i in range(len(order))]
-    mean = sum(fused) / len(fused)
-    limit = min(mean + 0.5 * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)), max(fused))
-    return {p for p, f in zip(order, fused, strict=True) if f >= limit - 1e-12 and f > 0 and not all(b.element.around for b in own[p])}
-
-
-def test_ratios_equal_brute_force_and_select_the_content(monkeypatch):
+    every = [sum(len(b.text) for b in own[p]) / len(own[p]) for p in order]
+    for ratio in ([math.sqrt(near(text, i) * near(marks, i)) for i in range(len(order))], [near(text, i) for i in range(len(order))], [near(every, i) for i in range(len(order))]):
+        fused = [f * (0.05 if all(b.element.around for b in own[p]) else 1) for p, f in zip(order, ratio, strict=True)]
+        mean = sum(fused) / len(fused)
+        limit = min(mean + 0.5 * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused)), max(fused))
+        found = {p for p, f in zip(order, fused, strict=True) if f >= limit * (1 - 1e-12) and f > 0}
+        if found:
+            return found
+    return set()
+
+
+def above(element):
+    while element is not None:
+        yield element
+        element = element.parent
+
+
+def plain_main_text(page):
+    """Every block held against every container above it, whose texts are added up anew each time."""
+    read = html_extract.read_page(page)
+    nothing_else = html_extract.place_around(read)
+    if not read.blocks or (nothing_else and not any(len(b.text) > b.linked and any(c in ".,;:!?…。、！？" for c in b.text) for b in read.blocks)):
+        return ""
+    chosen, out = plain_paths(read.blocks), []
+    inside = lambda e: [b for b in read.blocks if any(x is e for x in above(b.element))]
+    chars = lambda blocks: sum(len(b.text) for b in blocks)
+    for b in read.blocks:
+        take, branch = b.element.path in chosen, [b]
+        for e in above(b.element):
+            if take or e.tag in ("#", "html", "body"):
+                break
+            own = inside(e)
+            enough = 2 * chars([x for x in own if x.element.path in chosen]) >= chars(own)
+            if e.marked and e.around and not enough:
+                break
+            take = e.tag not in html_extract.TEXTS and enough and 2 * chars(branch) <= chars(own)
+            branch = own
+        out += [b.text] if take else []
+    return "\n".join(out)
+
+
+def test_main_text_equals_brute_force(monkeypatch):
     rng = random.Random(6)
-    for _ in range(40):
-        parts = [f"<{t}>{'<a>' if rng.random() < 0.3 else ''}{prose(rng, rng.randrange(1, 40))}</{t}>" for t in rng.choices(["p", "li", "h2", "td", "blockquote"], k=rng.randrange(1, 12))]
-        read = html_extract.read_page("<body><nav><a>Home</a></nav><div>" + "".join(parts) + "</div></body>")
+    pages = [PAGE, "plain words", "<p>a<p>b", "<nav><a>x</a></nav>"]
+    for _ in range(150):
+        def part(depth):
+            kind = rng.choice(["p", "p", "p", "li", "h2", "td", "blockquote", "div", "section", "article", "nav", "aside", "form", 'div class="comments"', 'div class="ad"', 'ul class="related"'])
+            text = f"{'<a>' if rng.random() < 0.2 else ''}{prose(rng, rng.randrange(1, 40))}{'</a>' if rng.random() < 0.5 else ''}"
+            inner = "".join(part(depth + 1) for _ in range(rng.randrange(0, 4))) if depth < 4 and kind[:2] in ("di", "se", "ar", "na", "as", "fo", "ul") else text
+            return f"<{kind}>{inner or text}</{kind.split()[0]}>"
+
+        pages.append("<body>" + "".join(part(0) for _ in range(rng.randrange(1, 7))) + "</body>")
+    for page in pages:
+        read = html_extract.read_page(page)
         html_extract.place_around(read)
-        want = plain_paths(read.blocks)
-        if want:
-            assert html_extract.selected_paths(read.blocks) == want
-    text = html_extract.main_text(PAGE)
-    low = "<body><div><ul><li>One<li>Two<li>Three</ul></div><div>" + "".join(f"<p>Sentence {i}, with words. And more, too.</p>" for i in range(5)) + "</div></body>"
-    assert "One" not in html_extract.main_text(low) and "Sentence 4" in html_extract.main_text(low)
-    own = html_extract.selected_paths
+        assert html_extract.selected_paths(read.blocks) == plain_paths(read.blocks)
+        assert html_extract.main_text(page) == plain_main_text(page)
+
+
+def test_ratios_decide_on_given_pages(monkeypatch):
+    """With the ratios switched off, so that every path is selected, or only the threshold turned over, nearly all pages change."""
+    at = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables")
+    pages = [x or "" for x in pq.read_table(at)["html"].to_pylist()]
+    texts, own = [html_extract.main_text(x) for x in pages], html_extract.selected_paths
+    assert [plain_main_text(x) for x in pages[:60]] == texts[:60]
+    monkeypatch.setattr(html_extract, "selected_paths", lambda blocks: {b.element.path for b in blocks})
+    assert sum(html_extract.main_text(x) != t for x, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
     monkeypatch.setattr(html_extract, "selected_paths", lambda blocks: {b.element.path for b in blocks} - own(blocks))
-    assert html_extract.main_text(low).startswith("One")
-    monkeypatch.setattr(html_extract, "selected_paths", lambda blocks: set())
-    assert text and html_extract.main_text(PAGE) == ""
+    assert sum(html_extract.main_text(x) != t for x, t in zip(pages, texts, strict=True)) > 0.9 * len(pages)
 
 
 def test_main_text_of_no_pages_repeated_rows_and_a_very_long_page(spark):
