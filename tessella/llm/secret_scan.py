@@ -1,18 +1,20 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned by the base rules; then the text with its URL and Unicode escapes taken off, and
-each encoded run in it (escapes by themselves, base64, compressed data inside base64), is unwrapped into layers, each scanned and unwrapped again until no
-new layer appears. A layer seen before is not entered again. What a layer shows is mapped back to
-code points of the whole text. Null and empty texts have no spans; repeated rows each get a row.
-Bytes that aren't UTF-8 become a replacement character; every layer is scanned. Compressed data is
-inflated as a stream over all its members and levels and scanned in overlapping windows, whatever its
-size; n_skipped counts windows that cut a run of over MOST characters which may itself be encoded.
+each encoded run in it (escapes by themselves, base64 of UTF-8 or UTF-16 at each of its four alignments,
+compressed data inside base64 or escaped bytes, wherever it begins there: gzip, zlib, bz2, xz, raw deflate),
+is unwrapped into layers, each scanned and unwrapped again until no new layer appears. A layer seen before
+is not entered again. What a layer shows is mapped back to code points of the whole text. Null and empty
+texts have no spans; repeated rows each get a row; an empty table gives an empty one; columns other than
+doc_id and text are dropped by the scan and kept by `redact`. Bytes that aren't text become a replacement
+character. Compressed data is inflated as a stream over all its members and levels and scanned in
+overlapping windows, whatever its size; n_skipped counts windows that cut a run of over MOST characters
+which may itself be encoded.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import codecs
 import hashlib
@@ -45,8 +47,13 @@ WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{16,}}+(?:{BREAK}[A-
 PIECE = re.compile(r"\\[rn]|([A-Za-z0-9+/_=-]+)")
 #: Characters of encoded runs and what may stand inside them: a window isn't cut among these.
 RUN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\{} \t\r\n"
-STEP, WINDOW, OVERLAP, MOST = 1 << 20, 8 << 20, 64 << 10, 64 << 20
-MAGIC = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"\x78\x01": lambda: zlib.decompressobj(15), b"\x78\x5e": lambda: zlib.decompressobj(15), b"\x78\x9c": lambda: zlib.decompressobj(15), b"\x78\xda": lambda: zlib.decompressobj(15), b"BZ": bz2.BZ2Decompressor, b"\xfd7": lzma.LZMADecompressor}
+PART, STEP, WINDOW, OVERLAP, MOST = 64 << 10, 1 << 20, 8 << 20, 64 << 10, 64 << 20
+#: What decoded bytes hold where they can hold a span or another layer: without any of it they hold neither.
+MATTERS = re.compile(rb"(?i:passw|secret|token|api_?key)|AKIA|[0-9a-f]{32}|%[0-9A-Fa-f]{2}|\\[uUx]|[A-Za-z0-9+/_-]{16}")
+#: Where compressed data can begin, besides the first byte.
+BEGINS = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?=1AY&SY)|\xfd7zXZ\x00|[\x08\x18(8HXhx](?=[\x00-\xff])")
+BYTES = re.compile(rb"%([0-9A-Fa-f]{2})|\\x([0-9A-Fa-f]{2})|\\([nrt0abfv'\"\\])")
+SIMPLE = dict(zip(b"nrt0abfv'\"\\", b"\n\r\t\0\a\b\f\v'\"\\", strict=True))
 
 Span = tuple[int, int, int]  # start, kind's place in KINDS, end
 
@@ -148,31 +155,75 @@ def members(chunks: Iterator[bytes], make) -> Iterator[bytes]:
                     break
 
 
-def inflated(raw: bytes) -> Iterator[bytes] | None:
-    """What compressed data holds, through all levels of compression (None if it isn't compressed)."""
+def zlib_head(head: bytes) -> bool:
+    return len(head) > 1 and head[0] & 15 == 8 and head[0] >> 4 < 8 and (head[0] << 8 | head[1]) % 31 == 0
+
+
+def maker(head: bytes):
+    """What unpacks data that begins like this; None if it isn't compressed."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:3] == b"\xfd7z":
+        return lzma.LZMADecompressor
+    return (lambda: zlib.decompressobj(15)) if zlib_head(head) else None
+
+
+def inflated(raw: bytes, make=None) -> Iterator[bytes] | None:
+    """What compressed data holds, through all levels of compression (None if it isn't compressed). make: what unpacks the first level, where its head doesn't tell."""
     chunks: Iterator[bytes] | None = None
-    head, heads = raw, set()
-    while (make := MAGIC.get(head[:2])) and head not in heads:
-        heads.add(head)
-        inner = members(chunks if chunks is not None else iter([raw]), make)
+    head, makes = raw, []
+    while (now := make if make and not makes else maker(head)) and len(makes) < 1000:
+        inner = members(chunks if chunks is not None else iter([raw]), now)
         head = b""
-        while len(head) < 2 and (more := next(inner, b"")):
+        while len(head) < 3 and (more := next(inner, b"")):
             head += more
         if not head:
             break
+        makes.append(now)
         chunks = chain([head], inner)
     else:
         return chunks
-    # the last level only looked compressed: start again, one level less
-    depth = len(heads) - 1
-    chunks, head = iter([raw]), raw
-    for _ in range(depth):
-        inner = members(chunks, MAGIC[head[:2]])
-        head = b""
-        while len(head) < 2 and (more := next(inner, b"")):
-            head += more
-        chunks = chain([head], inner)
-    return chunks if depth else None
+    # the last level only looked compressed: start again without it
+    chunks = iter([raw])
+    for now in makes:
+        chunks = members(chunks, now)
+    return chunks if makes else None
+
+
+def ends_well(raw: memoryview, bits: int) -> bool:
+    """Whether raw begins with deflated data that is there to its end, checksum included, and holds something."""
+    unpack, some = zlib.decompressobj(bits), False
+    try:
+        for at in range(0, len(raw), PART):
+            data = raw[at : at + PART]
+            while len(data) and not unpack.eof:
+                some |= bool(unpack.decompress(data, STEP))
+                data = unpack.unconsumed_tail
+            if unpack.eof:
+                return some and (bits > 0 or (not unpack.unused_data and at + PART >= len(raw)))
+    except zlib.error:
+        pass
+    return False
+
+
+def streams(raw: bytes) -> Iterator[Iterator[bytes]]:
+    """What compressed data in raw holds, wherever it begins; deflated data without a head if raw is nothing but that."""
+    at_once = inflated(raw) if maker(raw) else None
+    if at_once is not None:
+        yield at_once
+    view = memoryview(raw)
+    for m in BEGINS.finditer(raw, 1):
+        at = m.start()
+        if m.end() - at > 1 or ((raw[at] << 8 | raw[at + 1]) % 31 == 0 and ends_well(view[at:], 15)):
+            found = inflated(raw[at:])
+            if found is not None:
+                yield found
+    if at_once is None and raw[0] & 6 != 6 and ends_well(view, -15):  # there is no block of kind 3
+        found = inflated(raw, lambda: zlib.decompressobj(-15))
+        if found is not None:
+            yield found
 
 
 def windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
@@ -194,30 +245,55 @@ def windows(chunks: Iterator[bytes]) -> Iterator[tuple[str, bool]]:
         yield held, False
 
 
-def from_base64(run: str, places: np.ndarray, layer: Layer) -> Iterator[tuple[Layer, bool]]:
-    """The layers that a run of base64 holds; its characters stand at `places` of the layer."""
-    bare = run.rstrip("=")
-    bare = bare[: len(bare) - (len(bare) % 4 == 1)]
-    try:
-        raw = base64.b64decode(bare.replace("-", "+").replace("_", "/") + "=" * (-len(bare) % 4))
-    except (binascii.Error, ValueError):
-        return
-    stream = inflated(raw)
-    if stream is not None:
-        start, end = layer.whole(int(places[0]), int(places[-1]) + 1)
+def text_layer(raw: bytes, places: np.ndarray, layer: Layer) -> Layer | None:
+    """The text that decoded bytes are, each of its code points at the characters of base64 that hold it."""
+    zeros = np.frombuffer(raw, np.uint8) == 0
+    if len(raw) > 7 and 4 * zeros.sum() >= len(raw):
+        text = raw.decode("utf-16-le" if zeros[1::2].sum() >= zeros[::2].sum() else "utf-16-be", "replace")
+        ends = np.minimum(np.cumsum([2 + 2 * (c > "\uffff") for c in text]), len(raw))
+        starts = np.concatenate(([0], ends[:-1]))
+    else:
+        text = raw.decode(errors="surrogateescape")
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        odd = (points >= 0xD800) & (points < 0xE000)
+        ends = np.cumsum(np.where(odd, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)))
+        starts = np.concatenate(([0], ends[:-1]))
+        if odd.any():
+            text = re.sub("[\ud800-\udfff]", "\ufffd", text)
+    if not text:
+        return None
+    place = np.stack([places[4 * (starts // 3)], places[np.minimum(len(places), 4 * ((ends - 1) // 3) + 4) - 1] + 1], axis=1)
+    return mapped(text, place, layer, 0)
+
+
+def stream_layers(raw: bytes, first: int, last: int, layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """The layers of compressed data in raw, all of them at the layer's places from first to last."""
+    start, end = layer.whole(first, last)
+    for stream in streams(raw):
         for text, cut in windows(stream):
             yield Layer(text, np.broadcast_to(np.int64(start), len(text)), np.broadcast_to(np.int64(end), len(text))), cut
-        return
-    text = raw.decode(errors="surrogateescape")
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    odd = (points >= 0xD800) & (points < 0xE000)
-    ends = np.cumsum(np.where(odd, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)))
-    starts = np.concatenate(([0], ends[:-1]))
-    if odd.any():
-        text = re.sub("[\ud800-\udfff]", "\ufffd", text)
-    if text:
-        place = np.stack([places[4 * (starts // 3)], places[np.minimum(len(bare), 4 * ((ends - 1) // 3) + 4) - 1] + 1], axis=1)
-        yield mapped(text, place, layer, 0), False
+
+
+def from_base64(run: str, places: np.ndarray, layer: Layer) -> Iterator[tuple[Layer, bool]]:
+    """The layers that a run of base64 holds at each alignment; its characters stand at `places` of the layer."""
+    whole = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for skip in range(4):
+        bare = whole[skip:]
+        bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+        if len(bare) < 8:
+            return
+        raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
+        own = places[skip : skip + len(bare)]
+        yield from stream_layers(raw, int(own[0]), int(own[-1]) + 1, layer)
+        if MATTERS.search(raw) or 4 * raw.count(0) >= len(raw):
+            found = text_layer(raw, own, layer)
+            if found is not None:
+                yield found, False
+
+
+def escaped_bytes(token: str) -> bytes:
+    """The bytes that a token with %xx or \\xNN writes; other characters stand for themselves."""
+    return BYTES.sub(lambda m: bytes([SIMPLE[m[3][0]]]) if m[3] else bytes.fromhex((m[1] or m[2]).decode()), token.encode("utf-8", "replace"))
 
 
 def base64_runs(own: str) -> Iterator[tuple[str, np.ndarray]]:
@@ -246,6 +322,9 @@ def unwrapped(layer: Layer) -> Iterator[tuple[Layer | None, bool]]:
         for m in TOKEN.finditer(own):
             if "%" in m[0] or "\\" in m[0]:
                 yield unescaped(m[0], layer, m.start()), False
+                raw = escaped_bytes(m[0]) if "%" in m[0] or "\\x" in m[0] else b""
+                if len(raw) > 7 and max(raw) > 127:  # compressed data has such bytes
+                    yield from stream_layers(raw, m.start(), m.end(), layer)
     for run, places in base64_runs(own):
         yield from from_base64(run, places, layer)
 

@@ -1,13 +1,16 @@
 """Each operator against a brute-force version, an exact round trip or a library, on small tables with odd rows."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import os
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 from urllib.parse import quote
@@ -410,6 +413,96 @@ def test_both_halves_of_an_escaped_character_are_one():
     assert [layer.whole(i, i + 1) for i in range(6)] == [(0, 1), (1, 13), (13, 14), (14, 20), (20, 21), (21, 27)]
 
 
+HIDDEN = "password = hunter2hunter2 and more text"
+
+
+def shapes():
+    raw, gz = HIDDEN.encode(), gzip.compress(HIDDEN.encode() * 5)
+    text = lambda x: base64.b64encode(x).decode()
+    deflate, small = (zlib.compressobj(9, zlib.DEFLATED, bits) for bits in (-15, 9))
+    bare, narrow = (z.compress(raw * 3) + z.flush() for z in (deflate, small))
+    return {
+        "behind a path": "x/" + text(raw), "behind a longer path": "data/files/" + text(raw), "glued to a word": "v1" + text(raw), "glued at the third": "abc" + text(raw),
+        "deflate": text(bare), "small window": text(narrow), "gzip behind a path": "files/" + text(gz), "zlib behind a path": "v1/" + text(zlib.compress(raw)), "bz2 behind a word": "k9-" + text(bz2.compress(raw)),
+        "xz": text(lzma.compress(raw)), "gzip in zlib": text(zlib.compress(gz)), "gzip as URL escapes": quote(gz), "gzip as hex escapes": "".join(f"\\x{c:02x}" for c in gz), "gzip as Python writes it": repr(gz)[2:-1],
+        "UTF-16": text(HIDDEN.encode("utf-16")), "UTF-16, high byte first": text(HIDDEN.encode("utf-16-be")), "UTF-16 beyond a plane": text((HIDDEN + "🙂🙂").encode("utf-16-le")),
+    }
+
+
+@pytest.mark.parametrize("shape", list(shapes()))
+def test_encoded_secret_is_found_in_its_shape(shape):
+    text = f"some text {shapes()[shape]} end"
+    base, every, skipped = secret_scan.scan(text)
+    added = [x for x in every if x not in base]
+    assert base == [] and skipped == 0 and {k for _, k, _ in added} == {0}
+    assert all(10 <= a < b <= len(text) - 4 for a, _, b in added)
+    assert "hunter2" not in "".join(layer.text for layer, _ in secret_scan.layers(secret_scan.redacted(text, every)))
+
+
+def plain_decodings(text, depth=0):
+    """All texts below a text: every run of base64 at every alignment, every escape, whatever library opens them; nothing is left out."""
+    found = set()
+    for run in re.findall(r"[A-Za-z0-9+/_-]{16,}={0,2}", text):
+        for skip in range(4):
+            bare = run.rstrip("=")[skip:].replace("-", "+").replace("_", "/")
+            bare = bare[: len(bare) - (len(bare) % 4 == 1)]
+            raw = base64.b64decode(bare + "=" * (-len(bare) % 4))
+            for at in range(len(raw)):
+                for unpack in (gzip.decompress, zlib.decompress, bz2.decompress, lzma.decompress, *([lambda x: zlib.decompress(x, -15)] if at == 0 else [])):
+                    try:
+                        found.add(unpack(raw[at:]).decode("utf-8", "replace"))
+                    except Exception:  # noqa: S110
+                        pass
+            found.add(raw.decode("utf-8", "replace"))
+    whole = re.sub(r"((?:%[0-9A-Fa-f]{2})+)", lambda m: bytes.fromhex(m[1].replace("%", "")).decode("utf-8", "replace"), text)
+    found.add(re.sub(r"\\u([0-9A-Fa-f]{4})", lambda m: chr(int(m[1], 16)), whole))
+    found.discard(text)
+    return found | {x for f in found if depth < 4 for x in plain_decodings(f, depth + 1)}
+
+
+def test_added_spans_equal_an_independent_decoder():
+    rng = random.Random(12)
+    wraps = [
+        lambda x: base64.b64encode(x.encode()).decode(), lambda x: base64.b64encode(gzip.compress(x.encode())).decode(), lambda x: base64.b64encode(zlib.compress(x.encode())).decode(), lambda x: quote(x, safe=""),
+        lambda x: "".join(f"\\u{ord(c):04x}" for c in x), lambda x: rng.choice(["x/", "v1", "abc", "", "a-b-"]) + base64.b64encode(x.encode()).decode(),
+    ]
+    secrets = ["token: abcdefgh1234", "AKIA" + "Z" * 16, "0123456789abcdef" * 2, "nothing at all here", 'api_key="x1y2z3w4"']
+    hits = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 4)):
+            x = rng.choice(secrets)
+            for _ in range(rng.randrange(0, 4)):
+                x = rng.choice(wraps)(rng.choice(["", "a "]) + x + rng.choice(["", " b"]))
+            parts += [x, prose(rng, rng.randrange(0, 5))]
+        text = " ".join(parts)
+        got = {(k, layer.text[a:b]) for layer, _ in secret_scan.layers(text) for a, k, b in secret_scan.base_spans(layer.text)}
+        want = {(k, t[a:b]) for t in plain_decodings(text) for a, k, b in secret_scan.base_spans(t)}
+        hits += bool(want)
+        assert want <= got
+    assert hits > 80
+
+
+def test_scan_of_an_empty_table_and_a_very_long_text(spark, none):
+    assert secret_scan.scan_secrets(none).count() == 0 and secret_scan.redact(none).columns == ["doc_id", "text", "source"]
+    rng = random.Random(1)
+    long = prose(rng, 2_900_000) + "\n" + base64.b64encode(gzip.compress(("x" * 100_000 + HIDDEN).encode())).decode()
+    assert len(long) > 18_000_000
+    r = secret_scan.scan_secrets(spark.createDataFrame([(1,)], "doc_id long").withColumn("text", F.lit(long))).first()
+    assert (r.n_assign, r.n_added, r.n_skipped) == (0, 1, 0)
+
+
+def test_wrapped_lines_take_linear_time():
+    rng = random.Random(1)
+    took = []
+    for n in (3000, 12000):
+        text = "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(n))
+        start = time.time()
+        secret_scan.scan(text)
+        took.append(time.time() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
 # ---- 5
 
 
