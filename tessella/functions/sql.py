@@ -30,56 +30,99 @@ def anywhere(patterns: tuple[str, ...], column: str, form: str = "(?i){}") -> st
 
 
 SPLITTER = "134217729D"
-#: Name with parameters, type, body. Later ones use earlier ones.
+#: A pattern that must match all of a text.
+WHOLE = r"(?i)^(?:{})\z"
+LINE_ENDS = r"r'\R|[\x1c-\x1e]'"
+TABLES, CODE = r"r'(?s)\[TABLE:(.*?)\n\]'", r"r'(?s)\[CODE\].*?\[/CODE\]'"
+
+# Expressions over SQL text, for functions that can't call each other inside a subquery or a lambda.
+
+
+def word_count(t: str) -> str:
+    return rf"CAST(regexp_count({t}, r'(?U)\S+') AS INT)"
+
+
+def strip_text(t: str) -> str:
+    return rf"regexp_replace({t}, r'(?U)^\s+|\s+$', '')"
+
+
+def text_lines(t: str) -> str:
+    return f"filter(transform(split({t}, {LINE_ENDS}), x -> {strip_text('x')}), x -> x <> '')"
+
+
+def normal_heading(h: str) -> str:
+    low = strip_text(f"lower(coalesce({h}, ''))")
+    return f"CASE WHEN {low} IN ({', '.join(map(text, V.RUNNING_HEADERS))}) THEN '' ELSE {low} END"
+
+
+def prose_density(t: str) -> str:
+    plain = f"split(regexp_replace(regexp_replace({t}, {TABLES}, ''), {CODE}, ''), {LINE_ENDS})"
+    rows = rf"flatten(transform(regexp_extract_all({t}, {TABLES}, 1), x -> split(x, r'\R')))"
+    prose = f"filter({plain}, x -> {strip_text('x')} <> '' AND NOT x RLIKE {text(V.BULLET_LINE)})"
+    wordy = "filter(" + rows + r", r -> " + word_count(r"regexp_replace(r, r'\s*\|\s*', ' ')") + " > 10)"
+    return f"CASE WHEN {t} = '' THEN 0D ELSE (aggregate({prose}, 0, (n, x) -> n + length(x)) + aggregate({wordy}, 0, (n, x) -> n + length(x))) / length({t}) END"
+
+
+def exercise_lines(xs: str) -> str:
+    hit = f"NOT s.code AND x NOT IN ('[CODE]', '[/CODE]') AND x RLIKE {text(V.EXERCISE_LINE)}"
+    step = f"named_struct('n', s.n + CAST({hit} AS INT), 'code', CASE x WHEN '[CODE]' THEN true WHEN '[/CODE]' THEN false ELSE s.code END)"
+    return f"aggregate({xs}, named_struct('n', 0, 'code', false), (s, x) -> {step}, s -> s.n)"
+
+
+def copyright_score(t: str) -> str:
+    return f"CASE WHEN contains({t}, '©') THEN 2 ELSE 0 END + {count_of(V.COPYRIGHT_WORDS, f'lower({t})')}"
+
+
+def py_round(x: str, digits: str) -> str:
+    """2 * 10**digits * x without error, as a double and what it lacks, against the odd number between two results."""
+    start = f"named_struct('x', {x}, 's', 2 * pow(10D, {digits}), 'p', {x} * (2 * pow(10D, {digits})))"
+    halves = f"named_struct('x', a.x, 's', a.s, 'p', a.p, 'xh', a.x * {SPLITTER} - (a.x * {SPLITTER} - a.x), 'sh', a.s * {SPLITTER} - (a.s * {SPLITTER} - a.s), 'low', CAST(floor(a.p / 2) AS DOUBLE))"
+    lacks = "((a.xh * a.sh - a.p) + a.xh * (a.s - a.sh) + (a.x - a.xh) * a.sh) + (a.x - a.xh) * (a.s - a.sh)"
+    over = "a.p - a.low * 2 - 1"
+    up = f"CASE WHEN {over} > 0 THEN 1 WHEN {over} < 0 THEN 0 WHEN {lacks} > 0 THEN 1 WHEN {lacks} < 0 THEN 0 ELSE pmod(a.low, 2D) END"
+    return f"transform(transform(array({start}), a -> {halves}), a -> CASE WHEN abs(a.x) < 1e13D THEN (a.low + {up}) / (a.s / 2) ELSE a.x END)[0]"
+
+
+def py_title(t: str) -> str:
+    letters = f"split({t}, '')"
+    return rf"array_join(transform({letters}, (x, i) -> CASE WHEN i > 0 AND get({letters}, i - 1) RLIKE r'[\p{{Lu}}\p{{Ll}}\p{{Lt}}]' THEN lower(x) ELSE upper(x) END), '')"
+
+
+def segment_type(heading: str, t: str, before: str) -> str:
+    """The ordered rules of classification; what they look at is computed once, in a subquery."""
+    first = f"lower({strip_text('substring_index(a.body, chr(10), 1)')})"
+    rules = (
+        (f"a.h <> '' AND a.h RLIKE {text(V.PREFACE_HEADING)} AND a.before", "preface"),
+        (f"a.h = 'frontmatter' AND a.before AND {count_of(V.PREFACE_PHRASES, 'a.low')} >= 2", "preface"),
+        (f"a.h RLIKE {text(V.REFERENCE_HEADING)}", "reference_table"),
+        (rf"regexp_count(a.t, r'\[TABLE:') >= 2 AND {prose_density('a.t')} <= {V.PROSE_LIMIT}D", "reference_table"),
+        (f"a.h RLIKE {text(V.SOLUTION)} OR substring(a.body, 1, 60) RLIKE {text(V.SOLUTION)}", "solution"),
+        (f"a.h RLIKE {text(V.EXERCISE_HEADING)} OR a.h RLIKE {text(V.EXERCISE_LINE)} OR (a.tasks >= 3 AND a.tasks >= 0.4D * size(a.xs))", "exercise"),
+        (f"a.h RLIKE {text(V.GLOSSARY_HEADING)} OR regexp_count(a.t, {text(V.DEFINITION_LINE)}) >= 5", "glossary"),
+        (f"a.h RLIKE {text(V.SUMMARY_HEADING)}", "summary"),
+        (f"size(filter(a.xs, x -> x RLIKE {text(V.OPTION_LINE)})) >= 3 AND size(filter(a.xs, x -> x RLIKE {text(V.QUESTION_LINE)})) >= 2", "assessment"),
+        (f"{anywhere(V.FRONT_PARTS, 'a.h')} OR {anywhere(V.FRONT_PARTS, first, WHOLE)}", "frontmatter"),
+        (f"lower(substring(a.t, 1, 500)) RLIKE {text(V.INSTITUTION)}", "frontmatter"),
+        (f"substring(a.t, 1, 2000) RLIKE {text(V.UNIT_WORD)} AND substring(a.t, 1, 2000) RLIKE {text(V.TEXTBOOK)}", "frontmatter"),
+        (f"{copyright_score('a.t')} >= {V.COPYRIGHT_LIMIT}", "frontmatter"),
+    )
+    cases = " ".join(f"WHEN {rule} THEN '{kind}'" for rule, kind in rules)
+    parts = rf"{normal_heading(heading)} AS h, {t} AS t, lower({t}) AS low, regexp_replace({t}, r'(?U)^\s+', '') AS body, {before} AS before, {text_lines(t)} AS xs, {exercise_lines(text_lines(t))} AS tasks"
+    return f"SELECT CASE {cases} ELSE 'instructional' END FROM (SELECT {parts}) AS a"
+
+
+OWN = "coalesce(t, '')"
+#: Name with parameters, type, body.
 FUNCTIONS = (
-    ("word_count(t STRING)", "INT", r"CAST(regexp_count(coalesce(t, ''), r'(?U)\S+') AS INT)"),
-    ("strip_text(t STRING)", "STRING", r"regexp_replace(t, r'(?U)^\s+|\s+$', '')"),
-    ("text_lines(t STRING)", "ARRAY<STRING>", r"filter(transform(split(coalesce(t, ''), r'\R|[\x1c-\x1e]'), x -> strip_text(x)), x -> x <> '')"),
-    (
-        "py_round(x DOUBLE, digits INT)",
-        "DOUBLE",
-        # 2 * 10**digits * x without error, as a double and what it lacks, against the odd number between two results
-        f"""transform(transform(array(named_struct('x', x, 's', 2 * pow(10D, digits), 'p', x * (2 * pow(10D, digits)))), a -> named_struct('x', a.x, 's', a.s, 'p', a.p,
-            'xh', a.x * {SPLITTER} - (a.x * {SPLITTER} - a.x), 'sh', a.s * {SPLITTER} - (a.s * {SPLITTER} - a.s), 'low', CAST(floor(a.p / 2) AS DOUBLE))), a -> CASE WHEN abs(a.x) < 1e13D THEN
-            (a.low + CASE WHEN a.p - a.low * 2 - 1 > 0 THEN 1 WHEN a.p - a.low * 2 - 1 < 0 THEN 0
-                WHEN ((a.xh * a.sh - a.p) + a.xh * (a.s - a.sh) + (a.x - a.xh) * a.sh) + (a.x - a.xh) * (a.s - a.sh) > 0 THEN 1
-                WHEN ((a.xh * a.sh - a.p) + a.xh * (a.s - a.sh) + (a.x - a.xh) * a.sh) + (a.x - a.xh) * (a.s - a.sh) < 0 THEN 0
-                ELSE pmod(a.low, 2D) END) / (a.s / 2) ELSE a.x END)[0]""",
-    ),
-    ("py_title(t STRING)", "STRING", r"array_join(transform(split(coalesce(t, ''), ''), (x, i) -> CASE WHEN i > 0 AND get(split(coalesce(t, ''), ''), i - 1) RLIKE r'[\p{Lu}\p{Ll}\p{Lt}]' THEN lower(x) ELSE upper(x) END), '')"),
-    ("normal_heading(h STRING)", "STRING", "CASE WHEN strip_text(lower(coalesce(h, ''))) IN (" + ", ".join(map(text, V.RUNNING_HEADERS)) + ") THEN '' ELSE strip_text(lower(coalesce(h, ''))) END"),
-    (
-        "prose_density(t STRING)",
-        "DOUBLE",
-        rf"""CASE WHEN coalesce(t, '') = '' THEN 0D ELSE (
-            aggregate(filter(split(regexp_replace(regexp_replace(t, r'(?s)\[TABLE:(.*?)\n\]', ''), r'(?s)\[CODE\].*?\[/CODE\]', ''), r'\R|[\x1c-\x1e]'), x -> strip_text(x) <> '' AND NOT x RLIKE {text(V.BULLET_LINE)}), 0, (n, x) -> n + length(x))
-            + aggregate(filter(flatten(transform(regexp_extract_all(t, r'(?s)\[TABLE:(.*?)\n\]', 1), x -> split(x, r'\R'))), r -> word_count(regexp_replace(r, r'\s*\|\s*', ' ')) > 10), 0, (n, x) -> n + length(x))) / length(t) END""",
-    ),
-    (
-        "exercise_lines(xs ARRAY<STRING>)",
-        "INT",
-        f"""aggregate(xs, named_struct('n', 0, 'code', false), (s, x) -> named_struct('n', s.n + CAST(NOT s.code AND x NOT IN ('[CODE]', '[/CODE]') AND x RLIKE {text(V.EXERCISE_LINE)} AS INT),
-            'code', CASE x WHEN '[CODE]' THEN true WHEN '[/CODE]' THEN false ELSE s.code END), s -> s.n)""",
-    ),
-    ("copyright_score(t STRING)", "INT", f"CASE WHEN contains(coalesce(t, ''), '©') THEN 2 ELSE 0 END + {count_of(V.COPYRIGHT_WORDS, "lower(coalesce(t, ''))")}"),
-    (
-        "segment_type(heading STRING, t STRING, before_first_chapter BOOLEAN)",
-        "STRING",
-        rf"""transform(array(named_struct('h', normal_heading(heading), 't', coalesce(t, ''), 'xs', text_lines(t), 'low', lower(coalesce(t, '')), 'body', regexp_replace(coalesce(t, ''), r'(?U)^\s+', ''))), a -> CASE
-            WHEN a.h <> '' AND a.h RLIKE {text(V.PREFACE_HEADING)} AND before_first_chapter THEN 'preface'
-            WHEN a.h = 'frontmatter' AND before_first_chapter AND {count_of(V.PREFACE_PHRASES, "a.low")} >= 2 THEN 'preface'
-            WHEN a.h RLIKE {text(V.REFERENCE_HEADING)} THEN 'reference_table'
-            WHEN regexp_count(a.t, r'\[TABLE:') >= 2 AND prose_density(a.t) <= {V.PROSE_LIMIT} THEN 'reference_table'
-            WHEN a.h RLIKE {text(V.SOLUTION)} OR substring(a.body, 1, 60) RLIKE {text(V.SOLUTION)} THEN 'solution'
-            WHEN a.h RLIKE {text(V.EXERCISE_HEADING)} OR a.h RLIKE {text(V.EXERCISE_LINE)} OR (exercise_lines(a.xs) >= 3 AND exercise_lines(a.xs) >= 0.4D * size(a.xs)) THEN 'exercise'
-            WHEN a.h RLIKE {text(V.GLOSSARY_HEADING)} OR regexp_count(a.t, {text(V.DEFINITION_LINE)}) >= 5 THEN 'glossary'
-            WHEN a.h RLIKE {text(V.SUMMARY_HEADING)} THEN 'summary'
-            WHEN size(filter(a.xs, x -> x RLIKE {text(V.OPTION_LINE)})) >= 3 AND size(filter(a.xs, x -> x RLIKE {text(V.QUESTION_LINE)})) >= 2 THEN 'assessment'
-            WHEN {anywhere(V.FRONT_PARTS, "a.h")} OR {anywhere(V.FRONT_PARTS, "lower(strip_text(substring_index(a.body, chr(10), 1)))", r"(?i)^(?:{})\z")} THEN 'frontmatter'
-            WHEN lower(substring(a.t, 1, 500)) RLIKE {text(V.INSTITUTION)} THEN 'frontmatter'
-            WHEN substring(a.t, 1, 2000) RLIKE {text(V.UNIT_WORD)} AND substring(a.t, 1, 2000) RLIKE {text(V.TEXTBOOK)} THEN 'frontmatter'
-            WHEN copyright_score(a.t) >= {V.COPYRIGHT_LIMIT} THEN 'frontmatter' ELSE 'instructional' END)[0]""",
-    ),
+    ("word_count(t STRING)", "INT", word_count(OWN)),
+    ("strip_text(t STRING)", "STRING", strip_text("t")),
+    ("text_lines(t STRING)", "ARRAY<STRING>", text_lines(OWN)),
+    ("py_round(x DOUBLE, digits INT)", "DOUBLE", py_round("x", "digits")),
+    ("py_title(t STRING)", "STRING", py_title(OWN)),
+    ("normal_heading(h STRING)", "STRING", normal_heading("h")),
+    ("prose_density(t STRING)", "DOUBLE", prose_density(OWN)),
+    ("copyright_score(t STRING)", "INT", copyright_score(OWN)),
+    ("segment_type(heading STRING, t STRING, before_first_chapter BOOLEAN)", "STRING", segment_type("heading", OWN, "before_first_chapter")),
 )
 
 

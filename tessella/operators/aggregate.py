@@ -91,18 +91,19 @@ def ranked(evaluated: DataFrame, dims: tuple[str, ...] = V.MODULE_DIMS) -> DataF
 def course_digest(evaluated: DataFrame, top: int = 3, dims: tuple[str, ...] = V.MODULE_DIMS) -> DataFrame:
     """doc_id, mean (one decimal), the weakest segment's id, name, mean, evidence and rationales, the strongest ids and lines.
 
-    A mean is that of five whole numbers, so its one decimal is exact.
+    The mean of means is taken from whole numbers, so it doesn't depend on an order.
     """
     rows = ranked(evaluated)
     name = F.coalesce(F.nullif("heading", F.lit("")), F.lit("untitled"))
     shown = F.format_string("%.1f", py_round(F.col("mean"), 1))
     line = F.concat(F.lit("ID "), F.col("segment_id").cast("string"), F.lit(" ("), name, F.lit("): avg "), shown)
     why = [F.concat(F.lit(f"{d}: "), F.substring(F.nullif(F.col(f"reasoning.{d}_rationale"), F.lit("")), 1, V.RATIONALE_CHARS)) for d in dims]
-    rows = rows.select("doc_id", "segment_id", "mean", "weak", "strong", "text", name.alias("name"), shown.alias("shown"), line.alias("line"), F.concat_ws("\n", *why).alias("why"))
+    points = sum((F.col(f"scores.{d}") for d in dims[1:]), F.col(f"scores.{dims[0]}"))
+    rows = rows.select("doc_id", "segment_id", points.alias("points"), "weak", "strong", "text", name.alias("name"), shown.alias("shown"), line.alias("line"), F.concat_ws("\n", *why).alias("why"))
     best = F.array_sort(F.collect_list(F.when(F.col("strong") <= top, F.struct("strong", "segment_id", "line")))).alias("best")
     weakest = lambda c: F.max(F.when(F.col("weak") == 1, F.col(c)))
     out = rows.groupBy("doc_id").agg(
-        F.format_string("%.1f", py_round(F.avg("mean"), 1)).alias("mean"),
+        F.format_string("%.1f", py_round(F.sum("points") / (F.count("*") * len(dims)), 1)).alias("mean"),
         F.count("*").alias("summaries"),
         weakest("segment_id").alias("weakest_id"), weakest("name").alias("weakest_name"), weakest("shown").alias("weakest_mean"),
         F.max(F.when(F.col("weak") == 1, T.stripped(F.substring("text", 1, V.EVIDENCE_CHARS)))).alias("evidence"), weakest("why").alias("rationales"), best,

@@ -52,9 +52,9 @@ def with_fallback(rows: DataFrame) -> DataFrame:
 def title_by_size(words: DataFrame) -> DataFrame:
     """doc_id, title: the words nearly as large as the largest of the cover (size 14 or more), in order (in title case if all are capitals); else that word."""
     rows = words.filter((F.col("page_idx") < 3) & (F.length("text") >= 2) & F.col("text").rlike(r"^[\x00-\x7F]+$"))
-    best = rows.groupBy("doc_id").agg(F.max("size").alias("largest"), F.max_by("text", F.struct("size", -F.col("page_idx"), -F.col("word_seq"))).alias("single")).filter("largest >= 14")
+    best = rows.groupBy("doc_id").agg(F.max("size").alias("largest"), F.max_by("text", F.struct("size", -F.col("page_idx"), -F.col("doctop"), -F.col("word_seq"))).alias("single")).filter("largest >= 14")
     large = rows.join(best, "doc_id").filter(F.col("size") >= 0.9 * F.col("largest"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "word_seq", "text"))), lambda w: w["text"]), " ")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "doctop", "word_seq", "text"))), lambda w: w["text"]), " ")
     out = large.groupBy("doc_id").agg(joined.alias("t"), F.first("single").alias("single"), F.count("*").alias("n"))
     best = F.when(F.col("n").between(2, 20), F.col("t")).otherwise(F.col("single"))
     shouted = (best == F.upper(best)) & (best != F.lower(best)) & (F.col("n").between(2, 20))

@@ -5,16 +5,15 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import values as V
 from tessella.operators import aggregate, blocks, errors, scoring
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed in spark.checkpoint.dir. Where that is unset, a local session uses a folder of its warehouse."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: that of checkpoints, from spark.checkpoint.dir. Where that is unset, a local session uses a folder of its warehouse."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -23,6 +22,12 @@ def kept(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints-{uuid.uuid4().hex}"
         sc.setCheckpointDir(at)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

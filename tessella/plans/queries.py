@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from tessella.operators import metadata as M
 from tessella.operators import scoring as S
 from tessella.plans import cascade as C
 from tessella.plans import standins as D
+from tessella.plans.evaluation import shared_folder
+from tessella.streaming import scoring as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -136,34 +139,61 @@ def g02_round_half_even(spark, sf):
     return D.docs(spark, sf).select("doc_id", py_round(F.coalesce(F.length("text"), F.lit(0)) / 8.0).alias("eighths"), py_round(F.coalesce(F.length("text"), F.lit(0)) / 16.0, 1).alias("sixteenths"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'undergraduate_introductory' WHEN 1 THEN '' WHEN 2 THEN 'graduate' ELSE 'advanced' END AS level FROM documents")
+def texts(spark, sf):
+    """doc_id, t (never null), ws: the runs of letters of each text."""
+    rows = D.docs(spark, sf).select("doc_id", "source", T.text_of("text").alias("t"))
+    return rows.withColumn("ws", F.filter(F.split(F.regexp_replace("t", "[^A-Za-z]+", " "), " "), lambda w: w != ""))
+
+
+TEXTS = "tx AS (SELECT doc_id, source, coalesce(text, '') AS t, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM documents)"
+
+
+def word(n: int):
+    return F.coalesce(F.get("ws", F.lit(n - 1)), F.lit("Word"))
+
+
+def sql_word(n: int) -> str:
+    return f"coalesce(ws[{n}], 'Word')"
+
+
+@query("WITH " + TEXTS + ", l AS (SELECT doc_id, [" + ", ".join(f"'{x}'" for x in V.LEVELS) + f"][len(t) % 7 + 1] AS base, lower({sql_word(1)}) AS w FROM tx) SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN base WHEN list_contains([" + ", ".join(f"'{x}'" for x in V.LEVELS) + "], w) THEN w ELSE '' END AS level FROM l")
 def p20_level(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, (" Undergraduate-Introductory", "beginner", "GRADUATE ", "advanced"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return D.docs(spark, sf).select("doc_id", T.level(raw).alias("level"))
+    base = F.element_at(F.array(*map(F.lit, V.LEVELS)), (F.length("t") % 7 + 1).cast("int"))
+    raw = F.when(F.col("doc_id") % 4 == 0, F.upper(F.translate(base, "_", " "))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("  "), F.translate(base, "_", "-"), F.lit("\n"))).when(F.col("doc_id") % 4 == 2, base).otherwise(word(1))
+    return texts(spark, sf).select("doc_id", T.level(raw).alias("level"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 9 > 6 THEN '' ELSE array_to_string(list_transform(range(doc_id % 9), lambda i: 'Name'), ' ') END AS name FROM documents")
+@query("WITH " + TEXTS + " SELECT doc_id, CASE WHEN len(ws[:len(t) % 10]) > 6 THEN '' ELSE array_to_string(ws[:len(t) % 10], ' ') END AS name FROM tx")
 def p21_short_name(spark, sf):
-    raw = F.array_join(F.array_repeat(F.lit("Name"), (F.col("doc_id") % 9).cast("int")), " ")
-    return D.docs(spark, sf).select("doc_id", T.short_name(raw).alias("name"))
+    return texts(spark, sf).select("doc_id", T.short_name(F.array_join(F.slice("ws", F.lit(1), F.length("t") % 10), " ")).alias("name"))
+
 
+ROMAN_FROM, ROMAN_TO = "abcdefghijklmnopqrstuvwxyz", "ivxlcdmivxlcdmivxlcdmivxlc"
 
-@query("SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN 4 WHEN 1 THEN 17 WHEN 2 THEN 1994 WHEN 3 THEN 23 ELSE -1 END AS INTEGER) AS page FROM documents")
+
+@query("WITH " + D.LINES + f""", r AS (SELECT doc_id, i, trim(CASE WHEN i % 5 = 0 THEN CAST(len(line) AS VARCHAR) ELSE translate(lower(substr(line, 1, 5)), '{ROMAN_FROM}', '{ROMAN_TO}') END) AS raw FROM ln),
+d AS (SELECT *, list_transform(string_split(raw, ''), lambda x: CASE x WHEN 'i' THEN 1 WHEN 'v' THEN 5 WHEN 'x' THEN 10 WHEN 'l' THEN 50 WHEN 'c' THEN 100 WHEN 'd' THEN 500 WHEN 'm' THEN 1000 ELSE 0 END) AS ds FROM r),
+n AS (SELECT *, list_sum(list_transform(range(1, len(ds) + 1), lambda k: CASE WHEN k < len(ds) AND ds[k] < ds[k + 1] THEN -ds[k] ELSE ds[k] END)) AS total FROM d)
+SELECT doc_id, i, CAST(CASE WHEN regexp_full_match(raw, '[0-9]+') THEN CAST(raw AS INTEGER) WHEN regexp_full_match(raw, '[ivxlcdm]+') AND total > 0 THEN total ELSE -1 END AS INTEGER) AS page FROM n""")
 def p22_roman_pages(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, ("iv", "XVII", "mcmxciv", "23", "abc"))), (F.col("doc_id") % 5 + 1).cast("int"))
-    return D.docs(spark, sf).select("doc_id", F.coalesce(T.roman(raw), F.lit(-1)).alias("page"))
+    raw = F.when(F.col("i") % 5 == 0, F.length("line").cast("string")).otherwise(F.translate(F.lower(F.substring("line", 1, 5)), ROMAN_FROM, ROMAN_TO))
+    return D.lines(spark, sf).select("doc_id", "i", F.coalesce(T.roman(raw), F.lit(-1)).alias("page"))
 
 
-@query("SELECT doc_id, CAST(CASE doc_id % 4 WHEN 0 THEN 4 WHEN 1 THEN 9 WHEN 2 THEN 12 ELSE -1 END AS INTEGER) AS unit FROM documents")
+@query("WITH " + D.LINES + ", r AS (SELECT doc_id, i, CASE WHEN i % 4 = 0 THEN CAST(len(line) AS VARCHAR) ELSE translate(lower(substr(line, 1, 2 + CAST(i % 2 AS INTEGER))), 'abcdefghijklmnopqrstuvwxyz', 'ivxivxivxivxivxivxivxivxiv') END AS raw FROM ln) SELECT doc_id, i, CAST(CASE upper(raw) "
+       + " ".join(f"WHEN '{r}' THEN {n}" for r, n in V.ROMAN_UNITS.items()) + " ELSE coalesce(CASE WHEN regexp_full_match(raw, '[0-9]+') THEN CAST(raw AS INTEGER) END, -1) END AS INTEGER) AS unit FROM r")
 def p23_unit_numbers(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, ("iv", "IX", "12", "XL"))), (F.col("doc_id") % 4 + 1).cast("int"))
-    return D.docs(spark, sf).select("doc_id", F.coalesce(T.unit_number(raw), F.lit(-1)).alias("unit"))
+    some = F.expr("substring(line, 1, 2 + CAST(i % 2 AS INT))")
+    raw = F.when(F.col("i") % 4 == 0, F.length("line").cast("string")).otherwise(F.translate(F.lower(some), ROMAN_FROM, "ivxivxivxivxivxivxivxivxiv"))
+    return D.lines(spark, sf).select("doc_id", "i", F.coalesce(T.unit_number(raw), F.lit(-1)).alias("unit"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Signals Number' ELSE 'Data Structures' END AS title FROM documents")
+@query("WITH " + TEXTS + f", r AS (SELECT doc_id, '[CSE-' || (100 + len(t) % 900) || '] ' || {sql_word(1)} || ' ' || {sql_word(2)} || CASE doc_id % 3 WHEN 0 THEN ' - Lecture Notes' WHEN 1 THEN ' | notes' ELSE ' [ ]' END AS raw FROM tx),"
+       + f" c AS (SELECT doc_id, trim(regexp_replace(trim(regexp_replace(trim(regexp_replace(raw, '{V.COURSE_CODE}', ' ', 'g')), '{V.TITLE_LABEL}', '', 'g')), '\\[\\s*\\]', '', 'g')) AS t FROM r) SELECT doc_id, CASE WHEN len(t) >= 3 THEN t ELSE '' END AS title FROM c".replace("\\\\", "\\"))
 def p24_clean_title(spark, sf):
-    raw = F.when(F.col("doc_id") % 2 == 0, "[CSE-2101] Signals Number - Lecture Notes").otherwise("Data Structures - notes")
-    return D.docs(spark, sf).select("doc_id", T.clean_title(raw).alias("title"))
+    label = F.when(F.col("doc_id") % 3 == 0, " - Lecture Notes").when(F.col("doc_id") % 3 == 1, " | notes").otherwise(" [ ]")
+    raw = F.concat(F.lit("[CSE-"), (100 + F.length("t") % 900).cast("string"), F.lit("] "), word(1), F.lit(" "), word(2), label)
+    return texts(spark, sf).select("doc_id", T.clean_title(raw).alias("title"))
 
 
 @query(r"SELECT doc_id, coalesce(list_max(regexp_extract_all(substr('1999 ' || text || ' 2015', 1, 2000), '\b(20[0-2]\d|19[89]\d)\b', 1)), '') AS year, '978-0-306-40615-7' AS isbn FROM documents")
@@ -177,10 +207,20 @@ def p26_truncate_by_type(spark, sf):
     return D.docs(spark, sf).select("doc_id", T.by_type("text", F.when(F.col("doc_id") % 2 == 0, "preface").otherwise("summary")).alias("text"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'None specified' WHEN 1 THEN 'a, b' ELSE 'a, b, ' || source END AS text FROM documents")
+@query("WITH " + TEXTS + ", l AS (SELECT doc_id, list_concat(CASE WHEN doc_id % 3 <> 0 THEN ws[:2] ELSE [] END, CASE WHEN doc_id % 2 = 0 THEN ws[3:3] ELSE [] END) AS xs FROM tx) SELECT doc_id, CASE WHEN len(xs) = 0 THEN 'None specified' ELSE array_to_string(xs, ', ') END AS text FROM l")
 def p27_union_text(spark, sf):
-    stated = F.when(F.col("doc_id") % 3 != 0, F.array(F.lit("a"), F.lit("b")))
-    return D.docs(spark, sf).select("doc_id", T.union_text(stated, F.when(F.col("doc_id") % 3 == 2, F.array("source"))).alias("text"))
+    stated, inferred = F.when(F.col("doc_id") % 3 != 0, F.slice("ws", 1, 2)), F.when(F.col("doc_id") % 2 == 0, F.slice("ws", 3, 1))
+    return texts(spark, sf).select("doc_id", T.union_text(stated, inferred).alias("text"))
+
+
+CELLS = "b AS (SELECT doc_id, array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: array_to_string(list_transform(string_split(l, ' '), lambda w: trim(w)), ' | ')), chr(10)) AS body FROM documents), w AS (SELECT *, '[TABLE:' || chr(10) || body || chr(10) || ']' AS whole FROM b)"
+
+
+@query("WITH " + CELLS + " SELECT doc_id, CASE WHEN body = '' THEN '[TABLE]' ELSE '[TABLE:' || chr(10) || substr(body, 1, 4000) || chr(10) || ']' END AS early, CASE WHEN body = '' THEN '[TABLE]' WHEN len(whole) > 4000 THEN substr(whole, 1, 4000) || chr(10) || '...]' ELSE whole END AS late FROM w")
+def p11_table_truncation(spark, sf):
+    """Texts as tables, a line a row; long ones are cut, in two ways."""
+    cells = F.transform(F.split(T.text_of("text"), "\n"), lambda line: F.split(line, " "))
+    return D.docs(spark, sf).select("doc_id", T.table_text(cells, 1).alias("early"), T.table_text(cells, 3).alias("late"))
 
 
 # ---- lines and blocks
@@ -191,6 +231,14 @@ def a01_lines_from_words(spark, sf):
     return L.lines_from_words(D.words(spark, sf))
 
 
+@query("WITH " + D.WORDS + " SELECT doc_id, page_idx, doctop AS y_key, string_agg(text, ' ' ORDER BY x0, w) AS text, max(size) AS max_size, bool_or(fontname = 'CourierNew') AS is_code, bool_or(fontname = 'Times-Bold') AS is_bold FROM wd GROUP BY doc_id, page_idx, doctop")
+def sql_course_lines(spark, sf):
+    """The lines of words by a table function in plain SQL text."""
+    Q.register(spark)
+    D.words(spark, sf).createOrReplaceTempView("course_words")
+    return spark.sql("SELECT * FROM course_lines(TABLE(course_words) PARTITION BY (doc_id, page_idx) ORDER BY (x0, word_seq))")
+
+
 @query("WITH " + D.WORDS + r", o AS (SELECT * FROM wd WHERE NOT (regexp_full_match(text, '\d+') AND size >= 11)) SELECT doc_id, page_idx, count(*) AS n FROM (SELECT DISTINCT doc_id, page_idx, doctop FROM o) GROUP BY doc_id, page_idx")
 def p07_oversized_digits(spark, sf):
     return L.lines_from_words(D.words(spark, sf), F.lit(11.0)).groupBy("doc_id", "page_idx").agg(F.count("*").alias("n"))
@@ -359,12 +407,12 @@ def chunked(limit: int) -> str:
     """SQL of cb (doc_id, block_idx, chunk_idx, heading, text) from mb, whose texts are single paragraphs where they are over the limit: sentences are packed in order, long ones cut."""
     return rf"""lg AS (SELECT doc_id, block_idx, heading, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS ss FROM mb WHERE len(regexp_extract_all(text, '\S+')) > {limit}),
 sn AS (SELECT doc_id, block_idx, generate_subscripts(ss, 1) AS j, unnest(ss) AS s FROM lg), sw AS (SELECT *, regexp_extract_all(s, '\S+') AS ws FROM sn),
-pk AS (SELECT doc_id, block_idx, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS w, false AS held, CAST(0 AS BIGINT) AS at FROM lg
-    UNION ALL SELECT doc_id, block_idx, j, CASE WHEN n > {limit} THEN at + (n + {limit - 1}) // {limit} ELSE at END, CASE WHEN n > {limit} THEN 0 WHEN joins THEN w + n + 1 ELSE n END, n <= {limit}, at
-    FROM (SELECT sw.doc_id, sw.block_idx, sw.j, len(ws) AS n, w, held AND len(ws) <= {limit} AND w + len(ws) + 1 <= {limit} AS joins, CASE WHEN held AND NOT (len(ws) <= {limit} AND w + len(ws) + 1 <= {limit}) THEN k + 1 ELSE k END AS at
+pk AS (SELECT doc_id, block_idx, CAST(0 AS BIGINT) AS j, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS w, false AS held, CAST(0 AS BIGINT) AS pos FROM lg
+    UNION ALL SELECT doc_id, block_idx, j, CASE WHEN n > {limit} THEN pos + (n + {limit - 1}) // {limit} ELSE pos END, CASE WHEN n > {limit} THEN 0 WHEN joins THEN w + n + 1 ELSE n END, n <= {limit}, pos
+    FROM (SELECT sw.doc_id, sw.block_idx, sw.j, len(ws) AS n, w, held AND len(ws) <= {limit} AND w + len(ws) + 1 <= {limit} AS joins, CASE WHEN held AND NOT (len(ws) <= {limit} AND w + len(ws) + 1 <= {limit}) THEN k + 1 ELSE k END AS pos
         FROM pk JOIN sw ON sw.doc_id = pk.doc_id AND sw.block_idx = pk.block_idx AND sw.j = pk.j + 1)),
-pc0 AS (SELECT sw.doc_id, sw.block_idx, sw.j, 0 AS piece, pk.at AS chunk_idx, s AS t FROM pk JOIN sw USING (doc_id, block_idx, j) WHERE len(ws) <= {limit}
-    UNION ALL SELECT sw.doc_id, sw.block_idx, sw.j, q, pk.at + q, array_to_string(ws[q * {limit} + 1:(q + 1) * {limit}], ' ') FROM pk JOIN sw USING (doc_id, block_idx, j), LATERAL (SELECT unnest(range(0, (len(ws) + {limit - 1}) // {limit})) AS q) WHERE len(ws) > {limit}),
+pc0 AS (SELECT sw.doc_id, sw.block_idx, sw.j, 0 AS piece, pk.pos AS chunk_idx, s AS t FROM pk JOIN sw USING (doc_id, block_idx, j) WHERE len(ws) <= {limit}
+    UNION ALL SELECT sw.doc_id, sw.block_idx, sw.j, q, pk.pos + q, array_to_string(ws[q * {limit} + 1:(q + 1) * {limit}], ' ') FROM pk JOIN sw USING (doc_id, block_idx, j), LATERAL (SELECT unnest(range(0, (len(ws) + {limit - 1}) // {limit})) AS q) WHERE len(ws) > {limit}),
 cb AS (SELECT doc_id, block_idx, CAST(chunk_idx AS INTEGER) AS chunk_idx, heading, {STRIP.format("string_agg(t, ' ' ORDER BY j, piece)")} AS text FROM pc0 JOIN lg USING (doc_id, block_idx) GROUP BY doc_id, block_idx, chunk_idx, heading
     UNION ALL SELECT doc_id, block_idx, 0, heading, text FROM mb WHERE len(regexp_extract_all(text, '\S+')) <= {limit})"""
 
@@ -519,10 +567,17 @@ def p28_p29_parse_responses(spark, sf):
     return S.parse_responses(responses(spark, sf)).select("doc_id", "segment_id", "scores.goal_focus").na.fill(-1)
 
 
-@query("SELECT doc_id, CAST(CASE doc_id % 3 WHEN 0 THEN 7.5 WHEN 1 THEN 4.0 ELSE 0.0 END AS DOUBLE) AS overall_score FROM documents")
+@query("WITH " + TEXTS + ", r AS (SELECT doc_id, len(t) % 11 AS a, (len(t) // 11) % 11 AS b FROM tx) SELECT doc_id, CAST(CASE WHEN doc_id % 7 = 6 THEN '0' ELSE printf('%.2f', (a + b) / 2.0::DOUBLE) END AS DOUBLE) AS overall_score, CASE WHEN doc_id % 7 IN (1, 2) THEN 'why ' || a ELSE '' END AS why FROM r")
 def p30_g06_course_response(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, ('```json\n{"scores": {"a": 7, "b": "8"}}\n```', '[{"result": {"rubric_scores": [{"id": "a", "score": 3}, {"id": "b", "score": 5}]}}]', "not json"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    return S.parse_course_response(D.docs(spark, sf).select("doc_id", raw.alias("raw"))).select("doc_id", "overall_score")
+    """Two scores a course, in each shape that an answer comes in."""
+    a, b = (F.length("t") % 11).cast("string"), (F.floor(F.length("t") / 11) % 11).cast("string")
+    say = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+    plain = say('{"scores": {"x": ', a, ', "y": "', b, '"}}')
+    listed = say('{"rubric_scores": [{"id": "x", "score": ', a, ', "rationale": "why ', a, '"}, {"id": "y", "score": ', b, "}]}")
+    shapes = [say("```json\n", plain, "\n```"), say("[", listed, "]"), listed, say('{"evaluation": ', plain, ', "n": 1}'), say('{"own": ', plain, ', "n": [1]}'), plain, F.lit("not json")]
+    raw = F.element_at(F.array(*shapes), (F.col("doc_id") % 7 + 1).cast("int"))
+    out = S.parse_course_response(texts(spark, sf).select("doc_id", raw.alias("raw")))
+    return out.select("doc_id", "overall_score", F.coalesce(F.col("reasoning")["x_rationale"], F.lit("")).alias("why"))
 
 
 @query("WITH " + D.EVALUATED + " SELECT doc_id, segment_id, coalesce('**' || nullif(heading, '') || '**', 'Module ' || segment_id) || ': ' || summary || ' [' || " + " || ', ' || ".join(f"'{d}=' || {d}" for d in V.MODULE_DIMS) + " || ']' AS line FROM ev")
@@ -530,6 +585,67 @@ def p38_score_lines(spark, sf):
     return G.score_lines(D.evaluated(spark, sf))
 
 
+def course_systems(spark, sf):
+    rows = D.docs(spark, sf).select("doc_id", F.col("source").alias("title"), F.when(F.col("doc_id") % 3 == 0, F.array("source", F.substring("text", 1, 20))).alias("learning_outcomes_stated"))
+    return S.system_prompts(M.conformed(rows), "Aims: 0 to 10", "Score them.").withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+SYSTEMS = """sy AS (SELECT doc_id, 'You review parts of a course. About the course, for reference only:' || chr(10) || 'Title: ' || source || chr(10) || 'Audience: ' || chr(10) || 'Learning outcomes: '
+    || CASE WHEN doc_id % 3 = 0 THEN source || ', ' || substr(text, 1, 20) ELSE 'None specified' END || chr(10) || chr(10) || 'Rubrics:' || chr(10) || 'Aims: 0 to 10' || chr(10) || chr(10) || 'Score them.' AS system FROM documents)"""
+TURNS = MATCHED + """, b AS (SELECT *, (segment_id - 1) // 5 AS batch FROM m), us AS (SELECT doc_id, batch, string_agg('--- SEGMENT ID: ' || segment_id || ' ---' || chr(10) || coalesce('[Previous segment covered: ' || p || ']' || chr(10), '') || text, chr(10) || chr(10) ORDER BY segment_id) AS u
+    FROM (SELECT *, lag(segment_id) OVER (PARTITION BY doc_id, batch ORDER BY segment_id) AS p FROM b WHERE segment_type = 'instructional') GROUP BY doc_id, batch),
+an AS (SELECT DISTINCT doc_id, batch FROM b WHERE segment_type = 'instructional' AND NOT incomplete),
+tu AS (SELECT us.*, coalesce(bool_and(an.batch IS NOT NULL) OVER (PARTITION BY us.doc_id ORDER BY us.batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS turn FROM us LEFT JOIN an ON an.doc_id = us.doc_id AND an.batch = us.batch),
+na AS (SELECT tu.doc_id, tu.batch, list('s' || segment_id ORDER BY segment_id) AS xs FROM tu JOIN b ON b.doc_id = tu.doc_id AND b.batch < tu.batch AND ok GROUP BY tu.doc_id, tu.batch),
+nt AS (SELECT doc_id, batch, array_to_string(xs[greatest(1, len(xs) - 4):], ' | ') AS t FROM na), """ + SYSTEMS
+
+
+def requests(spark, sf):
+    return S.batch_requests(D.segments(spark, sf), course_systems(spark, sf))
+
+
+@query("WITH " + TURNS + " SELECT doc_id, CAST(batch AS INTEGER) AS batch, system || CASE WHEN t IS NULL THEN '' ELSE chr(10) || chr(10) || 'The course so far: ' || CASE WHEN len(t) > 500 THEN substr(t, 1, 500) || '...' ELSE t END || chr(10) || 'Say so where a segment only repeats this.' END || chr(10) || chr(10) || u AS prompt FROM tu LEFT JOIN nt USING (doc_id, batch) JOIN sy USING (doc_id) WHERE turn")
+def x01_prompts_in_turn(spark, sf):
+    """Recorded answers as they arrive, by keyed state: a request for each batch whose turn comes."""
+    at = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    requests(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string")).write.parquet(f"{at}/requests")
+    answers = responses(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("ord").alias("batch"), "raw", F.lit(None).cast("string").alias("error"))
+    answers.write.parquet(f"{at}/responses")
+    live.ask(spark, *(f"{at}/{x}" for x in ("requests", "responses", "prompts", "state"))).awaitTermination()
+    found = spark.read.schema("doc_id string, batch int, prompt string").parquet(f"{at}/prompts")
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), "batch", "prompt")
+
+
+def contract_responses(spark, sf):
+    """An evaluation a response; some break rules."""
+    ev = D.evaluated(spark, sf).filter("segment_type = 'instructional'")
+    i = F.col("segment_id")
+
+    def criteria(d: str) -> str:
+        own = F.col(f"scores.{d}")
+        at = [F.greatest(F.lit(0), F.least(F.lit(2), own - 2 * k)) for k in range(5)]
+        if d == "goal_focus":
+            at[2] = F.when(i % 7 == 0, 3).otherwise(at[2])
+        return F.struct(*(c.alias(f"c{k}") for k, c in enumerate(at, 1))).alias(d)
+
+    scores = F.struct(*((F.col(f"scores.{d}") + F.when((i % 11 == 0) & F.lit(d == "text_readability"), 1).otherwise(0)).alias(d) for d in V.MODULE_DIMS))
+    item = F.struct(F.when(i % 13 != 0, i).alias("segment_id"), scores.alias("scores"), F.struct(*(criteria(d) for d in V.MODULE_DIMS)).alias("criteria_scores"), F.when(i % 5 != 0, F.struct(F.lit("x").alias("goal_focus_rationale"))).alias("reasoning"))
+    raw = F.when(i % 17 == 0, "not json").otherwise(F.concat(F.lit('{"evaluations": ['), F.to_json(item), F.lit("]}")))
+    return ev.select("doc_id", i.alias("ord"), raw.alias("raw"))
+
+
+@query("WITH " + D.EVALUATED + """, r AS (SELECT *, segment_id % 17 = 0 AS bad FROM ev WHERE segment_type = 'instructional'), x AS (
+SELECT doc_id, segment_id, 'no evaluations' AS rule FROM r WHERE bad
+UNION ALL SELECT doc_id, segment_id, 'segment_id' FROM r WHERE NOT bad AND segment_id % 13 = 0
+UNION ALL SELECT doc_id, segment_id, 'reasoning' FROM r WHERE NOT bad AND segment_id % 5 = 0
+UNION ALL SELECT doc_id, segment_id, 'criteria.goal_focus' FROM r WHERE NOT bad AND segment_id % 7 = 0
+UNION ALL SELECT doc_id, segment_id, 'sum.text_readability' FROM r WHERE NOT bad AND segment_id % 11 = 0
+UNION ALL SELECT doc_id, segment_id, 'scores.text_readability' FROM r WHERE NOT bad AND segment_id % 11 = 0 AND text_readability = 10)
+SELECT doc_id, segment_id AS ord, CASE WHEN rule = 'no evaluations' OR segment_id % 13 = 0 THEN -1 ELSE segment_id END AS segment_id, rule FROM x""")
+def p37_contract_violations(spark, sf):
+    return S.violations(contract_responses(spark, sf)).select("doc_id", "ord", F.coalesce("segment_id", F.lit(-1)).alias("segment_id"), "rule")
+
+
 # ---- aggregation
 
 #: Sums in the order of segments, rounded by the exact binary value, as Python rounds.
@@ -567,14 +683,23 @@ def g09_w08_rationale_digests(spark, sf):
 RANKED = "rk AS (SELECT *, (" + " + ".join(V.MODULE_DIMS) + ") / 5.0 AS mean FROM ev WHERE segment_type = 'instructional' AND summary <> '')"
 
 
-@query("WITH " + D.EVALUATED + ", " + RANKED + f" SELECT doc_id, arg_min(segment_id, mean * 100000 + segment_id) AS weakest_id, substr({STRIP.format('arg_min(text, mean * 100000 + segment_id)')}, 1, 600) AS evidence, array_to_string(list(segment_id ORDER BY mean DESC, segment_id)[:3], ',') AS strongest FROM rk GROUP BY doc_id")
+@query("WITH " + D.EVALUATED + ", " + RANKED + f" SELECT doc_id, arg_min(segment_id, mean * 100000 + segment_id) AS weakest_id, {STRIP.format('substr(arg_min(text, mean * 100000 + segment_id), 1, 600)')} AS evidence, array_to_string(list(segment_id ORDER BY mean DESC, segment_id)[:3], ',') AS strongest FROM rk GROUP BY doc_id")
 def g10_g12_t03_j09_p39_course_digest(spark, sf):
     return G.course_digest(D.evaluated(spark, sf)).select("doc_id", "weakest_id", "evidence", F.array_join(F.transform("strongest_ids", lambda x: x.cast("string")), ",").alias("strongest"))
 
 
-@query("WITH " + D.EVALUATED + ", " + RANKED + " SELECT doc_id, round(avg(mean), 6) AS mean FROM rk GROUP BY doc_id")
+@query("WITH " + D.EVALUATED + ", " + RANKED + " SELECT doc_id, printf('%.1f', CAST(sum(" + " + ".join(V.MODULE_DIMS) + ") AS DOUBLE) / (5 * count(*))) AS mean, CAST(count(*) AS BIGINT) AS summaries FROM rk GROUP BY doc_id")
 def g11_mean_of_means(spark, sf):
-    return G.ranked(D.evaluated(spark, sf)).groupBy("doc_id").agg(F.round(F.avg("mean"), 6).alias("mean"))
+    return G.course_digest(D.evaluated(spark, sf)).select("doc_id", "mean", "summaries")
+
+
+WHY = " || ".join(f"CASE WHEN {d}_rationale <> '' THEN '{d}: ' || substr({d}_rationale, 1, 200) || chr(10) ELSE '' END" for d in V.MODULE_DIMS)
+
+
+@query("WITH " + D.EVALUATED + ", " + RANKED + f", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mean, segment_id) AS weak, row_number() OVER (PARTITION BY doc_id ORDER BY mean DESC, segment_id) AS strong, rtrim({WHY}, chr(10)) AS why FROM rk)"
+       + " SELECT doc_id, max(why) FILTER (weak = 1) AS rationales, string_agg('ID ' || segment_id || ' (' || coalesce(nullif(heading, ''), 'untitled') || '): avg ' || printf('%.1f', mean), chr(10) ORDER BY strong) FILTER (strong <= 3) AS strongest FROM r GROUP BY doc_id")
+def p39_weakest_rationales(spark, sf):
+    return G.course_digest(D.evaluated(spark, sf)).select("doc_id", "rationales", F.array_join("strongest", "\n").alias("strongest"))
 
 
 @query("WITH " + D.SEGMENTS + rf" SELECT doc_id, NOT bool_or(CASE WHEN segment_type <> 'instructional' THEN regexp_matches(text, '{_re(V.TOC_SIGNAL)}') OR regexp_matches(coalesce(heading, ''), '{_re(V.TOC_SIGNAL)}') ELSE regexp_matches(coalesce(heading, ''), '{_re(V.FIRST_CHAPTER)}') END) AS partial FROM sg GROUP BY doc_id")
@@ -602,33 +727,38 @@ def j05_t04_u03_similar_pairs(spark, sf):
 
 @query("WITH " + D.SEGMENTS + " SELECT doc_id, segment_id, text FROM sg WHERE segment_id <= 3")
 def s15_t05_segment_limit(spark, sf):
-    return D.segments(spark, sf).filter("segment_id <= 3").select("doc_id", "segment_id", "text")
+    return G.first_segments(D.segments(spark, sf), 3).select("doc_id", "segment_id", "text")
 
 
 # ---- metadata
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Second' ELSE 'First' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'b' ELSE 'a' END AS item, source FROM documents")
+@query("WITH " + TEXTS + f" SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 3 = 0 THEN {sql_word(2)} ELSE {sql_word(1)} END AS title, CASE WHEN doc_id % 2 = 0 THEN {sql_word(4)} ELSE {sql_word(3)} END AS item, source FROM tx")
 def j06_u04_merge_metadata(spark, sf):
-    rows = D.docs(spark, sf)
-    first = rows.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise("First").alias("title"), F.when(F.col("doc_id") % 2 == 1, F.array(F.lit("a"))).alias("learning_outcomes_stated"))
-    second = rows.select("doc_id", F.lit("Second").alias("title"), F.array(F.lit("b")).alias("learning_outcomes_stated"), "source")
+    rows = texts(spark, sf)
+    first = rows.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "").otherwise(word(1)).alias("title"), F.when(F.col("doc_id") % 2 == 1, F.array(word(3))).alias("learning_outcomes_stated"))
+    second = rows.select("doc_id", word(2).alias("title"), F.array(word(4)).alias("learning_outcomes_stated"), "source")
     return M.merged(first, second).select("doc_id", "title", F.get("learning_outcomes_stated", F.lit(0)).alias("item"), "source")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Own' ELSE 'File Title' END AS title, CASE WHEN doc_id % 3 = 0 THEN 'Ada Lovelace' ELSE '' END AS author FROM documents")
+@query("WITH " + TEXTS + f", p AS (SELECT doc_id, {sql_word(1)} || ' ' || {sql_word(2)} AS names, CASE doc_id % 3 WHEN 0 THEN {sql_word(1)} || ' ' || {sql_word(2)} WHEN 1 THEN 'Windows User' ELSE 'Acrobat ' || {sql_word(1)} END AS a FROM tx)"
+       + f" SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'Own' WHEN len(names) >= 3 THEN names ELSE '' END AS title, CASE WHEN regexp_matches(a, '[A-Z]') AND NOT regexp_matches(lower(a), '{V.BAD_AUTHOR}') AND NOT regexp_matches(lower(a), '{V.TOOL_AUTHOR}') THEN a ELSE '' END AS author FROM p")
 def j07_p19_file_properties(spark, sf):
-    rows = M.conformed(D.docs(spark, sf).select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Own").otherwise("").alias("title")))
-    props = D.docs(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("File Title - lecture notes").alias("p_title"), F.when(F.col("doc_id") % 3 == 0, "Ada Lovelace").otherwise("Windows User").alias("p_author"), F.lit("").alias("p_subject"), F.lit("x").alias("stem"))
-    return M.with_properties(rows, props).select("doc_id", "title", "author")
+    rows = texts(spark, sf)
+    own = M.conformed(rows.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "Own").otherwise("").alias("title")))
+    names = F.concat(word(1), F.lit(" "), word(2))
+    author = F.when(F.col("doc_id") % 3 == 0, names).when(F.col("doc_id") % 3 == 1, "Windows User").otherwise(F.concat(F.lit("Acrobat "), word(1)))
+    props = rows.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(names, F.lit(" - lecture notes")).alias("p_title"), author.alias("p_author"), F.lit("").alias("p_subject"), F.lit("x").alias("stem"))
+    return M.with_properties(own, props).select("doc_id", "title", "author")
 
 
-@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'T' || doc_id AS title, 'a b,c' AS items, CAST(CASE WHEN doc_id % 2 = 0 THEN 12 ELSE -1 END AS INTEGER) AS page FROM documents")
+@query("WITH " + TEXTS + f" SELECT CAST(doc_id AS VARCHAR) AS doc_id, {sql_word(1)} AS title, {sql_word(2)} || ' ' || {sql_word(3)} || ',' || {sql_word(4)} AS items, {sql_word(5)} AS entry, CAST(CASE WHEN doc_id % 2 = 0 THEN len(t) ELSE -1 END AS INTEGER) AS page FROM tx")
 def p31_p36_metadata_response(spark, sf):
-    page = F.when(F.col("doc_id") % 2 == 0, '"12"').otherwise("null")
-    raw = F.concat(F.lit('```json\n{"title": "T'), F.col("doc_id").cast("string"), F.lit('", "level": null, "prerequisites_stated": [" a\\nb ", "", "c"], "other": 1, "toc": [{"title": " One", "page_number": '), page, F.lit('}, {"title": ""}]}\n```'))
-    out = M.parse_response(D.docs(spark, sf).select("doc_id", raw.alias("raw")))
-    return out.select("doc_id", "title", F.array_join("prerequisites_stated", ",").alias("items"), F.coalesce(F.get("toc", F.lit(0))["page_number"], F.lit(-1)).alias("page"))
+    page = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('"'), F.length("t").cast("string"), F.lit('"'))).otherwise("null")
+    raw = F.concat(F.lit('```json\n{"title": "'), word(1), F.lit('", "level": null, "prerequisites_stated": [" '), word(2), F.lit("\\n"), word(3), F.lit(' ", "", "'), word(4), F.lit('"], "other": 1, "toc": [{"title": " '), word(5), F.lit('", "page_number": '), page, F.lit('}, {"title": ""}]}\n```'))
+    out = M.parse_response(texts(spark, sf).select("doc_id", raw.alias("raw")))
+    first = F.get("toc", F.lit(0))
+    return out.select("doc_id", "title", F.array_join("prerequisites_stated", ",").alias("items"), T.stripped(first["title"]).alias("entry"), F.coalesce(first["page_number"], F.lit(-1)).alias("page"))
 
 
 @query("WITH " + D.WORDS + ", c AS (SELECT doc_id, page_idx, w, text, size, doctop FROM wd WHERE page_idx < 3 AND len(text) >= 2 AND regexp_full_match(text, '[\\x00-\\x7F]+')) SELECT doc_id, max(size) AS top, count(*) AS n FROM c GROUP BY doc_id HAVING max(size) >= 14".replace("\\\\", "\\"))
@@ -637,15 +767,19 @@ def g13_title_words(spark, sf):
     return rows.groupBy("doc_id").agg(F.max("size").alias("top"), F.count("*").alias("n")).filter("top >= 14")
 
 
-@query()
+@query("WITH " + D.WORDS + r""", c AS (SELECT * FROM wd WHERE page_idx < 3 AND len(text) >= 2 AND regexp_full_match(text, '[\x00-\x7F]+')),
+t AS (SELECT doc_id, max(size) AS top, arg_max(text, size * 1000000000000 - page_idx * 1000000000 - doctop * 100000 - w) AS best FROM c GROUP BY doc_id HAVING max(size) >= 14),
+l AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_idx, doctop, w) AS title, count(*) AS n, any_value(best) AS best FROM c JOIN t USING (doc_id) WHERE size >= 0.9::DOUBLE * top GROUP BY doc_id),
+j AS (SELECT doc_id, n BETWEEN 2 AND 20 AS several, CASE WHEN n BETWEEN 2 AND 20 THEN title ELSE best END AS title FROM l)
+SELECT doc_id, CASE WHEN several AND title = upper(title) AND title <> lower(title) THEN array_to_string(list_transform(generate_series(1, len(title)), lambda k: CASE WHEN k > 1 AND regexp_matches(title[k - 1], '[\p{Lu}\p{Ll}\p{Lt}]') THEN lower(title[k]) ELSE upper(title[k]) END), '') ELSE title END AS title FROM j""")
 def g13_title_by_size(spark, sf):
     return M.title_by_size(D.words(spark, sf))
 
 
-@query("SELECT doc_id, CASE WHEN len(text) * 2 < 200 THEN 'long' ELSE 'own' END AS which FROM documents")
+@query(r"WITH " + TEXTS + r", a AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN t || ' and more' ELSE substr(t, 1, 5) END AS alt FROM tx), p AS (SELECT *, len(regexp_extract_all(t, '\S+')) < 2000 AND len(alt) > len(t) AS poor FROM a) SELECT doc_id, CASE WHEN poor THEN alt ELSE t END AS raw, CASE WHEN poor THEN substr(alt, 1, 3000) ELSE 'cover' END AS cover FROM p")
 def s05_text_fallback(spark, sf):
-    rows = D.docs(spark, sf).select("doc_id", F.lit("c").alias("cover"), F.when(F.length("text") * 2 < 200, "few words").otherwise(F.repeat(F.lit("w "), 2500)).alias("raw"), F.lit("longer text of the same pages").alias("alt"))
-    return M.with_fallback(rows).select("doc_id", F.when(F.col("raw") == F.col("alt"), "long").otherwise("own").alias("which"))
+    alt = F.when(F.col("doc_id") % 2 == 0, F.concat("t", F.lit(" and more"))).otherwise(F.substring("t", 1, 5))
+    return M.with_fallback(texts(spark, sf).select("doc_id", F.lit("cover").alias("cover"), F.col("t").alias("raw"), alt.alias("alt"))).select("doc_id", "raw", "cover")
 
 
 @query("WITH " + D.BLOCKS + " SELECT bl.doc_id, block_idx, coalesce(l.n, 0) AS labelled FROM bl LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id) l USING (doc_id)")

@@ -1,4 +1,4 @@
-"""Every query against its SQL on the smallest tables, and the entry."""
+"""Every query against its SQL, and the entry."""
 
 import os
 
@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from tessella import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
