@@ -12,6 +12,7 @@ import argparse
 import logging
 import os
 import sys
+import tomllib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +25,9 @@ from tessella.streaming import scoring as live
 
 
 def options(args: list[str] | None) -> argparse.Namespace:
+    """The options given, those of the preset, or the defaults, in this order."""
     parser = argparse.ArgumentParser(prog="tessella", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("--input", required=True)
+    parser.add_argument("--input", default="")
     parser.add_argument("--output", default="output")
     parser.add_argument("--config", default="", help="rubrics in YAML, for requests to a model")
     parser.add_argument("--limit", type=int, default=0, help="segments of each course; 0 for all")
@@ -34,7 +36,33 @@ def options(args: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--ai", default="", help="module:callable, or several with commas between, that fill what metadata lack")
     parser.add_argument("--parser", default="", help="module:callable that opens a PDF file")
     parser.add_argument("--metadata-only", action="store_true", help="write <source>_metadata.json and stop")
-    return parser.parse_args(args)
+    parser.add_argument("--preset", default="", help="a table of --presets: these options under other names, and settings of Spark under [NAME.spark]")
+    parser.add_argument("--presets", default="presets.toml")
+    first = parser.parse_args(args)
+    spark = {}
+    if first.preset:
+        with open(first.presets, "rb") as f:
+            found = tomllib.load(f)
+        if first.preset not in found:
+            parser.error(f"{first.presets} has no preset {first.preset}; it has {', '.join(sorted(found))}")
+        own = {k.replace("-", "_"): v for k, v in found[first.preset].items()}
+        spark = flat(own.pop("spark", {}))
+        if unknown := sorted(set(own) - set(vars(first))):
+            parser.error(f"preset {first.preset} has options that don't exist: {', '.join(unknown)}")
+        parser.set_defaults(**own)
+    given = parser.parse_args(args)
+    if not given.input:
+        parser.error("--input is missing")
+    given.spark = spark
+    return given
+
+
+def flat(settings: dict, before: str = "spark") -> dict[str, str]:
+    """Settings of Spark by their full names; a table of tables is a name with dots."""
+    out = {}
+    for k, v in settings.items():
+        out |= flat(v, f"{before}.{k}") if isinstance(v, dict) else {f"{before}.{k}": str(v).lower() if isinstance(v, bool) else str(v)}
+    return out
 
 
 def logger(folder: str) -> logging.Logger:
@@ -83,7 +111,7 @@ def main(args: list[str] | None = None) -> None:
     config = readers.EngineConfig(given.input, given.output, given.config or "rubrics.yaml", given.limit, given.model, given.metadata, bool(given.ai))
     os.makedirs(config.output, exist_ok=True)
     log = logger(config.output)
-    spark = SparkSession.builder.appName("tessella").getOrCreate()
+    spark = SparkSession.builder.appName("tessella").config(map=given.spark).getOrCreate()
     tables = Tables(spark, config.input)
     words, rows, failed = tables.get("words"), tables.get("blocks"), []
     outline = tables.get("outline")

@@ -20,6 +20,7 @@ from tessella.operators import scoring as S
 from tessella.plans import cascade as C
 from tessella.plans import standins as D
 from tessella.plans.evaluation import shared_folder
+from tessella.sources import sinks
 from tessella.streaming import scoring as live
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -730,6 +731,34 @@ def s15_t05_segment_limit(spark, sf):
     return G.first_segments(D.segments(spark, sf), 3).select("doc_id", "segment_id", "text")
 
 
+SIMILAR = r"""w AS (SELECT doc_id, segment_id, list_distinct(string_split(trim(regexp_replace(lower(summary), '\s+', ' ', 'g')), ' ')) AS ws FROM ev WHERE segment_type = 'instructional' AND summary <> ''),
+sp AS (SELECT a.doc_id, a.segment_id AS i, b.segment_id AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.segment_id < b.segment_id AND len(a.ws) > 3 AND len(b.ws) > 3 AND CAST(len(list_intersect(a.ws, b.ws)) AS DOUBLE) / least(len(a.ws), len(b.ws)) > 0.6 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY a.segment_id, b.segment_id) <= 5)"""
+COURSE = f"""{D.EVALUATED}, {RANKED}, {SIMILAR}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mean, segment_id) AS weak, row_number() OVER (PARTITION BY doc_id ORDER BY mean DESC, segment_id) AS strong, rtrim({WHY}, chr(10)) AS why, coalesce(nullif(heading, ''), 'untitled') AS name FROM rk),
+nt AS (SELECT doc_id, NOT bool_or(CASE WHEN segment_type <> 'instructional' THEN regexp_matches(text, '{_re(V.TOC_SIGNAL)}') OR regexp_matches(coalesce(heading, ''), '{_re(V.TOC_SIGNAL)}') ELSE regexp_matches(coalesce(heading, ''), '{_re(V.FIRST_CHAPTER)}') END) AS partial FROM sg GROUP BY doc_id),
+ar AS (SELECT doc_id, string_agg('### ' || coalesce(nullif(heading, ''), upper(segment_type)) || ' (ID ' || segment_id || ')' || chr(10) || CASE WHEN len(text) > 1500 THEN substr(text, 1, 1500) || chr(10) || '[... truncated for brevity ...]' ELSE text END, chr(10) || chr(10) ORDER BY segment_id) AS t FROM sg WHERE segment_type <> 'instructional' GROUP BY doc_id),
+mo AS (SELECT doc_id, string_agg(coalesce('**' || nullif(heading, '') || '**', 'Module ' || segment_id) || ': ' || summary || ' [' || {" || ', ' || ".join(f"'{d}=' || {d}" for d in V.MODULE_DIMS)} || ']', chr(10) ORDER BY segment_id) AS t, count(*) AS n, printf('%.1f', CAST(sum({" + ".join(V.MODULE_DIMS)}) AS DOUBLE) / (5 * count(*))) AS mean FROM rk GROUP BY doc_id),
+we AS (SELECT doc_id, max(segment_id || ' (' || name || '), avg ' || printf('%.1f', mean) || chr(10) || {STRIP.format("substr(text, 1, 600)")}) FILTER (weak = 1) AS t, max(why) FILTER (weak = 1) AS why, string_agg('ID ' || segment_id || ' (' || name || '): avg ' || printf('%.1f', mean), chr(10) ORDER BY strong) FILTER (strong <= 3) AS best FROM r GROUP BY doc_id),
+pa AS (SELECT doc_id, string_agg('Segments ' || i || ' and ' || j, '; ' ORDER BY i, j) AS t FROM sp GROUP BY doc_id)
+SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN partial THEN '{_re(G.PARTIAL)}' END, '## Around the modules' || chr(10) || ar.t, '## Modules' || chr(10) || mo.t, '## Mean' || chr(10) || 'of ' || mo.n || ' modules: ' || mo.mean || '/10',
+    '## Weakest module' || chr(10) || we.t, CASE WHEN we.why <> '' THEN '## Why' || chr(10) || we.why END, '## Strongest modules' || chr(10) || we.best, '## Repeated summaries' || chr(10) || pa.t) AS prompt
+FROM nt LEFT JOIN ar USING (doc_id) LEFT JOIN mo USING (doc_id) LEFT JOIN we USING (doc_id) LEFT JOIN pa USING (doc_id)"""
+
+
+@query("WITH " + COURSE)
+def p34_x02_course_prompts(spark, sf):
+    """The one request of each course."""
+    return G.course_prompts(D.evaluated(spark, sf), D.segments(spark, sf))
+
+
+@query("""WITH n AS (SELECT doc_id, regexp_extract(regexp_replace(coalesce(source, ''), '/+$', ''), '([^/]*)$', 1) AS last FROM documents), s AS (SELECT doc_id, regexp_replace(last, '(.)\\.[^.]+$', '\\1') AS st FROM n),
+t AS (SELECT doc_id, CASE WHEN st IN ('', 'Unknown') THEN 'course_evaluation' ELSE st END AS st FROM s), c AS (SELECT *, row_number() OVER (PARTITION BY lower(st) ORDER BY CAST(doc_id AS VARCHAR)) AS k FROM t),
+f AS (SELECT doc_id, k, CASE WHEN k = 1 THEN st ELSE st || '_' || k END AS st FROM c)
+SELECT doc_id, CASE WHEN k > 1 AND lower(st) IN (SELECT lower(st) FROM f WHERE k = 1) THEN st || '_' || doc_id ELSE st END || '_evaluation.json' AS name FROM f""".replace("\\\\", "\\"))
+def k01_document_names(spark, sf):
+    """The file of each document, by its source; no two are alike."""
+    return sinks.named(D.docs(spark, sf), F.col("source"), "evaluation", "course_evaluation").select("doc_id", "name")
+
+
 # ---- metadata
 
 

@@ -131,3 +131,15 @@ def test_from_files_to_documents(spark, tmp_path):
     (tmp_path / "empty").mkdir()
     cli.main(["--input", str(tmp_path / "empty"), "--output", str(tmp_path / "none")])
     assert "no PDF files" in (tmp_path / "none" / "evaluate.log").read_text()
+
+
+def test_presets_stand_between_given_options_and_defaults(tmp_path):
+    from tessella import __main__ as cli
+
+    (tmp_path / "p.toml").write_text('[night]\ninput = "a"\nlimit = 3\nmetadata-only = true\n[night.spark]\nsql.shuffle.partitions = 7\nui.enabled = false\n[odd]\nspeed = 1\n')
+    given = cli.options(["--presets", str(tmp_path / "p.toml"), "--preset", "night", "--limit", "5"])
+    assert (given.input, given.limit, given.output, given.metadata_only) == ("a", 5, "output", True)
+    assert given.spark == {"spark.sql.shuffle.partitions": "7", "spark.ui.enabled": "false"}
+    for bad in (["--preset", "odd"], ["--preset", "none"], []):
+        with pytest.raises(SystemExit):
+            cli.options(["--presets", str(tmp_path / "p.toml"), *bad])
