@@ -9,7 +9,10 @@ from .common import Tables
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """edges: a, b (long). Returns node, root: the least node of its component, for each node with an edge."""
+    """edges: a, b (long). Returns node, root: the least node of its component, for each node with an edge to another.
+
+    Loops, repeated edges and both directions of one count once; no edges give no rows. Edges may not hold nulls.
+    """
     state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     now = tables.write("stars0", edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before, step = state(now), 0

@@ -1,4 +1,5 @@
-"""The queries opN_<name>: each operator over its whole table with production parameters."""
+"""The queries opN_<name>: each operator over its whole table with production parameters. What becomes of nulls, empty and very long texts, ties and
+repeated rows stands with each operator; a query adds nothing to it."""
 
 from __future__ import annotations
 

@@ -191,6 +191,17 @@ def test_draw_equals_its_sql_on_texts_beyond_ascii(spark, docs):
 # ---- 13
 
 
+def test_scores_span_what_the_gains_tell(spark):
+    """The bounds of the histogram of scores hold for every hash and every gain."""
+    low, high = importance.noise(0), importance.noise((1 << 32) - 1)
+    assert low < 0 < high and high - low < 30_000
+    rng = random.Random(5)
+    assert all(low <= importance.noise(rng.randrange(1 << 32)) <= high for _ in range(20_000))
+    rows = [(i, " ".join(rng.choices(["a", "b", "c"], k=25))) for i in range(2000)]
+    got = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([("c c c d",)], "text string"), percent=100)
+    assert [r.rank for r in got.orderBy(F.desc("score"), "doc_id").collect()] == list(range(1, 2001))
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
