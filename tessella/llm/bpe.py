@@ -33,6 +33,8 @@ from .tokens import REMEMBERED, SLICE_BYTES, UnitEncoder, byte_letters
 PAIRS = 1 << 20
 #: Bytes of words that go together, and how many do.
 LONG, TOGETHER = 64, 50_000
+#: Bytes of texts in a slice.
+SLICE = 4 << 20
 NEVER = 1 << 62
 SHIFT = 24
 
@@ -401,7 +403,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for at, texts in slices(batch.column("text"), SLICE_BYTES):
+            for at, texts in slices(batch.column("text"), SLICE):
                 ids, counts = encoder(path, shared).encode(texts)
                 ends = np.cumsum(counts)
                 cells = [ids[b - n : b].tobytes() for n, b in zip(counts.tolist(), ends.tolist(), strict=True)]
