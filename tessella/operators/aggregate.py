@@ -183,6 +183,11 @@ def course_documents(metadata: DataFrame, evaluated: DataFrame, course: DataFram
     rows = rows.select("doc_id", "tree", gate.alias("gate"), F.transform("segments", lambda x: x["s"]).alias("segments"), meta.alias("meta"))
     own = metadata.select("doc_id", F.struct(*(c for c in metadata.columns if c != "doc_id")).alias("m"))
     rows = own.join(rows, "doc_id", "left").join(course.select("doc_id", F.struct("scores", "reasoning", "overall_score").alias("course")), "doc_id", "left")
+    rows = rows.withColumn("course", F.struct(
+        F.struct(*(F.coalesce(F.col(f"course.scores.{d}"), F.lit(0)).alias(d) for d in V.COURSE_DIMS)).alias("scores"),
+        F.struct(*(F.coalesce(F.col(f"course.reasoning.{d}_rationale"), F.lit("")).alias(f"{d}_rationale") for d in V.COURSE_DIMS)).alias("reasoning"),
+        F.coalesce("course.overall_score", F.lit(0.0)).alias("overall_score"),
+    ))
     document = F.struct(F.col("m").alias("course_metadata"), F.col("tree").alias("assessment"), F.col("gate").alias("module_gate"), F.col("course").alias("course_gate"), "segments", F.col("meta").alias("evaluation_meta"))
     return rows.select("doc_id", document.alias("document"))
 

@@ -122,6 +122,11 @@ def test_from_files_to_documents(spark, tmp_path):
     d = json.loads((tmp_path / "out" / "one_evaluation.json").read_text())
     assert list(d) == ["course_metadata", "assessment", "module_gate", "course_gate", "segments", "evaluation_meta"]
     assert d["module_gate"] == {**dict.fromkeys(V.MODULE_DIMS, 6.0), "overall_score": 6.0} and d["course_gate"]["overall_score"] == 7.0 and d["assessment"]["course_gate"]["overall_score"] == 7.0
+    raw = (tmp_path / "out" / "one_evaluation.json").read_text()
+    assert raw == json.dumps(d, indent=2, ensure_ascii=False)  # byte for byte, so are the names and their order
+    assert list(d["segments"][0]) == ["segment_id", "heading", "text", "segment_type", "scores", "reasoning", "criteria_scores", "summary", "incomplete"]
+    assert list(d["evaluation_meta"]) == ["model_used", "timestamp", "prompt_version", "total_segments", "instructional_segments_scored", "excluded_segments"]
+    assert list(d["assessment"]) == ["module_gate", "course_gate"] and list(d["course_gate"]) == ["scores", "reasoning", "overall_score"]
     assert [s["incomplete"] for s in d["segments"]] == [False] * len(d["segments"]) and d["evaluation_meta"]["prompt_version"] == "2.0"
     assert [tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out" / "errors.parquet")).orderBy("step").collect()] == [("bad", "outline"), ("bad", "words")]
     log = (tmp_path / "out" / "evaluate.log").read_text()
