@@ -80,5 +80,5 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 14))
     assert set(oracle_sql()) <= set(queries()) and vocabulary()
