@@ -612,7 +612,7 @@ def x01_prompts_in_turn(spark, sf):
     requests(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string")).write.parquet(f"{at}/requests")
     answers = responses(spark, sf).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("ord").alias("batch"), "raw", F.lit(None).cast("string").alias("error"))
     answers.write.parquet(f"{at}/responses")
-    live.ask(spark, *(f"{at}/{x}" for x in ("requests", "responses", "prompts", "state"))).awaitTermination()
+    live.ask(spark, *(f"{at}/{x}" for x in ("requests", "responses", "prompts", "state")), partitions=16).awaitTermination()
     found = spark.read.schema("doc_id string, batch int, prompt string").parquet(f"{at}/prompts")
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "batch", "prompt")
 

@@ -17,18 +17,19 @@ def stem(source: Column, default: str) -> Column:
 
 
 def named(rows: DataFrame, source: Column, suffix: str, default: str) -> DataFrame:
-    """rows (doc_id and others) with `name`: <stem>_<suffix>.json; where stems are alike but for case, the first in order of doc_id has it and the others a number behind the stem.
+    """rows (doc_id, each once, and others) with `name`: <stem>_<suffix>.json; where stems are alike but for case, the first in order of doc_id has it and the others a number behind the stem.
 
-    A number that makes the name of another stem yields to it: the names that courses have by themselves stay theirs.
+    A number that makes the name of another stem yields to it: the names that courses have by themselves stay theirs. Names are told apart
+    on doc_id and stem alone; what a row holds is only joined to its name.
     """
-    rows = rows.withColumn("stem", stem(source, default))
+    stems = rows.select("doc_id", stem(source, default).alias("stem"))
     alike = Window.partitionBy(F.lower("stem")).orderBy(F.col("doc_id").cast("string"))
-    rows = rows.withColumn("copy", F.row_number().over(alike))
-    taken = rows.filter("copy = 1").select(F.lower("stem").alias("taken")).distinct()
-    rows = rows.withColumn("stem", F.when(F.col("copy") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("copy").cast("string"))))
-    clash = rows.join(taken, (F.lower("stem") == F.col("taken")) & (F.col("copy") > 1), "left")
+    stems = stems.withColumn("copy", F.row_number().over(alike))
+    taken = stems.filter("copy = 1").select(F.lower("stem").alias("taken")).distinct()
+    stems = stems.withColumn("stem", F.when(F.col("copy") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("_"), F.col("copy").cast("string"))))
+    clash = stems.join(taken, (F.lower("stem") == F.col("taken")) & (F.col("copy") > 1), "left")
     name = F.when(F.col("taken").isNotNull(), F.concat("stem", F.lit("_"), F.col("doc_id").cast("string"))).otherwise(F.col("stem"))
-    return clash.withColumn("name", F.concat(name, F.lit(f"_{suffix}.json"))).drop("stem", "copy", "taken")
+    return rows.join(clash.select("doc_id", F.concat(name, F.lit(f"_{suffix}.json")).alias("name")), "doc_id")
 
 
 def as_json(documents: DataFrame) -> DataFrame:

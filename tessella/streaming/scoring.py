@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 from collections.abc import Callable, Iterator
 
@@ -82,18 +83,30 @@ def prompts_in_turn(requests: DataFrame, responses: DataFrame) -> DataFrame:
     return rows.select("doc_id", "batch", F.concat_ws("\n\n", S.with_narrative(F.col("system"), F.col("narrative")), "user").alias("prompt"))
 
 
-def ask(spark: SparkSession, requests: str, responses: str, prompts: str, checkpoint: str) -> StreamingQuery:
-    """Files of requests and responses that have arrived to files of prompts whose turn has come. Run again, it goes on from the checkpoint."""
-    before = spark.conf.get(PROVIDER[0], None)
-    spark.conf.set(*PROVIDER)
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Settings of a session that hold while a query is started, which keeps them."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def ask(spark: SparkSession, requests: str, responses: str, prompts: str, checkpoint: str, partitions: int = 0) -> StreamingQuery:
+    """Files of requests and responses that have arrived to files of prompts whose turn has come. Run again, it goes on from the checkpoint.
+
+    `partitions` of the state (0: spark.sql.shuffle.partitions) are fixed by the first run of a checkpoint.
+    """
+    with settings(spark, {PROVIDER[0]: PROVIDER[1]} | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})):
         rows = prompts_in_turn(spark.readStream.schema(REQUESTS).parquet(requests), spark.readStream.schema(RESPONSES).parquet(responses))
         return rows.writeStream.format("parquet").outputMode("append").option("path", prompts).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    finally:
-        if before is None:
-            spark.conf.unset(PROVIDER[0])
-        else:
-            spark.conf.set(PROVIDER[0], before)
 
 
 def score_in_turn(spark: SparkSession, requests: str, responses: str, prompts: str, checkpoint: str, call: Callable[[str], str], tries: int = 3) -> int:
