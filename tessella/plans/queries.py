@@ -284,6 +284,14 @@ def a04_table_placement(spark, sf):
     return L.page_text(L.with_tables(rows, tables))
 
 
+@query("WITH " + D.LINES + r", p AS (SELECT doc_id, 0 AS page_idx, CAST(i AS DOUBLE) AS y, line FROM ln UNION ALL SELECT DISTINCT doc_id, 0, 4.5, '[TABLE]' FROM ln) SELECT doc_id, page_idx, string_agg(line, chr(10) ORDER BY y) AS text FROM p WHERE NOT regexp_matches(trim(line), '^\d*$') GROUP BY doc_id, page_idx")
+def a04_table_in_place(spark, sf):
+    """A table at its own height among the lines."""
+    rows = D.lines(spark, sf).select("doc_id", F.lit(0).alias("page_idx"), F.col("i").cast("double").alias("y_key"), F.lit(1).alias("mark"), F.col("line").alias("text"))
+    tables = rows.select("doc_id", "page_idx").distinct().withColumn("y", F.lit(5.0)).withColumn("text", F.lit("[TABLE]"))
+    return L.page_text(L.with_tables(rows, tables, 3))
+
+
 @query("WITH " + D.LINES + ", h AS (SELECT doc_id, i, line, i % 4 = 2 AS head FROM ln), s AS (SELECT *, sum(CAST(head AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM h), g AS (SELECT doc_id, s, max(line) FILTER (head) AS heading, string_agg(line, chr(10) ORDER BY i) FILTER (NOT head) AS text, count(*) FILTER (NOT head) AS n FROM s GROUP BY doc_id, s) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INTEGER) AS block_idx, heading, text FROM g WHERE n > 0")
 def a06_header_blocks(spark, sf):
     return L.header_blocks(D.lines(spark, sf).select("doc_id", F.col("i").alias("ord"), F.col("line").alias("text"), (F.col("i") % 4 == 2).alias("is_header")))
@@ -617,6 +625,20 @@ def x01_prompts_in_turn(spark, sf):
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "batch", "prompt")
 
 
+def counted(prompt: str) -> str:
+    """Stands for a model: the length of a request, or a failure."""
+    if len(prompt) % 10 == 0:
+        raise RuntimeError(f"no answer to {len(prompt)} characters")
+    return f'[{{"n": {len(prompt)}}}]'
+
+
+@query("WITH " + D.SEGMENTS + ", i AS (SELECT *, (segment_id - 1) // 5 AS batch, lag(segment_id) OVER (PARTITION BY doc_id, (segment_id - 1) // 5 ORDER BY segment_id) AS p FROM sg WHERE segment_type = 'instructional'), q AS (SELECT doc_id, CAST(batch AS INTEGER) AS ord, len(string_agg('--- SEGMENT ID: ' || segment_id || ' ---' || chr(10) || coalesce('[Previous segment covered: ' || p || ']' || chr(10), '') || text, chr(10) || chr(10) ORDER BY segment_id)) AS n FROM i GROUP BY doc_id, batch)"
+       + " SELECT doc_id, ord, CASE WHEN n % 10 = 0 THEN '' ELSE '[{\"n\": ' || n || '}]' END AS raw, CASE WHEN n % 10 = 0 THEN 'RuntimeError: no answer to ' || n || ' characters' ELSE '' END AS error FROM q")
+def x01_x04_scored_batches(spark, sf):
+    """Every batch's answer, or why there is none."""
+    return S.score_prompts(S.batch_prompts(D.segments(spark, sf)), counted, 1).na.fill("")
+
+
 def contract_responses(spark, sf):
     """An evaluation a response; some break rules."""
     ev = D.evaluated(spark, sf).filter("segment_type = 'instructional'")
@@ -731,6 +753,11 @@ def s15_t05_segment_limit(spark, sf):
     return G.first_segments(D.segments(spark, sf), 3).select("doc_id", "segment_id", "text")
 
 
+@query("WITH " + D.WORDS + ", pt AS (SELECT doc_id, page_idx, string_agg(text, ' ' ORDER BY w, text) AS t FROM wd WHERE page_idx < 15 GROUP BY doc_id, page_idx) SELECT doc_id, string_agg(t, chr(10) ORDER BY page_idx) FILTER (page_idx < 3) AS cover, string_agg(t, chr(10) ORDER BY page_idx) AS raw FROM pt GROUP BY doc_id")
+def p40_cover_and_raw(spark, sf):
+    return M.cover_and_raw(D.words(spark, sf))
+
+
 SIMILAR = r"""w AS (SELECT doc_id, segment_id, list_distinct(string_split(trim(regexp_replace(lower(summary), '\s+', ' ', 'g')), ' ')) AS ws FROM ev WHERE segment_type = 'instructional' AND summary <> ''),
 sp AS (SELECT a.doc_id, a.segment_id AS i, b.segment_id AS j FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.segment_id < b.segment_id AND len(a.ws) > 3 AND len(b.ws) > 3 AND CAST(len(list_intersect(a.ws, b.ws)) AS DOUBLE) / least(len(a.ws), len(b.ws)) > 0.6 QUALIFY row_number() OVER (PARTITION BY a.doc_id ORDER BY a.segment_id, b.segment_id) <= 5)"""
 COURSE = f"""{D.EVALUATED}, {RANKED}, {SIMILAR}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY mean, segment_id) AS weak, row_number() OVER (PARTITION BY doc_id ORDER BY mean DESC, segment_id) AS strong, rtrim({WHY}, chr(10)) AS why, coalesce(nullif(heading, ''), 'untitled') AS name FROM rk),
