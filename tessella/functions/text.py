@@ -157,8 +157,10 @@ def roman(c: Column | str) -> Column:
 
 
 def unit_number(c: Column | str) -> Column:
+    """Roman numbers to ten and runs of decimal digits; null for anything else, be it a number with a sign, a point or spaces."""
     up = F.upper(col(c))
-    return F.coalesce(reduce(lambda e, kv: F.when(up == kv[0], kv[1]).otherwise(e), V.ROMAN_UNITS.items(), F.lit(None).cast("int")), up.try_cast("int"))
+    digits = F.when(up.rlike(r"^[0-9]+\z"), up.try_cast("int"))
+    return F.coalesce(reduce(lambda e, kv: F.when(up == kv[0], kv[1]).otherwise(e), V.ROMAN_UNITS.items(), F.lit(None).cast("int")), digits)
 
 
 def isbn(c: Column | str) -> Column:
