@@ -32,28 +32,42 @@ class Turns(StatefulProcessor):
         self.answers = handle.getMapState("answers", "batch int", "ids array<int>, summaries array<string>")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        turn, asked, summaries = self.course.get() if self.course.exists() else (0, False, [])
+        known = self.course.get()
+        turn, asked, summaries = known or (0, False, [])
         summaries = list(summaries)
+        # what arrives now is held in memory and only goes into the state if its turn doesn't come now: each call of the state is a round trip
+        requests: dict[int, tuple] = {}
+        answers: dict[int, tuple] = {}
         for r in rows:
             if r.batch < turn:
                 continue  # settled; a late or repeated row changes nothing
             if not r.answer:
-                self.requests.updateValue((r.batch,), (list(r.ids), r.system, r.user))
-            elif not self.answers.containsKey((r.batch,)):
-                self.answers.updateValue((r.batch,), (list(r.ids), list(r.summaries)))
-        while self.requests.containsKey((turn,)):
-            ids, system, user = self.requests.getValue((turn,))
+                requests[r.batch] = (list(r.ids), r.system, r.user)
+            elif r.batch not in answers:
+                answers[r.batch] = (list(r.ids), list(r.summaries))
+        before = lambda state, batch: state.getValue((batch,)) if known and state.containsKey((batch,)) else None
+        while request := requests.get(turn) or before(self.requests, turn):
+            ids, system, user = request
             if user is not None:
                 if not asked:
                     asked = True
                     yield Row(doc_id=key[0], batch=turn, system=system, narrative=self.cut(summaries), user=user)
-                if not self.answers.containsKey((turn,)):
+                answer = before(self.answers, turn) or answers.get(turn)  # the first to arrive counts
+                if not answer:
                     break
-                told = dict(zip(*self.answers.getValue((turn,)), strict=True))  # the last of a segment counts
+                told = dict(zip(*answer, strict=True))  # the last of a segment counts
                 summaries = [*summaries, *(told[i] for i in ids if told.get(i))][-self.last :]
-                self.answers.removeKey((turn,))
-            self.requests.removeKey((turn,))
+                if known:
+                    self.answers.removeKey((turn,))
+            if known:
+                self.requests.removeKey((turn,))
             turn, asked = turn + 1, False
+        for batch, row in requests.items():
+            if batch >= turn:
+                self.requests.updateValue((batch,), row)
+        for batch, row in answers.items():
+            if batch >= turn and not before(self.answers, batch):
+                self.answers.updateValue((batch,), row)
         self.course.update((turn, asked, summaries))
 
     def cut(self, summaries: list[str]) -> str:

@@ -173,3 +173,34 @@ def test_providers_are_tried_in_turn(spark):
 
     got = {r.doc_id: (r.provider, r.error) for r in metadata.enriched(rows, [first, lambda p: '{"title": "B"}' if p == "two" else "[1]"], wait=0.0).collect()}
     assert got == {"a": (0, None), "b": (1, None), "c": (None, "OSError: down; ValueError: the answer is no JSON object")}
+
+
+class Counted:
+    """A state of one key in memory that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.rows = calls, {}
+
+    def __getattr__(self, name):
+        def call(*a):
+            self.calls.append(name)
+            return {"get": lambda: self.rows.get(()), "exists": lambda: () in self.rows, "update": lambda v: self.rows.update({(): v}), "containsKey": lambda k: k in self.rows, "getValue": lambda k: self.rows.get(k), "updateValue": lambda k, v: self.rows.update({k: v}), "removeKey": lambda k: self.rows.pop(k, None)}[name](*a)
+
+        return call
+
+
+def test_what_arrives_in_its_turn_takes_no_calls_of_the_state():
+    from pyspark.sql import Row
+
+    from tessella.streaming.scoring import Turns
+
+    calls, turns = [], Turns()
+    turns.course, turns.requests, turns.answers = (Counted(calls) for _ in range(3))
+    ask = lambda b: Row(batch=b, answer=False, ids=[b], system="s", user=None if b == 3 else f"u{b}", summaries=None)
+    tell = lambda b, x: Row(batch=b, answer=True, ids=[b], system=None, user=None, summaries=[f"{x}{b}"])
+    said = [(r.batch, r.narrative) for r in turns.handleInputRows(("d",), iter([*map(ask, range(50)), *(tell(b, "x") for b in range(40)), tell(42, "x")]), None)]
+    assert [b for b, _ in said] == [b for b in range(41) if b != 3] and said[3] == (4, "x0 | x1 | x2")
+    assert len(calls) == 2 + 10 + 1  # the course, and what waits
+    said = [(r.batch, r.narrative[-3:]) for r in turns.handleInputRows(("d",), iter([tell(39, "late"), tell(42, "again"), tell(41, "x"), tell(40, "x"), tell(40, "again")]), None)]
+    assert said == [(41, "x40"), (42, "x41"), (43, "x42")]
+    assert set(turns.requests.rows) == {(b,) for b in range(43, 50)} and not turns.answers.rows
