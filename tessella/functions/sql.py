@@ -9,12 +9,16 @@ function that takes a table of words, dealt by page:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Row, SparkSession
-from pyspark.sql.functions import udtf
+from pyspark.sql.functions import arrow_udtf
 
 from . import values as V
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def text(pattern: str) -> str:
     """A raw SQL literal."""
@@ -127,25 +131,34 @@ FUNCTIONS = (
 
 
 class CourseLines:
-    """Words of a page, in order of x0, to its lines by baseline. A page's words are held until it ends."""
+    """Words of a page, in order of x0, to its lines by baseline. They come as Arrow batches; a page's words are held until it ends."""
 
     def __init__(self) -> None:
         self.page, self.lines = None, {}
 
-    def eval(self, word: Row) -> Iterator[tuple]:
-        self.page = (word.doc_id, word.page_idx)
-        own = self.lines.setdefault(round(word.doctop / 2) * 2, ([], [], []))
-        own[0].append(word.text)
-        own[1].append(word.size or 0.0)
-        own[2].append(word.fontname or "")
+    def eval(self, words: pa.RecordBatch) -> Iterator[pa.Table]:
+        if words.num_rows:
+            self.page = words.slice(0, 1).select(["doc_id", "page_idx"])
+        for doctop, text, size, font in zip(*(words.column(c).to_pylist() for c in ("doctop", "text", "size", "fontname")), strict=True):
+            own = self.lines.setdefault(round(doctop / 2) * 2, ([], [], set()))
+            own[0].append(text)
+            own[1].append(size or 0.0)
+            own[2].add(font or "")
         return iter(())
 
-    def terminate(self) -> Iterator[tuple]:
+    def terminate(self) -> Iterator[pa.Table]:
         import re
 
-        for y, (words, sizes, fonts) in self.lines.items():
-            has = lambda pattern, fonts=fonts: any(re.search(pattern, f) for f in fonts)
-            yield (*self.page, float(y), re.sub(V.CID, "[?]", " ".join(words)), max(sizes), has(V.MONOSPACE), has(V.HEAVY))
+        import pyarrow as pa
+
+        if not self.lines:
+            return
+        n, lines = len(self.lines), self.lines.values()
+        has = lambda pattern: [any(re.search(pattern, f) for f in fonts) for _, _, fonts in lines]
+        doc, page = (pa.array(self.page.column(c).to_pylist() * n, self.page.schema.field(c).type) for c in ("doc_id", "page_idx"))
+        texts = [re.sub(V.CID, "[?]", " ".join(words)) for words, _, _ in lines]
+        columns = [doc, page, pa.array(map(float, self.lines), pa.float64()), pa.array(texts, pa.string()), pa.array([max(sizes) for _, sizes, _ in lines], pa.float64()), pa.array(has(V.MONOSPACE), pa.bool_()), pa.array(has(V.HEAVY), pa.bool_())]
+        yield pa.table(columns, names=["doc_id", "page_idx", "y_key", "text", "max_size", "is_code", "is_bold"])
 
 
 LINES = "doc_id long, page_idx int, y_key double, text string, max_size double, is_code boolean, is_bold boolean"
@@ -155,4 +168,4 @@ def register(spark: SparkSession, doc_id: str = "long") -> None:
     """Makes the functions known to a session; `doc_id` is the type of that column in tables of words."""
     for head, kind, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURNS {kind} RETURN {body}")
-    spark.udtf.register("course_lines", udtf(CourseLines, returnType=LINES.replace("doc_id long", f"doc_id {doc_id}")))
+    spark.udtf.register("course_lines", arrow_udtf(CourseLines, returnType=LINES.replace("doc_id long", f"doc_id {doc_id}")))

@@ -40,3 +40,15 @@ def test_lines_of_a_table_of_words(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     spark.sql("SELECT * FROM words WHERE false").createOrReplaceTempView("no_words")
     assert spark.sql("SELECT * FROM course_lines(TABLE(no_words) PARTITION BY (doc_id, page_idx) ORDER BY (x0, word_seq))").count() == 0
+
+
+def test_a_page_comes_in_several_arrow_batches():
+    import pyarrow as pa
+
+    page = {"doc_id": ["d"] * 5, "page_idx": pa.array([7] * 5, pa.int32()), "doctop": [100.0, 100.5, 130.0, 101.0, 130.0], "text": ["a", "(cid:3)", "c", "d", "e"], "size": [9.0, None, 8.0, 12.0, None], "fontname": [None, "X-Bold", "T", "T", "CourierNew"]}
+    own = Q.CourseLines()
+    for batch in pa.table(page).to_batches(max_chunksize=2):
+        assert not list(own.eval(batch))
+    (lines,) = own.terminate()
+    assert [tuple(r.values()) for r in lines.to_pylist()] == [("d", 7, 100.0, "a [?] d", 12.0, False, True), ("d", 7, 130.0, "c e", 8.0, True, False)]
+    assert lines.schema.field("page_idx").type == pa.int32() and not list(Q.CourseLines().terminate())
