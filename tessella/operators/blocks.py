@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,9 @@ from tessella.functions import text as T
 from tessella.functions import values as V
 from tessella.operators.errors import message
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def unit_starts(pages: DataFrame) -> DataFrame:
     """pages: doc_id, page_idx, text. doc_id, heading, start: the first page of each unit; nothing unless two or more ascend."""
@@ -210,23 +214,43 @@ def merge_blocks(blocks: DataFrame, max_words: int = V.MAX_WORDS, chunked: bool
     barred = h.rlike(V.MERGE_BARRIER) | h.rlike(V.UNIT_BARRIER) | F.substring("text", 1, 200).rlike(V.UNIT_BARRIER)
     columns = ["doc_id", "block_idx", *["chunk_idx"] * chunked, "heading", "text", *["error"] * errors]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        doc = pdf["doc_id"].iloc[0]
+    def rows_of(doc, rows: list[tuple]) -> list[tuple]:
         try:
-            pdf = pdf.sort_values("block_idx")
-            out = [(h if isinstance(h, str) else None, t) for h, t in zip(pdf["heading"], pdf["text"], strict=True)]
-            out = merged(out, max_words, pdf["barred"].tolist())
-            rows = [(doc, i, j, h, c, None) for i, (h, t) in enumerate(out) for j, c in enumerate(chunks_of(t, max_words) if chunked else [t])]
+            out = merged([(h, t) for h, t, _ in rows], max_words, [b for _, _, b in rows])
+            return [(doc, i, j, h, c, None) for i, (h, t) in enumerate(out) for j, c in enumerate(chunks_of(t, max_words) if chunked else [t])]
         except Exception as e:
             if not errors:
                 raise
-            rows = [(doc, None, None, None, None, message(e))]
-        found = pd.DataFrame(rows, columns=["doc_id", "block_idx", "chunk_idx", "heading", "text", "error"])
-        return found.astype({"block_idx": "Int32", "chunk_idx": "Int32"})[columns]
+            return [(doc, None, None, None, None, message(e))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows; a document may reach over several batches, and is held until it ends."""
+        import pyarrow as pa
+
+        kinds = {"block_idx": pa.int32(), "chunk_idx": pa.int32()}
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            arrays = dict(zip(("doc_id", "block_idx", "chunk_idx", "heading", "text", "error"), zip(*rows, strict=True), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(arrays[c], kinds.get(c, pa.string())) for c in columns], names=columns)
+
+        doc, held = None, []
+        for batch in batches:
+            kinds["doc_id"], done = batch.schema.field("doc_id").type, []
+            for d, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and d != doc:
+                    done += rows_of(doc, held)
+                    held = []
+                doc = d
+                held.append(tuple(row))
+            if done:
+                yield batch_of(done)
+        if held and (last := rows_of(doc, held)):
+            yield batch_of(last)
 
     kinds = {"doc_id": blocks.schema["doc_id"].dataType.simpleString(), "block_idx": "int", "chunk_idx": "int"}
     schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in columns)
-    return blocks.select("doc_id", "block_idx", "heading", T.text_of("text").alias("text"), barred.alias("barred")).groupBy("doc_id").applyInPandas(run, schema)
+    rows = blocks.repartition("doc_id").sortWithinPartitions("doc_id", F.asc_nulls_last("block_idx"))
+    return rows.select("doc_id", "heading", T.text_of("text").alias("text"), barred.alias("barred")).mapInArrow(run, schema)
 
 
 def chunks_of(text: str, max_words: int) -> list[str]:

@@ -342,3 +342,20 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([], "doc_id string, scores struct<" + ",".join(f"{d}:int" for d in V.COURSE_DIMS) + ">, reasoning struct<" + ",".join(f"{d}_rationale:string" for d in V.COURSE_DIMS) + ">, overall_score double").write.parquet(str(tmp_path / "course.parquet"))
     cli.main(["--input", str(tmp_path), "--output", str(tmp_path / "out")])
     assert '"incomplete": true' in (tmp_path / "out" / "d_evaluation.json").read_text()
+
+
+def test_documents_over_several_batches_merge_without_a_frame_each(spark):
+    from tessella.operators import blocks as B
+
+    rows = [(d, i, f"Chapter {i}" if i % 4 == 0 else None, " ".join(["w"] * (i + 1))) for d in [None, 1, 2, 3] for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, block_idx int, heading string, text string").repartition(3)
+    want = sorted((d is not None, d or 0, i, h, t) for d in [None, 1, 2, 3] for i, (h, t) in enumerate(B.merged([r[2:] for r in rows if r[0] == d], 9, [i % 4 == 0 and i > 0 for i in range(7)])))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "3")
+    try:
+        merged = B.merge_blocks(df, 9)
+        assert sorted((r.doc_id is not None, r.doc_id or 0, r.block_idx, r.heading, r.text) for r in merged.collect()) == want
+    finally:
+        spark.conf.set(size, before)
+    assert "InPandas" not in merged._jdf.queryExecution().toString()
