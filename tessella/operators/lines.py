@@ -37,14 +37,14 @@ def outside_tables(words: DataFrame, tables: DataFrame) -> DataFrame:
     return words.join(t, (F.col("doc_id") == F.col("t_doc_id")) & (F.col("page_idx") == F.col("t_page_idx")) & inside, "left_anti")
 
 
-def lines_from_words(words: DataFrame, threshold: Column | None = None) -> DataFrame:
-    """doc_id, page_idx, y_key, text, max_size, is_code, is_bold, in one aggregation by baseline."""
+def lines_from_words(words: DataFrame, threshold: Column | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, page_idx, y_key, text, max_size, is_code, is_bold, in one aggregation by baseline. `others`: further columns, the same all over a document."""
     size = F.coalesce("size", F.lit(0.0))
     if threshold is not None:  # chapter numbers set large
         words = words.filter(~(F.col("text").rlike(r"^\d+\z") & (size >= threshold)))
     font = F.coalesce("fontname", F.lit(""))
     in_order = F.array_sort(F.collect_list(F.struct("x0", "word_seq", "text")))
-    return words.groupBy(*PAGE, (F.bround(F.col("doctop") / 2, 0) * 2).alias("y_key")).agg(
+    return words.groupBy(*PAGE, *others, (F.bround(F.col("doctop") / 2, 0) * 2).alias("y_key")).agg(
         T.without_cid(F.array_join(F.transform(in_order, lambda w: w["text"]), " ")).alias("text"),
         F.max(size).alias("max_size"),
         F.bool_or(font.rlike(V.MONOSPACE)).alias("is_code"),

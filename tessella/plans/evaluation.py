@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -31,6 +33,29 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df computed once, as compressed Parquet in the shared folder: for what holds texts, since checkpoints are as large as the rows in memory."""
+    at = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+@contextlib.contextmanager
+def clustered(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df in buckets of `key`, as compressed Parquet in the shared folder, removed in the end. Joins, windows and groups by the key read it in place,
+    without shuffling it: tasks write straight into the buckets, a file each, as many buckets as shuffles have partitions."""
+    spark, name = df.sparkSession, f"clustered_{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/{name}"
+    try:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", at).format("parquet").saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # its files are not the catalog's
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @dataclass(frozen=True)
 class Evaluation:
     """documents: doc_id, document; errors: a row for each course and step that failed; segments: what was scored; metrics: the run's counts, there already."""

@@ -1,5 +1,6 @@
 """Printed contents, chapters on their pages, and the cascade from words to blocks, each against plain Python."""
 
+import os
 import random
 import re
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import values as V
 from tessella.operators import blocks as B
 from tessella.operators import lines as L
-from tessella.plans import cascade
+from tessella.plans import cascade, evaluation
 
 PAGES = "doc_id string, page_idx int, text string"
 TOC = "doc_id string, ord int, number string, title string"
@@ -159,3 +160,33 @@ def test_roman_pages(spark, raw, page):
     from tessella.functions import text as T
 
     assert spark.createDataFrame([(raw,)], "t string").select(T.roman("t").alias("x")).first().x == page
+
+
+def test_words_are_read_once_and_joined_in_place(spark):
+    """The cascade used to compute and shuffle all words again in each tier."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def through(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [r for d in range(12) for r in words_of(f"d{d}", [[line("UNIT I Start", 20.0), line(f"one {d}")], [line("UNIT II", 20.0), line("two")]][: 1 + d % 2])]
+    words = spark.createDataFrame(rows, WORD).repartition(3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        none = lambda s: spark.createDataFrame([], s)
+        counts = spark.createDataFrame([(f"d{d}", 1 + d % 2) for d in range(12)], "doc_id string, pages int")
+        out = cascade.course_blocks(words.mapInArrow(through, words.schema), counts, none(TOC), none(OUTLINE)).collect()
+        odd = [x for d in range(1, 12, 2) for x in ((f"d{d}", 2, "Unit 1: Start", f"one {d}"), (f"d{d}", 2, "Unit 2: two", "two"))]
+        even = [(f"d{d}", 3, None, f"one {d}") for d in range(0, 12, 2)]
+        assert sorted(((r.doc_id, r.tier, r.heading, r.text) for r in out), key=str) == sorted(odd + even, key=str)
+        assert seen.value == len(rows)
+        with evaluation.clustered(words, "doc_id") as own:
+            at = own.inputFiles()[0].removeprefix("file:")
+            plan = own.join(counts.hint("shuffle_hash"), "doc_id").groupBy("doc_id", "page_idx").count()._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and own.count() == len(rows) and os.path.exists(at)  # the counts alone are dealt out
+        assert not os.path.exists(at) and not [t for t in spark.catalog.listTables() if t.name.startswith("clustered_")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
