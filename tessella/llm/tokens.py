@@ -3,13 +3,14 @@
 A byte-level tokenizer of this kind never lets a token reach from a non-space character into white
 space after it, so a text may be cut before any space that follows a non-space character, and its ids
 are those of its units in a row. Only units not seen lately are given to the library: to its BPE
-model where a unit is one run of letters, else to the whole tokenizer.
+model where a unit is made of runs of letters, signs behind them and single line ends, else to the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -25,6 +26,8 @@ REMEMBERED = 150_000
 SLICE_BYTES = 8 << 20
 #: Where a space may not begin a unit, in Arrow's expressions and in Python's.
 SPACE_AFTER_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
+#: Signs that never begin a word of their own behind letters, as an apostrophe may.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 CUT = re.compile(r"(?<=\S)(?= )")
 
 
@@ -46,38 +49,60 @@ class UnitEncoder:
 
     def _run(self, unit: str) -> bytes:
         """Ids of one run of letters, with or without a space before it."""
-        word = unit.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.library.model.tokenize(word)], np.uint32).tobytes()
+        word = unit.replace(" ", self.letters[32]) if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.library.model.tokenize(word)]).tobytes()
+
+    def _known(self, unit: str) -> bytes | None:
+        got = self.young.get(unit)
+        if got is None:
+            got = self.old.get(unit)
+            if got is not None:
+                self.young[unit] = got
+        return got
+
+    def _word(self, unit: str) -> bytes | None:
+        """Ids of a run of letters and the signs behind it, each a word to the library. Only the letters are remembered: signs vary. None if it is anything else."""
+        core = unit.rstrip(SIGNS)
+        if not (core[1:] if core[:1] == " " else core).isalpha():
+            return None
+        got = self.young.get(core)
+        if got is None:
+            got = self.old.get(core)
+            self.young[core] = got = self._run(core) if got is None else got
+        if len(core) == len(unit):
+            return got
+        tail = unit[len(core) :]
+        return got + (self.young.get(tail) or self._plain(tail))
+
+    def _split(self, unit: str) -> bytes | None:
+        """Words with one line end between each two; a line end between other characters is a word of its own to the library."""
+        if "\n" not in unit:
+            return self._word(unit)
+        words = [self._word(x) for x in unit.split("\n")]
+        return None if None in words or "\n " in unit else self._plain("\n").join(words)
 
     def units(self, units: list[str]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        young, old, other = self.young, self.old, []
-        for unit in units:
-            if unit in young:
-                continue
-            got = old.get(unit)
+        found, other = list(map(self.young.get, units)), []
+        for at, got in enumerate(found):
             if got is None:
-                core, tail = (unit[:-1], unit[-1]) if unit[-1:] in (".", ",") else (unit, "")
-                if core.lstrip(" ").isalpha() and core.count(" ") <= 1:
-                    got = young.get(core) or old.get(core) or self._run(core)
-                    if tail:
-                        young[core] = got
-                        got += self._plain(tail)
-                else:
-                    other.append(unit)
-                    continue
-            young[unit] = got
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            for unit, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[unit] = np.array(got.ids, np.uint32).tobytes()
-        return [young[unit] for unit in units]
+                unit = units[at]
+                got = self._split(unit)
+                found[at] = got = self._known(unit) if got is None else got
+                if got is None:
+                    other.append(at)
+        for first in range(0, len(other), 20_000):
+            part = other[first : first + 20_000]
+            for at, got in zip(part, self.library.encode_batch_fast([units[i] for i in part], add_special_tokens=False), strict=True):
+                found[at] = self.young[units[at]] = np.array(got.ids, np.uint32).tobytes()
+        return found
 
     def _plain(self, tail: str) -> bytes:
-        if tail not in self.young:
-            self.young[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, np.uint32).tobytes()
-        return self.young[tail]
+        got = self._known(tail)
+        if got is None:
+            got = self.young[tail] = np.array(self.library.encode(tail, add_special_tokens=False).ids, np.uint32).tobytes()
+        return got
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and how many each has. Texts aren't null."""
@@ -89,7 +114,7 @@ class UnitEncoder:
         counts = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         firsts = np.concatenate(([0], np.cumsum(counts)[:-1]))
         index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        pieces = coded.dictionary.to_pylist()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         own, heads = np.unique(index[firsts], return_inverse=True)
         index[firsts] = len(pieces) + heads
         known = self.units([" " + x for x in pieces] + [pieces[i] for i in own])

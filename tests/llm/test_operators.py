@@ -20,7 +20,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import chat_format, html_extract, impact_index, lattice, packing, quality, secret_scan, setsketch, suffix_lm, token_files
+from tessella.llm import chat_format, html_extract, impact_index, lattice, packing, quality, secret_scan, setsketch, suffix_lm, token_files, tokens
 from tessella.llm.common import Tables
 from tessella.llm.queries import vocabulary
 
@@ -310,6 +310,42 @@ def test_files_can_be_exported(spark, docs, tmp_path):
     assert n == sum(r.n_ids for r in files.collect())
 
 
+def test_ids_of_odd_units_are_the_library_s(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 60)
+    rng, e = random.Random(5), tokens.UnitEncoder(vocabulary())
+    parts = ["a", "the", "Was", "é", "ße", "x'", "'s", "'", "’", ".", ",", "%%%", "_", "\n", "\n\n", "\r\n", "\t", " ", " ", "  ", "\u00a0", "\u2028", "12", "a\u0301", "٣", "漢字", "😀", "<|endoftext|>", "<|", "|>", "\x00", "\x85", "\x1c"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(0, 30))) for _ in range(60)] + ["", "x'", "x',", " ", " ###", "a ", "don't don't,\nDon't. it\nis"]
+        ids, counts = e.encode(pa.array(texts, pa.large_string()))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == library_ids(texts)
+
+
+def test_words_with_signs_and_line_ends_do_not_go_through_the_whole_tokenizer():
+    """Such units were given to it one by one, though nearly all are new: a third of the CPU time of the files."""
+    import pyarrow as pa
+
+    class Counting:
+        def __init__(self, library):
+            self.library, self.model, self.seen = library, library.model, []
+
+        def encode(self, text, **k):
+            self.seen.append(text)
+            return self.library.encode(text, **k)
+
+        def encode_batch_fast(self, texts, **k):
+            self.seen += texts
+            return self.library.encode_batch_fast(texts, **k)
+
+    e = tokens.UnitEncoder(vocabulary())
+    e.library = Counting(e.library)
+    texts = [f"One{w} two{w},%%% three{w}.\nFour{w}\nFive{w}*** six{w}." for w in ("ab", "cd", "é", "gh")]
+    ids, _ = e.encode(pa.array(texts, pa.large_string()))
+    assert ids.tolist() == [i for x in library_ids(texts) for i in x]
+    assert sorted(e.library.seen) == sorted(["\n", ",%%%", ".", "***"])
+
+
 def test_tokens_of_nothing(none):
     assert packing.pack_documents(none, vocabulary()).count() == 0
     assert token_files.token_files(none, vocabulary()).count() == 0
